@@ -121,7 +121,7 @@ def catalog_inventory(spark: SparkSession, frames: dict[str, DataFrame] | None =
     if frames is None:
         names = [
             (d.name, t.name) for d in spark.catalog.listDatabases() if d.name not in SYSTEM_DATABASES
-            for t in spark.catalog.listTables(d.name)
+            for t in spark.catalog.listTables(d.name) if not t.isTemporary
         ]
         frames = {f"{d}.{t}": spark.table(f"`{d}`.`{t}`") for d, t in names}
     for name, df in frames.items():

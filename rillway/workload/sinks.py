@@ -11,7 +11,7 @@ from rillway.plans.task import build_task, default_reader, target_state
 from rillway.sinks import quality, writers
 from rillway.sources.changes import change_ops
 from rillway.workload.registry import Tables, query
-from rillway.workload.sources import event_op, EVENT_OP_SQL
+from rillway.workload.sources import EVENT_OP_SQL, event_op
 
 
 def event_log(t: Tables):

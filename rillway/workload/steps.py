@@ -12,7 +12,7 @@ from rillway.plans.flow import run_flow
 from rillway.sources.changes import change_ops
 from rillway.sources.tables import snapshot
 from rillway.workload.registry import Tables, query
-from rillway.workload.sources import event_op, EVENT_OP_SQL
+from rillway.workload.sources import EVENT_OP_SQL, event_op
 
 
 def _rule(source: str, target: str, source_type: str, target_type: str) -> dict:
