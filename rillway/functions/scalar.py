@@ -16,8 +16,7 @@ TRIM_CHARS = " \t\n\r\u0000\u000b"
 
 # Accepted date formats and their Spark patterns
 DATE_FORMATS = {"Y-m-d": "yyyy-MM-dd", "Y-m-d H:i:s": "yyyy-MM-dd HH:mm:ss"}
-DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
-DATETIME_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"
+DATE_OR_TIME_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2})?\z"
 
 # doubles from here on have no fraction and may not fit a long
 _WHOLE_FROM = float(2**52)
@@ -73,9 +72,7 @@ def strrev(s: Column, js: bool = False) -> Column:
 
 def strtotime(s: Column) -> Column:
     """Epoch seconds of a 10-character date or a 19-character date and time, else null."""
-    day = F.when(s.rlike(DATE_TEXT), F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
-    second = F.when(s.rlike(DATETIME_TEXT), F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")))
-    return F.unix_timestamp(F.coalesce(day, second))
+    return F.when(s.rlike(DATE_OR_TIME_TEXT), F.unix_timestamp(s.try_cast("timestamp")))
 
 
 def date(fmt: str, seconds: Column) -> Column:

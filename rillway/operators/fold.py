@@ -32,7 +32,8 @@ def _order(pos: str, op: str) -> Column:
 
 
 def fold_table(
-    changes: DataFrame, keys: list[str], values: list[str], pos: str = "pos", op: str = "op", present: str | None = None
+    changes: DataFrame, keys: list[str], values: list[str], pos: str = "pos", op: str = "op", present: str | None = None,
+    removed: bool = False,
 ) -> DataFrame:
     """State of a table with a unique key after the log.
 
@@ -41,7 +42,8 @@ def fold_table(
     or, when present names an array column of the supplied fields, column by column by the last
     update that supplies the column.
 
-    Columns: keys, values, and pos, the position of the last change of the key.
+    Columns: keys, values, and pos, the position of the last change of the key. With removed=True the
+    keys without a row are kept too, and op tells them apart: snapshot for a row, delete for none.
     """
     log = changes.withColumn("__ord", _order(pos, op))
     summary = log.groupBy(*[quoted(k) for k in keys]).agg(
@@ -50,7 +52,7 @@ def fold_table(
         F.min(_order_if(_is_insert(op))).alias("__first_at"),
         F.max(_order_if(_is_insert(op))).alias("__last_at"),
     )
-    summary = summary.filter(F.col("__last_at") >= F.coalesce(F.col("__gone_at"), F.lit(-(2**62))))
+    summary = _living(summary, F.col("__last_at"), removed)
     again = _first_insert_after_delete(log, keys, values, op)
     # inserted, deleted and inserted again: the first insert of all is not the one that counts
     base = summary.join(again, keys, "left").withColumns(
@@ -59,11 +61,12 @@ def fold_table(
             "__base_at": F.coalesce(F.col("__again_at"), F.col("__first_at")),
         }
     )
-    return _overlaid(base, keys, values, pos, present)
+    return _overlaid(base, keys, values, pos, op, present, removed)
 
 
 def fold_index(
-    changes: DataFrame, keys: list[str], values: list[str], pos: str = "pos", op: str = "op", present: str | None = None
+    changes: DataFrame, keys: list[str], values: list[str], pos: str = "pos", op: str = "op", present: str | None = None,
+    removed: bool = False,
 ) -> DataFrame:
     """State of a document index after the log: every insert replaces the whole document, updates
     overlay the fields they supply (all of them without a present column), deletes remove it."""
@@ -73,8 +76,12 @@ def fold_index(
         F.max_by(_image(values), _order_if(_is_insert(op))).alias("__base"),
         F.max(_order_if(_is_insert(op))).alias("__base_at"),
     )
-    live = F.col("__base_at") >= F.coalesce(F.col("__gone_at"), F.lit(-(2**62)))
-    return _overlaid(summary.filter(live), keys, values, pos, present)
+    return _overlaid(_living(summary, F.col("__base_at"), removed), keys, values, pos, op, present, removed)
+
+
+def _living(summary: DataFrame, last_insert: Column, removed: bool) -> DataFrame:
+    live = F.coalesce(last_insert >= F.coalesce(F.col("__gone_at"), F.lit(-(2**62))), F.lit(False))
+    return summary.withColumn(LIVE, live) if removed else summary.filter(live)
 
 
 def _is_insert(op: str) -> Column:
@@ -140,16 +147,21 @@ def _first_insert_after_delete(log: DataFrame, keys: list[str], values: list[str
     )
 
 
-def _overlaid(base: DataFrame, keys: list[str], values: list[str], pos: str, present: str | None) -> DataFrame:
+def _overlaid(
+    base: DataFrame, keys: list[str], values: list[str], pos: str, op: str, present: str | None, removed: bool
+) -> DataFrame:
     out = []
     for i, v in enumerate(values):
         kept = F.col("__base").getField(v)
         if present is None:
             newer = F.col("__update_at") > F.col("__base_at")
-            out.append(F.when(newer, F.col("__update").getField(v)).otherwise(kept).alias(v))
+            value = F.when(newer, F.col("__update").getField(v)).otherwise(kept)
         else:
             newer = F.col(f"__u{i}").getField("at") > F.col("__base_at")
-            out.append(F.when(newer, F.col(f"__u{i}").getField("value")).otherwise(kept).alias(v))
+            value = F.when(newer, F.col(f"__u{i}").getField("value")).otherwise(kept)
+        out.append((F.when(F.col(LIVE), value) if removed else value).alias(v))
+    if removed:
+        out.append(F.when(F.col(LIVE), F.lit("snapshot")).otherwise(F.lit("delete")).alias(op))
     return base.select(*[quoted(k) for k in keys], *out, F.col("__pos").alias(pos))
 
 

@@ -303,11 +303,11 @@ def _nest(right: DataFrame, keys, fields, label, array_rows) -> DataFrame:
     kinds = right.select(item.alias("i")).schema[0].dataType
     if not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in kinds):
         items = F.sort_array(items)
-    group = keys
     if array_rows is not None:
         right = cut_groups(right, keys, array_rows)
-        group = [c for c in (*keys, PART) if c in right.columns]
-    return right.groupBy(*group).agg(items.alias("__items")).select(*keys, "__items")
+    group = [c for c in (*keys, PART) if c in right.columns]
+    # partial arrays before the shuffle would save nothing: rows go over as they are and are listed once
+    return right.repartition(*group).groupBy(*group).agg(items.alias("__items")).select(*keys, "__items")
 
 
 def _join(left: DataFrame, right: DataFrame, keys, how, split_hot, cut_right) -> DataFrame:

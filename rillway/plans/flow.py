@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillway.columns import ROOT, doc_columns
+from rillway.columns import ROOT, doc_columns, quoted
 from rillway.operators.relate import find, parse_field_map, relate
 from rillway.operators.steps import SpecError, filter_step, map_inline, map_step, split_errors
 
@@ -77,7 +77,7 @@ def run_flow(
         df, root = df.withColumn(ROOT, F.monotonically_increasing_id()), [ROOT]
     elif needs_root:
         # the flow may rename or drop the key columns; the root travels in the envelope
-        df, root = df.withColumn(ROOT, F.to_json(F.struct(*root))), [ROOT]
+        df, root = df.withColumn(ROOT, quoted(root[0]) if len(root) == 1 else F.struct(*map(quoted, root))), [ROOT]
     split = False
     for step in steps:
         df = _run_step(df, step, lookups, root if split else None)

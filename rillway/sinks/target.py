@@ -42,7 +42,7 @@ class KeyedTarget:
         """Empty the target and load it again from a snapshot."""
         last = self._last_batch()
         state = rows.select(*[quoted(c) for c in [*self.keys, *self.values]]).withColumns(
-            {self.pos: F.lit(-1).cast("bigint"), self.op: F.lit("snapshot")}
+            {self.op: F.lit("snapshot"), self.pos: F.lit(-1).cast("bigint")}
         )
         self._commit(state, last)
 
@@ -53,14 +53,7 @@ class KeyedTarget:
         changes = self._changes(last)
         if changes is None:
             return
-        live = self._fold(changes).withColumn(self.op, F.lit("snapshot"))
-        gone = (
-            changes.groupBy(*[quoted(k) for k in self.keys])
-            .agg(F.max(quoted(self.pos)).alias(self.pos))
-            .join(live.select(*[quoted(k) for k in self.keys]), self.keys, "left_anti")
-            .withColumn(self.op, F.lit("delete"))
-        )
-        self._commit(live.unionByName(gone, allowMissingColumns=True), last)
+        self._commit(self._fold(changes, removed=True), last)
 
     def _commit(self, state: DataFrame, last_batch: int) -> None:
         version = self._commit_row()[0] + 1
@@ -77,9 +70,9 @@ class KeyedTarget:
         changes = self._changes(None)
         return None if changes is None else self._fold(changes)
 
-    def _fold(self, changes: DataFrame) -> DataFrame:
+    def _fold(self, changes: DataFrame, removed: bool = False) -> DataFrame:
         fold = fold_table if self.kind == "table" else fold_index
-        return fold(changes, self.keys, self.values, self.pos, self.op, self.present)
+        return fold(changes, self.keys, self.values, self.pos, self.op, self.present, removed)
 
     def _changes(self, up_to: int | None) -> DataFrame | None:
         version, folded = self._commit_row()
@@ -89,6 +82,8 @@ class KeyedTarget:
             log = log.filter(F.col("batch_id") > folded)
             log = log if up_to is None else log.filter(F.col("batch_id") <= up_to)
             log = log.drop("batch_id")
+        if base is not None and self.present and self.present not in base.columns:
+            base = base.withColumn(self.present, F.lit(None).cast("array<string>"))
         if base is None or log is None:
             return base if log is None else log
         return log.unionByName(base, allowMissingColumns=True)

@@ -30,6 +30,12 @@ def json_object(text: Column, schema: T.StructType) -> Column:
     return F.when(F.size(items) == 1, items[0])
 
 
+def _once(c: Column) -> Column:
+    """The same value, computed where it is selected. Being tied to the partition number keeps the
+    optimizer from repeating the parse inside the filters that follow."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def _errors(df: DataFrame, value: str, reason: Column) -> DataFrame:
     return df.select(
         *[quoted(c) for c in df.columns if c not in (value, "__doc", "__reason", "__msg", PRESENT)],
@@ -40,7 +46,7 @@ def _errors(df: DataFrame, value: str, reason: Column) -> DataFrame:
 
 def parse_json_lines(df: DataFrame, schema: str | T.StructType, value: str = "value") -> Parsed:
     """One JSON object per row of a text column; other columns travel along."""
-    parsed = df.withColumn("__doc", json_object(quoted(value), _struct(schema)))
+    parsed = df.withColumn("__doc", _once(json_object(quoted(value), _struct(schema))))
     rest = [quoted(c) for c in df.columns if c != value]
     docs = parsed.filter(F.col("__doc").isNotNull()).select(*rest, F.col("__doc.*"))
     return Parsed(docs, _errors(parsed.filter(F.col("__doc").isNull()), value, F.lit("not a json object")))
@@ -55,23 +61,22 @@ def parse_queue(df: DataFrame, schema: str | T.StructType, pk: str | None = None
     doc_type = _struct(schema)
     envelope = T.StructType([T.StructField("OptionType", T.StringType()), T.StructField("data", doc_type)])
     text = quoted(value)
-    keys = F.json_object_keys(text)
-    data = F.get_json_object(text, "$.data")
-    parsed = df.withColumn("__msg", json_object(text, T.StructType([*doc_type.fields, *envelope.fields])))
-    enveloped = F.array_contains(keys, "OptionType")
+    message = T.StructType([*doc_type.fields, *envelope.fields])
+    parsed = df.withColumns({"__msg": _once(json_object(text, message)), "__keys": _once(F.json_object_keys(text))})
+    enveloped = F.array_contains("__keys", "OptionType")
     bare = F.struct(*[F.col(f"__msg.`{f.name}`").alias(f.name) for f in doc_type])
-    wrapped = F.when(F.json_object_keys(data).isNotNull(), F.col("__msg.data"))
+    data_keys = F.json_object_keys(F.get_json_object(text, "$.data"))
     parsed = parsed.withColumns(
         {
-            "__doc": F.when(F.col("__msg").isNull(), F.lit(None)).when(enveloped, wrapped).otherwise(bare),
-            PRESENT: F.when(enveloped, F.json_object_keys(data)).otherwise(keys),
+            "__doc": F.when(enveloped, F.col("__msg.data")).when(F.col("__msg").isNotNull(), bare),
+            PRESENT: F.when(enveloped, data_keys).otherwise(F.col("__keys")),
             "__reason": F.when(F.col("__msg").isNull(), F.lit("bad json"))
-            .when(enveloped & ~F.array_contains(keys, "data"), F.lit("data missing"))
-            .when(enveloped & F.json_object_keys(data).isNull(), F.lit("data is not an object")),
+            .when(enveloped & ~F.array_contains("__keys", "data"), F.lit("data missing"))
+            .when(enveloped & F.col("__msg.data").isNull(), F.lit("data is not an object")),
             OP: F.when(enveloped & F.col("__msg.OptionType").isin("update", "delete"), F.col("__msg.OptionType"))
             .otherwise(F.lit("insert")),
         }
-    )
+    ).drop("__keys")
     rest = [quoted(c) for c in df.columns if c != value]
     id_value = F.col(f"__doc.`{pk}`").cast("string") if pk else F.lit("")
     docs = parsed.filter(F.col("__reason").isNull()).select(
@@ -86,7 +91,7 @@ def parse_index_hits(df: DataFrame, schema: str | T.StructType, value: str = "va
     hit = T.StructType(
         [T.StructField("_index", T.StringType()), T.StructField("_id", T.StringType()), T.StructField("_source", _struct(schema))]
     )
-    parsed = df.withColumn("__msg", json_object(quoted(value), hit)).withColumn("__doc", F.col("__msg._source"))
+    parsed = df.withColumn("__msg", _once(json_object(quoted(value), hit))).withColumn("__doc", F.col("__msg._source"))
     rest = [quoted(c) for c in df.columns if c != value]
     docs = parsed.filter(F.col("__doc").isNotNull()).select(
         *rest, F.col("__doc.*"),
