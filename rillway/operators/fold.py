@@ -194,8 +194,7 @@ def outcomes(
     """
     decisive = F.when(quoted(op).isin("insert", "delete", "snapshot"), quoted(op) != "delete")
     marked = changes.withColumn("__alive", decisive)
-    extra = [F.min(quoted(pos)).alias("__lo"), F.max(quoted(pos)).alias("__hi")]
-    hot = find_hot_keys(changes, keys, hot_rows, extra)
+    hot = find_hot_keys(changes, keys, hot_rows, range_of=pos)
     group = list(keys)
     if hot.frame is not None:
         marked = _sliced(marked, hot, keys, pos, hot_rows)

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from rillway.columns import doc_columns, envelope_columns, quoted
 from rillway.functions.coerce import is_fractional, is_integral, plain_text
-from rillway.operators.skew import HOT_ROWS, PART, cut_groups, find_hot_keys, salted_join
+from rillway.operators.skew import (
+    PART, PARTS, cut_groups, find_hot_keys, repeat_for_parts, salted_join, spread_over_parts,
+)
 from rillway.operators.steps import SpecError, merge_columns
 
 HIT = "__hit"
@@ -319,16 +321,14 @@ def _join(left: DataFrame, right: DataFrame, keys, how, split_hot, cut_right) ->
 
 
 def _fan_out_join(left: DataFrame, right: DataFrame, keys, how) -> DataFrame:
-    """1:n join with the lookup rows of hot keys spread: inner rows of the salted lookup side, plus
-    the main rows of keys the lookup does not have."""
-    hot_right = find_hot_keys(right, keys)
-    if hot_right.frame is None:
+    """1:n join with the lookup rows of hot keys spread over parts, and each main row of such a key
+    repeated for every part. A copy whose part has no rows is dropped: the key has rows in another."""
+    hot = find_hot_keys(right, keys)
+    if hot.frame is None:
         return salted_join(left, right, keys, how, find_hot_keys(left, keys))
-    matches = salted_join(right, left, keys, "inner", hot_right)
-    if how == "inner":
-        return matches
-    lonely = left.join(right.select(*keys).distinct(), keys, "left_anti")
-    return matches.unionByName(lonely, allowMissingColumns=True)
+    copies = repeat_for_parts(left, hot)
+    joined = copies.join(spread_over_parts(right, hot), [*keys, PART], how)
+    return joined.filter(F.col(HIT).isNotNull() | (F.col(PARTS) == 1)).drop(PART, PARTS)
 
 
 def _drop_unmatched_siblings(joined, left, right, keys, root, unmatched) -> DataFrame:

@@ -18,14 +18,16 @@ from rillway.columns import quoted
 HOT_LIMIT = 1024           # most hot keys ever fetched; one more is asked for to notice overflow
 HOT_ROWS = 1_000_000       # rows of one key from which splitting pays
 PART = "__part"
+PARTS = "__parts"
+PROBE_HITS = 1000          # sampled rows a key of min_rows rows is expected to have
 
 
 @dataclass
 class HotKeys:
-    """The hottest keys of a frame with their row counts (column __n).
+    """The hottest keys of a frame with their (estimated) row counts, column __n.
 
-    At most HOT_LIMIT keys are kept. A key that did not make the list has at most 1/HOT_LIMIT of
-    all rows (or at most min_rows), since every key on the list has at least as many.
+    At most HOT_LIMIT keys are kept. A key that did not make the list has about 1/HOT_LIMIT of all
+    rows at most (or min_rows at most), since every key on the list has at least as many.
     """
 
     keys: list[str]
@@ -44,18 +46,24 @@ def all_set(keys: list[str]) -> Column:
     return condition
 
 
-def find_hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, extra: list[Column] = ()) -> HotKeys:
+def find_hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, range_of: str | None = None) -> HotKeys:
     """Keys with more than min_rows rows; rows with a null in the key count as one group.
 
-    Runs one job that reads only the key columns (and those of the extra aggregates), counts
-    map-side first, and fetches HOT_LIMIT + 1 rows at most.
+    Runs one job that reads only the key columns (and range_of, whose least and greatest values come
+    as __lo and __hi) and fetches HOT_LIMIT + 1 rows at most. Of large groups a sample is counted, in which a key of min_rows rows
+    is expected PROBE_HITS times: enough to size its parts, and a thousandth of the shuffle. Only
+    the counts come from the sample; whoever uses them still processes every row.
     """
     complete = all_set(keys)
-    counted = (
-        df.groupBy(*[F.when(complete, quoted(k)).alias(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("__n"), *extra)
-        .filter(F.col("__n") > min_rows)
-    )
+    fraction = min(1.0, PROBE_HITS / min_rows)
+    columns = [F.when(complete, quoted(k)).alias(k) for k in keys]
+    counts = [(F.count(F.lit(1)) / F.lit(fraction)).cast("bigint").alias("__n")]
+    if range_of:
+        columns.append(quoted(range_of).alias("__range"))
+        counts += [F.min("__range").alias("__lo"), F.max("__range").alias("__hi")]
+    probed = df.select(*columns)
+    probed = probed.sample(fraction, seed=7) if fraction < 1 else probed
+    counted = probed.groupBy(*[quoted(k) for k in keys]).agg(*counts).filter(F.col("__n") > min_rows)
     rows = counted.orderBy(F.desc("__n")).limit(HOT_LIMIT + 1).collect()
     null_rows = sum(r["__n"] for r in rows if r[keys[0]] is None)
     rows = [r for r in rows if r[keys[0]] is not None]
@@ -78,6 +86,30 @@ def spread(df: DataFrame, parts: Column) -> Column:
     return F.pmod(F.xxhash64(F.spark_partition_id(), *cols), parts)
 
 
+def _with_part_count(df: DataFrame, hot: HotKeys, rows_per_part: int) -> DataFrame:
+    """Add __parts: over how many parts the rows of the key are spread, 1 unless it is hot."""
+    one = F.lit(1).cast("long")
+    if hot.frame is None:
+        return df.withColumn(PARTS, one)
+    # at most HOT_LIMIT small rows, see HotKeys
+    sizes = F.broadcast(hot.frame.select(*[quoted(k) for k in hot.keys], part_count(rows_per_part).alias(PARTS)))
+    return df.join(sizes, hot.keys, "left").withColumn(PARTS, F.coalesce(F.col(PARTS), one))
+
+
+def spread_over_parts(df: DataFrame, hot: HotKeys, rows_per_part: int = HOT_ROWS) -> DataFrame:
+    """Add __part, giving the rows of a hot key, and those without a key, different numbers."""
+    null_parts = F.lit(max(1, -(-hot.null_rows // rows_per_part))).cast("long")
+    parts = F.when(all_set(hot.keys), F.col(PARTS)).otherwise(null_parts)
+    counted = _with_part_count(df, hot, rows_per_part)
+    return counted.withColumn(PART, spread(df, parts)).drop(PARTS)
+
+
+def repeat_for_parts(df: DataFrame, hot: HotKeys, rows_per_part: int = HOT_ROWS) -> DataFrame:
+    """Add __part, repeating the rows of a hot key once per part, and __parts."""
+    counted = _with_part_count(df, hot, rows_per_part)
+    return counted.withColumn(PART, F.explode(F.sequence(F.lit(0).cast("long"), F.col(PARTS) - 1)))
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: HotKeys, rows_per_part: int = HOT_ROWS
 ) -> DataFrame:
@@ -88,28 +120,15 @@ def salted_join(
     """
     if not hot:
         return left.join(right, keys, how)
-    one = F.lit(1).cast("long")
-    if hot.frame is not None:
-        # at most HOT_LIMIT small rows, see HotKeys
-        sizes = F.broadcast(hot.frame.select(*[quoted(k) for k in keys], part_count(rows_per_part).alias("__parts")))
-        left = left.join(sizes, keys, "left")
-        right = right.join(sizes, keys, "left")
-    else:
-        left = left.withColumn("__parts", one)
-        right = right.withColumn("__parts", one)
-    null_parts = F.lit(max(1, -(-hot.null_rows // rows_per_part))).cast("long")
-    parts = F.when(all_set(keys), F.coalesce(F.col("__parts"), one)).otherwise(null_parts)
-    salted = left.withColumn(PART, spread(left.drop("__parts"), parts)).drop("__parts")
-    last = F.coalesce(F.col("__parts"), one) - 1
-    repeated = right.withColumn(PART, F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("__parts")
-    return salted.join(repeated, [*keys, PART], how).drop(PART)
+    repeated = repeat_for_parts(right, hot, rows_per_part).drop(PARTS)
+    return spread_over_parts(left, hot, rows_per_part).join(repeated, [*keys, PART], how).drop(PART)
 
 
 def cut_groups(df: DataFrame, keys: list[str], rows_per_part: int) -> DataFrame:
     """Add __part so that (keys, __part) groups hold about rows_per_part rows at most.
 
-    Without larger groups the frame comes back as it is. With more than HOT_LIMIT large groups the counts
-    are joined by a shuffle rather than broadcast.
+    Without larger groups the frame comes back as it is. With more than HOT_LIMIT large groups exact
+    counts are joined by a shuffle rather than broadcast.
     """
     hot = find_hot_keys(df, keys, rows_per_part)
     if hot.frame is None:
@@ -119,7 +138,6 @@ def cut_groups(df: DataFrame, keys: list[str], rows_per_part: int) -> DataFrame:
         sizes = counts.filter(F.col("__n") > rows_per_part)
     else:
         sizes = F.broadcast(hot.frame)
-    sizes = sizes.select(*[quoted(k) for k in keys], part_count(rows_per_part).alias("__parts"))
-    joined = df.join(sizes, keys, "left")
-    parts = F.coalesce(F.col("__parts"), F.lit(1).cast("long"))
-    return joined.withColumn(PART, spread(df, parts)).drop("__parts")
+    sizes = sizes.select(*[quoted(k) for k in keys], part_count(rows_per_part).alias(PARTS))
+    parts = F.coalesce(F.col(PARTS), F.lit(1).cast("long"))
+    return df.join(sizes, keys, "left").withColumn(PART, spread(df, parts)).drop(PARTS)

@@ -24,10 +24,11 @@ def _struct(schema: str | T.StructType) -> T.StructType:
 def json_object(text: Column, schema: T.StructType) -> Column:
     """The text as a struct if it is exactly one JSON object, else null.
 
-    Parsed as a one-element list: from_json on the bare text would accept a broken tail.
+    Parsed as a one-element list: from_json on the bare text would accept a broken tail. The transform
+    over a single element names the parsed list, so it is parsed once.
     """
     items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(schema))
-    return F.when(F.size(items) == 1, items[0])
+    return F.transform(F.array(items), lambda parsed: F.when(F.size(parsed) == 1, parsed[0]))[0]
 
 
 def _once(c: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rillway.operators import relate as relate_module
 from rillway.operators.relate import const_text, find, parse_field_map, relate, resolve_conditions
-from rillway.operators.skew import cut_groups, find_hot_keys, salted_join
+from rillway.operators.skew import cut_groups, find_hot_keys, repeat_for_parts, salted_join, spread_over_parts
 from rillway.operators.steps import SpecError
 from rillway.plans.flow import run_flow
 
@@ -168,6 +168,8 @@ def test_fan_out_with_a_hot_lookup_key(spark, skewed, monkeypatch):
     monkeypatch.setattr(relate_module, "find_hot_keys", lambda df, keys: find_hot_keys(df, keys, 100))
     main = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (-5, "d"), (None, "e")], "k bigint, name string")
     fields = {"s.name": "name", "r.id": "id"}
+    monkeypatch.setattr(relate_module, "repeat_for_parts", lambda df, hot: repeat_for_parts(df, hot, 100))
+    monkeypatch.setattr(relate_module, "spread_over_parts", lambda df, hot: spread_over_parts(df, hot, 100))
     split = relate(main, skewed, [on("k", "k")], "1n", "sib", field_map=fields, split_hot=True)
     plain = relate(main, skewed, [on("k", "k")], "1n", "sib", field_map=fields)
     assert rows(split.select("k", "name", "id")) == rows(plain.select("k", "name", "id"))
