@@ -18,8 +18,9 @@ POS = "_pos"             # position in the change log, -1 for snapshot rows
 SOURCE_FMT = "_source_fmt"
 ERROR = "_error"         # reason why a step failed on this row
 ROOT = "_root_id"        # input row a fanned-out row descends from
+PRESENT = "_present"     # names of the fields a message supplies: null and absent differ in partial updates
 
-ENVELOPE = (OP, DOC_SET, ALIAS, ID_FIELD, ID_VALUE, POS, SOURCE_FMT, ERROR, ROOT)
+ENVELOPE = (OP, DOC_SET, ALIAS, ID_FIELD, ID_VALUE, POS, SOURCE_FMT, ERROR, ROOT, PRESENT)
 
 
 def doc_columns(df: DataFrame) -> list[str]:

@@ -7,8 +7,14 @@
      "target":   [{"resource_id": "r2", "document_set": {"c1": "customer_copy"}, "extra": {...}}],
      "pipeline": [{"document_set": "c1", "flow": [{"type": "filter", "where": "c_acctbal > 100"}, ...]}]}
 
-Sync modes: direct (snapshot), stream (change files), replica (snapshot, then changes), empty (the
-resource is only looked up in). A spec becomes one DataFrame per alias; nothing runs before a write.
+Sync modes: direct (snapshot), stream (changes or messages), replica (snapshot, then changes), empty
+(the resource is only looked up in). A spec becomes one DataFrame per alias; nothing runs before a
+write. The same spec runs as a stream with start_task.
+
+Source extra: pk, pos and op (columns of a change log), changes (document set of the log), resume_after
+(a position), schema (DDL of JSON documents and of file streams). Target extra: mode, format (queue
+lines: true enveloped, false bare), envelope (keep the envelope columns), keyed ("table" or "index":
+fold into rows) with key.
 """
 
 from __future__ import annotations
@@ -18,18 +24,24 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from rillway.columns import ALIAS, ID_VALUE, OP, POS, doc_columns, envelope_columns
+from rillway.columns import DOC_SET, ID_VALUE, OP, POS, PRESENT, doc_columns, envelope_columns, quoted
 from rillway.operators.fold import fold_index, fold_table
 from rillway.operators.steps import SpecError
 from rillway.plans.flow import check_steps, run_flow
-from rillway.sinks.quality import dead_letters, observed
+from rillway.sinks.quality import LETTER, dead_letters, observed
+from rillway.sinks.target import KeyedTarget
 from rillway.sinks.writers import discard, envelope, object_lines
 from rillway.sources.changes import change_ops, resume_after
+from rillway.sources.messages import parse_index_hits, parse_json_lines, parse_queue
 from rillway.sources.tables import FILE_FORMATS, fan_out_aliases, parse_document_sets, read_files, read_jdbc, snapshot
+from rillway.streaming import runner
 
 SYNC_MODES = ("direct", "stream", "replica", "empty")
-RESOURCE_TYPES = (*FILE_FORMATS, "jdbc", "table", "empty")
+TEXT_TYPES = ("lines", "queue", "index")      # JSON text: object lines, queue messages, index hits
+RESOURCE_TYPES = (*FILE_FORMATS, *TEXT_TYPES, "kafka", "jdbc", "table", "empty")
+MODES_OF = {"lines": ("direct", "empty"), "index": ("direct", "empty"), "queue": ("stream", "empty"), "kafka": ("stream", "empty")}
 TOP_KEYS = ("setup", "resource", "source", "target", "pipeline")
 
 Reader = Callable[[dict, str], DataFrame]
@@ -40,10 +52,12 @@ class Task:
     frames: dict[str, DataFrame]                                # alias -> documents after its flow
     outputs: dict[tuple[str, str], DataFrame]                   # (target resource, target set) -> documents
     unrouted: list[str]                                         # aliases without a target
-    errors: DataFrame | None                                    # dead letters of the flows
+    errors: DataFrame | None                                    # dead letters of sources and flows
     read: dict[str, DataFrame] = field(default_factory=dict)    # alias -> documents before its flow
 
 
+# ---- checks
+
 def check_task(spec: dict) -> None:
     """Raise SpecError for a spec that cannot run."""
     for key in spec:
@@ -58,21 +72,10 @@ def check_task(spec: dict) -> None:
             raise SpecError(f"bad resource {r.get('id')!r} of type {r.get('type')!r}")
     aliases = set()
     for s in spec["source"]:
-        if s.get("resource_id") not in resources:
-            raise SpecError(f"source resource {s.get('resource_id')!r} is not declared")
-        if s.get("sync_mode") not in SYNC_MODES:
-            raise SpecError(f"unknown sync mode {s.get('sync_mode')!r}")
-        if s["sync_mode"] != "empty":
-            sets = parse_document_sets(s.get("document_set"))
-            if not sets or not all(a for names in sets.values() for a in names):
-                raise SpecError("source document_set is empty or has an empty alias")
-            aliases |= {a for names in sets.values() for a in names}
+        aliases |= _check_source(s, resources)
     looked_up = {s["resource_id"] for s in spec["source"]}
     for t in spec["target"]:
-        if t.get("resource_id") not in resources:
-            raise SpecError(f"target resource {t.get('resource_id')!r} is not declared")
-        if not isinstance(t.get("document_set"), dict) or not t["document_set"]:
-            raise SpecError("target document_set must map aliases to target sets")
+        _check_target(t, resources)
     for p in spec.get("pipeline", []):
         for name in (p.get("document_set") or "").split(","):
             if name not in aliases:
@@ -84,72 +87,156 @@ def check_task(spec: dict) -> None:
                 raise SpecError(f"lookup resource {lookup!r} is not a source")
 
 
+def _check_source(source: dict, resources: dict) -> set[str]:
+    resource = resources.get(source.get("resource_id"))
+    if resource is None:
+        raise SpecError(f"source resource {source.get('resource_id')!r} is not declared")
+    mode = source.get("sync_mode")
+    if mode not in MODES_OF.get(resource["type"], SYNC_MODES):
+        raise SpecError(f"sync mode {mode!r} is unknown or not for resource type {resource['type']!r}")
+    if mode == "empty":
+        return set()
+    sets = parse_document_sets(source.get("document_set"))
+    if not sets or not all(a for names in sets.values() for a in names):
+        raise SpecError("source document_set is empty or has an empty alias")
+    extra = source.get("extra") or {}
+    if (resource["type"] in TEXT_TYPES or resource["type"] == "kafka") and not extra.get("schema"):
+        raise SpecError("a source of JSON text needs extra.schema")
+    if mode == "replica" and not extra.get("pk"):
+        raise SpecError("a replica needs extra.pk")
+    return {a for names in sets.values() for a in names}
+
+
+def _check_target(target: dict, resources: dict) -> None:
+    if target.get("resource_id") not in resources:
+        raise SpecError(f"target resource {target.get('resource_id')!r} is not declared")
+    if not isinstance(target.get("document_set"), dict) or not target["document_set"]:
+        raise SpecError("target document_set must map aliases to target sets")
+    extra = target.get("extra") or {}
+    if extra.get("keyed") not in (None, "table", "index"):
+        raise SpecError(f"unknown keyed target {extra['keyed']!r}")
+    if extra.get("keyed") and not extra.get("key"):
+        raise SpecError("a keyed target needs extra.key")
+
+
+# ---- reading
+
 def default_reader(spark: SparkSession) -> Reader:
     def read(resource: dict, doc_set: str) -> DataFrame:
-        kind = resource["type"]
+        kind, options = resource["type"], resource.get("options", {})
         if kind == "table":
             return spark.table(doc_set)
         if kind == "jdbc":
-            return read_jdbc(spark, resource["url"], doc_set, resource.get("pk"), **resource.get("options", {}))
-        path = resource["path"].rstrip("/")
-        return read_files(spark, kind, f"{path}/{doc_set}{resource.get('suffix', '')}", **resource.get("options", {}))
+            return read_jdbc(spark, resource["url"], doc_set, resource.get("pk"), **options)
+        if kind == "kafka":
+            raise SpecError("a kafka source runs with start_task")
+        return read_files(spark, "text" if kind in TEXT_TYPES else kind, _place(resource, doc_set), **options)
 
     return read
 
 
+def default_stream_reader(spark: SparkSession) -> Callable[[dict, str, dict], DataFrame]:
+    def read(resource: dict, doc_set: str, extra: dict) -> DataFrame:
+        if resource["type"] == "kafka":
+            start = "earliest" if extra.get("resume") else "latest"
+            return runner.kafka_stream(spark, resource["servers"], doc_set, start, extra.get("limit"))
+        text = resource["type"] in TEXT_TYPES
+        fmt, schema = ("text", "value string") if text else (resource["type"], extra["schema"])
+        return runner.change_stream(spark, _place(resource, doc_set), schema, extra.get("limit"), fmt)
+
+    return read
+
+
+def _place(resource: dict, name: str) -> str:
+    return f"{resource['path'].rstrip('/')}/{name}{resource.get('suffix', '')}"
+
+
+def source_documents(raw: DataFrame, resource: dict, source: dict, doc_set: str, alias: str, log: DataFrame | None = None):
+    """The documents of one alias, and the unreadable rows as dead letters (None if there can be none).
+    raw is the snapshot, the change log of a stream, or JSON text; log the change log of a replica."""
+    extra = source.get("extra") or {}
+    pk, kind = extra.get("pk"), resource["type"]
+    if kind in TEXT_TYPES or kind == "kafka":
+        return _text_documents(raw, kind, extra, pk, doc_set, alias)
+    base = None if source["sync_mode"] == "stream" else snapshot(raw, doc_set, pk)
+    changes = raw if source["sync_mode"] == "stream" else log
+    if changes is not None:
+        changes = changes.withColumnsRenamed({extra.get("pos", "pos"): POS, extra.get("op", "op"): OP})
+        changes = change_ops(resume_after(changes, extra.get("resume_after"), POS), doc_set, pk, POS, OP)
+        base = changes if base is None else base.unionByName(changes, allowMissingColumns=True)
+    return fan_out_aliases(base, [alias]), None
+
+
+def _text_documents(raw: DataFrame, kind: str, extra: dict, pk: str | None, doc_set: str, alias: str):
+    if kind == "index":
+        docs, errors = parse_index_hits(raw, extra["schema"])
+    elif kind == "lines":
+        docs, errors = parse_json_lines(raw, extra["schema"])
+        docs = snapshot(docs, doc_set, pk, "NOSQL")
+    else:
+        docs, errors = parse_queue(raw, extra["schema"], pk)
+        docs = docs.withColumn(DOC_SET, F.lit(doc_set))
+    if "pos" in extra and extra["pos"] in docs.columns:
+        docs = docs.withColumn(POS, quoted(extra["pos"]).cast("bigint"))
+    letters = errors.select(
+        F.lit("read").alias("stage"), "reason", F.lit(alias).alias("alias"), F.col("body").alias("doc_json")
+    )
+    return fan_out_aliases(docs, [alias]), letters
+
+
+def run_alias(docs: DataFrame, flow: list[dict] | None, lookup) -> tuple[DataFrame, DataFrame | None]:
+    """Documents of an alias after its flow, and the rows a step failed on as dead letters."""
+    if not flow:
+        return docs, None
+    good, failed = run_flow(docs, flow, lookup)
+    return good, None if failed is None else dead_letters(failed, "pipeline", F.col("_error"))
+
+
+def _flows(spec: dict) -> dict[str, list[dict]]:
+    return {name: p["flow"] for p in spec.get("pipeline", []) for name in p["document_set"].split(",")}
+
+
+def _targets(spec: dict) -> dict[str, tuple[dict, str]]:
+    return {alias: (t, name or alias) for t in spec["target"] for alias, name in t["document_set"].items()}
+
+
 def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None) -> Task:
     """Turn a checked spec into DataFrames."""
     check_task(spec)
     reader = reader or default_reader(spark)
     resources = {r["id"]: r for r in spec["resource"]}
-
-    def lookup(resource_id: str, doc_set: str) -> DataFrame:
-        return reader(resources[resource_id], doc_set)
-
-    flows = {n: p["flow"] for p in spec.get("pipeline", []) for n in p["document_set"].split(",")}
-    frames, read, letters = {}, {}, []
+    lookup = lambda resource_id, doc_set: reader(resources[resource_id], doc_set)
+    flows, targets = _flows(spec), _targets(spec)
+    frames, read, outputs, letters = {}, {}, {}, []
     for source in (s for s in spec["source"] if s["sync_mode"] != "empty"):
+        resource, extra = resources[source["resource_id"]], source.get("extra") or {}
         for doc_set, names in parse_document_sets(source["document_set"]).items():
+            log_set = extra.get("changes", doc_set)
+            raw = reader(resource, log_set if source["sync_mode"] == "stream" else doc_set)
+            log = reader(resource, log_set) if source["sync_mode"] == "replica" else None
             for alias in names:
-                read[alias] = _source_frame(lookup, source, doc_set, alias)
-    for alias, df in read.items():
-        good, failed = run_flow(df, flows[alias], lookup) if alias in flows else (df, None)
-        frames[alias] = good
-        if failed is not None:
-            letters.append(dead_letters(failed, "pipeline", F.col("_error")))
-    return _routed(spec, frames, read, letters)
+                read[alias], unread = source_documents(raw, resource, source, doc_set, alias, log)
+                letters.append(unread)
+    for alias, docs in read.items():
+        frames[alias], failed = run_alias(docs, flows.get(alias), lookup)
+        letters.append(failed)
+        if alias in targets:
+            place = (targets[alias][0]["resource_id"], targets[alias][1])
+            df = frames[alias]
+            outputs[place] = outputs[place].unionByName(df, allowMissingColumns=True) if place in outputs else df
+    return Task(frames, outputs, [a for a in frames if a not in targets], _all_letters(letters), read)
 
 
-def _source_frame(lookup, source: dict, doc_set: str, alias: str) -> DataFrame:
-    extra = source.get("extra") or {}
-    pk, resource = extra.get("pk"), source["resource_id"]
-    base = None
-    if source["sync_mode"] in ("direct", "replica"):
-        base = snapshot(lookup(resource, doc_set), doc_set, pk)
-    if source["sync_mode"] in ("stream", "replica"):
-        log = lookup(resource, extra.get("changes", doc_set))
-        log = log.withColumnsRenamed({extra.get("pos", "pos"): POS, extra.get("op", "op"): OP})
-        log = resume_after(log, extra.get("resume_after"), POS)
-        log = change_ops(log, doc_set, pk, POS, OP)
-        base = log if base is None else base.unionByName(log, allowMissingColumns=True)
-    return fan_out_aliases(base, [alias])
-
-
-def _routed(spec: dict, frames, read, letters) -> Task:
-    target_of = {alias: (t["resource_id"], name) for t in spec["target"] for alias, name in t["document_set"].items()}
-    outputs: dict[tuple[str, str], DataFrame] = {}
-    for alias, df in frames.items():
-        if alias not in target_of:
-            continue
-        target_id, name = target_of[alias]
-        place = (target_id, name or alias)
-        outputs[place] = outputs[place].unionByName(df, allowMissingColumns=True) if place in outputs else df
-    errors = None
-    for e in letters:
-        errors = e if errors is None else errors.unionByName(e)
-    return Task(frames, outputs, [a for a in frames if a not in target_of], errors, read)
+def _all_letters(letters: list[DataFrame | None]) -> DataFrame | None:
+    out = None
+    for e in (e for e in letters if e is not None):
+        e = e.select(*LETTER)
+        out = e if out is None else out.unionByName(e)
+    return out
 
 
+# ---- writing
+
 def target_state(df: DataFrame, kind: str = "table", key: str = ID_VALUE) -> DataFrame:
     """The rows a keyed target holds after the documents, taken as changes in order of position."""
     fold = fold_table if kind == "table" else fold_index
@@ -157,31 +244,46 @@ def target_state(df: DataFrame, kind: str = "table", key: str = ID_VALUE) -> Dat
     return fold(df, [key], values, POS, OP).drop(POS)
 
 
-def write_task(task: Task, spec: dict) -> dict[str, dict[str, int]]:
-    """Write every output to its target resource, one job each, and return the rows written.
+def keyed_target(spark: SparkSession, resource: dict, name: str, extra: dict, df: DataFrame) -> KeyedTarget:
+    key = extra["key"]
+    values = [c for c in doc_columns(df) if c != key]
+    present = PRESENT if extra.get("partial") and PRESENT in df.columns else None
+    return KeyedTarget(spark, _place(resource, name), [key], values, extra["keyed"], POS, OP, present)
+
+
+def write_output(df: DataFrame, resource: dict, name: str, extra: dict, batch_id: int = 0) -> None:
+    """Write documents to one target set. A keyed target stores them under the batch id, so a repeated
+    batch counts once; other targets append."""
+    kind, mode = resource["type"], extra.get("mode", "append")
+    if extra.get("keyed"):
+        target = keyed_target(df.sparkSession, resource, name, extra, df)
+        target.append_batch(df, batch_id)
+        every = extra.get("compact_every", 20)
+        if every and batch_id % every == every - 1:
+            target.compact()
+    elif kind == "empty":
+        discard(df)
+    elif kind in TEXT_TYPES or kind == "json" or "format" in extra:
+        _lines(df, extra).write.mode(mode).text(_place(resource, name))
+    elif kind == "kafka":
+        _lines(df, {"format": True, **extra}).write.format("kafka").option("kafka.bootstrap.servers", resource["servers"]).option("topic", name).save()
+    elif kind == "table":
+        _body(df, extra).write.mode(mode).saveAsTable(name)
+    elif kind == "jdbc":
+        _body(df, extra).write.mode(mode).jdbc(resource["url"], name, properties=resource.get("options", {}))
+    else:
+        _body(df, extra).write.mode(mode).format(kind).save(_place(resource, name))
 
-    Target types: files are appended to <path>/<set>; json takes inserts only; empty discards. extra
-    may hold "format" (queue envelope lines), "mode" ("overwrite" rebuilds the set) and "envelope"
-    (keep the envelope columns).
-    """
+
+def write_task(task: Task, spec: dict) -> dict[str, dict[str, int]]:
+    """Write every output to its target, one job each, and return the rows written."""
     resources = {r["id"]: r for r in spec["resource"]}
-    extras = {t["resource_id"]: t.get("extra") or {} for t in spec["target"]}
+    targets = _targets(spec)
+    extras = {(t["resource_id"], name): t.get("extra") or {} for t, name in targets.values()}
     written = {}
     for (target_id, name), df in task.outputs.items():
-        resource, extra = resources[target_id], extras[target_id]
-        kind, mode = resource["type"], extra.get("mode", "append")
         counted, observation = observed(df, f"{target_id}/{name}")
-        if kind == "empty":
-            discard(counted)
-        elif kind == "json" or "format" in extra:
-            lines = _lines(counted, extra)
-            lines.write.mode(mode).text(f"{resource['path'].rstrip('/')}/{name}")
-        elif kind == "table":
-            _body(counted, extra).write.mode(mode).saveAsTable(name)
-        elif kind == "jdbc":
-            _body(counted, extra).write.mode(mode).jdbc(resource["url"], name, properties=resource.get("options", {}))
-        else:
-            _body(counted, extra).write.mode(mode).format(kind).save(f"{resource['path'].rstrip('/')}/{name}")
+        write_output(counted, resources[target_id], name, extras[target_id, name])
         written[f"{target_id}/{name}"] = observation.get
     return written
 
@@ -196,4 +298,44 @@ def _body(df: DataFrame, extra: dict) -> DataFrame:
     return df if extra.get("envelope") else df.select(*doc_columns(df))
 
 
-__all__ = ["ALIAS", "Task", "build_task", "check_task", "default_reader", "target_state", "write_task"]
+# ---- streaming
+
+def start_task(
+    spark: SparkSession, spec: dict, folder: str, reader: Reader | None = None, stream_reader=None, once: bool = False,
+    interval: str = runner.FLUSH_INTERVAL,
+) -> dict[str, StreamingQuery]:
+    """Start one streaming query per alias of the stream sources.
+
+    Lookups are read anew in every micro-batch. Checkpoints and dead letters go to the folder; a batch
+    repeated after a failure replaces its dead letters and, in keyed targets, its changes.
+    """
+    check_task(spec)
+    reader = reader or default_reader(spark)
+    stream_reader = stream_reader or default_stream_reader(spark)
+    resources = {r["id"]: r for r in spec["resource"]}
+    lookup = lambda resource_id, doc_set: reader(resources[resource_id], doc_set)
+    flows, targets, running = _flows(spec), _targets(spec), {}
+    for source in (s for s in spec["source"] if s["sync_mode"] == "stream"):
+        resource, extra = resources[source["resource_id"]], source.get("extra") or {}
+        for doc_set, names in parse_document_sets(source["document_set"]).items():
+            for alias in names:
+                stream = stream_reader(resource, extra.get("changes", doc_set), extra)
+                on_batch = _batch_writer(
+                    resource, source, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder
+                )
+                running[alias] = runner.start(stream, on_batch, f"{folder}/checkpoint/{alias}", once, interval)
+    return running
+
+
+def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder):
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        docs, unread = source_documents(batch, resource, source, doc_set, alias)
+        good, failed = run_alias(docs, flow, lookup)
+        if target is not None:
+            spec, name = target
+            write_output(good, resources[spec["resource_id"]], name, spec.get("extra") or {}, batch_id)
+        letters = _all_letters([unread, failed])
+        if letters is not None:
+            letters.write.mode("overwrite").parquet(f"{folder}/errors/alias={alias}/batch_id={batch_id}")
+
+    return on_batch

@@ -7,9 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
-from rillway.columns import DOC_SET, ID_FIELD, ID_VALUE, OP, SOURCE_FMT, quoted
-
-PRESENT = "_present"      # names of the fields a message supplies: null and absent differ in partial updates
+from rillway.columns import DOC_SET, ID_FIELD, ID_VALUE, OP, PRESENT, SOURCE_FMT, quoted
 
 
 class Parsed(NamedTuple):

@@ -156,6 +156,12 @@ def fn_rand(t: Tables):
     return t.orders.select("o_orderkey", scalar.rand(10, seed=1).alias("below_ten"), scalar.rand(5, 10, seed=2).alias("from_five"))
 
 
+@query("fn_rand_range", "SELECT o_orderkey, true AS below_ten, true AS from_five FROM orders")
+def fn_rand_range(t: Tables):
+    below, five = scalar.rand(10, seed=1), scalar.rand(5, 10, seed=2)
+    return t.orders.select("o_orderkey", below.between(0, 9).alias("below_ten"), five.between(5, 14).alias("from_five"))
+
+
 @query("fn_abs", "SELECT c_custkey, abs(c_acctbal - 5000) AS distance, abs(c_nationkey - 12)::DOUBLE AS nations FROM customer")
 def fn_abs(t: Tables):
     return t.customer.select(

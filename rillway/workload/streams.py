@@ -7,10 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from rillway.columns import OP
+from rillway.columns import OP, PRESENT
 from rillway.operators.relate import relate
 from rillway.sinks.target import KeyedTarget
-from rillway.sources.messages import PRESENT, parse_queue
+from rillway.sources.messages import parse_queue
 from rillway.streaming import runner
 from rillway.workload.joins import as_json, on
 from rillway.workload.registry import Tables, query

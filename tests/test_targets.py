@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 from test_folds import SCHEMA, random_log, replay
 
-from rillway.columns import ALIAS, DOC_SET, ID_VALUE, OP
+from rillway.columns import ALIAS, DOC_SET, ID_VALUE, OP, POS
 from rillway.operators.keyed import delete_rows, insert_rows, update_rows
 from rillway.operators.steps import SpecError
-from rillway.plans.task import build_task, check_task, write_task
+from rillway.plans.task import build_task, check_task, start_task, target_state, write_task
 from rillway.sinks import quality, writers
 from rillway.sinks.target import KeyedTarget
 from rillway.streaming import runner
@@ -192,3 +192,81 @@ def test_task_with_queue_format(spark, tmp_path):
 def test_bad_specs_are_refused(tmp_path, change):
     with pytest.raises(SpecError):
         check_task({**spec(tmp_path), **change})
+
+
+# ---- streaming tasks
+
+def queue_spec(tmp_path, **target_extra):
+    return {
+        "resource": [
+            {"id": "mq", "type": "queue", "path": str(tmp_path / "mq")}, {"id": "files", "type": "parquet", "path": str(tmp_path / "in")},
+            {"id": "out", "type": "parquet", "path": str(tmp_path / "out")},
+        ],
+        "source": [
+            {"resource_id": "mq", "sync_mode": "stream", "document_set": "orders",
+             "extra": {"schema": "id int, n bigint, tag int, name string", "pk": "id", "pos": "n", "limit": 1}},
+            {"resource_id": "files", "sync_mode": "empty", "document_set": ""},
+        ],
+        "target": [{"resource_id": "out", "document_set": {"orders": "orders_copy"}, "extra": target_extra}],
+        "pipeline": [{"document_set": "orders", "flow": [
+            {"type": "relateInline", "assoc_type": "11", "relate_resource_id": "files", "relate_document_set": "tags", "layer_type": "sib",
+             "field_map": {"id": "id", "name": "name", "r.label": "label|s:none"}, "unique": True,
+             "wheres": [{"src_field": "tag", "operator": "=", "rel_field": "tag"}]}]}],
+    }
+
+
+def send(spark, tmp_path, texts):
+    spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "mq/orders"))
+
+
+def test_queue_task_folds_into_a_keyed_target(spark, tmp_path):
+    spark.createDataFrame([(7, "seven")], "tag int, label string").write.parquet(str(tmp_path / "in/tags"))
+    spec = queue_spec(tmp_path, keyed="index", key="id", compact_every=1)
+    go = lambda: [q.awaitTermination() for q in start_task(spark, spec, str(tmp_path / "state"), once=True).values()]
+    send(spark, tmp_path, ['{"id":1,"n":1,"tag":7,"name":"a"}', '{"id":2,"n":2,"tag":8,"name":"b"}', "{broken"])
+    go()
+    send(spark, tmp_path, ['{"OptionType":"delete","data":{"id":2,"n":3}}', '{"OptionType":"update","data":{"id":1,"n":4,"name":"c"}}'])
+    go()
+    target = KeyedTarget(spark, str(tmp_path / "out/orders_copy"), ["id"], ["name", "label"], "index", POS, OP)
+    assert [(r.id, r.name, r.label) for r in target.read().collect()] == [(1, "c", "none")]
+    letters = spark.read.parquet(str(tmp_path / "state/errors")).collect()
+    assert [(r.stage, r.reason, r.alias, r.doc_json) for r in letters] == [("read", "bad json", "orders", "{broken")]
+
+
+def test_text_sources_in_a_batch_task(spark, tmp_path):
+    spark.createDataFrame([('{"a":1}',), ("no",)], "value string").write.text(str(tmp_path / "in/lines"))
+    spec = {
+        "resource": [{"id": "in", "type": "lines", "path": str(tmp_path / "in")}, {"id": "none", "type": "empty"}],
+        "source": [{"resource_id": "in", "sync_mode": "direct", "document_set": "lines", "extra": {"schema": "a int", "pk": "a"}}],
+        "target": [{"resource_id": "none", "document_set": {"lines": ""}}],
+        "pipeline": [],
+    }
+    task = build_task(spark, spec)
+    assert write_task(task, spec) == {"none/lines": {"rows": 1}}
+    assert [(r.stage, r.doc_json) for r in task.errors.collect()] == [("read", "no")]
+
+
+def test_change_log_task_resumes(spark, tmp_path):
+    rows = [(1, 1, "insert", "a"), (1, 2, "update", "b"), (2, 3, "insert", "c"), (1, 4, "delete", "b")]
+    spark.createDataFrame(rows, "id int, pos bigint, op string, name string").write.parquet(str(tmp_path / "in/log"))
+    spec = {
+        "resource": [{"id": "in", "type": "parquet", "path": str(tmp_path / "in")}, {"id": "none", "type": "empty"}],
+        "source": [{"resource_id": "in", "sync_mode": "stream", "document_set": {"log": "users"}, "extra": {"pk": "id", "resume_after": 2}}],
+        "target": [{"resource_id": "none", "document_set": {"users": "users"}}],
+        "pipeline": [],
+    }
+    frame = build_task(spark, spec).frames["users"]
+    assert sorted((r[ID_VALUE], r[OP], r[POS]) for r in frame.collect()) == [("1", "delete", 4), ("2", "insert", 3)]
+    assert [r.id for r in target_state(frame, "table", "id").collect()] == [2]
+
+
+@pytest.mark.parametrize("change", [
+    {"source": [{"resource_id": "mq", "sync_mode": "direct", "document_set": "orders", "extra": {"schema": "id int"}}]},
+    {"source": [{"resource_id": "mq", "sync_mode": "stream", "document_set": "orders"}]},
+    {"source": [{"resource_id": "files", "sync_mode": "replica", "document_set": "orders"}]},
+    {"target": [{"resource_id": "out", "document_set": {"orders": "x"}, "extra": {"keyed": "tree"}}]},
+    {"target": [{"resource_id": "out", "document_set": {"orders": "x"}, "extra": {"keyed": "table"}}]},
+])
+def test_bad_stream_specs_are_refused(tmp_path, change):
+    with pytest.raises(SpecError):
+        check_task({**queue_spec(tmp_path), **change})
