@@ -251,6 +251,16 @@ def keyed_target(spark: SparkSession, resource: dict, name: str, extra: dict, df
     return KeyedTarget(spark, _place(resource, name), [key], values, extra["keyed"], POS, OP, present)
 
 
+def refused_rows(df: DataFrame, resource: dict, name: str, extra: dict) -> DataFrame | None:
+    """Dead letters of the rows the target will not take, None for targets that take everything."""
+    if extra.get("keyed"):
+        refused = keyed_target(df.sparkSession, resource, name, extra, df).refused(df)
+        return dead_letters(refused.withColumnRenamed("reason", "__why"), "delivery", F.col("__why"), "__why")
+    if resource["type"] in TEXT_TYPES or (resource["type"] == "json" and "format" not in extra):
+        return dead_letters(object_lines(df)[1], "delivery", "only inserts can be stored")
+    return None
+
+
 def write_output(df: DataFrame, resource: dict, name: str, extra: dict, batch_id: int = 0) -> None:
     """Write documents to one target set. A keyed target stores them under the batch id, so a repeated
     batch counts once; other targets append."""
@@ -307,7 +317,8 @@ def start_task(
     """Start one streaming query per alias of the stream sources.
 
     Lookups are read anew in every micro-batch. Checkpoints and dead letters go to the folder; a batch
-    repeated after a failure replaces its dead letters and, in keyed targets, its changes.
+    repeated after a failure replaces its dead letters and, in keyed targets, its changes. With
+    setup.error_record the rows a target refuses are dead letters too.
     """
     check_task(spec)
     reader = reader or default_reader(spark)
@@ -321,21 +332,26 @@ def start_task(
             for alias in names:
                 stream = stream_reader(resource, extra.get("changes", doc_set), extra)
                 on_batch = _batch_writer(
-                    resource, source, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder
+                    resource, source, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder,
+                    bool((spec.get("setup") or {}).get("error_record")),
                 )
                 running[alias] = runner.start(stream, on_batch, f"{folder}/checkpoint/{alias}", once, interval)
     return running
 
 
-def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder):
+def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder, record_refused):
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         docs, unread = source_documents(batch, resource, source, doc_set, alias)
         good, failed = run_alias(docs, flow, lookup)
+        place = refused = None
         if target is not None:
-            spec, name = target
-            write_output(good, resources[spec["resource_id"]], name, spec.get("extra") or {}, batch_id)
-        letters = _all_letters([unread, failed])
+            place = resources[target[0]["resource_id"]], target[1], target[0].get("extra") or {}
+            refused = refused_rows(good, *place) if record_refused else None
+        # letters first: what a target refuses depends on what it held before the batch
+        letters = _all_letters([unread, failed, refused])
         if letters is not None:
             letters.write.mode("overwrite").parquet(f"{folder}/errors/alias={alias}/batch_id={batch_id}")
+        if place is not None:
+            write_output(good, *place, batch_id)
 
     return on_batch

@@ -28,8 +28,11 @@ def latest_letters(letters: DataFrame, pos: str, n: int = 100) -> DataFrame:
     return letters.orderBy(F.desc(pos)).limit(n)
 
 
-def run_metrics(df: DataFrame, pipeline_failed: Column, delivery_failed: Column, by: list[str] = ()) -> DataFrame:
-    """Rows read, failures by stage and rows delivered; filtered rows count as delivered."""
+def run_metrics(
+    df: DataFrame, pipeline_failed: Column, delivery_failed: Column, by: list[str] = (), extra: list[Column] = ()
+) -> DataFrame:
+    """Rows read, failures by stage and rows delivered; filtered rows count as delivered. extra holds
+    further aggregates of the same pass."""
     read = F.count(F.lit(1))
     failed_pipeline = F.count_if(pipeline_failed)
     failed_delivery = F.count_if(delivery_failed)
@@ -38,6 +41,7 @@ def run_metrics(df: DataFrame, pipeline_failed: Column, delivery_failed: Column,
         (read - failed_pipeline - failed_delivery).alias("full_delivery_count"),
         failed_delivery.alias("failed_delivery_count"),
         failed_pipeline.alias("failed_pipeline_count"),
+        *extra,
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from rillway.columns import quoted
-from rillway.operators.fold import fold_index, fold_table
+from rillway.operators.fold import fold_index, fold_table, outcomes
 
 
 class KeyedTarget:
@@ -50,10 +50,9 @@ class KeyedTarget:
         """Fold the log into a new base. Removed keys stay as delete markers, so that a late repeat of an
         old change cannot bring them back."""
         last = self._last_batch()
-        changes = self._changes(last)
-        if changes is None:
-            return
-        self._commit(self._fold(changes, removed=True), last)
+        base, log = self._parts(last)
+        if log is not None:
+            self._commit(self._fold(base, log, removed=True), last)
 
     def _commit(self, state: DataFrame, last_batch: int) -> None:
         version = self._commit_row()[0] + 1
@@ -67,14 +66,48 @@ class KeyedTarget:
 
     def read(self) -> DataFrame | None:
         """The rows as of the last batch, or None before the first."""
-        changes = self._changes(None)
-        return None if changes is None else self._fold(changes)
-
-    def _fold(self, changes: DataFrame, removed: bool = False) -> DataFrame:
+        base, log = self._parts(None)
+        return None if base is None and log is None else self._fold(base, log, removed=False)
+
+    def refused(self, changes: DataFrame) -> DataFrame:
+        """Changes the target cannot apply, with a reason: inserts of an existing row (table), updates of a
+        missing one (index). Call it before append_batch. Repeats of applied changes are not refused."""
+        touched = changes.select(*[quoted(k) for k in self.keys]).distinct()
+        base, log = (None if df is None else df.join(touched, self.keys, "left_semi") for df in self._parts(None))
+        if base is not None or log is not None:
+            state = self._fold(base, log, removed=True)
+            seen = state.select(*[quoted(k) for k in self.keys], quoted(self.pos).alias("__seen"))
+            fresh = changes.join(seen, self.keys, "left").filter(
+                F.col("__seen").isNull() | (quoted(self.pos) > F.col("__seen"))
+            ).drop("__seen")
+            judged = outcomes(fresh.unionByName(state, allowMissingColumns=True), self.keys, self.pos, self.op)
+        else:
+            judged = outcomes(changes, self.keys, self.pos, self.op)
+        if self.kind == "table":
+            failed = F.when(F.col("outcome") == "duplicate", F.lit("duplicate key"))
+        else:
+            failed = F.when((F.col("outcome") == "no_row") & (quoted(self.op) == "update"), F.lit("document missing"))
+        return judged.withColumn("reason", failed).filter(F.col("reason").isNotNull()).drop("outcome")
+
+    def _fold(self, base: DataFrame | None, log: DataFrame | None, removed: bool) -> DataFrame:
+        """Base and log folded. Keys the log does not mention pass by without a shuffle of the base,
+        whenever the keys of the log are few enough to be broadcast."""
         fold = fold_table if self.kind == "table" else fold_index
-        return fold(changes, self.keys, self.values, self.pos, self.op, self.present, removed)
-
-    def _changes(self, up_to: int | None) -> DataFrame | None:
+        run = lambda df: fold(df, self.keys, self.values, self.pos, self.op, self.present, removed)
+        if base is None:
+            return run(log)
+        untouched, touched = base, None
+        if log is not None:
+            keys = log.select(*[quoted(k) for k in self.keys]).distinct()
+            untouched = base.join(keys, self.keys, "left_anti")
+            touched = run(log.unionByName(base.join(keys, self.keys, "left_semi"), allowMissingColumns=True))
+        columns = [*self.keys, *self.values, self.pos, *([self.op] if removed else [])]
+        kept = untouched if removed else untouched.filter(quoted(self.op) == "snapshot")
+        kept = kept.select(*[quoted(c) for c in columns])
+        return kept if touched is None else touched.select(*[quoted(c) for c in columns]).unionByName(kept)
+
+    def _parts(self, up_to: int | None) -> tuple[DataFrame | None, DataFrame | None]:
+        """The current base, and the log batches it does not contain."""
         version, folded = self._commit_row()
         base = self.spark.read.parquet(f"{self.path}/base/version={version}") if version else None
         log = self._read("log")
@@ -82,11 +115,7 @@ class KeyedTarget:
             log = log.filter(F.col("batch_id") > folded)
             log = log if up_to is None else log.filter(F.col("batch_id") <= up_to)
             log = log.drop("batch_id")
-        if base is not None and self.present and self.present not in base.columns:
-            base = base.withColumn(self.present, F.lit(None).cast("array<string>"))
-        if base is None or log is None:
-            return base if log is None else log
-        return log.unionByName(base, allowMissingColumns=True)
+        return base, log
 
     def _commit_row(self) -> tuple[int, int]:
         commits = self._read("commits")

@@ -301,10 +301,9 @@ FROM (SELECT *, CAST(props->>'k' AS BIGINT) AS k FROM o)""")
 def task_metrics(t: Tables):
     k = F.get_json_object("props", "$.k").cast("bigint")
     out = event_outcomes(t)
-    metrics = quality.run_metrics(out, k < 5, (k >= 5) & (F.col("outcome") == "duplicate"))
-    seconds = t.events.agg((F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))) - 1704067200).alias("seconds"))
-    rate = quality.rows_per_second(F.col("full_read_count"), F.lit(seconds.first()[0]))
-    return metrics.withColumn("rate", rate)
+    seconds = (F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))) - 1704067200).alias("seconds")
+    metrics = quality.run_metrics(out, k < 5, (k >= 5) & (F.col("outcome") == "duplicate"), extra=[seconds])
+    return metrics.withColumn("rate", quality.rows_per_second(F.col("full_read_count"), F.col("seconds"))).drop("seconds")
 
 
 @query("task_health", _OUTCOME_SQL + """

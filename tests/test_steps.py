@@ -95,6 +95,16 @@ def test_map_expressions_see_the_input(spark):
         map_step(df, rekey="zz")
 
 
+def test_map_by_a_function_over_batches(spark):
+    def double(batches):
+        for b in batches:
+            yield b.assign(a=b.a * 2)
+
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "a bigint, b string")
+    out = map_step(df, fn=lambda d: d.mapInPandas(double, d.schema))
+    assert sorted(tuple(r) for r in out.collect()) == [(2, "x"), (4, "y")]
+
+
 def test_map_inline_rules(spark):
     df = spark.createDataFrame([(1, "x", 2.5)], "a int, b string, c double")
     swapped = map_inline(df, [rule("a", "b"), rule("b", "a")])

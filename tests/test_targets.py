@@ -45,6 +45,27 @@ def test_repeated_batches_and_old_changes_do_nothing(spark, tmp_path):
     assert state_of(target.read()) == replay(rows, False)[0]
 
 
+@pytest.mark.parametrize("kind", ["table", "index"])
+def test_refused_changes_of_each_batch(spark, tmp_path, kind):
+    rows = sorted(random_log(9, keys=12, changes=30), key=lambda r: r[1])
+    bad = "duplicate" if kind == "table" else "no_row"
+    outcome = replay(rows, kind == "index")[1]
+    expected = {(r[0], r[1]) for r in rows if outcome[r[0], r[1]] == bad and (kind == "table" or r[2] == "update")}
+    target = KeyedTarget(spark, str(tmp_path / "t"), ["k"], ["a", "b"], kind)
+    got, step = set(), len(rows) // 3 + 1
+    for i in range(3):
+        # every batch repeats the end of the one before
+        part = spark.createDataFrame(rows[max(0, i * step - 4):(i + 1) * step], SCHEMA)
+        fresh = {(r[0], r[1]) for r in rows[i * step:(i + 1) * step]}
+        refused = {(r.k, r.pos) for r in target.refused(part).collect()}
+        assert refused <= fresh
+        got |= refused
+        target.append_batch(part, i)
+        if i == 1:
+            target.compact()
+    assert got == expected
+
+
 def test_unfinished_base_is_not_read(spark, tmp_path):
     target = KeyedTarget(spark, str(tmp_path / "t"), ["k"], ["a", "b"])
     rows = [(1, 1, "insert", 5, "x", None)]
@@ -198,6 +219,7 @@ def test_bad_specs_are_refused(tmp_path, change):
 
 def queue_spec(tmp_path, **target_extra):
     return {
+        "setup": {"error_record": True},
         "resource": [
             {"id": "mq", "type": "queue", "path": str(tmp_path / "mq")}, {"id": "files", "type": "parquet", "path": str(tmp_path / "in")},
             {"id": "out", "type": "parquet", "path": str(tmp_path / "out")},
@@ -225,12 +247,15 @@ def test_queue_task_folds_into_a_keyed_target(spark, tmp_path):
     go = lambda: [q.awaitTermination() for q in start_task(spark, spec, str(tmp_path / "state"), once=True).values()]
     send(spark, tmp_path, ['{"id":1,"n":1,"tag":7,"name":"a"}', '{"id":2,"n":2,"tag":8,"name":"b"}', "{broken"])
     go()
-    send(spark, tmp_path, ['{"OptionType":"delete","data":{"id":2,"n":3}}', '{"OptionType":"update","data":{"id":1,"n":4,"name":"c"}}'])
+    send(spark, tmp_path, ['{"OptionType":"delete","data":{"id":2,"n":3}}', '{"OptionType":"update","data":{"id":1,"n":4,"name":"c"}}',
+                          '{"OptionType":"update","data":{"id":9,"n":5,"name":"z"}}'])
     go()
     target = KeyedTarget(spark, str(tmp_path / "out/orders_copy"), ["id"], ["name", "label"], "index", POS, OP)
     assert [(r.id, r.name, r.label) for r in target.read().collect()] == [(1, "c", "none")]
     letters = spark.read.parquet(str(tmp_path / "state/errors")).collect()
-    assert [(r.stage, r.reason, r.alias, r.doc_json) for r in letters] == [("read", "bad json", "orders", "{broken")]
+    assert sorted((r.stage, r.reason, r.alias, r.doc_json) for r in letters) == [
+        ("delivery", "document missing", "orders", '{"id":9,"name":"z","label":"none"}'), ("read", "bad json", "orders", "{broken"),
+    ]
 
 
 def test_text_sources_in_a_batch_task(spark, tmp_path):
