@@ -89,7 +89,12 @@ def now() -> Column:
 
 def _whole(x: Column, f) -> Column:
     d = x.cast("double")
-    return F.when(F.isnan(d) | (F.abs(d) >= _WHOLE_FROM), d).otherwise(f(d).cast("double"))
+    return F.when(F.isnan(d) | (F.abs(d) >= _WHOLE_FROM), d).otherwise(_signed(f(d).cast("double"), d))
+
+
+def _signed(result: Column, d: Column) -> Column:
+    """A zero keeps the sign of the number it came from."""
+    return F.when(result == 0, d * 0.0).otherwise(result)
 
 
 def ceil(x: Column) -> Column:
@@ -102,7 +107,8 @@ def floor(x: Column) -> Column:
 
 def round(x: Column) -> Column:
     """Halves go away from zero."""
-    return F.round(x.cast("double"))
+    d = x.cast("double")
+    return _signed(F.round(d), d)
 
 
 def rand(*bounds: int, seed: int | None = None) -> Column:

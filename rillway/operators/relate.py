@@ -48,11 +48,13 @@ def resolve_conditions(wheres: list[dict], columns: list[str], on_missing: str =
     """Equality conditions of a relate step against the main columns.
 
     A constant counts only where the main document lacks src_field. With on_missing="truncate" the
-    list ends at the first missing field without a constant; by default that is an error.
+    list ends at the first missing field without a constant; by default that is an error. Whatever
+    the operator, values are compared for equality; a condition without operator, lookup field or
+    something to compare is left out.
     """
     usable = [
         w for w in wheres
-        if w.get("rel_field") and w.get("operator", "=") and (w.get("src_field") or w.get("const_value") is not None)
+        if w.get("rel_field") and w.get("operator") and (w.get("src_field") or w.get("const_value") is not None)
     ]
     if not wheres:
         raise SpecError("relate: wheres is empty")

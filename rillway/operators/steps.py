@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
 from rillway.columns import ERROR, ID_FIELD, ID_VALUE, doc_columns, envelope_columns, quoted
-from rillway.functions.coerce import coerce_column
+from rillway.functions.coerce import coerce_column, is_nested
 from rillway.functions.script import truthy
 
 
@@ -61,9 +61,12 @@ def _mark_bad_numbers(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def filter_step(df: DataFrame, predicate: str | Column) -> DataFrame:
-    """Drop the rows for which the predicate is true or truthy. Null keeps the row."""
+    """Drop the rows for which the predicate is true or truthy. Null keeps the row, and so does a
+    struct, map or array, which is no verdict."""
     condition = _expr(predicate)
     kind = df.select(condition.alias("p")).schema[0].dataType
+    if is_nested(kind):
+        return df
     dropped = truthy(condition, kind)
     if ERROR in df.columns:
         dropped = dropped & quoted(ERROR).isNull()

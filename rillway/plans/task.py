@@ -12,7 +12,7 @@ Sync modes: direct (snapshot), stream (changes or messages), replica (snapshot,
 write. The same spec runs as a stream with start_task.
 
 Source extra: pk, pos and op (columns of a change log), changes (document set of the log), resume_after
-(a position), schema (DDL of JSON documents and of file streams). Target extra: mode, format (queue
+(the last position applied; a replica then skips its snapshot), schema (DDL of JSON documents and of file streams). Target extra: mode, format (queue
 lines: true enveloped, false bare), envelope (keep the envelope columns), keyed ("table" or "index":
 fold into rows) with key.
 """
@@ -162,7 +162,13 @@ def source_documents(raw: DataFrame, resource: dict, source: dict, doc_set: str,
     changes = raw if source["sync_mode"] == "stream" else log
     if changes is not None:
         changes = changes.withColumnsRenamed({extra.get("pos", "pos"): POS, extra.get("op", "op"): OP})
-        changes = change_ops(resume_after(changes, extra.get("resume_after"), POS), doc_set, pk, POS, OP)
+        saved = extra.get("resume_after")
+        if saved is not None:
+            first = changes.agg(F.min(POS)).first()[0]
+            if first is not None and first <= saved + 1:
+                base = None     # the log reaches back to the saved position, so the target has the snapshot
+            changes = resume_after(changes, saved, POS, first)
+        changes = change_ops(changes, doc_set, pk, POS, OP)
         base = changes if base is None else base.unionByName(changes, allowMissingColumns=True)
     return fan_out_aliases(base, [alias]), None
 
@@ -184,11 +190,12 @@ def _text_documents(raw: DataFrame, kind: str, extra: dict, pk: str | None, doc_
     return fan_out_aliases(docs, [alias]), letters
 
 
-def run_alias(docs: DataFrame, flow: list[dict] | None, lookup) -> tuple[DataFrame, DataFrame | None]:
+def run_alias(docs: DataFrame, flow: list[dict] | None, lookup, pk: str | None) -> tuple[DataFrame, DataFrame | None]:
     """Documents of an alias after its flow, and the rows a step failed on as dead letters."""
     if not flow:
         return docs, None
-    good, failed = run_flow(docs, flow, lookup)
+    root = [ID_VALUE, POS] if pk and POS in docs.columns else None
+    good, failed = run_flow(docs, flow, lookup, root)
     return good, None if failed is None else dead_letters(failed, "pipeline", F.col("_error"))
 
 
@@ -207,7 +214,7 @@ def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None) ->
     resources = {r["id"]: r for r in spec["resource"]}
     lookup = lambda resource_id, doc_set: reader(resources[resource_id], doc_set)
     flows, targets = _flows(spec), _targets(spec)
-    frames, read, outputs, letters = {}, {}, {}, []
+    frames, read, keys, outputs, letters = {}, {}, {}, {}, []
     for source in (s for s in spec["source"] if s["sync_mode"] != "empty"):
         resource, extra = resources[source["resource_id"]], source.get("extra") or {}
         for doc_set, names in parse_document_sets(source["document_set"]).items():
@@ -217,8 +224,9 @@ def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None) ->
             for alias in names:
                 read[alias], unread = source_documents(raw, resource, source, doc_set, alias, log)
                 letters.append(unread)
+                keys[alias] = extra.get("pk")
     for alias, docs in read.items():
-        frames[alias], failed = run_alias(docs, flows.get(alias), lookup)
+        frames[alias], failed = run_alias(docs, flows.get(alias), lookup, keys[alias])
         letters.append(failed)
         if alias in targets:
             place = (targets[alias][0]["resource_id"], targets[alias][1])
@@ -342,7 +350,7 @@ def start_task(
 def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder, record_refused):
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         docs, unread = source_documents(batch, resource, source, doc_set, alias)
-        good, failed = run_alias(docs, flow, lookup)
+        good, failed = run_alias(docs, flow, lookup, (source.get("extra") or {}).get("pk"))
         place = refused = None
         if target is not None:
             place = resources[target[0]["resource_id"]], target[1], target[0].get("extra") or {}

@@ -44,6 +44,7 @@ def test_numbers(spark):
     assert [one(spark, scalar.ceil(F.lit(x))) for x in (1.2, -1.2, 1e300)] == [2.0, -1.0, 1e300]
     assert one(spark, scalar.floor(F.lit(-1.2))) == -2.0
     assert one(spark, F.isnan(scalar.floor(F.lit(float("nan")))))
+    assert [str(one(spark, f(F.lit(-0.3)))) for f in (scalar.ceil, scalar.round)] == ["-0.0", "-0.0"]
     assert one(spark, scalar.abs(F.lit(-3))) == 3.0
     assert one(spark, scalar.max_args(F.lit(1), F.lit(None).cast("int"), F.lit(float("nan")))) == 1.0
     assert one(spark, scalar.max_args(F.lit(1))) is None

@@ -81,6 +81,7 @@ def test_conditions():
     cut = resolve_conditions([on("a", "x"), on("b", "y"), on("a", "z")], ["a"], "truncate")
     assert cut.pairs == [("a", "x")] and not cut.empty
     assert resolve_conditions([on("b", "y", "")], ["a"], "truncate").empty
+    assert resolve_conditions([{"src_field": "a", "rel_field": "x"}], ["a"]).empty
     with pytest.raises(SpecError):
         resolve_conditions([on("b", "y")], ["a"])
     with pytest.raises(SpecError):

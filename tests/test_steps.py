@@ -84,6 +84,7 @@ def test_truth(spark):
 def test_filter_drops_true_and_keeps_null(spark):
     df = spark.createDataFrame([(1, True), (2, False), (3, None)], "i int, p boolean")
     assert [r.i for r in filter_step(df, "p").orderBy("i").collect()] == [2, 3]
+    assert filter_step(df, "array(i)").count() == 3
 
 
 def test_map_expressions_see_the_input(spark):

@@ -285,6 +285,27 @@ def test_change_log_task_resumes(spark, tmp_path):
     assert [r.id for r in target_state(frame, "table", "id").collect()] == [2]
 
 
+def test_replica_skips_its_snapshot_when_it_resumes(spark, tmp_path):
+    spark.createDataFrame([(1, "z"), (5, "z")], "id int, name string").write.parquet(str(tmp_path / "in/users"))
+    rows = [(1, 3, "update", "b"), (2, 4, "insert", "c")]
+    spark.createDataFrame(rows, "id int, pos bigint, op string, name string").write.parquet(str(tmp_path / "in/log"))
+
+    def positions(saved):
+        extra = {"pk": "id", "changes": "log", **({} if saved is None else {"resume_after": saved})}
+        spec = {
+            "resource": [{"id": "in", "type": "parquet", "path": str(tmp_path / "in")}, {"id": "none", "type": "empty"}],
+            "source": [{"resource_id": "in", "sync_mode": "replica", "document_set": "users", "extra": extra}],
+            "target": [{"resource_id": "none", "document_set": {"users": "users"}}],
+        }
+        frame = build_task(spark, spec).frames["users"]
+        return sorted(r[POS] for r in frame.collect())
+
+    assert positions(None) == [-1, -1, 3, 4]
+    assert positions(3) == [4]
+    # the log begins after the saved position: something may be missing, so all is read again
+    assert positions(1) == [-1, -1, 3, 4]
+
+
 @pytest.mark.parametrize("change", [
     {"source": [{"resource_id": "mq", "sync_mode": "direct", "document_set": "orders", "extra": {"schema": "id int"}}]},
     {"source": [{"resource_id": "mq", "sync_mode": "stream", "document_set": "orders"}]},
