@@ -49,4 +49,5 @@ def _last_per_key(batch: DataFrame, keys: list[str], pos: str, columns: list[str
 
 
 def delete_rows(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    return target.join(batch.select(*[quoted(k) for k in keys]), keys, "left_anti")
+    # distinct combines map-side: a key repeated all over the batch is shuffled once per task
+    return target.join(batch.select(*[quoted(k) for k in keys]).distinct(), keys, "left_anti")

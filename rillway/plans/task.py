@@ -19,6 +19,7 @@ fold into rows) with key.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -58,6 +59,14 @@ class Task:
 
 # ---- checks
 
+def load_task(path: str) -> dict:
+    """A task spec from a JSON file, checked."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    check_task(spec)
+    return spec
+
+
 def check_task(spec: dict) -> None:
     """Raise SpecError for a spec that cannot run."""
     for key in spec:
@@ -235,6 +244,26 @@ def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None) ->
     return Task(frames, outputs, [a for a in frames if a not in targets], _all_letters(letters), read)
 
 
+def task_metrics(task: Task) -> DataFrame:
+    """Rows read, delivered and failed per alias; filtered rows count as delivered. Rows a source could
+    not read are dead letters only."""
+    read = None
+    for alias, df in task.read.items():
+        tagged = df.select(F.lit(alias).alias("alias"))
+        read = tagged if read is None else read.unionByName(tagged)
+    counts = read.groupBy("alias").agg(F.count(F.lit(1)).alias("full_read_count"))
+    if task.errors is None:
+        counts = counts.withColumns({"failed_delivery_count": F.lit(0).cast("bigint"), "failed_pipeline_count": F.lit(0).cast("bigint")})
+    else:
+        failed = task.errors.groupBy("alias").agg(
+            F.count_if(F.col("stage") == "delivery").alias("failed_delivery_count"),
+            F.count_if(F.col("stage") == "pipeline").alias("failed_pipeline_count"),
+        )
+        counts = counts.join(failed, "alias", "left").na.fill(0)
+    delivered = F.col("full_read_count") - F.col("failed_delivery_count") - F.col("failed_pipeline_count")
+    return counts.withColumn("full_delivery_count", delivered)
+
+
 def _all_letters(letters: list[DataFrame | None]) -> DataFrame | None:
     out = None
     for e in (e for e in letters if e is not None):

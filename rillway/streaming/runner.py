@@ -52,6 +52,21 @@ def start(
     return writer.start()
 
 
+def state(query: StreamingQuery) -> str:
+    """run, stop (ended by an error) or done."""
+    if query.isActive:
+        return "run"
+    return "stop" if query.exception() is not None else "done"
+
+
+def progress_metrics(query: StreamingQuery) -> dict:
+    """Rows read, rows per second and seconds spent, over the micro-batches Spark still remembers."""
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    rows = sum(p["numInputRows"] for p in batches)
+    seconds = sum(p["durationMs"]["triggerExecution"] for p in batches) / 1000
+    return {"full_read_count": rows, "rate": f"{int(rows / seconds) if seconds else 0}/s", "seconds": seconds, "batches": len(batches)}
+
+
 def start_apply(
     stream: DataFrame, target: KeyedTarget, checkpoint: str, steps: Callable[[DataFrame], DataFrame] | None = None,
     compact_every: int = 20, **options,

@@ -1,5 +1,7 @@
 """Keyed targets, tasks, sinks and streams."""
 
+import glob
+import os
 import random
 
 import pytest
@@ -9,7 +11,7 @@ from test_folds import SCHEMA, random_log, replay
 from rillway.columns import ALIAS, DOC_SET, ID_VALUE, OP, POS
 from rillway.operators.keyed import delete_rows, insert_rows, update_rows
 from rillway.operators.steps import SpecError
-from rillway.plans.task import build_task, check_task, start_task, target_state, write_task
+from rillway.plans.task import build_task, check_task, load_task, start_task, target_state, task_metrics, write_task
 from rillway.sinks import quality, writers
 from rillway.sinks.target import KeyedTarget
 from rillway.streaming import runner
@@ -88,7 +90,10 @@ def test_stream_equals_replay_in_any_order(spark, tmp_path):
     write_files(spark, rows, str(tmp_path / "in"), 3)
     target = KeyedTarget(spark, str(tmp_path / "out"), ["k"], ["a", "b"])
     stream = runner.change_stream(spark, str(tmp_path / "in"), SCHEMA, files_per_batch=1)
-    runner.start_apply(stream, target, str(tmp_path / "check"), once=True, compact_every=0).awaitTermination()
+    query = runner.start_apply(stream, target, str(tmp_path / "check"), once=True, compact_every=0)
+    query.awaitTermination()
+    metrics = runner.progress_metrics(query)
+    assert metrics["full_read_count"] == len(rows) and metrics["batches"] == 3 and runner.state(query) == "done"
     assert state_of(target.read()) == replay(rows, False)[0]
     assert target._last_batch() == 2
 
@@ -215,6 +220,34 @@ def test_bad_specs_are_refused(tmp_path, change):
         check_task({**spec(tmp_path), **change})
 
 
+@pytest.mark.parametrize("path", sorted(glob.glob(os.path.join(os.path.dirname(__file__), "../examples/*.json"))))
+def test_examples_are_valid(path):
+    assert load_task(path)["target"]
+
+
+def test_enrich_example_runs(spark, tmp_path):
+    s = load_task(os.path.join(os.path.dirname(__file__), "../examples/enrich.json"))
+    s["resource"][0]["path"], s["resource"][1]["path"] = "/root/testdata/sf0.001", str(tmp_path)
+    task = build_task(spark, s)
+    written = write_task(task, s)
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    assert written["out/names"]["rows"] == customers.count()
+    assert written["out/clients_001"]["rows"] == customers.filter("c_acctbal <= 5000").count()
+    assert set(spark.read.json(str(tmp_path / "clients_001")).columns) == {"tab_id", "tab_name", "attr1", "nation", "orders"}
+
+
+def test_task_metrics(spark, tmp_path):
+    spark.createDataFrame([(1, 0.0), (2, 2.0), (3, 1.0)], "id int, d double").write.parquet(str(tmp_path / "in/items"))
+    s = spec(tmp_path)
+    s["pipeline"] = [{"document_set": "a", "flow": [
+        {"type": "map", "set": {"r": "if(d = 0, double('NaN'), 1 / d)"}, "check_numbers": True}, {"type": "filter", "where": "id = 2"},
+    ]}]
+    task = build_task(spark, s)
+    got = {r.alias: (r.full_read_count, r.full_delivery_count, r.failed_pipeline_count) for r in task_metrics(task).collect()}
+    assert got == {"a": (3, 2, 1), "b": (3, 3, 0), "c": (3, 3, 0)}
+    assert task.outputs["out", "first"].count() == 1
+
+
 # ---- streaming tasks
 
 def queue_spec(tmp_path, **target_extra):
