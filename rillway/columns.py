@@ -6,7 +6,7 @@ pruning reach the scan. The envelope is a handful of reserved columns next to th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
 OP = "_op_type"          # insert | update | delete
@@ -36,6 +36,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def has_map(t: T.DataType) -> bool:
+    """Whether values of the type can be neither ordered nor hashed: maps and variants, also inside others."""
+    if isinstance(t, T.ArrayType):
+        return has_map(t.elementType)
+    if isinstance(t, T.StructType):
+        return any(has_map(f.dataType) for f in t)
+    return isinstance(t, (T.MapType, T.VariantType))
+
+
 def doc_struct(df: DataFrame) -> Column:
     return F.struct(*[quoted(c) for c in doc_columns(df)])
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
-from rillway.columns import doc_columns, envelope_columns, quoted
+from rillway.columns import doc_columns, envelope_columns, has_map, quoted
 from rillway.functions.coerce import is_fractional, is_integral, plain_text
 from rillway.operators.skew import (
     PART, PARTS, cut_groups, find_hot_keys, repeat_for_parts, salted_join, spread_over_parts,
@@ -286,8 +286,10 @@ def _first_per_key(right: DataFrame, keys, fields, order_by) -> DataFrame:
     """One lookup row per key. min over a struct combines map-side, so a hot key costs one row per task."""
     types = {f.name: f.dataType for f in right.schema}
     rank = ["__o_" + c for c in order_by] + ["__r_" + c for c in fields]
-    sortable = [quoted(c) for c in rank if not isinstance(types[c], (T.MapType, T.VariantType))]
-    rest = [quoted(c) for c in rank if isinstance(types[c], (T.MapType, T.VariantType))]
+    sortable = [quoted(c) for c in rank if not has_map(types[c])]
+    rest = [quoted(c) for c in rank if has_map(types[c])]
+    if rest and not sortable:
+        raise SpecError("relate: these fields have no order, order_by is needed")
     if rest:
         first = F.min_by(F.struct(*sortable, *rest), F.struct(*sortable))
     elif sortable:
@@ -305,7 +307,7 @@ def _nest(right: DataFrame, keys, fields, label, array_rows) -> DataFrame:
     item = F.struct(*[quoted("__r_" + c).alias(c) for c in fields])
     items = F.collect_list(item)
     kinds = right.select(item.alias("i")).schema[0].dataType
-    if not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in kinds):
+    if not has_map(kinds):
         items = F.sort_array(items)
     if array_rows is not None:
         right = cut_groups(right, keys, array_rows)

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, types as T
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillway.columns import quoted
+from rillway.columns import has_map, quoted
 
 HOT_LIMIT = 1024           # most hot keys ever fetched; one more is asked for to notice overflow
 HOT_ROWS = 1_000_000       # rows of one key from which splitting pays
@@ -81,8 +81,7 @@ def spread(df: DataFrame, parts: Column) -> Column:
     It hashes the row and its input partition: copies of one row land in different parts, and a
     re-run task computes the same numbers again, whatever order its rows arrive in.
     """
-    unhashable = (T.MapType, T.VariantType)
-    cols = [quoted(f.name) for f in df.schema if not isinstance(f.dataType, unhashable)]
+    cols = [quoted(f.name) for f in df.schema if not has_map(f.dataType)]
     return F.pmod(F.xxhash64(F.spark_partition_id(), *cols), parts)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rillway.columns import DOC_SET, ID_VALUE, OP, POS, PRESENT, doc_columns, envelope_columns, quoted
+from rillway.columns import ALIAS, DOC_SET, ID_VALUE, OP, POS, PRESENT, doc_columns, envelope_columns, quoted
 from rillway.operators.fold import fold_index, fold_table
 from rillway.operators.steps import SpecError
 from rillway.plans.flow import check_steps, run_flow
@@ -288,26 +288,12 @@ def keyed_target(spark: SparkSession, resource: dict, name: str, extra: dict, df
     return KeyedTarget(spark, _place(resource, name), [key], values, extra["keyed"], POS, OP, present)
 
 
-def refused_rows(df: DataFrame, resource: dict, name: str, extra: dict) -> DataFrame | None:
-    """Dead letters of the rows the target will not take, None for targets that take everything."""
-    if extra.get("keyed"):
-        refused = keyed_target(df.sparkSession, resource, name, extra, df).refused(df)
-        return dead_letters(refused.withColumnRenamed("reason", "__why"), "delivery", F.col("__why"), "__why")
-    if resource["type"] in TEXT_TYPES or (resource["type"] == "json" and "format" not in extra):
-        return dead_letters(object_lines(df)[1], "delivery", "only inserts can be stored")
-    return None
-
-
 def write_output(df: DataFrame, resource: dict, name: str, extra: dict, batch_id: int = 0) -> None:
     """Write documents to one target set. A keyed target stores them under the batch id, so a repeated
     batch counts once; other targets append."""
     kind, mode = resource["type"], extra.get("mode", "append")
     if extra.get("keyed"):
-        target = keyed_target(df.sparkSession, resource, name, extra, df)
-        target.append_batch(df, batch_id)
-        every = extra.get("compact_every", 20)
-        if every and batch_id % every == every - 1:
-            target.compact()
+        keyed_target(df.sparkSession, resource, name, extra, df).append_batch(df, batch_id)
     elif kind == "empty":
         discard(df)
     elif kind in TEXT_TYPES or kind == "json" or "format" in extra:
@@ -378,17 +364,36 @@ def start_task(
 
 def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder, record_refused):
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        # read once: good and unreadable rows are written by different jobs
+        batch = batch.persist()
         docs, unread = source_documents(batch, resource, source, doc_set, alias)
         good, failed = run_alias(docs, flow, lookup, (source.get("extra") or {}).get("pk"))
-        place = refused = None
+        letters, keyed, extra = [unread, failed], None, {}
         if target is not None:
-            place = resources[target[0]["resource_id"]], target[1], target[0].get("extra") or {}
-            refused = refused_rows(good, *place) if record_refused else None
-        # letters first: what a target refuses depends on what it held before the batch
-        letters = _all_letters([unread, failed, refused])
-        if letters is not None:
-            letters.write.mode("overwrite").parquet(f"{folder}/errors/alias={alias}/batch_id={batch_id}")
-        if place is not None:
-            write_output(good, *place, batch_id)
+            place, name, extra = resources[target[0]["resource_id"]], target[1], target[0].get("extra") or {}
+            keyed = keyed_target(batch.sparkSession, place, name, extra, good) if extra.get("keyed") else None
+            if keyed is not None and keyed.contains(batch_id):
+                batch.unpersist()
+                return
+            write_output(good, place, name, extra, batch_id)
+            if record_refused:
+                letters.append(_refused(good, place, extra, keyed, alias, batch_id))
+        found = _all_letters(letters)
+        if found is not None:
+            found.write.mode("overwrite").parquet(f"{folder}/errors/alias={alias}/batch_id={batch_id}")
+        every = extra.get("compact_every", 20)
+        if keyed is not None and every and batch_id % every == every - 1:
+            keyed.compact()
+        batch.unpersist()
 
     return on_batch
+
+
+def _refused(good: DataFrame, place: dict, extra: dict, keyed: KeyedTarget | None, alias: str, batch_id: int) -> DataFrame | None:
+    """Dead letters of the rows the target does not take, None for targets that take everything."""
+    if keyed is not None:
+        refused = keyed.refused(batch_id).withColumnRenamed("reason", "__why").withColumn(ALIAS, F.lit(alias))
+        return dead_letters(refused, "delivery", F.col("__why"), "__why")
+    if place["type"] in TEXT_TYPES or (place["type"] == "json" and "format" not in extra):
+        return dead_letters(object_lines(good)[1], "delivery", "only inserts can be stored")
+    return None

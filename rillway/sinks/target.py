@@ -69,20 +69,25 @@ class KeyedTarget:
         base, log = self._parts(None)
         return None if base is None and log is None else self._fold(base, log, removed=False)
 
-    def refused(self, changes: DataFrame) -> DataFrame:
-        """Changes the target cannot apply, with a reason: inserts of an existing row (table), updates of a
-        missing one (index). Call it before append_batch. Repeats of applied changes are not refused."""
+    def contains(self, batch_id: int) -> bool:
+        """Whether the batch has been folded into the base, so that it was applied to the end before."""
+        return batch_id <= self._commit_row()[1]
+
+    def refused(self, batch_id: int) -> DataFrame:
+        """Changes of a stored batch the target cannot apply, with a reason: inserts of an existing row
+        (table), updates of a missing one (index). They are judged against the batches before it, as
+        long as it is not folded. Repeats of applied changes are not refused."""
+        changes = self._read("log").filter(F.col("batch_id") == batch_id).drop("batch_id")
         touched = changes.select(*[quoted(k) for k in self.keys]).distinct()
-        base, log = (None if df is None else df.join(touched, self.keys, "left_semi") for df in self._parts(None))
+        base, log = (None if df is None else df.join(touched, self.keys, "left_semi") for df in self._parts(batch_id - 1))
+        judged = changes
         if base is not None or log is not None:
             state = self._fold(base, log, removed=True)
             seen = state.select(*[quoted(k) for k in self.keys], quoted(self.pos).alias("__seen"))
-            fresh = changes.join(seen, self.keys, "left").filter(
-                F.col("__seen").isNull() | (quoted(self.pos) > F.col("__seen"))
-            ).drop("__seen")
-            judged = outcomes(fresh.unionByName(state, allowMissingColumns=True), self.keys, self.pos, self.op)
-        else:
-            judged = outcomes(changes, self.keys, self.pos, self.op)
+            fresh = F.col("__seen").isNull() | (quoted(self.pos) > F.col("__seen"))
+            judged = changes.join(seen, self.keys, "left").filter(fresh).drop("__seen")
+            judged = judged.unionByName(state, allowMissingColumns=True)
+        judged = outcomes(judged, self.keys, self.pos, self.op)
         if self.kind == "table":
             failed = F.when(F.col("outcome") == "duplicate", F.lit("duplicate key"))
         else:

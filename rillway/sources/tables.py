@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
@@ -36,12 +38,13 @@ def jdbc_options(
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, pk: str | None = None, partitions: int = 32, **extra) -> DataFrame:
-    """A table over JDBC. The key bounds are asked of the database, which answers from its index."""
+    """A table over JDBC. The bounds of a whole-number key are asked of the database, which answers from
+    its index; with any other key the table is read in one piece."""
     bounds = None
     if pk is not None:
         query = f"(SELECT MIN({pk}) AS lo, MAX({pk}) AS hi FROM {table}) b"
         lo, hi = spark.read.format("jdbc").options(**jdbc_options(url, query, **extra)).load().first()
-        bounds = (lo, hi + 1) if lo is not None else None
+        bounds = (int(lo), int(hi) + 1) if isinstance(lo, (int, Decimal)) else None
     return spark.read.format("jdbc").options(**jdbc_options(url, table, pk, bounds, partitions, **extra)).load()
 
 

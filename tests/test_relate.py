@@ -128,6 +128,17 @@ def test_siblings_without_match_are_dropped(spark):
         assert rows(out.select("r", "s", "t")) == expected
 
 
+def test_fields_without_an_order(spark, main):
+    lookup = spark.sql("SELECT * FROM VALUES (1, map('a', 1)), (1, map('b', 2)) AS t(id, m)")
+    nested = relate(main, lookup, [on("id", "id")], "1n", "sub", "l")
+    assert {r.name: len(r.l or []) for r in nested.collect()} == {"a": 2, "b": 0, "c": 0, "d": 0}
+    with pytest.raises(SpecError):
+        relate(main, lookup, [on("id", "id")], "11", "sib", field_map={"r.m": "m"})
+    ordered = lookup.withColumn("size", F.col("m")["a"])
+    out = relate(main, ordered, [on("id", "id")], "11", "sib", field_map={"s.name": "n", "r.m": "m"}, order_by=["size"])
+    assert {r.n: r.m for r in out.collect()}["a"] == {"b": 2}
+
+
 # ---- hot keys
 
 @pytest.fixture(scope="module")
