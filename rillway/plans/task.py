@@ -288,12 +288,12 @@ def keyed_target(spark: SparkSession, resource: dict, name: str, extra: dict, df
     return KeyedTarget(spark, _place(resource, name), [key], values, extra["keyed"], POS, OP, present)
 
 
-def write_output(df: DataFrame, resource: dict, name: str, extra: dict, batch_id: int = 0) -> None:
-    """Write documents to one target set. A keyed target stores them under the batch id, so a repeated
-    batch counts once; other targets append."""
+def write_output(df: DataFrame, resource: dict, name: str, extra: dict) -> None:
+    """Write documents to one target set."""
     kind, mode = resource["type"], extra.get("mode", "append")
     if extra.get("keyed"):
-        keyed_target(df.sparkSession, resource, name, extra, df).append_batch(df, batch_id)
+        target = keyed_target(df.sparkSession, resource, name, extra, df)
+        target.rebuild(df) if mode == "overwrite" else target.merge(df)
     elif kind == "empty":
         discard(df)
     elif kind in TEXT_TYPES or kind == "json" or "format" in extra:
@@ -309,14 +309,20 @@ def write_output(df: DataFrame, resource: dict, name: str, extra: dict, batch_id
 
 
 def write_task(task: Task, spec: dict) -> dict[str, dict[str, int]]:
-    """Write every output to its target, one job each, and return the rows written."""
+    """Write every output to its target and return the rows (for keyed targets: changes) written."""
     resources = {r["id"]: r for r in spec["resource"]}
     targets = _targets(spec)
     extras = {(t["resource_id"], name): t.get("extra") or {} for t, name in targets.values()}
     written = {}
     for (target_id, name), df in task.outputs.items():
+        extra = extras[target_id, name]
+        if extra.get("keyed"):
+            # a fold reads its changes more than once, so they are counted by themselves
+            write_output(df, resources[target_id], name, extra)
+            written[f"{target_id}/{name}"] = {"rows": df.count()}
+            continue
         counted, observation = observed(df, f"{target_id}/{name}")
-        write_output(counted, resources[target_id], name, extras[target_id, name])
+        write_output(counted, resources[target_id], name, extra)
         written[f"{target_id}/{name}"] = observation.get
     return written
 
@@ -354,15 +360,16 @@ def start_task(
         for doc_set, names in parse_document_sets(source["document_set"]).items():
             for alias in names:
                 stream = stream_reader(resource, extra.get("changes", doc_set), extra)
+                checkpoint = f"{folder}/checkpoint/{alias}"
                 on_batch = _batch_writer(
-                    resource, source, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder,
+                    resource, source, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder, checkpoint,
                     bool((spec.get("setup") or {}).get("error_record")),
                 )
-                running[alias] = runner.start(stream, on_batch, f"{folder}/checkpoint/{alias}", once, interval)
+                running[alias] = runner.start(stream, on_batch, checkpoint, once, interval)
     return running
 
 
-def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder, record_refused):
+def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder, checkpoint, record_refused):
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         # read once: good and unreadable rows are written by different jobs
         batch = batch.persist()
@@ -372,12 +379,16 @@ def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resour
         if target is not None:
             place, name, extra = resources[target[0]["resource_id"]], target[1], target[0].get("extra") or {}
             keyed = keyed_target(batch.sparkSession, place, name, extra, good) if extra.get("keyed") else None
-            if keyed is not None and keyed.contains(batch_id):
+            stream = runner.stream_id(batch.sparkSession, checkpoint)
+            if keyed is not None and keyed.contains(batch_id, stream):
                 batch.unpersist()
                 return
-            write_output(good, place, name, extra, batch_id)
+            if keyed is not None:
+                keyed.append_batch(good, batch_id, stream)
+            else:
+                write_output(good, place, name, extra)
             if record_refused:
-                letters.append(_refused(good, place, extra, keyed, alias, batch_id))
+                letters.append(_refused(good, place, extra, keyed, alias, batch_id, stream))
         found = _all_letters(letters)
         if found is not None:
             found.write.mode("overwrite").parquet(f"{folder}/errors/alias={alias}/batch_id={batch_id}")
@@ -389,10 +400,10 @@ def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resour
     return on_batch
 
 
-def _refused(good: DataFrame, place: dict, extra: dict, keyed: KeyedTarget | None, alias: str, batch_id: int) -> DataFrame | None:
+def _refused(good: DataFrame, place: dict, extra: dict, keyed: KeyedTarget | None, alias: str, batch_id: int, stream: str):
     """Dead letters of the rows the target does not take, None for targets that take everything."""
     if keyed is not None:
-        refused = keyed.refused(batch_id).withColumnRenamed("reason", "__why").withColumn(ALIAS, F.lit(alias))
+        refused = keyed.refused(batch_id, stream).withColumnRenamed("reason", "__why").withColumn(ALIAS, F.lit(alias))
         return dead_letters(refused, "delivery", F.col("__why"), "__why")
     if place["type"] in TEXT_TYPES or (place["type"] == "json" and "format" not in extra):
         return dead_letters(object_lines(good)[1], "delivery", "only inserts can be stored")

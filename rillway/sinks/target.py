@@ -1,10 +1,12 @@
 """A keyed target in files: a base of folded rows, and the change batches that came after it.
 
-    <path>/base/version=N     rows of every key seen so far, removed ones kept as markers
-    <path>/log/batch_id=N     changes of one batch, rewritten when the batch is repeated
-    <path>/commits            one small row per finished base: version, last batch it contains
+    <path>/base/version=N                    rows of every key seen so far, removed ones kept as markers
+    <path>/log/log_stream=S/log_batch=N      changes of one batch of a stream, rewritten when it is repeated
+    <path>/commits                           small rows per finished base: version, and the last batch of
+                                             each stream it contains
 
-A batch costs its own size to apply, a reader folds base and log, and compact() moves the log into
+A stream is named by the id in its checkpoint, so a stream begun anew does not take the batch numbers of
+the old one for its own. A batch costs its own size to apply, a reader folds base and log, and compact() moves the log into
 a new base. Nothing that is being read is overwritten, and a base counts only once its commit row
 exists, so a job that dies in between leaves the target as it was.
 """
@@ -31,16 +33,25 @@ class KeyedTarget:
 
     # ---- writing
 
-    def append_batch(self, changes: DataFrame, batch_id: int) -> None:
-        """Store the changes of one batch. A repeated batch replaces its earlier attempt."""
+    def append_batch(self, changes: DataFrame, batch_id: int, stream: str = "main") -> None:
+        """Store the changes of one batch of a stream. A repeated batch replaces its earlier attempt."""
         columns = [*self.keys, self.pos, self.op, *self.values, *([self.present] if self.present else [])]
         changes.select(*[quoted(c) for c in columns]).write.mode("overwrite").parquet(
-            f"{self.path}/log/batch_id={batch_id}"
+            f"{self.path}/log/log_stream={stream}/log_batch={batch_id}"
         )
 
+    def merge(self, changes: DataFrame) -> None:
+        """Apply the changes of a batch run straight to a new base, together with the log so far."""
+        last = self._last_batches()
+        base, log = self._parts(last)
+        columns = [*self.keys, self.pos, self.op, *self.values, *([self.present] if self.present else [])]
+        changes = changes.select(*[quoted(c) for c in columns])
+        log = changes if log is None else log.unionByName(changes, allowMissingColumns=True)
+        self._commit(self._fold(base, log, removed=True), last)
+
     def rebuild(self, rows: DataFrame) -> None:
         """Empty the target and load it again from a snapshot."""
-        last = self._last_batch()
+        last = self._last_batches()
         state = rows.select(*[quoted(c) for c in [*self.keys, *self.values]]).withColumns(
             {self.op: F.lit("snapshot"), self.pos: F.lit(-1).cast("bigint")}
         )
@@ -49,16 +60,16 @@ class KeyedTarget:
     def compact(self) -> None:
         """Fold the log into a new base. Removed keys stay as delete markers, so that a late repeat of an
         old change cannot bring them back."""
-        last = self._last_batch()
+        last = self._last_batches()
         base, log = self._parts(last)
         if log is not None:
             self._commit(self._fold(base, log, removed=True), last)
 
-    def _commit(self, state: DataFrame, last_batch: int) -> None:
-        version = self._commit_row()[0] + 1
+    def _commit(self, state: DataFrame, last: dict[str, int]) -> None:
+        version = self._committed()[0] + 1
         state.write.mode("overwrite").parquet(f"{self.path}/base/version={version}")
-        row = [(version, last_batch)]
-        self.spark.createDataFrame(row, "version bigint, last_batch bigint").coalesce(1).write.mode("append").parquet(
+        rows = [(version, stream, batch) for stream, batch in (last or {"main": -1}).items()]
+        self.spark.createDataFrame(rows, "version bigint, stream string, last_batch bigint").coalesce(1).write.mode("append").parquet(
             f"{self.path}/commits"
         )
 
@@ -69,17 +80,19 @@ class KeyedTarget:
         base, log = self._parts(None)
         return None if base is None and log is None else self._fold(base, log, removed=False)
 
-    def contains(self, batch_id: int) -> bool:
+    def contains(self, batch_id: int, stream: str = "main") -> bool:
         """Whether the batch has been folded into the base, so that it was applied to the end before."""
-        return batch_id <= self._commit_row()[1]
+        return batch_id <= self._committed()[1].get(stream, -1)
 
-    def refused(self, batch_id: int) -> DataFrame:
+    def refused(self, batch_id: int, stream: str = "main") -> DataFrame:
         """Changes of a stored batch the target cannot apply, with a reason: inserts of an existing row
         (table), updates of a missing one (index). They are judged against the batches before it, as
         long as it is not folded. Repeats of applied changes are not refused."""
-        changes = self._read("log").filter(F.col("batch_id") == batch_id).drop("batch_id")
+        same = (F.col("log_stream") == stream) & (F.col("log_batch") == batch_id)
+        changes = self._read("log").filter(same).drop("log_stream", "log_batch")
+        earlier = {**self._last_batches(), stream: batch_id - 1}
         touched = changes.select(*[quoted(k) for k in self.keys]).distinct()
-        base, log = (None if df is None else df.join(touched, self.keys, "left_semi") for df in self._parts(batch_id - 1))
+        base, log = (None if df is None else df.join(touched, self.keys, "left_semi") for df in self._parts(earlier))
         judged = changes
         if base is not None or log is not None:
             state = self._fold(base, log, removed=True)
@@ -111,31 +124,39 @@ class KeyedTarget:
         kept = kept.select(*[quoted(c) for c in columns])
         return kept if touched is None else touched.select(*[quoted(c) for c in columns]).unionByName(kept)
 
-    def _parts(self, up_to: int | None) -> tuple[DataFrame | None, DataFrame | None]:
-        """The current base, and the log batches it does not contain."""
-        version, folded = self._commit_row()
+    def _parts(self, up_to: dict[str, int] | None) -> tuple[DataFrame | None, DataFrame | None]:
+        """The current base, and the log batches it does not contain, up to a batch of each stream."""
+        version, folded = self._committed()
         base = self.spark.read.parquet(f"{self.path}/base/version={version}") if version else None
         log = self._read("log")
         if log is not None:
-            log = log.filter(F.col("batch_id") > folded)
-            log = log if up_to is None else log.filter(F.col("batch_id") <= up_to)
-            log = log.drop("batch_id")
+            wanted = F.lit(True)
+            for stream, batch in folded.items():
+                wanted = wanted & ((F.col("log_stream") != stream) | (F.col("log_batch") > batch))
+            if up_to is not None:
+                within = F.lit(False)
+                for stream, batch in up_to.items():
+                    within = within | ((F.col("log_stream") == stream) & (F.col("log_batch") <= batch))
+                wanted = wanted & within
+            log = log.filter(wanted).drop("log_stream", "log_batch")
         return base, log
 
-    def _commit_row(self) -> tuple[int, int]:
+    def _committed(self) -> tuple[int, dict[str, int]]:
+        """Version of the current base, and the last batch of each stream in it."""
         commits = self._read("commits")
         if commits is None:
-            return 0, -1
-        row = commits.agg(F.max(F.struct("version", "last_batch")).alias("c")).first()
-        return row.c.version, row.c.last_batch
+            return 0, {}
+        version = commits.agg(F.max("version")).first()[0]
+        return version, {r.stream: r.last_batch for r in commits.filter(F.col("version") == version).collect()}
 
-    def _last_batch(self) -> int:
+    def _last_batches(self) -> dict[str, int]:
+        """The last batch of each stream, in the base or in the log."""
+        last = dict(self._committed()[1])
         log = self._read("log")
-        folded = self._commit_row()[1]
-        if log is None:
-            return folded
-        found = log.select("batch_id").agg(F.max("batch_id")).first()[0]
-        return folded if found is None else max(folded, int(found))
+        if log is not None:
+            for r in log.groupBy("log_stream").agg(F.max("log_batch").alias("b")).collect():
+                last[r.log_stream] = max(int(r.b), last.get(r.log_stream, -1))
+        return last
 
     def _read(self, part: str) -> DataFrame | None:
         try:

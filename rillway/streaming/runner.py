@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,11 @@ def start(
     return writer.start()
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark keeps in the checkpoint: the same after a restart, another one for a new checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def state(query: StreamingQuery) -> str:
     """run, stop (ended by an error) or done."""
     if query.isActive:
@@ -79,7 +85,7 @@ def start_apply(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        target.append_batch(steps(batch) if steps else batch, batch_id)
+        target.append_batch(steps(batch) if steps else batch, batch_id, stream_id(batch.sparkSession, checkpoint))
         if compact_every and batch_id % compact_every == compact_every - 1:
             target.compact()
 

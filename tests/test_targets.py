@@ -68,6 +68,36 @@ def test_refused_changes_of_each_batch(spark, tmp_path, kind):
     assert got == expected and target.contains(1) and not target.contains(2)
 
 
+def test_a_stream_begun_anew_is_not_taken_for_the_old_one(spark, tmp_path):
+    target = KeyedTarget(spark, str(tmp_path / "out"), ["k"], ["a", "b"], "index")
+    go = lambda n: runner.start_apply(
+        runner.change_stream(spark, str(tmp_path / f"in{n}"), SCHEMA), target, str(tmp_path / f"check{n}"), once=True, compact_every=1
+    ).awaitTermination()
+    target.merge(spark.createDataFrame([(1, 1, "insert", 1, "x", None), (2, 1, "insert", 1, "y", None)], SCHEMA))
+    for n, row in enumerate([(1, 5, "insert", 5, "z", None), (3, 6, "insert", 6, "w", None)]):
+        write_files(spark, [row], str(tmp_path / f"in{n}"), 1)
+        go(n)
+    assert state_of(target.read()) == {1: (5, "z"), 2: (1, "y"), 3: (6, "w")}
+    target.merge(spark.createDataFrame([(2, 9, "delete", None, None, None)], SCHEMA))
+    assert state_of(target.read()) == {1: (5, "z"), 3: (6, "w")}
+
+
+def test_keyed_task_can_run_again(spark, tmp_path):
+    s = {
+        "resource": [{"id": "in", "type": "parquet", "path": str(tmp_path / "in")}, {"id": "out", "type": "parquet", "path": str(tmp_path / "out")}],
+        "source": [{"resource_id": "in", "sync_mode": "stream", "document_set": "log", "extra": {"pk": "k"}}],
+        "target": [{"resource_id": "out", "document_set": {"log": "state"}, "extra": {"keyed": "table", "key": "k"}}],
+    }
+    rows = sorted(random_log(4, keys=8, changes=12), key=lambda r: r[1])
+    df = spark.createDataFrame(rows, SCHEMA).drop("present")
+    half = rows[len(rows) // 2][1]
+    for part in (f"pos <= {half}", f"pos > {half}"):
+        df.filter(part).write.mode("append").parquet(str(tmp_path / "in/log"))
+        assert write_task(build_task(spark, s), s)["out/state"]["rows"] > 0
+    target = KeyedTarget(spark, str(tmp_path / "out/state"), ["k"], ["a", "b"], "table", POS, OP)
+    assert state_of(target.read()) == replay(rows, False)[0]
+
+
 def test_unfinished_base_is_not_read(spark, tmp_path):
     target = KeyedTarget(spark, str(tmp_path / "t"), ["k"], ["a", "b"])
     rows = [(1, 1, "insert", 5, "x", None)]
@@ -95,7 +125,7 @@ def test_stream_equals_replay_in_any_order(spark, tmp_path):
     metrics = runner.progress_metrics(query)
     assert metrics["full_read_count"] == len(rows) and metrics["batches"] == 3 and runner.state(query) == "done"
     assert state_of(target.read()) == replay(rows, False)[0]
-    assert target._last_batch() == 2
+    assert list(target._last_batches().values()) == [2]
 
 
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
@@ -112,7 +142,7 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     go()
     go()
     assert state_of(target.read()) == replay(rows, True)[0]
-    assert target._last_batch() == 1
+    assert list(target._last_batches().values()) == [1]
 
 
 def test_lookup_is_read_per_batch(spark, tmp_path):
