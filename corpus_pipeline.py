@@ -1,4 +1,57 @@
-"""From raw documents to token ids: quality rules, exact and near copies, the mix, encoding."""
+"""From raw documents to token ids: quality rules, exact and near copies, the mix, encoding.
 
-STAGES = []
+Each stage gets (spark, docs, sf_dir) and returns a table, which is written and read again as the next one's docs. Rows may
+repeat, any value may be null, further columns are carried along. All but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillway.llm import exact, mixing, ngram_join, pieces, quality
+from rillway.llm.common import read_table, saved
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return quality.quality_filter(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id stays."""
+    return exact.exact_dedup(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shared 4-word shingles, the one with the smallest doc_id stays."""
+    return ngram_join.first_of_groups(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once, or twice."""
+    return mixing.mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each text are added; the text is what they decode to."""
+    return pieces.encode(docs, pieces.public_model())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("mixed_sources", mixed_sources),
+    ("token_ids", token_ids),
+]
+
+#: Shingle links over many rounds and token ids are not for SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

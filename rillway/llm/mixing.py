@@ -26,9 +26,9 @@ BUCKETS = 256
 CHUNK = 1 << 16
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """row, doc_id, source, size (words) of each document; a null text has none."""
-    return numbered(docs, "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+def sizes_of(docs: DataFrame, extra=()) -> DataFrame:
+    """row, doc_id, source, size (words) of each document, and the extra columns; a null text has no word."""
+    return numbered(docs, "doc_id", "source", *extra, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def ranked(df: DataFrame, order: str) -> DataFrame:
@@ -128,13 +128,18 @@ def pieces_of(sizes: DataFrame, targets: DataFrame, seed: int = 0, block_words:
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, total_percent: int = TOTAL_PERCENT, most_times: int = MOST_TIMES, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """row, doc_id, size, source_size, target, taken, copies for each document (doc_id, source, text).
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """mix_rows without further columns."""
+    return mix_rows(docs, (), **options)
+
+
+def mix_rows(docs: DataFrame, extra, weights=WEIGHTS, total_percent: int = TOTAL_PERCENT, most_times: int = MOST_TIMES, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """row, doc_id, size, source_size, target, taken, copies and the extra columns for each document (doc_id, source, text).
 
     copies: how often the mix takes the document's first word, for those who take documents whole. Null sources come
     last and are one source; documents without words are taken 0 times. Repeated rows count one by one.
     """
-    sizes = saved(sizes_of(docs), "mix-sizes")
+    sizes = saved(sizes_of(docs, extra), "mix-sizes")
     targets = targets_of(sizes, weights, total_percent, most_times)
     slots = schedule(targets, block_words).select("source_no", "block", "words")
     pieces = pieces_of(sizes, targets, seed, block_words)
@@ -145,5 +150,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_percent: int = TOTAL_PERCENT, mo
     )
     taken = got.groupBy("row").agg(F.sum("taken").alias("taken"), F.sum("first").alias("copies"))
     return with_targets(sizes, targets).join(taken, "row", "left").select(
-        "row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies")
+        "row", "doc_id", *extra, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies")
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes its first word; all columns are returned.
+
+    Rows are found again by id, source and text, of which repeated rows share the copies of all of them.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    source_key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    rows = docs.select("doc_id", "source", "text", id_key.alias("id_key"), source_key.alias("source_key"), text_hash.alias("text_hash"))
+    copies = mix_rows(rows, ["id_key", "source_key", "text_hash"], **options).groupBy("id_key", "source_key", "text_hash")
+    copies = copies.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), id_key.alias("id_key"), source_key.alias("source_key"), text_hash.alias("text_hash"))
+    found = keyed.join(copies, ["id_key", "source_key", "text_hash"])
+    nth = Window.partitionBy("id_key", "source_key", "text_hash").orderBy(F.lit(0))
+    each = F.floor(F.col("copies") / F.col("rows")) + (F.row_number().over(nth) <= F.col("copies") % F.col("rows")).cast("long")
+    return found.withColumn("each", each).where("each > 0").select("row", F.explode(F.sequence(F.lit(1), "each"))).select("row.*")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillway.llm import exact, mixing, quality
+from rillway.llm import exact, mixing, ngram_join, pieces, quality
 from rillway.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,43 @@ def op6_quality_rules(documents):
     return quality.judge(documents).drop("row", "id_key", "text_hash", "source")
 
 
+@query("documents")
+def op7_sentencepiece(documents):
+    return pieces.encode(documents, pieces.public_model()).select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", "round_trip")
+
+
+@query("documents", r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ),
+    s AS (
+        SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) AS s FROM w
+    ),
+    n AS (SELECT doc_id, len(s) AS n FROM s),
+    t AS (SELECT doc_id, unnest(s) AS t FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (
+        SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+    ),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS a, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a AND r.c < e.b)
+    SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.c AS component_id
+    FROM n JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) c ON c.a = n.doc_id
+""")
+def op8_ngram_join(documents):
+    return ngram_join.ngram_join(documents)
+
+
 @query("documents")
 def op10_mixing(documents):
     return mixing.mix(documents).drop("row", "copies")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
