@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway.llm.common import saved, spread_join
@@ -29,6 +29,7 @@ from rillway.llm.components import components
 CELL_BITS = 18
 BITMAP_WORDS = 16
 TILE = 256
+BROADCAST_IDS = 1_000_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -47,7 +48,7 @@ def shingle_set(text: str | None, width: int, known: WordHashes) -> np.ndarray:
     words = (text or "").encode().translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    hashed = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     mixed = np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):
@@ -68,32 +69,29 @@ def cell(hashes: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n and set_id (a 128-bit digest of the set) of each document."""
+    """Two kinds of rows from one pass over the texts.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(t, width, known) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, set_id string")
-
-
-def cell_counts(docs: DataFrame, width: int) -> DataFrame:
-    """cell, n: shingles in each hashed cell, over all documents; each task adds up its own before they are shuffled."""
+    doc_id, n, set_id (a 128-bit digest of the set) and bits of each document; and cell, k: the shingles a task has seen
+    in each hashed cell, added up over its documents.
+    """
+    schema = "doc_id long, n long, set_id string, bits array<long>, cell long, k long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts = WordHashes(), np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for part in np.array_split(batch["text"].to_numpy(), max(1, len(batch) // 256)):
-                cells = [cell(shingle_set(t, width, known)) for t in part]
-                if cells:
-                    counts += np.bincount(np.concatenate(cells), minlength=len(counts))
-        full = np.flatnonzero(counts)
-        for part in np.array_split(full, 8):
-            yield pd.DataFrame({"cell": part, "n": counts[part]})
+            for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 256)):
+                sets = [shingle_set(t, width, known) for t in batch["text"].iloc[part]]
+                if sets:
+                    counts += np.bincount(cell(np.concatenate(sets)), minlength=len(counts))
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].iloc[part].astype("Int64"), "n": [len(s) for s in sets],
+                    "set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "bits": [bitmap(s).view(np.int64) for s in sets],
+                    "cell": pd.NA, "k": pd.NA,
+                })
+        for full in np.array_split(np.flatnonzero(counts), 8):
+            yield pd.DataFrame({"doc_id": pd.NA, "n": pd.NA, "set_id": None, "bits": None, "cell": full, "k": counts[full]})
 
-    return docs.select("text").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
 def size_band(percent: int):
@@ -125,22 +123,25 @@ def prefixes(docs: DataFrame, width: int, percent: int, rarity) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, hashes and bits (bitmap words b0, b1, ...) of the documents in ids."""
+    """id, hashes of the documents in ids. Up to a stated number of ids is broadcast; beyond it both sides are shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
             for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 512)):
-                sets = [shingle_set(t, width, known) for t in batch["text"].iloc[part]]
-                bits = [bitmap(s).view(np.int64) for s in sets]
-                yield pd.DataFrame({"id": batch["id"].iloc[part].to_numpy(), "hashes": [s.view(np.int64) for s in sets], "bits": bits})
+                sets = [shingle_set(t, width, known).view(np.int64) for t in batch["text"].iloc[part]]
+                yield pd.DataFrame({"id": batch["id"].iloc[part].to_numpy(), "hashes": sets})
 
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    return rows.mapInPandas(run, "id long, hashes array<long>, bits array<long>").dropDuplicates(["id"])
+    ids = saved(ids.select("id").distinct(), "shingle-ids")
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    found = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    one = Window.partitionBy("id").orderBy("text")  # rows may repeat an id
+    found = found.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("id", "text")
+    return found.mapInPandas(run, "id long, hashes array<long>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: bit counts first, then the arrays' exact intersection."""
+def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by exact intersection of the sorted arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -150,13 +151,11 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch[keep]
 
-    short = sets.select("id", "bits", F.size("hashes").alias("n"))
-    a = short.select(F.col("id").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m"))
-    b = short.select(F.col("id").alias("b"), F.col("bits").alias("y"), "n")
-    near = pairs.join(a, "a").join(b, "b").where(within_reach("x", "m", "y", "n", percent)).select("a", "b")
-    whole = sets.select("id", "hashes")
-    full = near.join(whole.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    pairs = saved(pairs, "shingle-pairs")
+    sets = saved(sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width), "shingle-arrays")
+    x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
 def within_reach(x: str, m: str, y: str, n: str, percent: int):
@@ -196,13 +195,14 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = saved(described(docs, width), "shingle-sets")
+    first_pass = saved(described(docs, width), "shingle-sets")
+    rows = first_pass.where("set_id is not null").select("doc_id", "n", "set_id", "bits")
     classes = rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    of_doc = saved(spread_join(rows.where("n > 0"), classes, ["set_id"], F.col("doc_id")), "shingle-classes")
+    of_doc = saved(spread_join(rows.where("n > 0").drop("bits"), classes, ["set_id"], F.col("doc_id")), "shingle-classes")
 
     counts = np.zeros(1 << CELL_BITS, np.int64)
-    table = cell_counts(docs, width).toPandas()  # 2^CELL_BITS rows at most
-    counts[table["cell"].to_numpy()] = table["n"].to_numpy()
+    table = first_pass.where("cell is not null").groupBy("cell").agg(F.sum("k").alias("k")).toPandas()  # 2^CELL_BITS rows at most
+    counts[table["cell"].to_numpy()] = table["k"].to_numpy()
     rarity = spark.sparkContext.broadcast(counts)
     tokens = saved(prefixes(docs, width, percent, rarity), "shingle-prefixes")
 
@@ -211,19 +211,21 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     members = tokens.join(shared, "token", "left_semi").join(nodes, "id").select("token", F.col("rep").alias("id"), "n", size_band(percent).alias("band")).distinct()
     members = saved(members, "shingle-members")
 
+    signs = rows.where("n > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "bits")
     hubs = members.groupBy("token", "band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    stars = saved(members.join(hubs, ["token", "band"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "shingle-stars")
-    several = members.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    sets = saved(sets_of(docs, members.join(several, "token", "left_semi").select("id").distinct(), width), "shingle-arrays")
-    first = saved(linked(stars, sets, percent), "shingle-links")
+    stars = members.join(hubs, ["token", "band"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    a = signs.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
+    b = signs.select(F.col("id").alias("b"), "n", F.col("bits").alias("y"))
+    stars = saved(stars.join(a, "a").join(b, "b").where(within_reach("x", "m", "y", "n", percent)).select("a", "b"), "shingle-stars")
+    first = saved(linked(stars, docs, width, percent), "shingle-links")
 
     found = components(first)
     placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = saved(placed, "shingle-placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("token")
-    open_members = placed.join(mixed, "token", "left_semi").join(sets.select("id", "bits"), "id")
-    pairs = saved(across(open_members, percent).join(stars, ["a", "b"], "left_anti"), "shingle-pairs")
-    links = first.union(linked(pairs, sets, percent))
+    open_members = placed.join(mixed, "token", "left_semi").join(signs.select("id", "bits"), "id")
+    pairs = across(open_members, percent).join(stars, ["a", "b"], "left_anti")
+    links = first.union(linked(pairs, docs, width, percent))
 
     final = components(links).withColumnRenamed("id", "rep")
     named = of_doc.select("doc_id", "n", "rep").join(final, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

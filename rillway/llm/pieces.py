@@ -191,24 +191,24 @@ def encode(docs: DataFrame, model: PieceModel, most: int = LATTICE_UNITS) -> Dat
     table = encode_units(frequent_units(docs, most), model).toPandas()  # LATTICE_UNITS rows at most
     known = {u: np.asarray(t, np.int32).tobytes() for u, t in zip(table["unit"], table["tokens"])}
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((known, model))
+    shared = spark.sparkContext.broadcast((known, model.ids, model.ranks, model.first_byte, model.texts))  # plain values: no class to import
     rest = [c for c in docs.columns if c not in ("tokens", "round_trip", "text")]
 
     class Units(dict):
         """The lattice's units, and those met besides; emptied of these when there are too many."""
 
         def __missing__(self, unit):
-            base, m = shared.value
+            base, ids, ranks, first_byte, _ = shared.value
             value = base.get(unit)
             if value is None:
-                value = np.asarray(merged_ids(unit, m.ids, m.ranks, m.first_byte), np.int32).tobytes()
+                value = np.asarray(merged_ids(unit, ids, ranks, first_byte), np.int32).tobytes()
             if len(self) > KEEP_UNITS:
                 self.clear()
             self[unit] = value
             return value
 
     def run(batches):
-        units, texts = Units(), shared.value[1].texts
+        units, texts = Units(), shared.value[4]
         for batch in batches:
             for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 256)):
                 rows = batch.iloc[part]
