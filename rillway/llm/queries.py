@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm import exact, html_text, mixing, ngram_join, pieces, quality
+from rillway.llm import exact, html_text, mixing, ngram_join, pieces, pii, quality
 from rillway.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(table: str, sql: str | None = None):
     return register
 
 
+@query("documents")
+def op1_pii(documents):
+    return pii.span_digest(pii.personal_data(documents))
+
+
 @query("pages")
 def op2_html_text(pages):
     return html_text.extract_text(pages.select("page_id", "url", "html")).drop("html")
