@@ -4,7 +4,8 @@
 2. Two sets of the wanted similarity share one of the rarest few shingles of each (their prefixes), and their sizes lie in
    the same or in neighbouring bands. So (prefix shingle, band) are the keys of the tiles. Rarity is read from a table of
    shingle counts in 2^18 hashed cells, so a passage that many documents share comes last in every prefix.
-3. Stars: in each tile the members meet the tile's first member only. Their exact links give first components; large
+3. Stars: in each tile the members meet the tile's first member only (two that share a shingle with no third are one
+   pair). Their exact links give first components; large
    groups of near copies are one component from here on.
 4. Tiles that still hold several components are cut into blocks and compared block by block. Every member brings a bitmap
    of its shingles: from the bits that differ follows the most the two sets can share. Pairs within reach go on.
@@ -30,14 +31,15 @@ CELL_BITS = 18
 BITMAP_WORDS = 16
 TILE = 256
 BROADCAST_IDS = 1_000_000
+KNOWN_WORDS = 200_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 class WordHashes(dict):
-    """Hashes of the words seen; emptied when it has grown to a million."""
+    """Hashes of the words seen; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -111,7 +113,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, rarity) -> DataFrame:
                     hashes = shingle_set(text, width, known)
                     if not len(hashes) or (digest := xxhash.xxh3_128_digest(hashes.tobytes())) in seen:
                         continue
-                    seen = seen if len(seen) < 1_000_000 else set()
+                    seen = seen if len(seen) < KNOWN_WORDS else set()
                     seen.add(digest)
                     keep = len(hashes) - -(-percent * len(hashes) // 100) + 1
                     order = np.lexsort((hashes, counts[cell(hashes)]))[:keep]
@@ -141,21 +143,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by exact intersection of the sorted arrays."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.pop("x"), batch.pop("y")):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch[keep]
-
+    """The pairs (a, b) whose sets are similar enough, by exact intersection of the arrays."""
     pairs = saved(pairs, "shingle-pairs")
     sets = saved(sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width), "shingle-arrays")
     x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return both.where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
 def within_reach(x: str, m: str, y: str, n: str, percent: int):
@@ -212,8 +206,12 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     members = saved(members, "shingle-members")
 
     signs = rows.where("n > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "bits")
+    of_token = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where("k > 1")
+    couples = of_token.where("k = 2").select("a", "b")  # no more to compare there
+    members = members.join(of_token.where("k > 2").select("token"), "token", "left_semi")
     hubs = members.groupBy("token", "band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    stars = members.join(hubs, ["token", "band"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = members.join(hubs, ["token", "band"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    stars = stars.union(couples).distinct()
     a = signs.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
     b = signs.select(F.col("id").alias("b"), "n", F.col("bits").alias("y"))
     stars = saved(stars.join(a, "a").join(b, "b").where(within_reach("x", "m", "y", "n", percent)).select("a", "b"), "shingle-stars")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm import exact, html_text, mixing, ngram_join, pieces, pii, quality
+from rillway.llm import exact, html_text, langid, mixing, ngram_join, pieces, pii, quality
 from rillway.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ def op4_exact_dedup(documents):
     return exact.exact_groups(documents).drop("row")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "pages"), langid.train(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES["op5_language"] = op5_language
+
+
 @query("documents")
 def op6_quality_rules(documents):
     return quality.judge(documents).drop("row", "id_key", "text_hash", "source")
