@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm import exact, html_text, langid, mixing, ngram_join, pieces, pii, quality
+from rillway.llm import exact, html_text, langid, mixing, ngram_join, pieces, pii, quality, suffixes
 from rillway.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op2_html_text(pages):
     return html_text.extract_text(pages.select("page_id", "url", "html")).drop("html")
 
 
+@query("documents")
+def op3_suffix_dedup(documents):
+    return suffixes.repeat_digest(documents)
+
+
 @query("documents", r"""
     WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
     g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
