@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm import exact, html_text, langid, mixing, ngram_join, pieces, pii, quality, suffixes
+from rillway.llm import exact, html_text, langid, mixing, ngram_join, pieces, pii, quality, suffixes, windows
 from rillway.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,11 @@ def op8_ngram_join(documents):
     return ngram_join.ngram_join(documents)
 
 
+@query("documents")
+def op9_passages(documents):
+    return windows.passage_table(documents)
+
+
 @query("documents")
 def op10_mixing(documents):
     return mixing.mix(documents).drop("row", "copies")
