@@ -160,22 +160,27 @@ def within_reach(x: str, m: str, y: str, n: str, percent: int):
     return sizes & (100 * most >= percent * (F.col(m) + F.col(n) - most))
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of one token's members (token, id, band, n, bits, component) from different components, within reach.
+def across(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of one token's members (token, id, band, n, component) from different components, within reach.
 
     Each (token, band) is cut into blocks of about TILE members. A member visits the later blocks of its own band and all
-    blocks of the next; it is compared there inside the join, which returns the pairs within reach only.
+    blocks of the next; it is compared there inside the join, which returns the pairs within reach only. The bitmaps
+    join last, so they are moved once for each side.
     """
     blocks = members.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     above = blocks.select("token", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     dealt = members.join(blocks.join(above, ["token", "band"], "left"), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = saved(dealt, "shingle-dealt")
     own = F.transform(F.sequence("block", F.col("blocks") - 1), lambda k: F.struct(F.col("band").alias("band"), k.alias("block")))
     upper = F.when(F.col("above").isNull(), F.array().cast("array<struct<band:bigint,block:int>>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda k: F.struct((F.col("band") + 1).alias("band"), k.alias("block")))
     )
     visits = dealt.withColumn("to", F.explode(F.concat(own, upper)))
-    a = visits.select("token", F.col("to.band").alias("band"), F.col("to.block").alias("block"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"), F.col("component").alias("ca"), ((F.col("to.band") == F.col("band")) & (F.col("to.block") == F.col("block"))).alias("home"))
-    b = dealt.select("token", "band", "block", F.col("id").alias("b"), "n", F.col("bits").alias("y"), F.col("component").alias("cb"))
+    home = (F.col("to.band") == F.col("band")) & (F.col("to.block") == F.col("block"))
+    a = visits.select("token", F.col("to.band").alias("band"), F.col("to.block").alias("block"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"), home.alias("home"))
+    b = dealt.select("token", "band", "block", F.col("id").alias("b"), "n", F.col("component").alias("cb"))
+    a = a.join(signs.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a")
+    b = b.join(signs.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
     met = a.join(b, ["token", "band", "block"]).where("ca <> cb and (not home or a < b)").where(within_reach("x", "m", "y", "n", percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -221,8 +226,8 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = saved(placed, "shingle-placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("token")
-    open_members = placed.join(mixed, "token", "left_semi").join(signs.select("id", "bits"), "id")
-    pairs = across(open_members, percent).join(stars, ["a", "b"], "left_anti")
+    open_members = placed.join(mixed, "token", "left_semi")
+    pairs = across(open_members, signs, percent).join(stars, ["a", "b"], "left_anti")
     links = first.union(linked(pairs, docs, width, percent))
 
     final = components(links).withColumnRenamed("id", "rep")
