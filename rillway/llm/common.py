@@ -42,6 +42,14 @@ def numbered(df: DataFrame, *columns: str | Column) -> DataFrame:
     return df.select(*columns, F.monotonically_increasing_id().alias("row"))
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table of a few numbers a row, for broadcast if it has `most` rows or fewer, else for a shuffled join."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column, salts: int = 16, how: str = "inner"):
     """Join a side with hot keys to one with unique keys: rows of the left are dealt over `salts` parts of their key,
     rows of the right are repeated once per part. Keys match null with null only where the caller has replaced nulls."""

@@ -24,13 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.llm.common import saved, spread_join
+from rillway.llm.common import checked_broadcast, saved, spread_join
 from rillway.llm.components import components
 
 CELL_BITS = 18
 BITMAP_WORDS = 16
 TILE = 256
-BROADCAST_IDS = 1_000_000
 KNOWN_WORDS = 200_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -135,8 +134,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pd.DataFrame({"id": batch["id"].iloc[part].to_numpy(), "hashes": sets})
 
     ids = saved(ids.select("id").distinct(), "shingle-ids")
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    found = docs.select(F.col("doc_id").alias("id"), "text").join(checked_broadcast(ids), "id", "left_semi")
     one = Window.partitionBy("id").orderBy("text")  # rows may repeat an id
     found = found.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("id", "text")
     return found.mapInPandas(run, "id long, hashes array<long>")
