@@ -119,7 +119,8 @@ def unit_counts(docs: DataFrame) -> DataFrame:
                 if len(counts) > KEEP_UNITS:
                     yield pd.DataFrame({"unit": list(counts), "n": list(counts.values())})
                     counts.clear()
-        yield pd.DataFrame({"unit": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"unit": list(counts), "n": list(counts.values())})
 
     return docs.select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
