@@ -21,7 +21,6 @@ from rillway.operators.skew import (
 from rillway.operators.steps import SpecError, merge_columns
 
 HIT = "__hit"
-ARRAY_ROWS = 200_000       # longest nested array; larger groups come out in several rows
 
 
 # ---- conditions ----------------------------------------------------------------------------
@@ -72,6 +71,15 @@ def resolve_conditions(wheres: list[dict], columns: list[str], on_missing: str =
     return Conditions(pairs, constants, not pairs and not constants)
 
 
+def _wide_type(*types: T.DataType) -> str:
+    """A type that holds all values of number types exactly; only binary fractions compare as doubles."""
+    if all(is_integral(t) for t in types):
+        return "bigint"
+    if all(is_integral(t) or isinstance(t, T.DecimalType) for t in types):
+        return f"decimal(38,{max(t.scale for t in types if isinstance(t, T.DecimalType))})"
+    return "double"
+
+
 def _common_keys(a: Column, ta: T.DataType, b: Column, tb: T.DataType, ignore_case: bool) -> tuple[Column, Column]:
     """Both sides in one type. Text against a number compares as that number; text that is none never matches."""
     if isinstance(ta, T.StringType) and isinstance(tb, T.StringType):
@@ -80,13 +88,13 @@ def _common_keys(a: Column, ta: T.DataType, b: Column, tb: T.DataType, ignore_ca
         return a, b
     numeric_a, numeric_b = (is_integral(t) or is_fractional(t) for t in (ta, tb))
     if numeric_a and numeric_b:
-        wide = "bigint" if is_integral(ta) and is_integral(tb) else "double"
+        wide = _wide_type(ta, tb)
         return a.cast(wide), b.cast(wide)
     if numeric_a and isinstance(tb, T.StringType):
-        wide = "bigint" if is_integral(ta) else "double"
+        wide = _wide_type(ta)
         return a.cast(wide), b.try_cast(wide)
     if numeric_b and isinstance(ta, T.StringType):
-        wide = "bigint" if is_integral(tb) else "double"
+        wide = _wide_type(tb)
         return a.try_cast(wide), b.cast(wide)
     return plain_text(a, ta), plain_text(b, tb)
 
@@ -199,7 +207,7 @@ def relate(
     on_missing: str = "error",
     keys_ci: bool = False,
     split_hot: bool = False,
-    array_rows: int | None = ARRAY_ROWS,
+    array_rows: int | None = None,
 ) -> DataFrame:
     """Join each main row with its first ("11") or all ("1n") matching lookup rows.
 

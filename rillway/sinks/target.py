@@ -31,6 +31,13 @@ class KeyedTarget:
         self.spark, self.path, self.keys, self.values = spark, path.rstrip("/"), keys, values
         self.kind, self.pos, self.op, self.present = kind, pos, op, present
 
+    def _has_key(self):
+        """A row without a value in one of its keys has no place in a target; refused() returns such changes."""
+        whole = F.lit(True)
+        for k in self.keys:
+            whole = whole & quoted(k).isNotNull()
+        return whole
+
     # ---- writing
 
     def append_batch(self, changes: DataFrame, batch_id: int, stream: str = "main") -> None:
@@ -45,14 +52,14 @@ class KeyedTarget:
         last = self._last_batches()
         base, log = self._parts(last)
         columns = [*self.keys, self.pos, self.op, *self.values, *([self.present] if self.present else [])]
-        changes = changes.select(*[quoted(c) for c in columns])
+        changes = changes.select(*[quoted(c) for c in columns]).filter(self._has_key())
         log = changes if log is None else log.unionByName(changes, allowMissingColumns=True)
         self._commit(self._fold(base, log, removed=True), last)
 
     def rebuild(self, rows: DataFrame) -> None:
         """Empty the target and load it again from a snapshot."""
         last = self._last_batches()
-        state = rows.select(*[quoted(c) for c in [*self.keys, *self.values]]).withColumns(
+        state = rows.filter(self._has_key()).select(*[quoted(c) for c in [*self.keys, *self.values]]).withColumns(
             {self.op: F.lit("snapshot"), self.pos: F.lit(-1).cast("bigint")}
         )
         self._commit(state, last)
@@ -86,10 +93,12 @@ class KeyedTarget:
 
     def refused(self, batch_id: int, stream: str = "main") -> DataFrame:
         """Changes of a stored batch the target cannot apply, with a reason: inserts of an existing row
-        (table), updates of a missing one (index). They are judged against the batches before it, as
+        (table), updates of a missing one (index), changes without a key. They are judged against the batches before it, as
         long as it is not folded. Repeats of applied changes are not refused."""
         same = (F.col("log_stream") == stream) & (F.col("log_batch") == batch_id)
         changes = self._read("log").filter(same).drop("log_stream", "log_batch")
+        keyless = changes.filter(~self._has_key()).withColumn("reason", F.lit("null key"))
+        changes = changes.filter(self._has_key())
         earlier = {**self._last_batches(), stream: batch_id - 1}
         touched = changes.select(*[quoted(k) for k in self.keys]).distinct()
         base, log = (None if df is None else df.join(touched, self.keys, "left_semi") for df in self._parts(earlier))
@@ -105,7 +114,8 @@ class KeyedTarget:
             failed = F.when(F.col("outcome") == "duplicate", F.lit("duplicate key"))
         else:
             failed = F.when((F.col("outcome") == "no_row") & (quoted(self.op) == "update"), F.lit("document missing"))
-        return judged.withColumn("reason", failed).filter(F.col("reason").isNotNull()).drop("outcome")
+        judged = judged.withColumn("reason", failed).filter(F.col("reason").isNotNull()).drop("outcome")
+        return judged.unionByName(keyless, allowMissingColumns=True)
 
     def _fold(self, base: DataFrame | None, log: DataFrame | None, removed: bool) -> DataFrame:
         """Base and log folded. Keys the log does not mention pass by without a shuffle of the base,
@@ -138,7 +148,7 @@ class KeyedTarget:
                 for stream, batch in up_to.items():
                     within = within | ((F.col("log_stream") == stream) & (F.col("log_batch") <= batch))
                 wanted = wanted & within
-            log = log.filter(wanted).drop("log_stream", "log_batch")
+            log = log.filter(wanted & self._has_key()).drop("log_stream", "log_batch")
         return base, log
 
     def _committed(self) -> tuple[int, dict[str, int]]:

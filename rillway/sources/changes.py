@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway.columns import ALIAS, DOC_SET, ID_FIELD, ID_VALUE, OP, POS, SOURCE_FMT, quoted
@@ -33,15 +33,18 @@ def change_ops(
 def pair_updates(rows: DataFrame, event: str, seq: str, values: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of update events, which alternate old and new image, as (event, pair, old_doc, doc).
 
-    An event with an odd number of rows is dropped whole; the second frame lists those events.
+    An event of which an image is missing or there twice is dropped whole; the second frame lists those events. Rows are
+    dealt by event once, which serves the pairs and the events.
     """
     image = F.struct(*[quoted(v) for v in values])
     is_old = quoted(seq) % 2 == 0
-    pairs = rows.groupBy(quoted(event), F.floor(quoted(seq) / 2).alias("pair")).agg(
-        F.max(F.when(is_old, image)).alias("old_doc"), F.max(F.when(~is_old, image)).alias("doc")
+    pairs = rows.repartition(quoted(event)).groupBy(quoted(event), F.floor(quoted(seq) / 2).alias("pair")).agg(
+        F.max(F.when(is_old, image)).alias("old_doc"), F.max(F.when(~is_old, image)).alias("doc"),
+        ((F.count(F.when(is_old, 1)) != 1) | (F.count(F.when(~is_old, 1)) != 1)).alias("__half"),
     )
-    broken = pairs.filter(F.col("doc").isNull()).select(quoted(event)).distinct()
-    return pairs.join(broken, event, "left_anti"), broken
+    judged = pairs.withColumn("__half", F.max("__half").over(Window.partitionBy(quoted(event))))
+    broken = judged.filter("__half").select(quoted(event)).distinct()
+    return judged.filter("not __half").drop("__half"), broken
 
 
 def delete_images(df: DataFrame, doc: str = "doc", old_doc: str = "old_doc", op: str = OP) -> DataFrame:

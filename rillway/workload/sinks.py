@@ -71,9 +71,9 @@ def sink_insert_refused(t: Tables):
 @query("sink_update", """
 SELECT c_custkey, coalesce(p, c_name) AS c_name, c_nationkey, coalesce(b, c_acctbal) AS c_acctbal, c_mktsegment FROM customer LEFT JOIN (
   SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS p, arg_max(o_totalprice, o_orderkey) AS b
-  FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) o ON o_custkey = c_custkey""")
+  FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey""")
 def sink_update(t: Tables):
-    return update_rows(t.customer, order_rows(t).filter("status = 'P'").drop("status"), ["c_custkey"], "pos")
+    return update_rows(t.customer, order_rows(t).drop("status"), ["c_custkey"], "pos")
 
 
 @query("sink_delete", """

@@ -211,15 +211,6 @@ def jsonl_scan_errors(t: Tables):
     return messages.parse_json_lines(lines, "k bigint").errors
 
 
-@query("generate", """
-SELECT i AS field0, i AS field1, i AS field2, i AS field3, i AS field4, i AS field5, i AS field6, i AS field7,
-       i AS field8, i AS field9, CAST(i AS VARCHAR) AS id
-FROM range(1, (SELECT count(*) FROM orders) + 1) r(i)""")
-def generate(t: Tables):
-    # as many rows as there are orders
-    return tables.generate(t.spark, t.orders.count())
-
-
 @query("schema_evolve", """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice AS total, CAST(NULL AS VARCHAR) AS channel FROM orders WHERE o_orderstatus <> 'F'
 UNION ALL

@@ -19,8 +19,10 @@ from rillway.workload.sources import event_op, queue_messages
 
 
 def scratch(t: Tables) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a local one only where none is set."""
+    """A new folder in the shared checkpoint folder. Where none is set, a local master gets a temporary one."""
     shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared or tempfile.mkdtemp(prefix='rillway-')}/{uuid.uuid4().hex}"
 
 

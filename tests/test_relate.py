@@ -194,3 +194,16 @@ def test_a_small_lookup_is_broadcast_and_pruned(spark, tmp_path):
     out = relate(main, lookup, [on("k", "k"), on("none", "b", 3)], "11", "sib", field_map={"s.m": "m", "r.a": "a"}, unique=True)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "unused" not in plan and "EqualTo(b,3)" in plan
+
+
+def test_long_arrays_stay_whole(spark):
+    lookup = spark.range(250_000).selectExpr("cast(0 as bigint) as k", "id")
+    out = relate(spark.createDataFrame([(0,)], "k bigint"), lookup, [on("k", "k")], "1n", "sub", "l").collect()
+    assert [len(r.l) for r in out] == [250_000]
+
+
+def test_wide_keys_match_exactly(spark):
+    main = spark.createDataFrame([(9007199254740993,)], "k bigint")
+    lookup = spark.sql("SELECT cast(9007199254740992 + i AS decimal(20,0)) AS k, i AS v FROM (SELECT explode(array(0, 1)) AS i)")
+    out = relate(main, lookup, [on("k", "k")], "1n", "sib", field_map={"s.k": "k", "r.v": "v"}).collect()
+    assert [r.v for r in out] == [1]

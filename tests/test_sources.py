@@ -111,3 +111,10 @@ def test_aliases_get_their_own_copies(spark):
 def test_header_needs_every_field(spark):
     with pytest.raises(ValueError):
         changes.with_header(spark.range(1), {"LogPos": F.lit(1)})
+
+
+def test_update_pairs_drop_events_with_a_gap(spark):
+    df = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 3, "c"), (2, 0, "d"), (2, 1, "e")], "e int, s int, v string")
+    pairs, broken = changes.pair_updates(df, "e", "s", ["v"])
+    assert [(r.e, r.old_doc.v, r.doc.v) for r in pairs.collect()] == [(2, "d", "e")]
+    assert [r.e for r in broken.collect()] == [1]

@@ -379,3 +379,13 @@ def test_replica_skips_its_snapshot_when_it_resumes(spark, tmp_path):
 def test_bad_stream_specs_are_refused(tmp_path, change):
     with pytest.raises(SpecError):
         check_task({**queue_spec(tmp_path), **change})
+
+
+def test_changes_without_a_key_are_refused(spark, tmp_path):
+    target = KeyedTarget(spark, str(tmp_path / "t"), ["k"], ["v"])
+    for batch in range(3):
+        rows = spark.createDataFrame([(None, batch, "insert", "x"), (batch, batch, "insert", "y")], "k int, pos bigint, op string, v string")
+        target.append_batch(rows.withColumnsRenamed({"op": target.op, "pos": target.pos}), batch)
+        assert [(r.k, r.reason) for r in target.refused(batch).collect()] == [(None, "null key")]
+        target.compact()
+    assert sorted(r.k for r in target.read().collect()) == [0, 1, 2]
