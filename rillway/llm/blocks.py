@@ -68,11 +68,11 @@ def bucket_bits(names: int) -> int:
     return max(0, math.ceil(math.log2(max(1, names) / BUCKET_NAMES)))
 
 
-def questions(block: int, names: np.ndarray, bits: int) -> pd.DataFrame:
-    """bucket, block, names: the sorted distinct names of a block by bucket."""
+def questions(block: int, names: np.ndarray, bits: int, *more: np.ndarray) -> pd.DataFrame:
+    """bucket, block, names: the sorted distinct names of a block by bucket, each bucket's values of `more` behind its names."""
     edges = np.searchsorted(names >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(names)])
     full = np.flatnonzero(np.diff(edges))
-    return pd.DataFrame({"bucket": full, "block": block, "names": [names[edges[k] : edges[k + 1]].tobytes() for k in full]})
+    return pd.DataFrame({"bucket": full, "block": block, "names": [b"".join(x[edges[k] : edges[k + 1]].tobytes() for x in (names, *more)) for k in full]})
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -113,5 +113,15 @@ def with_replies(blocks: DataFrame, replies: DataFrame, fn: Callable[[int, bytes
     return blocks.select("block", "payload").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
 
 
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours: running minima of pieces of that size, forwards and backwards, meet in two halves."""
+    count = max(0, len(values) - width + 1)
+    pieces = np.full((-(-len(values) // width), width), np.iinfo(np.uint64).max, np.uint64)
+    pieces.ravel()[: len(values)] = values
+    ahead = np.minimum.accumulate(pieces, axis=1).ravel()
+    behind = np.minimum.accumulate(pieces[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
+
+
 def total_bytes(blocks: DataFrame) -> int:
     return blocks.agg(F.sum("n_bytes").alias("n")).first().n or 0

@@ -7,7 +7,11 @@ at i and j agree for `length` bytes, the cover samples at i + d and j + d agree
 1. Cover samples, about 6.5 % of the positions, are named by the hash of that many bytes and sorted, one bucket at a time.
 2. A suffix can only be repeated if a cover sample among its first v bytes is; the others, nearly all, drop out here. This
    takes the place of comparing long ties by the samples' ranks: equal names are all that removal needs, not the order.
-3. The suffixes left are named by the hash of all their `length` bytes and sorted bucket by bucket; equal neighbours are repeats.
+3. The suffixes left fall into segments, runs of neighbours that have the same smallest sample name among their bytes. Equal
+   suffixes have equal smallest names. A segment is named by the hash of all bytes its strings cover: if another block holds
+   the same bytes, all its suffixes are repeated, and one block speaks for them from here on.
+4. Where a smallest name has several different segments, their suffixes (one block's for each) are named by the hash of all
+   their `length` bytes and sorted bucket by bucket; equal neighbours are repeats. These are the ends of repeated passages.
 Bytes that a repeated string covers are removed. Memory is bounded by a bucket, a block of documents, or one long document.
 """
 
@@ -15,10 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillway.llm.blocks import Block, answered, answers, bucket_bits, packed, questions, total_bytes, unpacked, with_replies
+from rillway.llm.blocks import Block, answered, answers, bucket_bits, least_of, packed, questions, total_bytes, unpacked, with_replies
 from rillway.llm.common import saved
 
 LENGTH = 400
@@ -80,6 +85,44 @@ def named(block: Block, chosen: np.ndarray, length: int) -> tuple[np.ndarray, np
     return names, index, counts > 1
 
 
+def expanded(lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """All numbers from each low to its high."""
+    sizes = highs - lows + 1
+    return np.arange(sizes.sum()) + np.repeat(lows - np.cumsum(sizes) + sizes, sizes)
+
+
+def segments(block: Block, start: np.ndarray, short: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start, smallest sample name and the name of all covered bytes of each segment of the starts."""
+    least = least_of(window_names(block.data, short), length - short + 1)[start]
+    cuts = np.flatnonzero((np.diff(start, prepend=-2) > 1) | (least != np.roll(least, 1)))
+    lows, highs = start[cuts], start[np.append(cuts, len(start))[1:] - 1]
+    data = memoryview(block.data)
+    covered = (xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(lows.tolist(), highs.tolist()))
+    return lows, highs, least[cuts], np.fromiter(covered, np.uint64, len(lows))
+
+
+def segment_answers(asked: DataFrame, bits: int) -> DataFrame:
+    """block, bucket, mask. For names of segments, two bits: another block holds it, and this block is the first that does.
+    For smallest names (buckets from 2^bits on), one bit: there are different segments under it."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        covered = int(group["bucket"].iloc[0]) < 1 << bits
+        parts = [np.frombuffer(x, np.uint64).reshape(1 if covered else 3, -1) for x in group["names"]]
+        names = np.concatenate(parts, axis=1)
+        distinct, first, index, counts = np.unique(names[0], return_index=True, return_inverse=True, return_counts=True)
+        if covered:
+            bit = np.stack([counts[index] > 1, first[index] == np.arange(len(index))])
+        else:
+            low, high = np.full(len(distinct), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(distinct), np.uint64)
+            np.minimum.at(low, index, names[1]), np.maximum.at(high, index, names[2])
+            bit = (low != high)[index][None]
+        split = np.split(bit, np.cumsum([p.shape[1] for p in parts])[:-1], axis=1)
+        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "mask": [np.packbits(x, axis=1).tobytes() for x in split]})
+
+    return asked.groupBy("bucket").applyInPandas(run, "block long, bucket long, mask binary")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) for each row of docs (doc_id, text).
 
@@ -106,7 +149,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     asked = blocks.select("block", "payload").mapInPandas(ask_samples, "bucket long, block long, names binary")
     first = saved(answers(asked), "suffix-samples")
-    def ask_suffixes(key: int, payload: bytes, told: pd.DataFrame) -> pd.DataFrame:
+    schema = "bucket long, block long, names binary"
+
+    def note(key: int, *values: np.ndarray) -> pd.DataFrame:
+        """A block's note to its next step."""
+        return pd.DataFrame({"bucket": [-1], "block": [key], "names": [np.concatenate(values).astype(np.int64).tobytes()]})
+
+    def noted(told: pd.DataFrame, rows: int) -> np.ndarray:
+        notes = [np.frombuffer(x, np.int64).reshape(rows, -1) for x in told["mask"][told["bucket"] == -1]]
+        return notes[0] if notes else np.zeros((rows, 0), np.int64)
+
+    def with_notes(replies: DataFrame, sent: DataFrame) -> DataFrame:
+        return replies.union(sent.where("bucket < 0").select("block", "bucket", F.col("names").alias("mask")))
+
+    def ask_segments(key: int, payload: bytes, told: pd.DataFrame) -> pd.DataFrame:
         block = unpacked(payload)
         at = samples(block)
         names, index, twice = named(block, at, short)
@@ -117,25 +173,52 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         _, room = places(block)
         start = np.flatnonzero(room >= length)
         start = start[alike[start + v] > alike[start]]
+        if not len(start):
+            return note(key, start)
+        _, _, least, covered = segments(block, start, short, length)
+        keys, index = np.unique(least, return_inverse=True)
+        low, high = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(keys), np.uint64)
+        np.minimum.at(low, index, covered), np.maximum.at(high, index, covered)
+        ties = questions(key, keys, bits, low, high)
+        ties["bucket"] += 1 << bits
         runs = np.flatnonzero(np.diff(start, prepend=-2) > 1)
-        ends = np.append(runs[1:], len(start)) - 1 if len(start) else runs
-        chosen = pd.DataFrame({"bucket": [-1], "block": [key], "names": [np.concatenate([start[runs], start[ends]]).astype(np.int64).tobytes()]})
-        return pd.concat([chosen, questions(key, named(block, start, length)[0], bits)]) if len(start) else chosen
+        return pd.concat([note(key, start[runs], start[np.append(runs, len(start))[1:] - 1]), questions(key, np.unique(covered), bits), ties])
+
+    second = saved(with_replies(blocks, first, ask_segments, schema), "suffix-segments")
+    second = saved(with_notes(segment_answers(second.where("bucket >= 0"), bits), second), "suffix-ties")
 
-    second = saved(with_replies(blocks, first, ask_suffixes, "bucket long, block long, names binary"), "suffix-names")
-    told = answers(second.where("bucket >= 0")).union(second.where("bucket < 0").select("block", "bucket", F.col("names").alias("mask")))
+    def ask_suffixes(key: int, payload: bytes, told: pd.DataFrame) -> pd.DataFrame:
+        block, start = unpacked(payload), expanded(*noted(told, 2))
+        if not len(start):
+            return note(key, start)
+        lows, highs, least, covered = segments(block, start, short, length)
+        names, index = np.unique(covered, return_inverse=True)
+        replies = told[told["bucket"].between(0, (1 << bits) - 1)]
+        half = replies["mask"].str.len() // 2
+        elsewhere = answered(names, bits, replies.assign(mask=[m[:k] for m, k in zip(replies["mask"], half)]))[index]
+        speaks = answered(names, bits, replies.assign(mask=[m[k:] for m, k in zip(replies["mask"], half)]))[index]
+        keys, index = np.unique(least, return_inverse=True)
+        ties = told[told["bucket"] >= 1 << bits]
+        speaks &= answered(keys, bits, ties.assign(bucket=ties["bucket"] - (1 << bits)))[index]
+        asked = expanded(lows[speaks], highs[speaks])
+        notes = note(key, lows, highs, elsewhere.astype(np.int64) + 2 * speaks)
+        return pd.concat([notes, questions(key, named(block, asked, length)[0], bits)]) if len(asked) else notes
+
+    third = saved(with_replies(blocks, second, ask_suffixes, schema), "suffix-names")
+    told = with_notes(answers(third.where("bucket >= 0")), third)
 
     def cut(key: int, payload: bytes, told: pd.DataFrame) -> pd.DataFrame:
         block = unpacked(payload)
         gone = np.zeros(len(block.data) + 1, np.int64)
-        for mask in told["mask"][told["bucket"] < 0]:
-            lows, highs = np.frombuffer(mask, np.int64).reshape(2, -1)
-            start = np.concatenate([np.arange(a, b + 1) for a, b in zip(lows, highs)]) if len(lows) else np.zeros(0, np.int64)
-            if len(start):
-                names, index, twice = named(block, start, length)
-                hit = start[(twice | answered(names, bits, told[told["bucket"] >= 0]))[index]]
-                np.add.at(gone, hit, 1)
-                np.subtract.at(gone, hit + length, 1)
+        lows, highs, state = noted(told, 3)
+        if len(lows):
+            start, state = expanded(lows, highs), np.repeat(state, highs - lows + 1)
+            names, index, twice = named(block, start, length)
+            hit = (state & 1 > 0) | twice[index]
+            asked, at = np.unique(names[index[state & 2 > 0]], return_inverse=True)
+            hit[state & 2 > 0] |= answered(asked, bits, told[told["bucket"] >= 0])[at]
+            np.add.at(gone, start[hit], 1)
+            np.subtract.at(gone, start[hit] + length, 1)
         gone = np.cumsum(gone)[:-1] > 0
         rows = []
         for doc, end, n in zip(block.ids, np.cumsum(block.sizes), block.sizes):
