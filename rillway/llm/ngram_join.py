@@ -123,31 +123,38 @@ def prefixes(docs: DataFrame, width: int, percent: int, rarity) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "id long, token long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, hashes of the documents in ids. Up to a stated number of ids is broadcast; beyond it both sides are shuffled."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for batch in batches:
-            for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 512)):
-                sets = [shingle_set(t, width, known).view(np.int64) for t in batch["text"].iloc[part]]
-                yield pd.DataFrame({"id": batch["id"].iloc[part].to_numpy(), "hashes": sets})
-
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the documents in ids. Up to a stated number of ids is broadcast; beyond it both sides are shuffled."""
     ids = saved(ids.select("id").distinct(), "shingle-ids")
     found = docs.select(F.col("doc_id").alias("id"), "text").join(checked_broadcast(ids), "id", "left_semi")
     one = Window.partitionBy("id").orderBy("text")  # rows may repeat an id
-    found = found.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("id", "text")
-    return found.mapInPandas(run, "id long, hashes array<long>")
+    return found.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("id", "text")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by exact intersection of the arrays."""
+    """The pairs (a, b) whose sets are similar enough, by exact intersection of the sorted arrays.
+
+    The texts meet and not the arrays, which compress badly and take thrice the space. The smaller id is joined last, so that
+    a star's pairs lie together and its hub's array is made once.
+    """
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, hub, own = WordHashes(), None, None
+        for batch in batches:
+            good = np.zeros(len(batch), bool)
+            for i, (a, x, y) in enumerate(zip(batch["a"], batch["x"], batch["y"])):
+                if a != hub:
+                    hub, own = a, shingle_set(x, width, known)
+                other = shingle_set(y, width, known)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                good[i] = 100 * both >= percent * (len(own) + len(other) - both)
+            yield batch.loc[good, ["a", "b"]]
+
     pairs = saved(pairs, "shingle-pairs")
-    sets = saved(sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width), "shingle-arrays")
-    x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    texts = texts_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
 
 
 def within_reach(x: str, m: str, y: str, n: str, percent: int):
