@@ -68,18 +68,30 @@ def bucket_bits(names: int) -> int:
     return max(0, math.ceil(math.log2(max(1, names) / BUCKET_NAMES)))
 
 
+def pressed(values: np.ndarray) -> bytes:
+    """64-bit values as differences by planes of equal bytes: of sorted values the upper planes are nearly zero, and shrink
+    when Spark compresses what it moves."""
+    return np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpressed(data: bytes, rows: int = 1) -> np.ndarray:
+    """The values again, one row for each of so many pressed arrays of the same length."""
+    planes = np.frombuffer(data, np.uint8).reshape(rows, 8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64)[..., 0], axis=1, dtype=np.uint64)
+
+
 def questions(block: int, names: np.ndarray, bits: int, *more: np.ndarray) -> pd.DataFrame:
     """bucket, block, names: the sorted distinct names of a block by bucket, each bucket's values of `more` behind its names."""
     edges = np.searchsorted(names >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(names)])
     full = np.flatnonzero(np.diff(edges))
-    return pd.DataFrame({"bucket": full, "block": block, "names": [b"".join(x[edges[k] : edges[k + 1]].tobytes() for x in (names, *more)) for k in full]})
+    return pd.DataFrame({"bucket": full, "block": block, "names": [b"".join(pressed(x[edges[k] : edges[k + 1]]) for x in (names, *more)) for k in full]})
 
 
 def answers(asked: DataFrame) -> DataFrame:
     """block, bucket, mask: for each name of a question, whether another block holds it too."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.uint64) for x in group["names"]]
+        parts = [unpressed(x)[0] for x in group["names"]]
         names = np.sort(np.concatenate(parts))
         twice = np.unique(names[1:][names[1:] == names[:-1]])
         masks = []

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillway.llm.blocks import Block, answered, answers, bucket_bits, least_of, packed, questions, total_bytes, unpacked, with_replies
+from rillway.llm.blocks import Block, answered, answers, bucket_bits, least_of, packed, questions, total_bytes, unpacked, unpressed, with_replies
 from rillway.llm.common import saved
 
 LENGTH = 400
@@ -108,7 +108,7 @@ def segment_answers(asked: DataFrame, bits: int) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
         covered = int(group["bucket"].iloc[0]) < 1 << bits
-        parts = [np.frombuffer(x, np.uint64).reshape(1 if covered else 3, -1) for x in group["names"]]
+        parts = [unpressed(x, 1 if covered else 3) for x in group["names"]]
         names = np.concatenate(parts, axis=1)
         distinct, first, index, counts = np.unique(names[0], return_index=True, return_inverse=True, return_counts=True)
         if covered:
@@ -151,16 +151,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = saved(answers(asked), "suffix-samples")
     schema = "bucket long, block long, names binary"
 
-    def note(key: int, *values: np.ndarray) -> pd.DataFrame:
-        """A block's note to its next step."""
-        return pd.DataFrame({"bucket": [-1], "block": [key], "names": [np.concatenate(values).astype(np.int64).tobytes()]})
-
-    def noted(told: pd.DataFrame, rows: int) -> np.ndarray:
-        notes = [np.frombuffer(x, np.int64).reshape(rows, -1) for x in told["mask"][told["bucket"] == -1]]
-        return notes[0] if notes else np.zeros((rows, 0), np.int64)
-
-    def with_notes(replies: DataFrame, sent: DataFrame) -> DataFrame:
-        return replies.union(sent.where("bucket < 0").select("block", "bucket", F.col("names").alias("mask")))
+    def note(key: int, lows: np.ndarray, highs: np.ndarray) -> pd.DataFrame:
+        """A block's note to its next steps: the runs of its starts that may be repeated."""
+        return pd.DataFrame({"bucket": [-1], "block": [key], "names": [np.concatenate([lows, highs]).astype(np.int64).tobytes()]})
 
     def ask_segments(key: int, payload: bytes, told: pd.DataFrame) -> pd.DataFrame:
         block = unpacked(payload)
@@ -174,7 +167,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         start = np.flatnonzero(room >= length)
         start = start[alike[start + v] > alike[start]]
         if not len(start):
-            return note(key, start)
+            return note(key, start, start)
         _, _, least, covered = segments(block, start, short, length)
         keys, index = np.unique(least, return_inverse=True)
         low, high = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(keys), np.uint64)
@@ -185,12 +178,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.concat([note(key, start[runs], start[np.append(runs, len(start))[1:] - 1]), questions(key, np.unique(covered), bits), ties])
 
     second = saved(with_replies(blocks, first, ask_segments, schema), "suffix-segments")
-    second = saved(with_notes(segment_answers(second.where("bucket >= 0"), bits), second), "suffix-ties")
+    notes = second.where("bucket < 0").select("block", "bucket", F.col("names").alias("mask"))
+    second = saved(segment_answers(second.where("bucket >= 0"), bits).union(notes), "suffix-ties")
 
-    def ask_suffixes(key: int, payload: bytes, told: pd.DataFrame) -> pd.DataFrame:
-        block, start = unpacked(payload), expanded(*noted(told, 2))
+    def standing(block: Block, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The starts that may be repeated; whether another block holds their segment; whether this block must ask for them."""
+        runs = [np.frombuffer(x, np.int64).reshape(2, -1) for x in told["mask"][told["bucket"] == -1]]
+        start = expanded(*runs[0]) if runs else np.zeros(0, np.int64)
         if not len(start):
-            return note(key, start)
+            return start, start > 0, start > 0
         lows, highs, least, covered = segments(block, start, short, length)
         names, index = np.unique(covered, return_inverse=True)
         replies = told[told["bucket"].between(0, (1 << bits) - 1)]
@@ -198,25 +194,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         elsewhere = answered(names, bits, replies.assign(mask=[m[:k] for m, k in zip(replies["mask"], half)]))[index]
         speaks = answered(names, bits, replies.assign(mask=[m[k:] for m, k in zip(replies["mask"], half)]))[index]
         keys, index = np.unique(least, return_inverse=True)
-        ties = told[told["bucket"] >= 1 << bits]
+        ties = told[told["bucket"].between(1 << bits, (2 << bits) - 1)]
         speaks &= answered(keys, bits, ties.assign(bucket=ties["bucket"] - (1 << bits)))[index]
-        asked = expanded(lows[speaks], highs[speaks])
-        notes = note(key, lows, highs, elsewhere.astype(np.int64) + 2 * speaks)
-        return pd.concat([notes, questions(key, named(block, asked, length)[0], bits)]) if len(asked) else notes
+        sizes = highs - lows + 1
+        return start, np.repeat(elsewhere, sizes), np.repeat(speaks, sizes)
+
+    def ask_suffixes(key: int, payload: bytes, told: pd.DataFrame) -> pd.DataFrame:
+        block = unpacked(payload)
+        start, _, speaks = standing(block, told)
+        return questions(key, named(block, start[speaks], length)[0], bits)
 
-    third = saved(with_replies(blocks, second, ask_suffixes, schema), "suffix-names")
-    told = with_notes(answers(third.where("bucket >= 0")), third)
+    # Not saved: only its answers go on, and both steps share one exchange of the blocks.
+    third = answers(with_replies(blocks, second, ask_suffixes, schema))
+    told = second.union(third.select("block", (F.col("bucket") + (2 << bits)).alias("bucket"), "mask"))
 
     def cut(key: int, payload: bytes, told: pd.DataFrame) -> pd.DataFrame:
         block = unpacked(payload)
         gone = np.zeros(len(block.data) + 1, np.int64)
-        lows, highs, state = noted(told, 3)
-        if len(lows):
-            start, state = expanded(lows, highs), np.repeat(state, highs - lows + 1)
+        start, hit, speaks = standing(block, told)
+        if len(start):
             names, index, twice = named(block, start, length)
-            hit = (state & 1 > 0) | twice[index]
-            asked, at = np.unique(names[index[state & 2 > 0]], return_inverse=True)
-            hit[state & 2 > 0] |= answered(asked, bits, told[told["bucket"] >= 0])[at]
+            asked, at = np.unique(names[index[speaks]], return_inverse=True)
+            replies = told[told["bucket"] >= 2 << bits]
+            hit |= twice[index]
+            hit[speaks] |= answered(asked, bits, replies.assign(bucket=replies["bucket"] - (2 << bits)))[at]
             np.add.at(gone, start[hit], 1)
             np.subtract.at(gone, start[hit] + length, 1)
         gone = np.cumsum(gone)[:-1] > 0
