@@ -6,7 +6,13 @@ and the image columns. Positions of one key are distinct, except that a change m
 
 Both folds are one group-by of max/min aggregates over the whole log. They combine map-side, so
 the shuffle carries one row per key and task, and a key with a third of the log costs no more
-than any other. Nothing is sorted per key, and arrival order does not matter.
+than any other. Images are structs, so Spark aggregates by sorting each side of the exchange; arrival order
+does not matter.
+
+A fold can itself go into a later fold. For that, dated=True adds the columns __since, the order of the insert (or delete)
+that a row rests on, and __dates, the orders of the updates on top of it by field ("*": all fields). Changes that come late,
+with a position below the row's last one, are then judged as if they had been there before: updates, deletes, and the inserts of
+an index. Only a late insert of a table row that lived at the time is taken for a duplicate of the one that was kept.
 """
 
 from __future__ import annotations
@@ -18,22 +24,37 @@ from rillway.columns import quoted
 from rillway.operators.skew import HOT_ROWS, find_hot_keys, part_count
 
 LIVE = "__live"
+SINCE, DATES = "__since", "__dates"
+ALL_FIELDS = "*"
+BEGINNING = -(2**62)     # before every position
+OFFSET_BITS = 40
 _SALTS = 16      # parts of the second look at re-inserted keys
 
 
 def log_position(file_no: Column, offset: Column) -> Column:
-    """One integer position out of a log file number and an offset below 2^40."""
-    return file_no.cast("bigint") * F.lit(2**40) + offset.cast("bigint")
+    """One integer position out of a log file number and an offset below 2^40. A larger or negative offset is an error."""
+    number, at = file_no.cast("bigint"), offset.cast("bigint")
+    refuse = F.raise_error(F.concat(F.lit("log offset out of range: "), at.cast("string"))).cast("bigint")
+    return number * F.lit(2**OFFSET_BITS) + F.when((at < 0) | (at >= 2**OFFSET_BITS), refuse).otherwise(at)
+
+
+def _order(changes: DataFrame, pos: str, op: str) -> Column:
+    """Position doubled, with a snapshot row after the changes it already contains; a dated row where its insert was."""
+    order = quoted(pos).cast("bigint") * 2 + F.when(quoted(op) == "snapshot", 1).otherwise(0)
+    return F.coalesce(F.col(SINCE), order) if SINCE in changes.columns else order
 
 
-def _order(pos: str, op: str) -> Column:
-    """Position doubled, with a snapshot row after the changes it already contains."""
-    return quoted(pos).cast("bigint") * 2 + F.when(quoted(op) == "snapshot", 1).otherwise(0)
+def _update_order(changes: DataFrame, op: str, field: str) -> Column:
+    """The order of the update that a row supplies to a field, null if it supplies none."""
+    order = F.when(quoted(op) == "update", F.col("__ord"))
+    if DATES not in changes.columns:
+        return order
+    return F.coalesce(order, F.col(DATES)[field], F.col(DATES)[ALL_FIELDS])
 
 
 def fold_table(
     changes: DataFrame, keys: list[str], values: list[str], pos: str = "pos", op: str = "op", present: str | None = None,
-    removed: bool = False,
+    removed: bool = False, dated: bool = False,
 ) -> DataFrame:
     """State of a table with a unique key after the log.
 
@@ -43,16 +64,17 @@ def fold_table(
     update that supplies the column.
 
     Columns: keys, values, and pos, the position of the last change of the key. With removed=True the
-    keys without a row are kept too, and op tells them apart: snapshot for a row, delete for none.
+    keys without a row are kept too, and op tells them apart: snapshot for a row, delete for none. dated=True
+    adds what a later fold needs to know of both.
     """
-    log = changes.withColumn("__ord", _order(pos, op))
+    log = changes.withColumn("__ord", _order(changes, pos, op))
     summary = log.groupBy(*[quoted(k) for k in keys]).agg(
         *_common(log, values, pos, op, present),
         F.min_by(_image(values), _order_if(_is_insert(op))).alias("__first"),
         F.min(_order_if(_is_insert(op))).alias("__first_at"),
         F.max(_order_if(_is_insert(op))).alias("__last_at"),
     )
-    summary = _living(summary, F.col("__last_at"), removed)
+    summary = _living(summary, F.col("__last_at"), removed or dated)
     again = _first_insert_after_delete(log, keys, values, op)
     # inserted, deleted and inserted again: the first insert of all is not the one that counts
     base = summary.join(again, keys, "left").withColumns(
@@ -61,26 +83,27 @@ def fold_table(
             "__base_at": F.coalesce(F.col("__again_at"), F.col("__first_at")),
         }
     )
-    return _overlaid(base, keys, values, pos, op, present, removed)
+    return _overlaid(base, keys, values, pos, op, present, removed or dated, dated)
 
 
 def fold_index(
     changes: DataFrame, keys: list[str], values: list[str], pos: str = "pos", op: str = "op", present: str | None = None,
-    removed: bool = False,
+    removed: bool = False, dated: bool = False,
 ) -> DataFrame:
     """State of a document index after the log: every insert replaces the whole document, updates
     overlay the fields they supply (all of them without a present column), deletes remove it."""
-    log = changes.withColumn("__ord", _order(pos, op))
+    log = changes.withColumn("__ord", _order(changes, pos, op))
     summary = log.groupBy(*[quoted(k) for k in keys]).agg(
         *_common(log, values, pos, op, present),
         F.max_by(_image(values), _order_if(_is_insert(op))).alias("__base"),
         F.max(_order_if(_is_insert(op))).alias("__base_at"),
     )
-    return _overlaid(_living(summary, F.col("__base_at"), removed), keys, values, pos, op, present, removed)
+    living = _living(summary, F.col("__base_at"), removed or dated)
+    return _overlaid(living, keys, values, pos, op, present, removed or dated, dated)
 
 
 def _living(summary: DataFrame, last_insert: Column, removed: bool) -> DataFrame:
-    live = F.coalesce(last_insert >= F.coalesce(F.col("__gone_at"), F.lit(-(2**62))), F.lit(False))
+    live = F.coalesce(last_insert >= F.coalesce(F.col("__gone_at"), F.lit(BEGINNING)), F.lit(False))
     return summary.withColumn(LIVE, live) if removed else summary.filter(live)
 
 
@@ -102,17 +125,15 @@ def _gone_at(op: str) -> Column:
 
 
 def _common(log: DataFrame, values: list[str], pos: str, op: str, present: str | None) -> list[Column]:
-    is_update = quoted(op) == "update"
     out = [_gone_at(op).alias("__gone_at"), F.max(quoted(pos)).alias("__pos")]
     if present is None:
-        return out + [
-            F.max_by(_image(values), _order_if(is_update)).alias("__update"),
-            F.max(_order_if(is_update)).alias("__update_at"),
-        ]
+        order = _update_order(log, op, ALL_FIELDS)
+        return out + [F.max_by(_image(values), order).alias("__update"), F.max(order).alias("__update_at")]
     for i, v in enumerate(values):
-        supplied = is_update & F.array_contains(quoted(present), v)
-        dated = F.struct(quoted(v).alias("value"), F.col("__ord").alias("at"))
-        out.append(F.max_by(dated, _order_if(supplied)).alias(f"__u{i}"))
+        supplied = (quoted(op) != "update") | F.array_contains(quoted(present), v)
+        order = F.when(supplied, _update_order(log, op, v))
+        dated = F.struct(quoted(v).alias("value"), order.alias("at"))
+        out.append(F.max_by(dated, order).alias(f"__u{i}"))
     return out
 
 
@@ -148,20 +169,26 @@ def _first_insert_after_delete(log: DataFrame, keys: list[str], values: list[str
 
 
 def _overlaid(
-    base: DataFrame, keys: list[str], values: list[str], pos: str, op: str, present: str | None, removed: bool
+    base: DataFrame, keys: list[str], values: list[str], pos: str, op: str, present: str | None, removed: bool, dated: bool
 ) -> DataFrame:
-    out = []
+    # a row rests on its insert, a removed one on its delete; updates of a removed row wait for an insert that comes late
+    base = base.withColumn("__rests_at", F.coalesce(F.when(F.col(LIVE), F.col("__base_at")), F.col("__gone_at"), F.lit(BEGINNING)) if removed else F.col("__base_at"))
+    out, dates = [], []
     for i, v in enumerate(values):
         kept = F.col("__base").getField(v)
-        if present is None:
-            newer = F.col("__update_at") > F.col("__base_at")
-            value = F.when(newer, F.col("__update").getField(v)).otherwise(kept)
-        else:
-            newer = F.col(f"__u{i}").getField("at") > F.col("__base_at")
-            value = F.when(newer, F.col(f"__u{i}").getField("value")).otherwise(kept)
-        out.append((F.when(F.col(LIVE), value) if removed else value).alias(v))
+        if removed:
+            kept = F.when(F.col(LIVE), kept)
+        update, at = (F.col("__update").getField(v), F.col("__update_at")) if present is None else (F.col(f"__u{i}").getField("value"), F.col(f"__u{i}").getField("at"))
+        newer = at > F.col("__rests_at")
+        value = F.when(newer, update).otherwise(kept)
+        out.append((F.when(F.col(LIVE), value) if removed and not dated else value).alias(v))
+        if present is not None or i == 0:
+            dates.append(F.struct(F.lit(v if present is not None else ALL_FIELDS).alias("key"), F.when(newer, at).alias("value")))
     if removed:
         out.append(F.when(F.col(LIVE), F.lit("snapshot")).otherwise(F.lit("delete")).alias(op))
+    if dated:
+        known = F.filter(F.array(*dates), lambda d: d["value"].isNotNull()) if dates else F.array().cast("array<struct<key:string,value:bigint>>")
+        out += [F.col("__rests_at").alias(SINCE), F.map_from_entries(known).alias(DATES)]
     return base.select(*[quoted(k) for k in keys], *out, F.col("__pos").alias(pos))
 
 

@@ -20,6 +20,7 @@ fold into rows) with key.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -343,7 +344,8 @@ def start_task(
     spark: SparkSession, spec: dict, folder: str, reader: Reader | None = None, stream_reader=None, once: bool = False,
     interval: str = runner.FLUSH_INTERVAL,
 ) -> dict[str, StreamingQuery]:
-    """Start one streaming query per alias of the stream sources.
+    """Start one streaming query per alias of the stream and replica sources. A replica first writes its snapshot to its
+    keyed target, once per folder and not at all with resume_after, then follows its change files.
 
     Lookups are read anew in every micro-batch. Checkpoints and dead letters go to the folder; a batch
     repeated after a failure replaces its dead letters and, in keyed targets, its changes. With
@@ -351,37 +353,59 @@ def start_task(
     """
     check_task(spec)
     reader = reader or default_reader(spark)
-    stream_reader = stream_reader or default_stream_reader(spark)
+    default_follow = default_stream_reader(spark)
+    stream_reader = stream_reader or default_follow
     resources = {r["id"]: r for r in spec["resource"]}
     lookup = lambda resource_id, doc_set: reader(resources[resource_id], doc_set)
     flows, targets, running = _flows(spec), _targets(spec), {}
-    for source in (s for s in spec["source"] if s["sync_mode"] == "stream"):
+    for source in (s for s in spec["source"] if s["sync_mode"] in ("stream", "replica")):
         resource, extra = resources[source["resource_id"]], source.get("extra") or {}
+        if resource["type"] in ("jdbc", "table") and stream_reader is default_follow:
+            raise SpecError(f"a resource of type {resource['type']!r} has no change files to follow")
         for doc_set, names in parse_document_sets(source["document_set"]).items():
             for alias in names:
+                if source["sync_mode"] == "replica":
+                    raw = reader(resource, doc_set)
+                    _load_replica(raw, resource, source, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder)
                 stream = stream_reader(resource, extra.get("changes", doc_set), extra)
                 checkpoint = f"{folder}/checkpoint/{alias}"
                 on_batch = _batch_writer(
-                    resource, source, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder, checkpoint,
+                    resource, {**source, "sync_mode": "stream"}, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder, checkpoint,
                     bool((spec.get("setup") or {}).get("error_record")),
                 )
                 running[alias] = runner.start(stream, on_batch, checkpoint, once, interval)
     return running
 
 
+def _load_replica(raw, resource, source, doc_set, alias, flow, lookup, target, resources, folder) -> None:
+    """The snapshot of a replica, stored and folded as a stream of one batch; every change has a later position."""
+    extra = target[0].get("extra") or {} if target is not None else {}
+    if not extra.get("keyed"):
+        raise SpecError("a running replica needs a keyed target")
+    if (source.get("extra") or {}).get("resume_after") is not None:
+        return
+    docs, _ = source_documents(raw, resource, {**source, "sync_mode": "direct"}, doc_set, alias)
+    good, failed = run_alias(docs, flow, lookup, source["extra"]["pk"])
+    keyed = keyed_target(raw.sparkSession, resources[target[0]["resource_id"]], target[1], extra, good)
+    name = f"snapshot-{uuid.uuid5(uuid.NAMESPACE_URL, f'{folder}/{alias}').hex}"
+    if keyed.contains(0, name):
+        return
+    keyed.append_batch(good, 0, name)
+    if failed is not None:
+        failed.select(*LETTER).write.mode("overwrite").parquet(f"{folder}/errors/alias={alias}/batch_id=-1")
+    keyed.compact(name, 0)
+
+
 def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder, checkpoint, record_refused):
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        # read once: good and unreadable rows are written by different jobs
-        batch = batch.persist()
+    def apply(batch: DataFrame, batch_id: int) -> None:
         docs, unread = source_documents(batch, resource, source, doc_set, alias)
         good, failed = run_alias(docs, flow, lookup, (source.get("extra") or {}).get("pk"))
-        letters, keyed, extra = [unread, failed], None, {}
+        letters, keyed, extra, stream = [unread, failed], None, {}, None
         if target is not None:
             place, name, extra = resources[target[0]["resource_id"]], target[1], target[0].get("extra") or {}
             keyed = keyed_target(batch.sparkSession, place, name, extra, good) if extra.get("keyed") else None
             stream = runner.stream_id(batch.sparkSession, checkpoint)
             if keyed is not None and keyed.contains(batch_id, stream):
-                batch.unpersist()
                 return
             if keyed is not None:
                 keyed.append_batch(good, batch_id, stream)
@@ -394,8 +418,15 @@ def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resour
             found.write.mode("overwrite").parquet(f"{folder}/errors/alias={alias}/batch_id={batch_id}")
         every = extra.get("compact_every", 20)
         if keyed is not None and every and batch_id % every == every - 1:
-            keyed.compact()
-        batch.unpersist()
+            keyed.compact(stream, batch_id)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        # read once: good and unreadable rows are written by different jobs
+        batch = batch.persist()
+        try:
+            apply(batch, batch_id)
+        finally:
+            batch.unpersist()
 
     return on_batch
 

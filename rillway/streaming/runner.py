@@ -85,9 +85,10 @@ def start_apply(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        target.append_batch(steps(batch) if steps else batch, batch_id, stream_id(batch.sparkSession, checkpoint))
+        stream = stream_id(batch.sparkSession, checkpoint)
+        target.append_batch(steps(batch) if steps else batch, batch_id, stream)
         if compact_every and batch_id % compact_every == compact_every - 1:
-            target.compact()
+            target.compact(stream, batch_id)
 
     return start(stream, on_batch, checkpoint, **options)
 

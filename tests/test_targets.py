@@ -389,3 +389,88 @@ def test_changes_without_a_key_are_refused(spark, tmp_path):
         assert [(r.k, r.reason) for r in target.refused(batch).collect()] == [(None, "null key")]
         target.compact()
     assert sorted(r.k for r in target.read().collect()) == [0, 1, 2]
+
+
+ROWS = "k int, pos bigint, op string, a int, b string, present array<string>"
+
+
+def test_two_compactions_at_once_lose_nothing(spark, tmp_path):
+    one, two = (KeyedTarget(spark, str(tmp_path / "t"), ["k"], ["a", "b"]) for _ in range(2))
+    seen = one._committed()
+    one.append_batch(spark.createDataFrame([(1, 1, "insert", 1, "x", None)], ROWS), 0, "s1")
+    two.append_batch(spark.createDataFrame([(2, 1, "insert", 2, "y", None)], ROWS), 0, "s2")
+    for target, stream in ((one, "s1"), (two, "s2")):    # both start from the same base
+        base, log = target._parts({stream: 0}, seen)
+        target._commit(target._fold(base, log, removed=True), {stream: 0}, seen)
+        assert state_of(target.read()) == {1: (1, "x"), 2: (2, "y")}
+    one.compact("s1", 0)
+    two.compact("s2", 0)
+    assert one.contains(0, "s1") and one.contains(0, "s2")
+    assert state_of(one.read()) == {1: (1, "x"), 2: (2, "y")}
+    # a base made from the rows before a reload does not bring them back
+    seen = one._committed()
+    state = one._fold(*one._parts({"s1": 0, "s2": 0}, seen), removed=True)
+    two.rebuild(spark.createDataFrame([(3, 0, "insert", 3, "z", None)], ROWS))
+    one._commit(state, {"s1": 0, "s2": 0}, seen)
+    assert state_of(one.read()) == {3: (3, "z")}
+
+
+def test_a_batch_in_the_making_stays_in_the_log(spark, tmp_path):
+    target = KeyedTarget(spark, str(tmp_path / "t"), ["k"], ["a", "b"])
+    target.append_batch(spark.createDataFrame([(1, 1, "insert", 1, "x", None)], ROWS), 0, "s1")
+    target.append_batch(spark.createDataFrame([(2, 1, "insert", 2, "y", None)], ROWS), 0, "s2")
+    target.compact("s1", 0)
+    assert target.contains(0, "s1") and not target.contains(0, "s2")
+    target.append_batch(spark.createDataFrame([(2, 1, "insert", 2, "y", None), (3, 1, "insert", 3, "z", None)], ROWS), 0, "s2")
+    assert state_of(target.read()) == {1: (1, "x"), 2: (2, "y"), 3: (3, "z")}
+
+
+@pytest.mark.parametrize("kind", ["table", "index"])
+@pytest.mark.parametrize("partial", [True, False])
+def test_late_changes_do_not_depend_on_compaction(spark, tmp_path, kind, partial):
+    rows = [r for r in random_log(31, keys=30, changes=12, partial=partial) if kind == "index" or r[2] != "insert"]
+    if kind == "table":     # a key is inserted once; what comes late are its updates and deletes
+        rows = [(k, -1, "insert", k, "first", None) for k in {r[0] for r in rows}] + rows
+    random.Random(3).shuffle(rows)
+    present = "present" if partial else None
+    plain = spark.createDataFrame(rows, ROWS)
+    expected = KeyedTarget(spark, str(tmp_path / "whole"), ["k"], ["a", "b"], kind, present=present)
+    expected.append_batch(plain, 0)
+    target = KeyedTarget(spark, str(tmp_path / "parts"), ["k"], ["a", "b"], kind, present=present)
+    for i in range(3):
+        target.append_batch(spark.createDataFrame(rows[i::3], ROWS), i)
+        target.compact()
+    assert state_of(target.read()) == state_of(expected.read())
+
+
+def test_a_target_takes_a_new_column(spark, tmp_path):
+    old = KeyedTarget(spark, str(tmp_path / "t"), ["k"], ["a"])
+    old.append_batch(spark.createDataFrame([(1, 1, "insert", 1, "-", None)], ROWS), 0)
+    old.compact()
+    old.append_batch(spark.createDataFrame([(2, 1, "insert", 2, "-", None)], ROWS), 1)
+    new = KeyedTarget(spark, str(tmp_path / "t"), ["k"], ["a", "b"])
+    assert state_of(new.read()) == {1: (1, None), 2: (2, None)}
+    new.append_batch(spark.createDataFrame([(3, 1, "insert", 3, "z", None), (1, 2, "update", 4, "n", None)], ROWS), 2)
+    assert state_of(new.read()) == {1: (4, "n"), 2: (2, None), 3: (3, "z")}
+    new.compact()
+    assert state_of(new.read()) == {1: (4, "n"), 2: (2, None), 3: (3, "z")}
+
+
+def test_running_replica_takes_its_snapshot_once(spark, tmp_path):
+    log = "k int, pos bigint, op string, a int, b string"
+    s = {
+        "resource": [{"id": "in", "type": "parquet", "path": str(tmp_path / "in")}, {"id": "out", "type": "parquet", "path": str(tmp_path / "out")}],
+        "source": [{"resource_id": "in", "sync_mode": "replica", "document_set": {"rows": "r"}, "extra": {"pk": "k", "changes": "log", "schema": log}}],
+        "target": [{"resource_id": "out", "document_set": {"r": "state"}, "extra": {"keyed": "table", "key": "k", "compact_every": 1}}],
+    }
+    spark.createDataFrame([(1, 1, "x"), (2, 2, "y")], "k int, a int, b string").write.parquet(str(tmp_path / "in/rows"))
+    target = KeyedTarget(spark, str(tmp_path / "out/state"), ["k"], ["a", "b"], "table", POS, OP)
+    steps = [([(1, 5, "update", 9, "u"), (3, 6, "insert", 3, "z")], {1: (9, "u"), 2: (2, "y"), 3: (3, "z")}), ([(2, 7, "delete", None, None)], {1: (9, "u"), 3: (3, "z")})]
+    for changes, state in steps:
+        spark.createDataFrame(changes, log).coalesce(1).write.mode("append").parquet(str(tmp_path / "in/log"))
+        for query in start_task(spark, s, str(tmp_path / "run"), once=True).values():
+            query.awaitTermination()
+        assert state_of(target.read()) == state
+    s["target"][0]["extra"] = {}
+    with pytest.raises(SpecError):
+        start_task(spark, s, str(tmp_path / "run2"), once=True)
