@@ -21,14 +21,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway.columns import quoted
-from rillway.operators.skew import HOT_ROWS, find_hot_keys, part_count
+from rillway.operators.skew import HOT_ROWS, find_hot_keys
 
 LIVE = "__live"
 SINCE, DATES = "__since", "__dates"
 ALL_FIELDS = "*"
 BEGINNING = -(2**62)     # before every position
 OFFSET_BITS = 40
-_SALTS = 16      # parts of the second look at re-inserted keys
+SLICES = 256      # position slices of a hot key
+_SALTS = 16       # parts of the second look at re-inserted keys
 
 
 def log_position(file_no: Column, offset: Column) -> Column:
@@ -221,10 +222,10 @@ def outcomes(
     """
     decisive = F.when(quoted(op).isin("insert", "delete", "snapshot"), quoted(op) != "delete")
     marked = changes.withColumn("__alive", decisive)
-    hot = find_hot_keys(changes, keys, hot_rows, range_of=pos)
+    hot = find_hot_keys(changes, keys, hot_rows)
     group = list(keys)
     if hot.frame is not None:
-        marked = _sliced(marked, hot, keys, pos, hot_rows)
+        marked = _sliced(marked, hot, keys, pos)
         group = [*keys, "__slice"]
     window = Window.partitionBy(*[quoted(k) for k in group]).orderBy(quoted(pos), quoted(op))
     before = F.last("__alive", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
@@ -243,13 +244,16 @@ def outcomes(
     return marked.withColumn("outcome", outcome).select(*[quoted(c) for c in changes.columns], "outcome")
 
 
-def _sliced(df: DataFrame, hot, keys: list[str], pos: str, rows: int) -> DataFrame:
-    width = F.ceil((F.col("__hi") - F.col("__lo") + 1) / part_count(rows)).cast("bigint")
-    bounds = hot.frame.select(*[quoted(k) for k in keys], F.col("__lo"), width.alias("__width"))
-    # at most HOT_LIMIT small rows, see HotKeys
+def _sliced(df: DataFrame, hot, keys: list[str], pos: str) -> DataFrame:
+    """Number the slices of hot keys. Cuts are percentiles of the key's own positions, since these are seldom evenly spaced."""
+    # at most HOT_LIMIT keys with SLICES numbers each, see HotKeys
+    names = F.broadcast(hot.frame.select(*[quoted(k) for k in keys]))
+    shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    cuts = F.percentile_approx(quoted(pos), shares, 10 * SLICES).alias("__cuts")
+    bounds = df.select(*[quoted(k) for k in keys], quoted(pos)).join(names, keys, "left_semi").groupBy(*[quoted(k) for k in keys]).agg(cuts)
     joined = df.join(F.broadcast(bounds), keys, "left")
-    slice_no = F.floor((quoted(pos) - F.col("__lo")) / F.col("__width"))
-    return joined.withColumn("__slice", F.coalesce(slice_no, F.lit(0).cast("bigint"))).drop("__lo", "__width")
+    slice_no = F.size(F.filter("__cuts", lambda c: c <= quoted(pos)))
+    return joined.withColumn("__slice", F.when(F.col("__cuts").isNull(), 0).otherwise(slice_no)).drop("__cuts")
 
 
 def _carried(marked: DataFrame, keys: list[str], pos: str) -> DataFrame:

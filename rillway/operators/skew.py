@@ -46,11 +46,10 @@ def all_set(keys: list[str]) -> Column:
     return condition
 
 
-def find_hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, range_of: str | None = None) -> HotKeys:
+def find_hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> HotKeys:
     """Keys with more than min_rows rows; rows with a null in the key count as one group.
 
-    Runs one job that reads only the key columns (and range_of, whose least and greatest values come
-    as __lo and __hi) and fetches HOT_LIMIT + 1 rows at most. Of large groups a sample is counted, in which a key of min_rows rows
+    Runs one job that reads only the key columns and fetches HOT_LIMIT + 1 rows at most. Of large groups a sample is counted, in which a key of min_rows rows
     is expected PROBE_HITS times: enough to size its parts, and a thousandth of the shuffle. Only
     the counts come from the sample; whoever uses them still processes every row.
     """
@@ -58,9 +57,6 @@ def find_hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS, rang
     fraction = min(1.0, PROBE_HITS / min_rows)
     columns = [F.when(complete, quoted(k)).alias(k) for k in keys]
     counts = [(F.count(F.lit(1)) / F.lit(fraction)).cast("bigint").alias("__n")]
-    if range_of:
-        columns.append(quoted(range_of).alias("__range"))
-        counts += [F.min("__range").alias("__lo"), F.max("__range").alias("__hi")]
     probed = df.select(*columns)
     probed = probed.sample(fraction, seed=7) if fraction < 1 else probed
     counted = probed.groupBy(*[quoted(k) for k in keys]).agg(*counts).filter(F.col("__n") > min_rows)

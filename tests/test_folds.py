@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillway.operators.fold import fold_index, fold_table, outcomes, split_key_changes
+from rillway.operators.fold import SLICES, _sliced, fold_index, fold_table, log_position, outcomes, split_key_changes
+from rillway.operators.skew import find_hot_keys
 
 SCHEMA = "k int, pos bigint, op string, a int, b string, present array<string>"
 
@@ -104,3 +105,17 @@ def test_fold_shuffles_one_row_per_key_and_task(spark):
     )
     plan = fold_index(df, ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("partial_max_by") >= 1
+
+
+def test_slices_of_a_hot_key_are_even(spark):
+    rows = spark.range(4000).select(
+        F.lit(1).alias("k"), log_position(F.floor(F.col("id") / 3000), F.col("id") * 7).alias("pos"), F.lit("update").alias("op")
+    )
+    hot = find_hot_keys(rows, ["k"], 100)
+    sizes = [r["count"] for r in _sliced(rows, hot, ["k"], "pos").groupBy("__slice").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / SLICES
+
+
+def test_offsets_that_do_not_fit_are_refused(spark):
+    with pytest.raises(Exception, match="out of range"):
+        spark.range(1).select(log_position(F.lit(1), F.lit(2**40))).collect()
