@@ -151,21 +151,28 @@ def sink_index_replace(t: Tables):
     return fold_index(event_log(t).withColumn("op", F.lit("insert")), ["user_id"], ["event_type", "value", "props"])
 
 
-@query("apply_changes_index", f"""
+INDEX_FOLD_SQL = f"""
 WITH log AS ({EVENT_LOG_SQL}),
  s AS (SELECT user_id, max(pos) AS last_pos, max(pos) FILTER (op = 'delete') AS gone, max(pos) FILTER (op = 'insert') AS born FROM log GROUP BY user_id),
  l AS (SELECT log.*, born, last_pos FROM log JOIN s USING (user_id) WHERE born > coalesce(gone, -1) AND pos >= born)
 SELECT user_id, arg_max(event_type, pos) AS event_type,
        arg_max(value, pos) FILTER (pos = born OR event_type IN ('click', 'purchase')) AS value,
        arg_max(props, pos) FILTER (pos = born OR event_type IN ('view', 'purchase')) AS props, max(last_pos) AS pos
-FROM l GROUP BY user_id""")
-def apply_changes_index(t: Tables):
-    supplied = (
+FROM l GROUP BY user_id"""
+
+
+def supplied_fields():
+    """Which fields an event's message brings along."""
+    return (
         F.when(F.col("event_type") == "click", F.array(F.lit("event_type"), F.lit("value")))
         .when(F.col("event_type") == "view", F.array(F.lit("event_type"), F.lit("props")))
         .otherwise(F.array(F.lit("event_type"), F.lit("value"), F.lit("props")))
     )
-    log = event_log(t).withColumn("supplied", supplied)
+
+
+@query("apply_changes_index", INDEX_FOLD_SQL)
+def apply_changes_index(t: Tables):
+    log = event_log(t).withColumn("supplied", supplied_fields())
     return fold_index(log, ["user_id"], ["event_type", "value", "props"], present="supplied")
 
 

@@ -14,7 +14,7 @@ from rillway.sources.messages import parse_queue
 from rillway.streaming import runner
 from rillway.workload.joins import as_json, on
 from rillway.workload.registry import Tables, query
-from rillway.workload.sinks import EVENT_LOG_SQL, fold_table_sql
+from rillway.workload.sinks import EVENT_LOG_SQL, INDEX_FOLD_SQL, fold_table_sql, supplied_fields
 from rillway.workload.sources import event_op, queue_messages
 
 
@@ -48,6 +48,21 @@ def stream_apply_changes(t: Tables):
     return target.read()
 
 
+@query("stream_two_sources", INDEX_FOLD_SQL)
+def stream_two_sources(t: Tables):
+    # clicks and all other events arrive in streams of their own; both fold the target after each batch
+    folder = scratch(t)
+    events = lambda: stream_of(t, "events").select(
+        "user_id", F.col("event_id").alias("pos"), event_op().alias("op"), "event_type", "value", "props", supplied_fields().alias("supplied")
+    )
+    parts = {"clicks": F.col("event_type") == "click", "others": ~F.col("event_type").eqNullSafe("click")}
+    target = KeyedTarget(t.spark, f"{folder}/users", ["user_id"], ["event_type", "value", "props"], "index", present="supplied")
+    running = [runner.start_apply(events().filter(part), target, f"{folder}/{name}", once=True, compact_every=1) for name, part in parts.items()]
+    for handle in running:
+        run(handle)
+    return target.read()
+
+
 @query("stream_relate", """
 SELECT doc_id, lang, n_chars, CASE WHEN l.doc_id IS NULL THEN '{}'
   ELSE CAST(to_json({'doc_id': l.doc_id, 'quality': l.quality, 'toxic': l.toxic}) AS VARCHAR) END AS label
