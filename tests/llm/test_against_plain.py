@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from compare import connect, differences
@@ -140,6 +141,28 @@ def test_planted_passages(spark):
     assert all(any(r.doc_id == i and r.start <= at + 12 and r.end >= at + 48 for r in got) for i, at in want.items())
 
 
+@pytest.mark.parametrize(("words", "edits", "want"), [
+    (60, range(27, 33), [(0, 55)]), (100, range(47, 53), [(0, 95)]), (60, (20, 25), [(0, 55)]), (50, (47,), [(0, 45)]), (60, range(20, 40), []),
+])
+def test_stretches_with_replaced_words(words, edits, want):
+    hub = " ".join(f"w{i}" for i in range(words))
+    own = " ".join(f"x{i}" if i in edits else f"w{i}" for i in range(words))
+    known = windows.WordHashes()
+    assert windows.stretches(windows.shingles(own.encode(), 5, known), windows.shingles(hub.encode(), 5, known), 46, 80) == want
+
+
+def test_stretches_against_all_intervals():
+    draw = random.Random(3)
+    for _ in range(300):
+        rate, n = draw.choice((0.5, 0.75, 0.85)), draw.randint(1, 40)
+        hit = [draw.random() < rate for _ in range(n)]
+        own, hub = np.array([i if h else 1000 + i for i, h in enumerate(hit)], np.uint64), np.arange(n, dtype=np.uint64)
+        good = [(a, b) for a in range(n) for b in range(a + 7, n) if 100 * sum(hit[a : b + 1]) >= 80 * (b - a + 1)]
+        got = windows.stretches(own, hub, 8, 80)
+        assert set(got) <= set(good) and len(set(got)) == len(got)
+        assert {k for a, b in good for k in range(a, b + 1) if hit[k]} == {k for a, b in got for k in range(a, b + 1) if hit[k]}
+
+
 def test_mix_meets_the_targets(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     mixed = mixing.mix(docs).toPandas()
