@@ -163,6 +163,20 @@ def test_stretches_against_all_intervals():
         assert {k for a, b in good for k in range(a, b + 1) if hit[k]} == {k for a, b in got for k in range(a, b + 1) if hit[k]}
 
 
+def test_passage_of_two_whose_lines_are_elsewhere(spark):
+    """Each piece of the passage of 90 and 91 is also in a document of a lower id, so every name has a hub that is no partner."""
+    draw = random.Random(5)
+    words = lambda n: [f"v{draw.randint(0, 30000)}" for _ in range(n)]
+    rows, pairs = [], 12
+    for k in range(pairs):
+        passage = words(60)
+        rows += [(100 * k + i, " ".join([*words(80), *passage[15 * i : 15 * i + 19], *words(80)])) for i in range(4)]
+        rows += [(100 * k + i, " ".join([*words(90), *passage, *words(90)])) for i in (90, 91)]
+    got = windows.passage_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got} == {100 * k + i for k in range(pairs) for i in (90, 91)}
+    assert all(any(r.doc_id == 100 * k + i and r.start <= 94 and r.end >= 146 for r in got) for k in range(pairs) for i in (90, 91))
+
+
 def test_mix_meets_the_targets(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     mixed = mixing.mix(docs).toPandas()
