@@ -1,8 +1,8 @@
 """Quality rules: counts within each text, and lines that many documents of a host share.
 
 Lines are normalised (lower case, digits to 0, white space to one space) and hashed. Per host, the source of a document, the
-distinct documents that hold a line are counted; copies of one document are not distinct documents, so documents whose
-smallest hashed word window agrees count once. Lines above the limits are removed, and a document that loses too large
+distinct documents that hold a line are counted; copies of one document are not distinct documents, so documents of the same
+words (case and white space ignored) count once. Lines above the limits are removed, and a document that loses too large
 a part of its words is depleted and rejected.
 """
 
@@ -64,15 +64,9 @@ def repeated_words(ids: np.ndarray, distinct: int, width: int) -> int:
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
 
-def signature(ids: np.ndarray, names: list[bytes], width: int) -> int:
-    """The smallest hash of a window of `width` words: equal, mostly, in copies of one text."""
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))[ids]
-    width = min(width, len(hashed))
-    mixed = np.zeros(len(hashed) - width + 1, np.uint64)
-    for k in range(width):
-        mixed = (mixed ^ hashed[k : len(hashed) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return int(mixed.min().view(np.int64))
+def signature(text: str) -> int:
+    """A hash of the whole text, case and white space ignored: equal in copies only."""
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().encode().split())) - (1 << 63)
 
 
 def measure(text: str | None, rules: Rules) -> tuple:
@@ -87,7 +81,7 @@ def measure(text: str | None, rules: Rules) -> tuple:
         counts.append(len(parts))
     return (
         len(words), len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),
-        repeated_words(ids, len(names), rules.window), signature(ids, names, rules.window) if words else 0, hashes, counts,
+        repeated_words(ids, len(names), rules.window), signature(text), hashes, counts,
     )
 
 

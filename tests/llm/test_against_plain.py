@@ -103,6 +103,19 @@ def test_quality_counts_and_shared_lines(spark, rows):
     assert all(got[50_000 + i].n_removed_words > 0 and not got[50_000 + i].kept for i in range(40))
 
 
+def test_boilerplate_pages_among_other_documents(spark):
+    """Pages of a few own words and the same long line are distinct documents; copies of one document are not."""
+    draw = random.Random(4)
+    words = lambda n: " ".join(f"{draw.choice('bcdf')}{''.join(draw.choices('aeioulmnrst', k=6))}" for _ in range(n))
+    line, copied = words(200), words(60)
+    rows = [(i, "a", f"{words(3)}\n{line}") for i in range(60)] + [(i, "a", words(40)) for i in range(60, 600)]
+    rows += [(i, "b", f"{words(3)}\n{line}") for i in range(600, 630)]
+    rows += [(i, "c", copied.upper() if i % 2 else copied.replace(" ", "  ")) for i in range(700, 730)] + [(i, "c", words(40)) for i in range(730, 760)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert {i for i, r in got.items() if r.depleted} == {*range(60), *range(600, 630)}
+    assert all(r.n_removed_words == (200 if r.depleted else 0) for r in got.values())
+
+
 def test_pieces_equal_the_library(spark, rows):
     import public_tokenizers
     import sentencepiece
