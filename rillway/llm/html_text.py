@@ -26,6 +26,9 @@ BLOCKS = set(
     " tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Skipped elements that end at their first closing tag or with the page, and those that "/>" closes.
+PLAIN = set("script style textarea title".split())
+CLOSABLE = {"svg", "math"}
 #: Names by which tags, classes, ids and roles tell what they hold.
 CONTEXTS = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar pagination pager tabs toc sitemap".split(),
@@ -42,10 +45,11 @@ KINDS = {"p": 1, "blockquote": 1, "pre": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2,
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "kind", "sentence", *CONTEXTS]
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED) + r")(?=[\s/>])[^>]*>|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)",
     re.I | re.S,
 )
+SKIPPED_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)(" + "|".join(SKIPPED) + r")(?=[\s/>])[^>]*>", re.I | re.S)
 NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BY_NAME = {name: i for i, names in enumerate(CONTEXTS.values()) for name in names}
 HTML_TAGS = {"nav", "menu", "header", "head", "footer", "aside", "form", "fieldset", "article", "main", "search"}
@@ -62,6 +66,37 @@ def context_of(tag: str, attrs: str) -> int:
     return found
 
 
+def skipped_ends(page: str) -> dict[int, int]:
+    """Where the skipped elements end, by where they start. Each closing tag closes the last open element of its name; an
+    element that none closes has no end, but those of PLAIN take the first closing tag, or the page's end."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while match := SKIPPED_TAG.search(page, at):
+        name, start, at = (match[2] or "").lower(), match.start(), match.end()
+        if match[1]:
+            if opened.get(name):
+                ends[opened[name].pop()] = at
+        elif name in PLAIN:
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            ends[start] = at = close.end() if close else len(page)
+        elif name and not (name in CLOSABLE and match[0].endswith("/>")):
+            opened.setdefault(name, []).append(start)
+    return ends
+
+
+def tokens(page: str) -> Iterator[re.Match]:
+    """The tags and texts of a page, without the content of skipped elements. Of one without an end, the tag alone goes."""
+    ends, at = None, 0
+    while at < len(page):
+        token = TOKEN.match(page, at)
+        at = token.end()
+        if token["raw"]:
+            ends = skipped_ends(page) if ends is None else ends
+            at = max(at, ends.get(token.start(), at))
+        yield token
+
+
 def blocks(page: str) -> Iterator[tuple[str, int, int, int]]:
     """text, words within links, kind and contexts of each block with text, in page order."""
     stack: list[tuple[str, int]] = []
@@ -75,7 +110,7 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int]]:
         parts, linked = [], 0
         return [out] if text else []
 
-    for token in TOKEN.finditer(page):
+    for token in tokens(page):
         if (text := token["text"]) is not None:
             text = html.unescape(text)
             parts.append(text)

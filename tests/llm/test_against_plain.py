@@ -71,6 +71,23 @@ def test_main_text_of_held_out_pages(spark):
     assert right / total > 0.95
 
 
+@pytest.mark.parametrize("tag", [
+    "<video-js src='a'>x</video-js>", "<svg-icon></svg-icon>", "<button-group>", '<svg width="1" />', "<math/>", "<button>", "<iframe/>", "<select>", "<video src='a'>",
+])
+@pytest.mark.parametrize("later", ["", "<button>no</button><svg>no</svg><iframe>no</iframe><video>no</video><math>no</math><select>no</select>"])
+def test_pages_with_elements_that_nobody_closes(tag, later):
+    texts = [t for t, *_ in html_text.blocks(f"<body><p>before it</p>{tag}<p>rest of article</p>{later}<p>the end</p></body>")]
+    assert {"before it", "rest of article", "the end"} <= set(texts) and "no" not in " ".join(texts).split()
+
+
+@pytest.mark.parametrize("page", [
+    "<svg>no<svg>no</svg>no</svg>", "<script>no <p>no</p>", "<style>no</style>", "<textarea>no", "<title>no</title >", "<BUTTON a=b>no</button>", "<template>no<svg/>no</template>", "<script>'<svg>'</script><svg>no</svg>",
+    "<!-- <script> <svg> --><script>no</script><svg>no</svg>", "<script><!-- no </script><svg>no</svg>",
+])
+def test_content_of_skipped_elements(page):
+    assert [t for t, *_ in html_text.blocks(f"<p>yes</p>{page}")] == ["yes"]
+
+
 @pytest.mark.parametrize("length", [400, 60])
 def test_repeated_substrings(spark, rows, length):
     data = [(d, (t or "").encode()) for d, t in [*rows, (-1, None), (-2, "ab" * 900)]]
