@@ -133,6 +133,26 @@ def test_boilerplate_pages_among_other_documents(spark):
     assert all(r.n_removed_words == (200 if r.depleted else 0) for r in got.values())
 
 
+def test_texts_without_frequent_lines(spark, rows):
+    """Against a count of all lines in plain Python."""
+    draw = random.Random(6)
+    shared = ["Terms of  use 2024", "terms of use 1999", "Share this\tpage", "rare line", ""]
+    docs = [(d, draw.choice(("a", "b", None)), "\n".join([*draw.sample(shared[:4], draw.choice((0, 0, 1, 2))), t, *draw.choices(shared, k=d % 2)])) for d, t in rows]
+    docs += [(90_000, "a", None), (90_001, "a", ""), (90_002, "b", "\n\n"), *[(91_000 + i, "a", "a copied line\nand another") for i in range(30)]]
+    norm = lambda line: " ".join(x.decode() for x in line.lower().encode().translate(quality.DIGITS).split())
+    holds, hosts = collections.defaultdict(set), collections.defaultdict(set)
+    for _, source, text in docs:
+        if key := b" ".join((text or "").lower().encode().split()):
+            hosts[source].add(key)
+            for line in filter(None, map(norm, text.split("\n"))):
+                holds[source, line].add(key)
+    above = {k for k, v in holds.items() if len(v) >= 10 and len(v) >= 0.05 * len(hosts[k[0]])}
+    got = quality.without_frequent_lines(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    key = lambda x: (x[0], x[1] or "", x[2] or "")
+    want = [(d, s, None if t is None else "\n".join(x for x in t.split("\n") if (s, norm(x)) not in above)) for d, s, t in docs]
+    assert above and sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 def test_pieces_equal_the_library(spark, rows):
     import public_tokenizers
     import sentencepiece
