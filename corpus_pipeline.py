@@ -24,8 +24,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shared 4-word shingles, the one with the smallest doc_id stays."""
-    return ngram_join.first_of_groups(docs)
+    """Of documents linked by shared 5-word shingles, the one with the smallest doc_id stays."""
+    return ngram_join.first_of_groups(docs, width=5, percent=80)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,11 @@ def test_last_stage(spark, docs):
     out = corpus_pipeline.token_ids(spark, docs, "")
     assert set(out.columns) == {*docs.columns, "round_trip"}
     assert out.where("not round_trip").count() == 0 and out.count() == docs.count()
+
+
+def test_near_copies_of_five_words_and_80_percent(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    more = lambda n: " ".join(f"x{i}" for i in range(n))
+    rows = [(1, text), (2, f"{text} {more(20)}"), (3, " ".join(f"v{i}" for i in range(100))), (4, " ".join(f"v{i}" for i in range(100)) + " " + more(30))]
+    left = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in left.collect()} == {1, 3, 4}
