@@ -11,10 +11,12 @@ Sync modes: direct (snapshot), stream (changes or messages), replica (snapshot,
 (the resource is only looked up in). A spec becomes one DataFrame per alias; nothing runs before a
 write. The same spec runs as a stream with start_task.
 
-Source extra: pk, pos and op (columns of a change log), changes (document set of the log), resume_after
-(the last position applied; a replica then skips its snapshot), schema (DDL of JSON documents and of file streams). Target extra: mode, format (queue
-lines: true enveloped, false bare), envelope (keep the envelope columns), keyed ("table" or "index":
-fold into rows) with key.
+Source extra: pk, pos and op (columns of a change log), changes (document set of the log), log ({"file", "offset"}: columns
+that give the positions of a log kept in files, in place of pos, and "manifest": document set that lists its files and sizes),
+resume_after (the last position applied, a number or {"file", "offset"}; a replica then skips its snapshot if the log still
+reaches back to it), start ("now": a file stream begins with the files that come later; "first", the default: with all),
+schema (DDL of JSON documents and of file streams). Target extra: mode, format (queue lines: true enveloped, false bare),
+envelope (keep the envelope columns), keyed ("table" or "index": fold into rows) with key.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from rillway.columns import ALIAS, DOC_SET, ID_VALUE, OP, POS, PRESENT, doc_columns, envelope_columns, quoted
 from rillway.operators.fold import fold_index, fold_table
@@ -35,6 +38,7 @@ from rillway.plans.flow import check_steps, run_flow
 from rillway.sinks.quality import LETTER, dead_letters, observed
 from rillway.sinks.target import KeyedTarget
 from rillway.sinks.writers import discard, envelope, object_lines
+from rillway.sources import logs
 from rillway.sources.changes import change_ops, resume_after
 from rillway.sources.messages import parse_index_hits, parse_json_lines, parse_queue
 from rillway.sources.tables import FILE_FORMATS, fan_out_aliases, parse_document_sets, read_files, read_jdbc, snapshot
@@ -114,9 +118,22 @@ def _check_source(source: dict, resources: dict) -> set[str]:
         raise SpecError("a source of JSON text needs extra.schema")
     if mode == "replica" and not extra.get("pk"):
         raise SpecError("a replica needs extra.pk")
+    _check_position(extra)
     return {a for names in sets.values() for a in names}
 
 
+def _check_position(extra: dict) -> None:
+    log, saved = extra.get("log"), extra.get("resume_after")
+    if log is not None and not (isinstance(log, dict) and log.get("file") and log.get("offset")):
+        raise SpecError("extra.log names the columns file and offset")
+    if isinstance(saved, dict) and not (log and isinstance(saved.get("file"), str) and isinstance(saved.get("offset"), int)):
+        raise SpecError("a position of file and offset needs both, and extra.log")
+    if log and saved is not None and not isinstance(saved, dict):
+        raise SpecError("the position in a log of files is a file and an offset")
+    if extra.get("start", "first") not in ("first", "now"):
+        raise SpecError(f"unknown start {extra['start']!r}")
+
+
 def _check_target(target: dict, resources: dict) -> None:
     if target.get("resource_id") not in resources:
         raise SpecError(f"target resource {target.get('resource_id')!r} is not declared")
@@ -161,9 +178,13 @@ def _place(resource: dict, name: str) -> str:
     return f"{resource['path'].rstrip('/')}/{name}{resource.get('suffix', '')}"
 
 
-def source_documents(raw: DataFrame, resource: dict, source: dict, doc_set: str, alias: str, log: DataFrame | None = None):
+def source_documents(
+    raw: DataFrame, resource: dict, source: dict, doc_set: str, alias: str, log: DataFrame | None = None, manifest: DataFrame | None = None,
+    held: bool = False,
+):
     """The documents of one alias, and the unreadable rows as dead letters (None if there can be none).
-    raw is the snapshot, the change log of a stream, or JSON text; log the change log of a replica."""
+    raw is the snapshot, the change log of a stream, or JSON text; log the change log of a replica, manifest the list of its
+    files (taken from the changes themselves where there is none). held: the saved position is known to hold."""
     extra = source.get("extra") or {}
     pk, kind = extra.get("pk"), resource["type"]
     if kind in TEXT_TYPES or kind == "kafka":
@@ -171,18 +192,34 @@ def source_documents(raw: DataFrame, resource: dict, source: dict, doc_set: str,
     base = None if source["sync_mode"] == "stream" else snapshot(raw, doc_set, pk)
     changes = raw if source["sync_mode"] == "stream" else log
     if changes is not None:
-        changes = changes.withColumnsRenamed({extra.get("pos", "pos"): POS, extra.get("op", "op"): OP})
-        saved = extra.get("resume_after")
-        if saved is not None:
-            first = changes.agg(F.min(POS)).first()[0]
-            if first is not None and first <= saved + 1:
-                base = None     # the log reaches back to the saved position, so the target has the snapshot
-            changes = resume_after(changes, saved, POS, first)
+        changes, base = _resumed(changes, base, extra, manifest, held)
         changes = change_ops(changes, doc_set, pk, POS, OP)
         base = changes if base is None else base.unionByName(changes, allowMissingColumns=True)
     return fan_out_aliases(base, [alias]), None
 
 
+def _resumed(changes: DataFrame, base: DataFrame | None, extra: dict, manifest: DataFrame | None, held: bool) -> tuple[DataFrame, DataFrame | None]:
+    """The changes after the saved position, with POS and OP, and the snapshot, which is empty if the log reaches back to it."""
+    spot, saved = extra.get("log"), extra.get("resume_after")
+    changes = changes.withColumnsRenamed({extra.get("op", "op"): OP} | ({} if spot else {extra.get("pos", "pos"): POS}))
+    if spot:
+        file, offset = spot["file"], spot["offset"]
+        position = None if saved is None else logs.Position(saved["file"], saved["offset"])
+        if held and position is not None:
+            changes = changes.filter(logs.after(position, quoted(file), quoted(offset)))
+        elif position is not None:
+            manifest = logs.manifest_of(changes, file, offset) if manifest is None else manifest
+            # a snapshot taken anew already holds what the log has so far; changes applied twice leave the same rows
+            changes = logs.resume(changes, manifest, position, file, offset, "start" if base is not None else "head")
+            base = None if base is None else logs.unless_held(base, manifest, position)
+        return changes.withColumn(POS, logs.file_position(quoted(file), quoted(offset))).drop(file, offset), base
+    if saved is not None and base is not None:
+        # numbers alone do not tell a gap from a purged part, so the log has to begin at the position
+        first = changes.agg(F.min(quoted(POS)).alias("first"))
+        base = logs.only_if(base, first.filter(F.coalesce(F.col("first") > F.lit(saved) + 1, F.lit(True))))
+    return resume_after(changes, saved), base
+
+
 def _text_documents(raw: DataFrame, kind: str, extra: dict, pk: str | None, doc_set: str, alias: str):
     if kind == "index":
         docs, errors = parse_index_hits(raw, extra["schema"])
@@ -209,6 +246,11 @@ def run_alias(docs: DataFrame, flow: list[dict] | None, lookup, pk: str | None)
     return good, None if failed is None else dead_letters(failed, "pipeline", F.col("_error"))
 
 
+def _manifest(reader: Reader, resource: dict, extra: dict) -> DataFrame | None:
+    listed = (extra.get("log") or {}).get("manifest")
+    return reader(resource, listed) if listed else None
+
+
 def _flows(spec: dict) -> dict[str, list[dict]]:
     return {name: p["flow"] for p in spec.get("pipeline", []) for name in p["document_set"].split(",")}
 
@@ -231,8 +273,9 @@ def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None) ->
             log_set = extra.get("changes", doc_set)
             raw = reader(resource, log_set if source["sync_mode"] == "stream" else doc_set)
             log = reader(resource, log_set) if source["sync_mode"] == "replica" else None
+            manifest = _manifest(reader, resource, extra)
             for alias in names:
-                read[alias], unread = source_documents(raw, resource, source, doc_set, alias, log)
+                read[alias], unread = source_documents(raw, resource, source, doc_set, alias, log, manifest)
                 letters.append(unread)
                 keys[alias] = extra.get("pk")
     for alias, docs in read.items():
@@ -364,26 +407,51 @@ def start_task(
             raise SpecError(f"a resource of type {resource['type']!r} has no change files to follow")
         for doc_set, names in parse_document_sets(source["document_set"]).items():
             for alias in names:
-                if source["sync_mode"] == "replica":
+                log_set, checkpoint = extra.get("changes", doc_set), f"{folder}/checkpoint/{alias}"
+                unlimited = lambda: stream_reader(resource, log_set, {**extra, "limit": None})
+                resumed = _begin(spark, reader, unlimited, resource, log_set, extra, source["sync_mode"], f"{folder}/start/{alias}", checkpoint)
+                if source["sync_mode"] == "replica" and not resumed:
                     raw = reader(resource, doc_set)
                     _load_replica(raw, resource, source, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder)
-                stream = stream_reader(resource, extra.get("changes", doc_set), extra)
-                checkpoint = f"{folder}/checkpoint/{alias}"
+                stream = stream_reader(resource, log_set, extra)
+                followed = extra if resumed else {k: v for k, v in extra.items() if k != "resume_after"}
                 on_batch = _batch_writer(
-                    resource, {**source, "sync_mode": "stream"}, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder, checkpoint,
+                    resource, {**source, "sync_mode": "stream", "extra": followed}, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder, checkpoint,
                     bool((spec.get("setup") or {}).get("error_record")),
                 )
                 running[alias] = runner.start(stream, on_batch, checkpoint, once, interval)
     return running
 
 
+def _begin(spark, reader, unlimited, resource, log_set, extra, mode, place, checkpoint) -> bool:
+    """Where the stream of an alias begins, settled at its first start and written down: whether it goes on from the saved position.
+
+    A position that no longer holds is dropped: the stream then begins now, a replica with a new snapshot. With start "now"
+    the files present are passed over before a replica takes its snapshot, so nothing falls between the two.
+    """
+    try:
+        return spark.read.parquet(place).first().resumed
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    saved, spot = extra.get("resume_after"), extra.get("log")
+    resumed = saved is not None
+    if isinstance(saved, dict):
+        manifest = _manifest(reader, resource, extra)
+        manifest = logs.manifest_of(reader(resource, log_set), spot["file"], spot["offset"]) if manifest is None else manifest
+        resumed = logs.holds(manifest, logs.Position(saved["file"], saved["offset"]))
+    lost = saved is not None and not resumed
+    if not resumed and (extra.get("start") == "now" or (lost and mode == "stream")) and resource["type"] != "kafka":
+        runner.begin_now(unlimited(), checkpoint)
+    spark.range(1).select(F.lit(resumed).alias("resumed"), F.current_timestamp().alias("at")).write.parquet(place)
+    return resumed
+
+
 def _load_replica(raw, resource, source, doc_set, alias, flow, lookup, target, resources, folder) -> None:
     """The snapshot of a replica, stored and folded as a stream of one batch; every change has a later position."""
     extra = target[0].get("extra") or {} if target is not None else {}
     if not extra.get("keyed"):
         raise SpecError("a running replica needs a keyed target")
-    if (source.get("extra") or {}).get("resume_after") is not None:
-        return
     docs, _ = source_documents(raw, resource, {**source, "sync_mode": "direct"}, doc_set, alias)
     good, failed = run_alias(docs, flow, lookup, source["extra"]["pk"])
     keyed = keyed_target(raw.sparkSession, resources[target[0]["resource_id"]], target[1], extra, good)
@@ -398,7 +466,7 @@ def _load_replica(raw, resource, source, doc_set, alias, flow, lookup, target, r
 
 def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder, checkpoint, record_refused):
     def apply(batch: DataFrame, batch_id: int) -> None:
-        docs, unread = source_documents(batch, resource, source, doc_set, alias)
+        docs, unread = source_documents(batch, resource, source, doc_set, alias, held=True)
         good, failed = run_alias(docs, flow, lookup, (source.get("extra") or {}).get("pk"))
         letters, keyed, extra, stream = [unread, failed], None, {}, None
         if target is not None:

@@ -63,12 +63,10 @@ def with_header(df: DataFrame, fields: dict[str, Column], old_doc: Column | None
     return out
 
 
-def resume_after(df: DataFrame, saved: int | None, pos: str = POS, first: int | None = None) -> DataFrame:
-    """Changes after the saved position. If the log no longer reaches back to it (its first position is
-    later), or nothing was saved, the log is read from its start."""
-    if saved is None or (first is not None and first > saved + 1):
-        return df
-    return df.filter(quoted(pos) > F.lit(saved))
+def resume_after(df: DataFrame, saved: int | None, pos: str = POS) -> DataFrame:
+    """Changes after the saved position, all of them if nothing was saved. Where the log is kept in files, logs.resume()
+    knows whether the position can still be followed."""
+    return df if saved is None else df.filter(quoted(pos) > F.lit(saved))
 
 
 # ---- column decoding -------------------------------------------------------------------------
@@ -83,7 +81,9 @@ def decode_enum(index: Column, labels: list[str]) -> Column:
 
 def decode_set(mask: Column, labels: list[str]) -> Column:
     """Comma list of the labels whose bit is set."""
-    bits = [F.when(mask.cast("bigint").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(v)) for i, v in enumerate(labels)]
+    if len(labels) > 64:
+        raise ValueError("a set has 64 labels at most")
+    bits = [F.when(F.getbit(mask.cast("bigint"), F.lit(i)) == 1, F.lit(v)) for i, v in enumerate(labels)]
     return F.when(mask.isNotNull(), F.concat_ws(",", *bits))
 
 

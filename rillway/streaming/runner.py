@@ -58,6 +58,15 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
+def begin_now(stream: DataFrame, checkpoint: str) -> None:
+    """Let the stream begin with what comes from now on: what its source holds is committed to the checkpoint and not read.
+
+    The batch is given to nobody, so Spark lists the source and runs no job. Call it once, before the first start; a later
+    start with the checkpoint goes on from there. The stream should have no limit per batch.
+    """
+    start(stream, lambda batch, batch_id: None, checkpoint, once=True).awaitTermination()
+
+
 def state(query: StreamingQuery) -> str:
     """run, stop (ended by an error) or done."""
     if query.isActive:

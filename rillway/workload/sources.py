@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillway.columns import ALIAS, DOC_SET, ID_FIELD, ID_VALUE, OP, POS
-from rillway.sources import changes, messages, tables
+from rillway.sources import changes, logs, messages, tables
 from rillway.workload.registry import Tables, query
 
 # events as a change log: the operation of each event type
@@ -133,10 +133,36 @@ WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'signup' A
 def resume_from_pos(t: Tables):
     # the saved position is the last one the target has seen
     applied = t.events.filter("event_type = 'signup' AND value < 50 AND ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'")
-    saved = applied.agg(F.max("event_id")).first()[0]
+    saved = applied.agg(F.max("event_id")).scalar()
     return changes.resume_after(t.events, saved, "event_id").select("event_id", "user_id", "event_type", "value")
 
 
+# events as a log in files of a hundred changes, 40 bytes apart after a head of 4
+def _file_log(t: Tables):
+    file = F.concat(F.lit("log."), F.lpad(F.expr("event_id div 100").cast("string"), 6, "0"))
+    return t.events.select("event_id", "user_id", file.alias("file"), (F.lit(4) + F.col("event_id") % 100 * 40).alias("offset"))
+
+
+@query("resume_from_manifest", """
+SELECT 'held' AS kind, event_id, user_id FROM events WHERE event_id > 324
+UNION ALL SELECT 'purged', event_id, user_id FROM events WHERE event_id >= 800
+UNION ALL SELECT 'short', event_id, user_id FROM events WHERE event_id > 311
+UNION ALL SELECT 'short, all', event_id, user_id FROM events""")
+def resume_from_manifest(t: Tables):
+    """The same saved position against three lists of files: one that holds it, one whose old files are gone, and one in
+    which its file ends too early. From a lost position the log is followed from where the list ended."""
+    log, saved = _file_log(t), logs.Position("log.000003", 990)
+    listed = logs.manifest_of(log)
+    short = logs.manifest_of(log.filter("event_id < 312"))
+    kinds = {
+        "held": logs.resume(log, listed, saved),
+        "purged": logs.resume(log, listed.filter("file between 'log.000005' and 'log.000007'"), saved),
+        "short": logs.resume(log, short, saved),
+        "short, all": logs.resume(log, short, saved, lost="start"),
+    }
+    return tables.multi_source(kinds).select(F.col(DOC_SET).alias("kind"), "event_id", "user_id")
+
+
 def _cut(text, broken):
     """The JSON text, without its last character where it should be broken."""
     return F.when(broken, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)

@@ -84,6 +84,23 @@ def stream_batches(t: Tables):
     return t.spark.read.parquet(f"{folder}/rows").drop("batch_id")
 
 
+@query("stream_from_now", """
+SELECT event_id, user_id, event_type, value, 1 + event_id % 3 AS run FROM events WHERE event_id % 3 > 0""")
+def stream_from_now(t: Tables):
+    """A stream that passes over the files present at its start, read in two runs, each after more files came."""
+    folder = scratch(t)
+    rows = t.events.select("event_id", "user_id", "event_type", "value")
+    arrive = lambda part: rows.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{folder}/events")
+    changes = lambda limit=None: runner.change_stream(t.spark, f"{folder}/events", rows.schema, limit)
+    arrive(0)
+    runner.begin_now(changes(), f"{folder}/checkpoint")
+    for part in (1, 2):
+        arrive(part)
+        tag = lambda batch, part=part: batch.withColumn("run", F.lit(part + 1).cast("bigint"))
+        run(runner.start_append(changes(4), f"{folder}/out", f"{folder}/checkpoint", tag, once=True))
+    return t.spark.read.parquet(f"{folder}/out").drop("batch_id")
+
+
 @query("stream_queue_to_index", """
 WITH log AS (
   SELECT user_id, event_id AS pos, value, event_type,

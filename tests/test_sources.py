@@ -66,7 +66,6 @@ def test_resume(spark):
     df = spark.range(5).select(F.col("id").alias(POS))
     assert changes.resume_after(df, 2).count() == 2
     assert changes.resume_after(df, None).count() == 5
-    assert changes.resume_after(df, 2, first=9).count() == 5
 
 
 def test_inventory(spark, tmp_path):
