@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway.columns import quoted
+from rillway.operators.scan import BITS, LEVELS, last_before
 from rillway.operators.skew import HOT_ROWS, find_hot_keys
 
 LIVE = "__live"
@@ -28,7 +29,6 @@ SINCE, DATES = "__since", "__dates"
 ALL_FIELDS = "*"
 BEGINNING = -(2**62)     # before every position
 OFFSET_BITS = 40
-SLICES = 256      # position slices of a hot key
 _SALTS = 16       # parts of the second look at re-inserted keys
 
 
@@ -217,50 +217,33 @@ def outcomes(
     delete of a missing one).
 
     Whether the row is alive depends on the last insert or delete before the change. Within a key this
-    is a window; keys with more than hot_rows changes are cut into position slices, and each slice is
-    told how the one before it ended.
+    is a window; where a key, or the rows without one, have more than hot_rows changes, it is a segmented scan.
     """
-    decisive = F.when(quoted(op).isin("insert", "delete", "snapshot"), quoted(op) != "delete")
-    marked = changes.withColumn("__alive", decisive)
-    hot = find_hot_keys(changes, keys, hot_rows)
-    group = list(keys)
-    if hot.frame is not None:
-        marked = _sliced(marked, hot, keys, pos)
-        group = [*keys, "__slice"]
-    window = Window.partitionBy(*[quoted(k) for k in group]).orderBy(quoted(pos), quoted(op))
-    before = F.last("__alive", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
-    marked = marked.withColumn("__before", before)
-    if hot.frame is not None:
-        carried = _carried(marked, keys, pos)
-        marked = marked.join(carried, group, "left").withColumn(
-            "__before", F.coalesce(F.col("__before"), F.col("__carried"))
-        )
-    alive = F.coalesce(F.col("__before"), F.lit(False))
-    outcome = (
+    if find_hot_keys(changes, keys, hot_rows):
+        return outcomes_scan(changes, keys, pos, op)
+    window = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(quoted(pos), quoted(op))
+    before = F.last(_alive_after(op), ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    return changes.withColumn("outcome", _outcome(op, before))
+
+
+def outcomes_scan(changes: DataFrame, keys: list[str], pos: str = "pos", op: str = "op", bits: int = BITS, levels: int = LEVELS) -> DataFrame:
+    """outcomes() by a segmented scan, which needs no look at the data beforehand and no task for a whole key."""
+    # operations of one position are in alphabetical order, as in the window of outcomes()
+    order = quoted(pos).cast("bigint") * 4 + F.array_position(F.array(*[F.lit(o) for o in ("delete", "insert", "snapshot", "update")]), quoted(op)) - 1
+    marked = changes.withColumns({"__alive": _alive_after(op), "__ord": order})
+    marked = last_before(marked, keys, "__ord", "__alive", "__before", bits, levels)
+    return marked.withColumn("outcome", _outcome(op, F.col("__before"))).drop("__alive", "__ord", "__before")
+
+
+def _alive_after(op: str) -> Column:
+    """Whether there is a row after the change, null if the change does not decide it."""
+    return F.when(quoted(op).isin("insert", "delete", "snapshot"), quoted(op) != "delete")
+
+
+def _outcome(op: str, before: Column) -> Column:
+    alive = F.coalesce(before, F.lit(False))
+    return (
         F.when((quoted(op) == "insert") & alive, F.lit("duplicate"))
         .when(quoted(op).isin("update", "delete") & ~alive, F.lit("no_row"))
         .otherwise(F.lit("applied"))
     )
-    return marked.withColumn("outcome", outcome).select(*[quoted(c) for c in changes.columns], "outcome")
-
-
-def _sliced(df: DataFrame, hot, keys: list[str], pos: str) -> DataFrame:
-    """Number the slices of hot keys. Cuts are percentiles of the key's own positions, since these are seldom evenly spaced."""
-    # at most HOT_LIMIT keys with SLICES numbers each, see HotKeys
-    names = F.broadcast(hot.frame.select(*[quoted(k) for k in keys]))
-    shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    cuts = F.percentile_approx(quoted(pos), shares, 10 * SLICES).alias("__cuts")
-    bounds = df.select(*[quoted(k) for k in keys], quoted(pos)).join(names, keys, "left_semi").groupBy(*[quoted(k) for k in keys]).agg(cuts)
-    joined = df.join(F.broadcast(bounds), keys, "left")
-    slice_no = F.size(F.filter("__cuts", lambda c: c <= quoted(pos)))
-    return joined.withColumn("__slice", F.when(F.col("__cuts").isNull(), 0).otherwise(slice_no)).drop("__cuts")
-
-
-def _carried(marked: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Per key and slice: alive or not when the slice begins. One small row per slice goes in, so the
-    window over the slices of a key stays short."""
-    at = F.when(F.col("__alive").isNotNull(), quoted(pos))
-    ends = marked.groupBy(*[quoted(k) for k in keys], "__slice").agg(F.max_by(F.col("__alive"), at).alias("__end"))
-    window = Window.partitionBy(*[quoted(k) for k in keys]).orderBy("__slice")
-    earlier = F.last("__end", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
-    return ends.select(*[quoted(k) for k in keys], "__slice", earlier.alias("__carried"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillway.columns import ALIAS, DOC_SET, ID_VALUE, OP
-from rillway.operators.fold import fold_index, fold_table, outcomes, split_key_changes
+from rillway.operators.fold import fold_index, fold_table, outcomes, outcomes_scan, split_key_changes
 from rillway.operators.keyed import delete_rows, insert_rows, update_rows
 from rillway.plans.task import build_task, default_reader, target_state
 from rillway.sinks import quality, writers
@@ -270,6 +270,16 @@ def change_outcomes(t: Tables):
     return event_outcomes(t).select("event_id", "user_id", "op", "outcome")
 
 
+@query("change_outcomes_scan", _OUTCOME_SQL + """, d AS (SELECT event_id, nullif(user_id, 10) AS u, op,
+  coalesce(last_value(CASE op WHEN 'insert' THEN true WHEN 'delete' THEN false END IGNORE NULLS)
+   OVER (PARTITION BY nullif(user_id, 10) ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS alive FROM log)
+SELECT event_id, u AS user_id, op, CASE WHEN op = 'insert' AND alive THEN 'duplicate' WHEN op <> 'insert' AND NOT alive THEN 'no_row' ELSE 'applied' END AS outcome FROM d""")
+def change_outcomes_scan(t: Tables):
+    """The same by a segmented scan in blocks of 256 and 65,536 positions; one user has lost its key."""
+    log = t.events.select("event_id", F.nullif(F.col("user_id"), F.lit(10)).alias("user_id"), event_op().alias("op"))
+    return outcomes_scan(log, ["user_id"], "event_id", "op", bits=8)
+
+
 _LETTERS_SQL = _OUTCOME_SQL + """, letters AS (
 SELECT event_id, 'delivery' AS stage, 'duplicate key' AS reason, 'events' AS alias,
        CAST(to_json({'user_id': user_id, 'event_type': event_type, 'value': value, 'props': props, 'op': op}) AS VARCHAR) AS doc_json

@@ -5,8 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillway.operators.fold import SLICES, _sliced, fold_index, fold_table, log_position, outcomes, split_key_changes
-from rillway.operators.skew import find_hot_keys
+from rillway.operators.fold import fold_index, fold_table, log_position, outcomes, outcomes_scan, split_key_changes
 
 SCHEMA = "k int, pos bigint, op string, a int, b string, present array<string>"
 
@@ -107,13 +106,39 @@ def test_fold_shuffles_one_row_per_key_and_task(spark):
     assert "Window" not in plan and plan.count("partial_max_by") >= 1
 
 
-def test_slices_of_a_hot_key_are_even(spark):
-    rows = spark.range(4000).select(
-        F.lit(1).alias("k"), log_position(F.floor(F.col("id") / 3000), F.col("id") * 7).alias("pos"), F.lit("update").alias("op")
-    )
-    hot = find_hot_keys(rows, ["k"], 100)
-    sizes = [r["count"] for r in _sliced(rows, hot, ["k"], "pos").groupBy("__slice").count().collect()]
-    assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / SLICES
+@pytest.mark.parametrize("bits, levels", [(1, 1), (2, 3), (5, 2), (16, 2)])
+@pytest.mark.parametrize("shift", [0, 40])
+def test_scan_equals_replay(spark, bits, levels, shift):
+    rows = [(None if r[0] == 4 else r[0], r[1] << shift, *r[2:]) for r in random_log(11, keys=12, changes=200, snapshots=True)]
+    expected = {(r[0], r[1], r[2]): o for r in rows if (o := replay([(-1 if x[0] is None else x[0], *x[1:]) for x in rows], False)[1].get((-1 if r[0] is None else r[0], r[1]))) and r[2] != "snapshot"}
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    out = outcomes_scan(df, ["k"], bits=bits, levels=levels)
+    assert out.columns == [*df.columns, "outcome"]
+    got = {(r.k, r.pos, r.op): r.outcome for r in out.collect() if r.op != "snapshot"}
+    assert got == expected and out.count() == len(rows)
+
+
+def test_scan_of_an_empty_log_and_of_repeats(spark):
+    assert outcomes_scan(spark.createDataFrame([], SCHEMA), ["k"]).count() == 0
+    rows = [(1, 5, "insert", 1, "x", None)] * 3 + [(1, 6, "delete", None, None, None)] * 2
+    two = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("a", "a.b")
+    assert outcomes_scan(two, ["k", "b"], bits=1).count() == 5
+
+
+@pytest.mark.parametrize("key", ["CAST(5 AS BIGINT)", "CAST(NULL AS BIGINT)"])
+def test_scan_leaves_no_task_with_a_hot_key(spark, key):
+    """90 % of the rows on one key, or without one: windows and joins of rows see even parts."""
+    log = spark.range(60_000).selectExpr(f"CASE WHEN id % 10 > 0 THEN {key} ELSE id END AS k", "id * 3 AS pos", "CASE id % 7 WHEN 0 THEN 'insert' WHEN 1 THEN 'delete' ELSE 'update' END AS op")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = outcomes_scan(log, ["k"], bits=8)
+        assert "BroadcastNestedLoopJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 60_000 and max(sizes) <= 2 * 60_000 / 4
 
 
 def test_offsets_that_do_not_fit_are_refused(spark):
