@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from rillway.columns import doc_columns, envelope_columns, has_map, quoted
 from rillway.functions.coerce import is_fractional, is_integral, plain_text
 from rillway.operators.skew import (
-    PART, PARTS, cut_groups, find_hot_keys, repeat_for_parts, salted_join, spread_over_parts,
+    CELL_ROWS, GRID_ROWS, HOT_ROWS, PART, cut_groups, find_hot_keys, grid_join, salted_join,
 )
 from rillway.operators.steps import SpecError, merge_columns
 
 HIT = "__hit"
+CONSTANT_ROWS = 10_000     # most lookup rows that every main row gets, where no field of it is compared
 
 
 # ---- conditions ----------------------------------------------------------------------------
@@ -76,6 +77,7 @@ def _wide_type(*types: T.DataType) -> str:
     if all(is_integral(t) for t in types):
         return "bigint"
     if all(is_integral(t) or isinstance(t, T.DecimalType) for t in types):
+        # what does not fit beside that many fraction digits equals no value of the type that has them
         return f"decimal(38,{max(t.scale for t in types if isinstance(t, T.DecimalType))})"
     return "double"
 
@@ -89,7 +91,7 @@ def _common_keys(a: Column, ta: T.DataType, b: Column, tb: T.DataType, ignore_ca
     numeric_a, numeric_b = (is_integral(t) or is_fractional(t) for t in (ta, tb))
     if numeric_a and numeric_b:
         wide = _wide_type(ta, tb)
-        return a.cast(wide), b.cast(wide)
+        return a.try_cast(wide), b.try_cast(wide)
     if numeric_a and isinstance(tb, T.StringType):
         wide = _wide_type(ta)
         return a.cast(wide), b.try_cast(wide)
@@ -206,8 +208,9 @@ def relate(
     root: list[str] | None = None,
     on_missing: str = "error",
     keys_ci: bool = False,
-    split_hot: bool = False,
+    split_hot: bool | int = False,
     array_rows: int | None = None,
+    constant_rows: int = CONSTANT_ROWS,
 ) -> DataFrame:
     """Join each main row with its first ("11") or all ("1n") matching lookup rows.
 
@@ -221,6 +224,10 @@ def relate(
     ("passthrough"), are dropped ("drop") or pass with nulls ("nulls"). With root columns, a row
     without a match is dropped when another row of the same root has one. A nested array longer than
     array_rows is cut: its document then comes out in several rows, which hold every match between them.
+
+    split_hot=True spreads keys with very many rows, a number says from how many rows on. Where constants are all there is to
+    compare, every main row meets the same lookup rows. They are found once, as a value of the plan; 1:n gives an error
+    if there are more than constant_rows.
     """
     if assoc not in ("11", "1n") or layer not in ("sub", "sib"):
         raise SpecError(f"relate: unknown assoc {assoc!r} or layer {layer!r}")
@@ -237,6 +244,12 @@ def relate(
 
     left, right, keys = _key_columns(main, lookup, conditions, fields, order_by or [], keys_ci)
     hit = F.coalesce(F.col(HIT), F.lit(False))
+    if not conditions.pairs:
+        joined = _with_first(left, right, fields, order_by or []) if assoc == "11" else _with_all(left, right, fields, layer, constant_rows)
+        if assoc == "11":
+            return joined.select(*_one_row_output(main, lookup, layer, sub_label, field_map, mapped, hit))
+        joined = joined.filter(hit) if unmatched == "drop" else joined
+        return joined.select(*_many_rows_output(main, lookup, layer, sub_label, field_map, mapped, hit, unmatched))
     if assoc == "11":
         right = right if unique else _first_per_key(right, keys, fields, order_by or [])
         joined = _join(left, right.withColumn(HIT, F.lit(True)), keys, "left", split_hot, cut_right=False)
@@ -277,9 +290,6 @@ def _key_columns(main, lookup, conditions: Conditions, fields, order_by, keys_ci
         a, b = _common_keys(quoted(source), main_types[source], quoted(rel), types[rel], keys_ci)
         left_keys.append(a.alias(f"__k{i}"))
         right_keys.append(b.alias(f"__k{i}"))
-    if not left_keys:
-        # constants only: every main row meets the same lookup rows
-        left_keys, right_keys = [F.lit(1).alias("__k0")], [F.lit(1).alias("__k0")]
     keys = [f"__k{i}" for i in range(len(left_keys))]
     left = main.select(*[quoted(c) for c in main.columns], *left_keys)
     right = lookup.select(
@@ -292,6 +302,17 @@ def _key_columns(main, lookup, conditions: Conditions, fields, order_by, keys_ci
 
 def _first_per_key(right: DataFrame, keys, fields, order_by) -> DataFrame:
     """One lookup row per key. min over a struct combines map-side, so a hot key costs one row per task."""
+    first = _first_of(right, fields, order_by)
+    if first is None:
+        return right.select(*keys).distinct()
+    return (
+        right.groupBy(*keys).agg(first.alias("__first"))
+        .select(*keys, *[F.col(f"__first.`__r_{c}`").alias("__r_" + c) for c in fields])
+    )
+
+
+def _first_of(right: DataFrame, fields, order_by) -> Column | None:
+    """The aggregate of the first row, None if no field is in use."""
     types = {f.name: f.dataType for f in right.schema}
     rank = ["__o_" + c for c in order_by] + ["__r_" + c for c in fields]
     sortable = [quoted(c) for c in rank if not has_map(types[c])]
@@ -299,14 +320,36 @@ def _first_per_key(right: DataFrame, keys, fields, order_by) -> DataFrame:
     if rest and not sortable:
         raise SpecError("relate: these fields have no order, order_by is needed")
     if rest:
-        first = F.min_by(F.struct(*sortable, *rest), F.struct(*sortable))
-    elif sortable:
-        first = F.min(F.struct(*sortable))
-    else:
-        return right.select(*keys).distinct()
-    return (
-        right.groupBy(*keys).agg(first.alias("__first"))
-        .select(*keys, *[F.col(f"__first.`__r_{c}`").alias("__r_" + c) for c in fields])
+        return F.min_by(F.struct(*sortable, *rest), F.struct(*sortable))
+    return F.min(F.struct(*sortable)) if sortable else None
+
+
+def _with_first(main: DataFrame, right: DataFrame, fields, order_by) -> DataFrame:
+    """main beside the first of the lookup rows, which is one value for the whole plan."""
+    first = _first_of(right, fields, order_by)
+    one = right.agg(F.count(F.lit(1)).alias("__n"), *([] if first is None else [first.alias("__first")]))
+    found = main.withColumn("__one", one.select(F.struct("*")).scalar())
+    return found.select(
+        *[quoted(c) for c in main.columns], (F.col("__one.__n") > 0).alias(HIT),
+        *[F.col(f"__one.__first.`__r_{c}`").alias("__r_" + c) for c in fields],
+    )
+
+
+def _with_all(main: DataFrame, right: DataFrame, fields, layer: str, most: int) -> DataFrame:
+    """main with all lookup rows, as an array (sub) or one row each (sib). They are a value of the plan, so their number is checked."""
+    item = F.struct(F.lit(True).alias(HIT), *[quoted("__r_" + c).alias(c) for c in fields])
+    items = F.collect_list(item)
+    if not has_map(right.select(item.alias("i")).schema[0].dataType):
+        items = F.sort_array(items)
+    too_many = F.raise_error(F.lit(f"relate: constants alone match more than {most} rows, see constant_rows"))
+    found = F.when(F.count(F.lit(1)) > most, too_many).otherwise(items).alias("__all")
+    joined = main.withColumn("__all", right.limit(most + 1).agg(found).scalar())
+    if layer == "sub":
+        nested = F.transform("__all", lambda x: F.struct(*[x.getField(c).alias(c) for c in fields]))
+        return joined.withColumns({HIT: F.size("__all") > 0, "__items": F.when(F.size("__all") > 0, nested)}).drop("__all")
+    each = joined.withColumn("__one", F.explode_outer("__all")).drop("__all")
+    return each.select(
+        *[quoted(c) for c in main.columns], F.col(f"__one.{HIT}").alias(HIT), *[F.col("__one").getField(c).alias("__r_" + c) for c in fields]
     )
 
 
@@ -327,20 +370,10 @@ def _nest(right: DataFrame, keys, fields, label, array_rows) -> DataFrame:
 def _join(left: DataFrame, right: DataFrame, keys, how, split_hot, cut_right) -> DataFrame:
     if not split_hot:
         return left.join(right, keys, how)
+    given = None if split_hot is True else int(split_hot)
     if not cut_right:
-        return salted_join(left, right, keys, how, find_hot_keys(left, keys))
-    return _fan_out_join(left, right, keys, how)
-
-
-def _fan_out_join(left: DataFrame, right: DataFrame, keys, how) -> DataFrame:
-    """1:n join with the lookup rows of hot keys spread over parts, and each main row of such a key
-    repeated for every part. A copy whose part has no rows is dropped: the key has rows in another."""
-    hot = find_hot_keys(right, keys)
-    if hot.frame is None:
-        return salted_join(left, right, keys, how, find_hot_keys(left, keys))
-    copies = repeat_for_parts(left, hot)
-    joined = copies.join(spread_over_parts(right, hot), [*keys, PART], how)
-    return joined.filter(F.col(HIT).isNotNull() | (F.col(PARTS) == 1)).drop(PART, PARTS)
+        return salted_join(left, right, keys, how, find_hot_keys(left, keys, given or HOT_ROWS), given or HOT_ROWS)
+    return grid_join(left, right, keys, how, HIT, given or GRID_ROWS, given or HOT_ROWS, given * given if given else CELL_ROWS)
 
 
 def _drop_unmatched_siblings(joined, left, right, keys, root, unmatched) -> DataFrame:

@@ -19,6 +19,9 @@ HOT_LIMIT = 1024           # most hot keys ever fetched; one more is asked for t
 HOT_ROWS = 1_000_000       # rows of one key from which splitting pays
 PART = "__part"
 PARTS = "__parts"
+ROW, COL, ROWS, COLS = "__row", "__col", "__rows", "__cols"     # of the grid of a key that is hot on both sides
+GRID_ROWS = 10_000         # rows of one key from which a grid is considered: 10,000 by 10,000 are a task's worth of results
+CELL_ROWS = 100_000_000    # results of one cell
 PROBE_HITS = 1000          # sampled rows a key of min_rows rows is expected to have
 
 
@@ -119,6 +122,57 @@ def salted_join(
     return spread_over_parts(left, hot, rows_per_part).join(repeated, [*keys, PART], how).drop(PART)
 
 
+def _grid(hot_left: HotKeys, hot_right: HotKeys, rows_per_part: int, cell_rows: int) -> DataFrame | None:
+    """Over how many rows (parts of the left side) and columns (of the right side) each hot key is dealt: so many that no part
+    has much more than rows_per_part rows and no cell of the grid much more than cell_rows results."""
+    frames = [
+        hot.frame.select(*[quoted(k) for k in hot.keys], F.col("__n").alias(n)) for hot, n in ((hot_left, "__l"), (hot_right, "__r"))
+        if hot.frame is not None
+    ]
+    if not frames:
+        return None
+    sizes = frames[0] if len(frames) == 1 else frames[0].join(frames[1], hot_left.keys, "full")
+    count = lambda n: F.greatest(F.coalesce(F.col(n), F.lit(1)), F.lit(1)) if n in sizes.columns else F.lit(1)
+    parts = lambda n: F.ceil(count(n) / F.lit(rows_per_part))
+    cell = (count("__l") / parts("__l")) * (count("__r") / parts("__r"))
+    finer = F.ceil(F.sqrt(F.greatest(cell / F.lit(cell_rows), F.lit(1.0))))
+    # a side with few rows of the key is not cut below a row
+    cut = lambda n: F.least(parts(n) * finer, count(n)).cast("bigint")
+    return sizes.select(*[quoted(k) for k in hot_left.keys], cut("__l").alias(ROWS), cut("__r").alias(COLS))
+
+
+def grid_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, hit: str, hot_rows: int = GRID_ROWS,
+    rows_per_part: int = HOT_ROWS, cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """Join on equally named keys ("inner" or "left") with keys that may be hot on either side or on both.
+
+    The left rows of such a key are dealt to the rows of a grid and repeated for its columns, the right rows to the columns and
+    repeated for the rows: each pair meets in one cell, and each cell is a key of its own for the shuffle. Rows without a key
+    are spread. hit names a column that is set in every right row. The keys must be the only names the two sides share.
+    """
+    hot_left, hot_right = find_hot_keys(left, keys, hot_rows), find_hot_keys(right, keys, hot_rows)
+    sizes = _grid(hot_left, hot_right, rows_per_part, cell_rows)
+    if sizes is None and not hot_left.null_rows:
+        return left.join(right, keys, how)
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def sized(df):
+        if sizes is None:
+            return df.withColumns({ROWS: one, COLS: one})
+        # at most 2 * HOT_LIMIT small rows
+        known = df.join(F.broadcast(sizes), keys, "left")
+        return known.withColumns({ROWS: F.coalesce(F.col(ROWS), one), COLS: F.coalesce(F.col(COLS), one)})
+
+    every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    null_parts = F.lit(max(1, -(-hot_left.null_rows // rows_per_part))).cast("bigint")
+    a = sized(left).withColumn(ROW, spread(left, F.when(all_set(keys), F.col(ROWS)).otherwise(null_parts))).withColumn(COL, every(COLS))
+    b = sized(right.filter(all_set(keys))).withColumn(COL, spread(right, F.col(COLS))).withColumn(ROW, every(ROWS))
+    joined = a.drop(ROWS).join(b.drop(ROWS, COLS), [*keys, ROW, COL], how)
+    # a copy whose column has no rows is dropped: a key with several columns has rows in another
+    return joined.filter(quoted(hit).isNotNull() | (F.col(COLS) == 1)).drop(ROW, COL, COLS)
+
+
 def cut_groups(df: DataFrame, keys: list[str], rows_per_part: int) -> DataFrame:
     """Add __part so that (keys, __part) groups hold about rows_per_part rows at most.
 

@@ -13,7 +13,7 @@ from rillway.operators.steps import SpecError, filter_step, map_inline, map_step
 
 Lookups = Callable[[str, str], DataFrame]
 
-RELATE_OPTIONS = ("order_by", "unique", "unmatched", "on_missing", "keys_ci", "split_hot", "array_rows")
+RELATE_OPTIONS = ("order_by", "unique", "unmatched", "on_missing", "keys_ci", "split_hot", "array_rows", "constant_rows")
 
 
 def check_steps(steps: list[dict]) -> None:

@@ -146,6 +146,46 @@ def relate_const(t: Tables):
     return relate(t.customer, t.orders, wheres, "11", "sib", field_map=fields, order_by=["o_orderkey"])
 
 
+@query("relate_const_only", """
+SELECT c_custkey, c_name, o_orderkey AS order_key, o_totalprice AS price FROM customer
+LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 1) ON true""")
+def relate_const_only(t: Tables):
+    # nothing of the document is compared, so all get the same row
+    fields = {"s.c_custkey": "c_custkey", "s.c_name": "c_name", "r.o_orderkey": "order_key", "r.o_totalprice": "price"}
+    return relate(t.customer, t.orders, [on("status", "o_orderstatus", "P")], "11", "sib", field_map=fields, order_by=["o_orderkey"])
+
+
+@query("relate_const_only_all", """
+SELECT s_suppkey, s_name, n_name AS nation, n_regionkey AS region FROM supplier JOIN nation ON n_regionkey = 3""")
+def relate_const_only_all(t: Tables):
+    fields = {"s.s_suppkey": "s_suppkey", "s.s_name": "s_name", "r.n_name": "nation", "r.n_regionkey": "region"}
+    return relate(t.supplier, t.nation, [on("region", "n_regionkey", 3)], "1n", "sib", field_map=fields, unmatched="drop")
+
+
+@query("relate_wide_decimal", """
+SELECT c_custkey, c_acctbal, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 2 = 0""")
+def relate_wide_decimal(t: Tables):
+    """Whole numbers against decimals of 30 fraction digits; the odd orders have a fraction and match nobody."""
+    fraction = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("." + "0" * 29 + "1")
+    key = F.concat(F.col("o_custkey").cast("string"), fraction).try_cast("decimal(38, 30)")
+    orders = t.orders.select("o_orderkey", key.alias("cust"))
+    main = t.customer.select("c_custkey", "c_acctbal")
+    return relate(main, orders, [on("c_custkey", "cust")], "1n", "sib").drop("cust")
+
+
+@query("relate_1n_hot_both", """
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 3 ELSE c_nationkey END AS place FROM customer),
+ s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 3 WHEN s_suppkey % 11 > 0 THEN s_nationkey END AS place FROM supplier)
+SELECT c_custkey, c.place, s_suppkey FROM c LEFT JOIN s ON c.place = s.place""")
+def relate_1n_hot_both(t: Tables):
+    """Half of the customers and half of the suppliers share one place, many have none."""
+    number = lambda name: F.col(name) % 2 == 0
+    main = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 11 == 0, None).when(number("c_custkey"), 3).otherwise(F.col("c_nationkey")).alias("place"))
+    lookup = t.supplier.select("s_suppkey", F.when(number("s_suppkey"), 3).when(F.col("s_suppkey") % 11 > 0, F.col("s_nationkey")).alias("at"))
+    out = relate(main, lookup, [on("place", "at")], "1n", "sib", split_hot=20)
+    return out.select("c_custkey", "place", "s_suppkey")
+
+
 @query("relate_missing_field", """
 SELECT c_custkey, o.k AS order_key FROM customer LEFT JOIN (
   SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey""")

@@ -3,9 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rillway.operators import relate as relate_module
 from rillway.operators.relate import const_text, find, parse_field_map, relate, resolve_conditions
-from rillway.operators.skew import cut_groups, find_hot_keys, repeat_for_parts, salted_join, spread_over_parts
+from rillway.operators.skew import _grid, cut_groups, find_hot_keys, grid_join, salted_join
 from rillway.operators.steps import SpecError
 from rillway.plans.flow import run_flow
 
@@ -95,6 +94,35 @@ def test_constant_only_condition(main, lookup):
     assert rows(out) == [("a", None, 2), ("b", None, 2), ("c", None, 2), ("d", None, 2)]
 
 
+@pytest.mark.parametrize("layer", ["sub", "sib"])
+@pytest.mark.parametrize("assoc", ["11", "1n"])
+def test_constants_plan_no_join(main, lookup, assoc, layer):
+    fields = {"s.name": "m", "r.name": "l"}
+    out = relate(main, lookup, [on("", "rank", 7.0)], assoc, layer, "l", fields if layer == "sib" else None)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 4
+    none = relate(main, lookup, [on("", "rank", 70.0)], assoc, layer, "l", fields if layer == "sib" else None, unmatched="drop")
+    assert none.count() == (0 if assoc == "1n" and layer == "sib" else 4 if assoc == "11" else 0)
+
+
+def test_constants_with_all_matches(spark, main):
+    lookup = spark.createDataFrame([(1, "x", {"a": 1}), (1, "y", None), (2, "z", None)], "t int, n string, m map<string,int>")
+    nested = relate(main, lookup, [on("", "t", 1)], "1n", "sub", "all").collect()
+    assert all(sorted(x.n for x in r["all"]) == ["x", "y"] for r in nested) and len(nested) == 4
+    assert [r["all"] for r in relate(main, lookup, [on("", "t", 9)], "1n", "sub", "all").collect()] == [None] * 4
+    assert relate(main, lookup, [on("", "t", 1)], "1n", "sib", field_map={}).count() == 8
+    with pytest.raises(Exception, match="more than 1 rows"):
+        relate(main, lookup, [on("", "t", 1)], "1n", "sub", "all", constant_rows=1).collect()
+    merged = relate(main, lookup.drop("m"), [on("", "t", 2)], "11", "sib")
+    assert {(r.t, r.n) for r in merged.collect()} == {(2, "z")}
+
+
+def test_decimals_of_many_digits_do_not_overflow(spark):
+    main = spark.createDataFrame([(1234567890123,), (5,), (6,)], "k bigint")
+    lookup = spark.sql("SELECT CAST(v AS DECIMAL(38,30)) AS d, v FROM VALUES ('5'), ('6.000000000000000000000000000001') AS t(v)")
+    out = relate(main, lookup, [on("k", "d")], "1n", "sib", field_map={"s.k": "k", "r.v": "v"}, unmatched="nulls")
+    assert {(r.k, r.v) for r in out.collect()} == {(1234567890123, None), (5, "5"), (6, None)}
+
+
 def test_field_map_rules(spark):
     parsed = {m.name: m for m in parse_field_map({"r.a": "x|i:bad", "b": "y", "q.c": "z|s:t", "a.b.c": "no", "r.d": "w|i:1|s:2"})}
     assert set(parsed) == {"x", "y", "z", "w"} and parsed["w"].default is None
@@ -176,17 +204,59 @@ def test_long_arrays_are_cut_but_whole(spark, skewed):
     assert [s for s in sizes if s[0] != 0] in ([(1, 1), (-5, None)], [(-5, None), (1, 1)])
 
 
-def test_fan_out_with_a_hot_lookup_key(spark, skewed, monkeypatch):
-    monkeypatch.setattr(relate_module, "find_hot_keys", lambda df, keys: find_hot_keys(df, keys, 100))
+def test_fan_out_with_a_hot_lookup_key(spark, skewed):
     main = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (-5, "d"), (None, "e")], "k bigint, name string")
     fields = {"s.name": "name", "r.id": "id"}
-    monkeypatch.setattr(relate_module, "repeat_for_parts", lambda df, hot: repeat_for_parts(df, hot, 100))
-    monkeypatch.setattr(relate_module, "spread_over_parts", lambda df, hot: spread_over_parts(df, hot, 100))
-    split = relate(main, skewed, [on("k", "k")], "1n", "sib", field_map=fields, split_hot=True)
+    split = relate(main, skewed, [on("k", "k")], "1n", "sib", field_map=fields, split_hot=100)
     plain = relate(main, skewed, [on("k", "k")], "1n", "sib", field_map=fields)
     assert rows(split.select("k", "name", "id")) == rows(plain.select("k", "name", "id"))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot_rows, rows_per_part, cell_rows", [(50, 100, 10_000), (50, 7, 10**9), (10**6, 10**6, 10**9), (20, 10**6, 400)])
+def test_grid_join_equals_join(spark, skewed, how, hot_rows, rows_per_part, cell_rows):
+    left = skewed.filter("id < 900")
+    right = spark.range(600).selectExpr("CASE WHEN id % 4 = 0 THEN 0 WHEN id % 9 = 0 THEN NULL WHEN id % 3 = 0 THEN 21 ELSE id END AS k", "id AS w", "true AS hit")
+    grid = grid_join(left, right, ["k"], how, "hit", hot_rows, rows_per_part, cell_rows)
+    plain = left.join(right, "k", how)
+    assert rows(grid.select("k", "id", "w")) == rows(plain.select("k", "id", "w"))
+    empty = grid_join(left, right.limit(0), ["k"], how, "hit", hot_rows, rows_per_part, cell_rows)
+    assert empty.count() == (left.count() if how == "left" else 0)
+
+
+def test_grid_join_leaves_no_hot_task(spark):
+    """One key with 90 % of both sides and rows without a key: 810,000 results, in even parts."""
+    left = spark.range(3000).selectExpr("CASE WHEN id % 10 = 0 THEN NULL ELSE 7 END AS k", "id")
+    right = spark.range(300).selectExpr("CASE WHEN id % 10 = 0 THEN id ELSE 7 END AS k", "id AS w", "true AS hit")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = grid_join(left, right, ["k"], "left", "hit", 100, 100, 2000)
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 2700 * 270 + 300 and max(sizes) <= 1.5 * sum(sizes) / 4
+
+
+def test_cells_follow_the_results():
+    class Hot:
+        def __init__(self, frame):
+            self.keys, self.frame = ["k"], frame
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    hot = lambda n: Hot(None if n is None else spark.createDataFrame([(1, n)], "k int, __n bigint"))
+    grid = lambda a, b: tuple(_grid(hot(a), hot(b), 1_000_000, 100_000_000).select("__rows", "__cols").first())
+    assert grid(5_000_000, None) == (5, 1)
+    assert grid(None, 5_000_000) == (1, 5)
+    assert grid(20_000, 20_000) == (2, 2)
+    rows_, cols = grid(1_000_000, 1_000_000)
+    assert 1_000_000 / rows_ * 1_000_000 / cols <= 100_000_000
+    assert _grid(hot(None), hot(None), 1, 1) is None
+
+
 def test_a_small_lookup_is_broadcast_and_pruned(spark, tmp_path):
     spark.range(100).selectExpr("id AS k", "id AS a", "id AS b").write.parquet(str(tmp_path / "lookup"))
     spark.range(1000).selectExpr("id AS k", "id AS m", "id AS unused").write.parquet(str(tmp_path / "main"))
