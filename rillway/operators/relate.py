@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, types as T
+from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
 from rillway.columns import doc_columns, envelope_columns, has_map, quoted
 from rillway.functions.coerce import is_fractional, is_integral, plain_text
 from rillway.operators.skew import (
-    CELL_ROWS, GRID_ROWS, HOT_ROWS, PART, cut_groups, find_hot_keys, grid_join, salted_join,
+    CELL_ROWS, GRID_ROWS, HOT_ROWS, PART, all_set, cut_groups, find_hot_keys, grid_join, salted_join, spread,
 )
 from rillway.operators.steps import SpecError, merge_columns
 
@@ -260,7 +260,7 @@ def relate(
     how = "inner" if unmatched == "drop" and not root else "left"
     joined = _join(left, right.withColumn(HIT, F.lit(True)), keys, how, split_hot, cut_right=layer == "sib")
     if root:
-        joined = _drop_unmatched_siblings(joined, left, right, keys, root, unmatched)
+        joined = _drop_unmatched_siblings(joined, left, right, keys, root, unmatched, split_hot)
     return joined.select(*_many_rows_output(main, lookup, layer, sub_label, field_map, mapped, hit, unmatched))
 
 
@@ -376,9 +376,20 @@ def _join(left: DataFrame, right: DataFrame, keys, how, split_hot, cut_right) ->
     return grid_join(left, right, keys, how, HIT, given or GRID_ROWS, given or HOT_ROWS, given * given if given else CELL_ROWS)
 
 
-def _drop_unmatched_siblings(joined, left, right, keys, root, unmatched) -> DataFrame:
-    """Drop unmatched rows whose root has a match elsewhere. The roots with a match come from the key
-    columns alone and are made distinct map-side, so no root is gathered in one task."""
+def _drop_unmatched_siblings(joined, left, right, keys, root, unmatched, split_hot) -> DataFrame:
+    """Drop unmatched rows whose root has a match elsewhere. Rows without a root have no siblings.
+
+    The rows of a root meet in one window, so the flow up to here runs once. With split_hot a root may have more rows than a
+    task should see: then the roots with a match are found from the key columns, distinct map-side, and joined to the
+    rows with hot roots spread; for that the flow runs twice.
+    """
+    hit = F.coalesce(F.col(HIT), F.lit(False))
+    if not split_hot:
+        rooted = all_set(root)
+        alone = F.when(~rooted, spread(joined, F.lit(1 << 20)))
+        matched = F.max(hit).over(Window.partitionBy(*[quoted(r) for r in root], alone)) & rooted
+        flagged = joined.withColumn("__any", matched)
+        return flagged.filter(hit if unmatched == "drop" else hit | ~F.col("__any"))
     names = [f"__root{i}" for i in range(len(root))]
     matched_roots = (
         left.join(right.select(*keys).distinct(), keys, "left_semi")
@@ -386,13 +397,10 @@ def _drop_unmatched_siblings(joined, left, right, keys, root, unmatched) -> Data
         .distinct()
         .withColumn("__any", F.lit(True))
     )
-    same = F.lit(True)
-    for r, n in zip(root, names):
-        same = same & (quoted(r) == F.col(n))
-    hit = F.coalesce(F.col(HIT), F.lit(False))
-    flagged = joined.join(matched_roots, same, "left")
-    keep = hit if unmatched == "drop" else hit | F.col("__any").isNull()
-    return flagged.filter(keep)
+    named = joined.withColumns({n: quoted(r) for r, n in zip(root, names)})
+    given = HOT_ROWS if split_hot is True else int(split_hot)
+    flagged = salted_join(named, matched_roots, names, "left", find_hot_keys(named, names, given), given).drop(*names)
+    return flagged.filter(hit if unmatched == "drop" else hit | F.col("__any").isNull())
 
 
 def _lookup_struct(lookup: DataFrame) -> Column:

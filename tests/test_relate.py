@@ -137,23 +137,43 @@ def test_text_default_on_a_number(main, lookup):
     assert rows(out) == [("a", "5"), ("b", "7"), ("c", "none"), ("d", "none")]
 
 
-def test_siblings_without_match_are_dropped(spark):
-    root = spark.createDataFrame([(1,), (2,), (3,)], "r int")
-    first = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (2, 21)], "r int, s int")
-    second = spark.createDataFrame([(10, "hit")], "s int, t string")
-    frames = {"first": first, "second": second}
-    step = lambda name, fields, source, rel: {
+def sibling_flow(unmatched="nulls", **options):
+    step = lambda name, fields, source, rel, **more: {
         "type": "relateInline", "assoc_type": "1n", "layer_type": "sib", "relate_document_set": name, "unmatched": "nulls",
-        "field_map": fields, "wheres": [on(source, rel)],
+        "field_map": fields, "wheres": [on(source, rel)], **more,
     }
-    steps = [
-        step("first", {"s.r": "r", "r.s": "s"}, "r", "r"),
-        step("second", {"s.r": "r", "s.s": "s", "r.t": "t"}, "s", "s"),
-    ]
-    expected = sorted([(1, 10, "hit"), (2, 20, None), (2, 21, None), (3, None, None)], key=repr)
+    second = step("second", {"s.r": "r", "s.s": "s", "r.t": "t"}, "s", "s", **options)
+    return [step("first", {"s.r": "r", "r.s": "s"}, "r", "r"), {**second, "unmatched": unmatched}]
+
+
+@pytest.mark.parametrize("split_hot", [False, True, 2])
+def test_siblings_without_match_are_dropped(spark, split_hot):
+    root = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,), (None,)], "r int")
+    first = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (2, 21)] + [(4, 40 + i) for i in range(20)], "r int, s int")
+    second = spark.createDataFrame([(10, "hit"), (45, "x"), (45, "y")], "s int, t string")
+    frames = {"first": first, "second": second}
+    expected = [(1, 10, "hit"), (2, 20, None), (2, 21, None), (3, None, None), (4, 45, "x"), (4, 45, "y"), (None, None, None), (None, None, None)]
     for key in (["r"], None):
-        out, _ = run_flow(root, steps, lambda _r, name: frames[name], root=key)
-        assert rows(out.select("r", "s", "t")) == expected
+        out, _ = run_flow(root, sibling_flow(split_hot=split_hot), lambda _r, name: frames[name], root=key)
+        assert rows(out.select("r", "s", "t")) == sorted(expected, key=repr)
+        out, _ = run_flow(root, sibling_flow("drop", split_hot=split_hot), lambda _r, name: frames[name], root=key)
+        assert rows(out.select("r", "s", "t")) == sorted([e for e in expected if e[2]], key=repr)
+
+
+def test_siblings_need_one_exchange_of_their_own(spark, tmp_path):
+    for name, frame in (("root", "id AS r"), ("first", "id % 50 AS r, id AS s"), ("second", "id * 3 AS s, id AS t")):
+        spark.range(100).selectExpr(*frame.split(", ")).write.parquet(str(tmp_path / name))
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out, _ = run_flow(read("root"), sibling_flow(), lambda _r, name: read(name), root=["r"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # two for each join and one for the roots; each table is read once
+    assert plan.count("Exchange hashpartitioning") <= 5 and plan.count("FileScan") == 3 and "monotonically" not in plan
 
 
 def test_fields_without_an_order(spark, main):
