@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillway.columns import ALIAS, DOC_SET, ID_FIELD, ID_VALUE, OP, POS, SOURCE_FMT, quoted
 from rillway.functions.coerce import plain_text
+from rillway.sources.ranges import KeyRange
 
 FILE_FORMATS = ("parquet", "orc", "json", "csv", "avro", "text")
 
@@ -37,9 +38,19 @@ def jdbc_options(
     return options
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, pk: str | None = None, partitions: int = 32, **extra) -> DataFrame:
+def jdbc_predicates(ranges: list[KeyRange], key: str) -> list[str]:
+    """One predicate per partition; every row satisfies just one of them."""
+    return [r.sql(key) for r in ranges]
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, pk: str | None = None, partitions: int = 32, ranges: list[KeyRange] | None = None, **extra) -> DataFrame:
     """A table over JDBC. The bounds of a whole-number key are asked of the database, which answers from
-    its index; with any other key the table is read in one piece."""
+    its index; with any other key the table is read in one piece. ranges, from key_ranges() over a column of keys, give one
+    partition each instead, for keys of any type."""
+    if ranges is not None:
+        options = jdbc_options(url, table, **extra)
+        properties = {k: v for k, v in options.items() if k not in ("url", "dbtable")}
+        return spark.read.jdbc(url, table, predicates=jdbc_predicates(ranges, pk), properties=properties)
     bounds = None
     if pk is not None:
         query = f"(SELECT MIN({pk}) AS lo, MAX({pk}) AS hi FROM {table}) b"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillway.columns import ALIAS, DOC_SET, ID_FIELD, ID_VALUE, OP, POS
-from rillway.sources import changes, logs, messages, tables
+from rillway.sources import changes, logs, messages, ranges, tables
 from rillway.workload.registry import Tables, query
 
 # events as a change log: the operation of each event type
@@ -45,6 +45,21 @@ def keyset_page(t: Tables):
     return tables.keyset_page(orders, "o_orderkey", after=1000, size=500)
 
 
+@query("keyset_ranges", """
+SELECT o_orderkey, nullif(o_orderpriority || '/' || o_orderkey, '1-URGENT/' || o_orderkey) AS name, 1 AS holders, true AS even FROM orders""")
+def keyset_ranges(t: Tables):
+    """Orders under a text key in ten ranges: how many hold each row, and whether its range is near a tenth of the rows. The
+    rows of one priority have no key and are a range of their own."""
+    name = F.when(F.col("o_orderpriority") != "1-URGENT", F.concat_ws("/", "o_orderpriority", F.col("o_orderkey").cast("string")))
+    rows = t.orders.select("o_orderkey", name.alias("name"))
+    found = ranges.key_ranges(rows, "name", 10)
+    keyed = sum(r.rows for r in found if not r.null)
+    inside = [r.condition(F.col("name")) for r in found]
+    holders = sum((F.when(c, 1).otherwise(0) for c in inside), F.lit(0))
+    even = F.coalesce(*[F.when(c, F.lit(r.null or r.rows <= 1.5 * -(-keyed // 10))) for c, r in zip(inside, found)])
+    return rows.select("o_orderkey", "name", holders.alias("holders"), even.alias("even"))
+
+
 @query("change_stream", f"""
 SELECT event_id, user_id, event_type, value, props, {EVENT_OP_SQL} AS _op_type, alias AS _alias,
        CAST(user_id AS VARCHAR) AS _id_value, event_id AS _pos
