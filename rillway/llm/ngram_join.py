@@ -8,7 +8,9 @@
    pair). Their exact links give first components; large
    groups of near copies are one component from here on.
 4. Tiles that still hold several components are cut into blocks and compared block by block. Every member brings a bitmap
-   of its shingles: from the bits that differ follows the most the two sets can share. Pairs within reach go on.
+   of its shingles: from the bits that differ follows the most the two sets can share. Pairs within reach go on. The tokens
+   of a member are in one order for all, and two members that came from the same token have met there already, so a
+   passage of many shingles does not bring the same pair up once for each.
 5. Pairs are checked by exact intersection of the sorted arrays.
 No link between components is lost: a pair that was not compared lies within one component already.
 """
@@ -101,10 +103,11 @@ def size_band(percent: int):
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, rarity) -> DataFrame:
-    """id, token: the prefix shingles of each document. Of equal sets that one task meets, the first stands for all."""
+    """id, token: the prefix shingles of each document, the rarest ones by the ranks of their cells. Of equal sets that one task
+    meets, the first stands for all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts, seen = WordHashes(), rarity.value, set()
+        known, ranks, seen = WordHashes(), rarity.value, set()
         for batch in batches:
             for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 1024)):
                 ids, tokens = [], []
@@ -115,7 +118,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, rarity) -> DataFrame:
                     seen = seen if len(seen) < KNOWN_WORDS else set()
                     seen.add(digest)
                     keep = len(hashes) - -(-percent * len(hashes) // 100) + 1
-                    order = np.lexsort((hashes, counts[cell(hashes)]))[:keep]
+                    order = np.argsort(ranks[cell(hashes)], kind="stable")[:keep]  # by rank, then by hash, as hashes are sorted
                     ids.append(np.full(keep, doc, np.int64)), tokens.append(hashes[order])
                 if ids:
                     yield pd.DataFrame({"id": np.concatenate(ids), "token": np.concatenate(tokens).view(np.int64)})
@@ -123,6 +126,21 @@ def prefixes(docs: DataFrame, width: int, percent: int, rarity) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "id long, token long")
 
 
+def rarity_ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts as 16-bit ranks that rise with them (steps of 0.07 %), which sort in linear time. Every order that all documents
+    share gives right prefixes."""
+    return np.round(np.log2(counts + 1.0) * 1000).astype(np.uint16)
+
+
+def shared_count(own: np.ndarray, other: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    if not len(own) or not len(other):
+        return 0
+    at = np.searchsorted(own, other)
+    at[at == len(own)] = 0
+    return int(np.count_nonzero(own[at] == other))
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, text of the documents in ids. Up to a stated number of ids is broadcast; beyond it both sides are shuffled."""
     ids = saved(ids.select("id").distinct(), "shingle-ids")
@@ -146,7 +164,7 @@ def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
                 if a != hub:
                     hub, own = a, shingle_set(x, width, known)
                 other = shingle_set(y, width, known)
-                both = len(np.intersect1d(own, other, assume_unique=True))
+                both = shared_count(own, other)
                 good[i] = 100 * both >= percent * (len(own) + len(other) - both)
             yield batch.loc[good, ["a", "b"]]
 
@@ -169,9 +187,12 @@ def across(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of one token's members (token, id, band, n, component) from different components, within reach.
 
     Each (token, band) is cut into blocks of about TILE members. A member visits the later blocks of its own band and all
-    blocks of the next; it is compared there inside the join, which returns the pairs within reach only. The bitmaps
-    join last, so they are moved once for each side.
+    blocks of the next; it is compared there inside the join, which returns the pairs within reach only, each once for every
+    token they share after different ones.
     """
+    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    order = Window.partitionBy("id").orderBy("k", "token")
+    members = saved(members.join(sizes, "token").withColumn("before", F.lag("token").over(order)).drop("k"), "shingle-ordered")
     blocks = members.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     above = blocks.select("token", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     dealt = members.join(blocks.join(above, ["token", "band"], "left"), ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -182,11 +203,13 @@ def across(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     )
     visits = dealt.withColumn("to", F.explode(F.concat(own, upper)))
     home = (F.col("to.band") == F.col("band")) & (F.col("to.block") == F.col("block"))
-    a = visits.select("token", F.col("to.band").alias("band"), F.col("to.block").alias("block"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"), home.alias("home"))
-    b = dealt.select("token", "band", "block", F.col("id").alias("b"), "n", F.col("component").alias("cb"))
+    a = visits.select("token", F.col("to.band").alias("band"), F.col("to.block").alias("block"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"), home.alias("home"), F.col("before").alias("pa"))
+    b = dealt.select("token", "band", "block", F.col("id").alias("b"), "n", F.col("component").alias("cb"), F.col("before").alias("pb"))
     a = a.join(signs.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a")
     b = b.join(signs.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
-    met = a.join(b, ["token", "band", "block"]).where("ca <> cb and (not home or a < b)").where(within_reach("x", "m", "y", "n", percent))
+    # two members with the same token before this one share that too; if they share any, they meet at the first of them
+    fresh = "ca <> cb and (not home or a < b) and (pa is null or pb is null or pa <> pb)"
+    met = a.join(b, ["token", "band", "block"]).where(fresh).where(within_reach("x", "m", "y", "n", percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -207,7 +230,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     counts = np.zeros(1 << CELL_BITS, np.int64)
     table = first_pass.where("cell is not null").groupBy("cell").agg(F.sum("k").alias("k")).toPandas()  # 2^CELL_BITS rows at most
     counts[table["cell"].to_numpy()] = table["k"].to_numpy()
-    rarity = spark.sparkContext.broadcast(counts)
+    rarity = spark.sparkContext.broadcast(rarity_ranks(counts))
     tokens = saved(prefixes(docs, width, percent, rarity), "shingle-prefixes")
 
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
