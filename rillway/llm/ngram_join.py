@@ -233,9 +233,10 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     rarity = spark.sparkContext.broadcast(rarity_ranks(counts))
     tokens = saved(prefixes(docs, width, percent, rarity), "shingle-prefixes")
 
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    # counted where they are sorted by token, so the tokens are moved once
+    shared = tokens.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("k > 1").select("id", "token")
     nodes = of_doc.where("doc_id is not null").select(F.col("doc_id").alias("id"), "rep", "n").distinct()
-    members = tokens.join(shared, "token", "left_semi").join(nodes, "id").select("token", F.col("rep").alias("id"), "n", size_band(percent).alias("band")).distinct()
+    members = shared.join(nodes, "id").select("token", F.col("rep").alias("id"), "n", size_band(percent).alias("band")).distinct()
     members = saved(members, "shingle-members")
 
     signs = rows.where("n > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "bits")
