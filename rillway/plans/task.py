@@ -26,7 +26,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
@@ -35,7 +35,7 @@ from rillway.columns import ALIAS, DOC_SET, ID_VALUE, OP, POS, PRESENT, doc_colu
 from rillway.operators.fold import fold_index, fold_table
 from rillway.operators.steps import SpecError
 from rillway.plans.flow import check_steps, run_flow
-from rillway.sinks.quality import LETTER, dead_letters, observed
+from rillway.sinks.quality import COUNT_SCHEMA, COUNTS, LETTER, count_row, dead_letters, observed, observed_letters
 from rillway.sinks.target import KeyedTarget
 from rillway.sinks.writers import discard, envelope, object_lines
 from rillway.sources import logs
@@ -60,6 +60,7 @@ class Task:
     unrouted: list[str]                                         # aliases without a target
     errors: DataFrame | None                                    # dead letters of sources and flows
     read: dict[str, DataFrame] = field(default_factory=dict)    # alias -> documents before its flow
+    counts: dict[str, Observation] = field(default_factory=dict)    # alias -> rows read, known once its output is written
 
 
 # ---- checks
@@ -259,14 +260,14 @@ def _targets(spec: dict) -> dict[str, tuple[dict, str]]:
     return {alias: (t, name or alias) for t in spec["target"] for alias, name in t["document_set"].items()}
 
 
-def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None) -> Task:
-    """Turn a checked spec into DataFrames."""
+def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None, counted: bool = False) -> Task:
+    """Turn a checked spec into DataFrames. counted has the rows of each alias counted by the job that writes it."""
     check_task(spec)
     reader = reader or default_reader(spark)
     resources = {r["id"]: r for r in spec["resource"]}
     lookup = lambda resource_id, doc_set: reader(resources[resource_id], doc_set)
     flows, targets = _flows(spec), _targets(spec)
-    frames, read, keys, outputs, letters = {}, {}, {}, {}, []
+    frames, read, keys, outputs, letters, counts = {}, {}, {}, {}, [], {}
     for source in (s for s in spec["source"] if s["sync_mode"] != "empty"):
         resource, extra = resources[source["resource_id"]], source.get("extra") or {}
         for doc_set, names in parse_document_sets(source["document_set"]).items():
@@ -284,8 +285,13 @@ def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None) ->
         if alias in targets:
             place = (targets[alias][0]["resource_id"], targets[alias][1])
             df = frames[alias]
+            if counted:
+                # the same flow with its input counted; what fails on the way is counted with the dead letters
+                docs, counts[alias] = observed(docs, f"read {alias}")
+                df = frames[alias] = run_alias(docs, flows.get(alias), lookup, keys[alias])[0]
+            letters.append(_refused_lines(df, resources[place[0]], targets[alias][0].get("extra") or {}) if counted else None)
             outputs[place] = outputs[place].unionByName(df, allowMissingColumns=True) if place in outputs else df
-    return Task(frames, outputs, [a for a in frames if a not in targets], _all_letters(letters), read)
+    return Task(frames, outputs, [a for a in frames if a not in targets], _all_letters(letters), read, counts)
 
 
 def task_metrics(task: Task) -> DataFrame:
@@ -359,18 +365,46 @@ def write_task(task: Task, spec: dict) -> dict[str, dict[str, int]]:
     extras = {(t["resource_id"], name): t.get("extra") or {} for t, name in targets.values()}
     written = {}
     for (target_id, name), df in task.outputs.items():
+        # a keyed target stores the changes before it folds them, so they too are counted on their way
         extra = extras[target_id, name]
-        if extra.get("keyed"):
-            # a fold reads its changes more than once, so they are counted by themselves
-            write_output(df, resources[target_id], name, extra)
-            written[f"{target_id}/{name}"] = {"rows": df.count()}
-            continue
         counted, observation = observed(df, f"{target_id}/{name}")
         write_output(counted, resources[target_id], name, extra)
         written[f"{target_id}/{name}"] = observation.get
     return written
 
 
+def run_task(spark: SparkSession, spec: dict, folder: str, reader: Reader | None = None) -> DataFrame:
+    """Run the batch part of a task to its end: its outputs, its dead letters (to <folder>/errors) and its counts by alias, which
+    are written to <folder>/metrics and returned. There is one job per output and one for the dead letters, if there
+    can be any; the counts come from these jobs. Aliases without a target are not read."""
+    task = build_task(spark, spec, reader, counted=True)
+    write_task(task, spec)
+    aliases, failures = list(task.counts), {}
+    if task.errors is not None:
+        letters, observation = observed_letters(task.errors, "dead letters", aliases)
+        letters.write.mode("overwrite").parquet(f"{folder}/errors")
+        failures = observation.get
+    rows = [
+        count_row(alias, task.counts[alias].get["rows"], failures.get(f"delivery {i}", 0), failures.get(f"pipeline {i}", 0))
+        for i, alias in enumerate(aliases)
+    ]
+    spark.createDataFrame(rows, COUNT_SCHEMA).write.mode("overwrite").parquet(f"{folder}/metrics")
+    return spark.read.parquet(f"{folder}/metrics")
+
+
+def stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts of a running or ended task by alias, over the batches it has written so far."""
+    counts = spark.read.parquet(f"{folder}/metrics")
+    return counts.groupBy("alias").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def _refused_lines(df: DataFrame, place: dict, extra: dict) -> DataFrame | None:
+    """Dead letters of the rows that object lines cannot store, None for targets that take everything."""
+    if extra.get("keyed") or not (place["type"] in TEXT_TYPES or place["type"] == "json") or "format" in extra:
+        return None
+    return dead_letters(object_lines(df)[1], "delivery", "only inserts can be stored")
+
+
 def _lines(df: DataFrame, extra: dict) -> DataFrame:
     if "format" in extra:
         return envelope(df.drop(*[c for c in envelope_columns(df) if c != OP]), extra["format"])
@@ -467,6 +501,7 @@ def _load_replica(raw, resource, source, doc_set, alias, flow, lookup, target, r
 def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder, checkpoint, record_refused):
     def apply(batch: DataFrame, batch_id: int) -> None:
         docs, unread = source_documents(batch, resource, source, doc_set, alias, held=True)
+        docs, count = observed(docs, f"read {alias} {batch_id}")
         good, failed = run_alias(docs, flow, lookup, (source.get("extra") or {}).get("pk"))
         letters, keyed, extra, stream = [unread, failed], None, {}, None
         if target is not None:
@@ -481,9 +516,15 @@ def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resour
                 write_output(good, place, name, extra)
             if record_refused:
                 letters.append(_refused(good, place, extra, keyed, alias, batch_id, stream))
-        found = _all_letters(letters)
+        found, failures = _all_letters(letters), {}
         if found is not None:
+            found, failed_count = observed_letters(found, f"letters {alias} {batch_id}", [alias])
             found.write.mode("overwrite").parquet(f"{folder}/errors/alias={alias}/batch_id={batch_id}")
+            failures = failed_count.get
+        if target is not None:
+            _, *counts = count_row(alias, count.get["rows"], failures.get("delivery 0", 0), failures.get("pipeline 0", 0))
+            rows = batch.sparkSession.createDataFrame([counts], [f"{c}" for c in COUNTS])
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/metrics/alias={alias}/batch_id={batch_id}")
         every = extra.get("compact_every", 20)
         if keyed is not None and every and batch_id % every == every - 1:
             keyed.compact(stream, batch_id)
@@ -504,6 +545,4 @@ def _refused(good: DataFrame, place: dict, extra: dict, keyed: KeyedTarget | Non
     if keyed is not None:
         refused = keyed.refused(batch_id, stream).withColumnRenamed("reason", "__why").withColumn(ALIAS, F.lit(alias))
         return dead_letters(refused, "delivery", F.col("__why"), "__why")
-    if place["type"] in TEXT_TYPES or (place["type"] == "json" and "format" not in extra):
-        return dead_letters(object_lines(good)[1], "delivery", "only inserts can be stored")
-    return None
+    return _refused_lines(good, place, extra)

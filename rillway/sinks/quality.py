@@ -57,6 +57,23 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
 
 
+COUNTS = ("full_read_count", "full_delivery_count", "failed_delivery_count", "failed_pipeline_count")
+COUNT_SCHEMA = "alias string, " + ", ".join(f"{c} bigint" for c in COUNTS)
+
+
+def observed_letters(letters: DataFrame, name: str, aliases: list[str]) -> tuple[DataFrame, Observation]:
+    """Dead letters counted by alias and stage while they are written."""
+    observation = Observation(name)
+    of = lambda alias, stage: F.count_if((F.col("alias") == alias) & (F.col("stage") == stage))
+    counts = [of(a, s).alias(f"{s} {i}") for i, a in enumerate(aliases) for s in ("delivery", "pipeline")]
+    return letters.observe(observation, *counts), observation
+
+
+def count_row(alias: str, read: int, delivery: int, pipeline: int) -> tuple:
+    """The counts of one alias; filtered rows count as delivered."""
+    return alias, read, read - delivery - pipeline, delivery, pipeline
+
+
 def health(state: Column, new_delivery_failures: Column) -> Column:
     """red when stopped; when running yellow after new delivery failures, else green; none in other states."""
     running = F.when(new_delivery_failures > 0, F.lit("yellow")).otherwise(F.lit("green"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillway.streaming.runner import checkpoint_root
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -22,6 +26,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def scratch(t: Tables) -> str:
+    """A new folder in the shared checkpoint folder. Where none is set, a local master gets a temporary one."""
+    master = t.spark.sparkContext.master
+    local = master == "local" or master.startswith("local[")
+    return f"{checkpoint_root(t.spark, tempfile.mkdtemp(prefix='rillway-') if local else None)}/{uuid.uuid4().hex}"
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of Tables as a query, with its SQL counterpart."""
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from rillway.columns import ALIAS, DOC_SET, ID_VALUE, OP
 from rillway.operators.fold import fold_index, fold_table, outcomes, outcomes_scan, split_key_changes
 from rillway.operators.keyed import delete_rows, insert_rows, update_rows
-from rillway.plans.task import build_task, default_reader, target_state
+from rillway.plans.task import build_task, default_reader, run_task, target_state
 from rillway.sinks import quality, writers
 from rillway.sources.changes import change_ops
-from rillway.workload.registry import Tables, query
+from rillway.workload.registry import Tables, query, scratch
 from rillway.workload.sources import EVENT_OP_SQL, event_op
 
 
@@ -334,6 +334,53 @@ def task_health(t: Tables):
     return days.select(F.date_format("d", "yyyy-MM-dd").alias("day"), quality.health(state, F.col("failures")).alias("health"))
 
 
+_TASK_LOG = """
+WITH log AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op,
+  CASE WHEN event_type = 'view' AND value < 50 THEN 'NaN'::DOUBLE ELSE value END AS value FROM events)"""
+
+
+def _watched_spec(folder: str) -> dict:
+    """Events as a change log into object lines, which take inserts only; views below 50 fail on the way, small ones are filtered."""
+    flow = [
+        {"type": "map", "set": {"value": "if(event_type = 'view' AND value < 50, double('NaN'), value)"}, "check_numbers": True},
+        {"type": "filter", "where": "value < 10"},
+        {"type": "map", "drop": ["props", "event_type"]},
+    ]
+    return {
+        "setup": {"error_record": True},
+        "resource": [{"id": "in", "type": "parquet", "path": folder}, {"id": "out", "type": "lines", "path": folder}],
+        "source": [{"resource_id": "in", "sync_mode": "stream", "document_set": {"events": "users"}, "extra": {"pk": "user_id", "pos": "event_id"}}],
+        "target": [{"resource_id": "out", "document_set": {"users": "lines"}}],
+        "pipeline": [{"document_set": "users", "flow": flow}],
+    }
+
+
+def _watched_run(t: Tables):
+    folder = scratch(t)
+    log = lambda: t.events.select("user_id", "event_id", event_op().alias("op"), "event_type", "value", "props")
+    spec = _watched_spec(folder)
+    return folder, run_task(t.spark, spec, folder, lambda _resource, _name: log())
+
+
+@query("task_run_metrics", _TASK_LOG + """
+SELECT 'users' AS alias, count(*) AS full_read_count, count(*) FILTER (NOT isnan(value) AND (op = 'insert' OR value < 10)) AS full_delivery_count,
+       count(*) FILTER (NOT isnan(value) AND value >= 10 AND op <> 'insert') AS failed_delivery_count, count(*) FILTER (isnan(value)) AS failed_pipeline_count
+FROM log""")
+def task_run_metrics(t: Tables):
+    """The counts of a task, taken by the jobs that wrote its output and its dead letters."""
+    return _watched_run(t)[1]
+
+
+@query("task_dead_letters", _TASK_LOG + """
+SELECT 'pipeline' AS stage, 'users' AS alias, count(*) AS letters FROM log WHERE isnan(value)
+UNION ALL SELECT 'delivery', 'users', count(*) FROM log WHERE NOT isnan(value) AND value >= 10 AND op <> 'insert'""")
+def task_dead_letters(t: Tables):
+    """What a batch task left in its folder for the rows it could not deliver."""
+    folder, _ = _watched_run(t)
+    letters = t.spark.read.parquet(f"{folder}/errors")
+    return letters.groupBy("stage", "alias").agg(F.count(F.lit(1)).alias("letters"))
+
+
 # ---- the whole way
 
 def sync_spec(folder: str) -> dict:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from rillway.columns import OP, PRESENT
@@ -13,19 +10,11 @@ from rillway.sinks.target import KeyedTarget
 from rillway.sources.messages import parse_queue
 from rillway.streaming import runner
 from rillway.workload.joins import as_json, on
-from rillway.workload.registry import Tables, query
+from rillway.workload.registry import Tables, query, scratch
 from rillway.workload.sinks import EVENT_LOG_SQL, INDEX_FOLD_SQL, fold_table_sql, supplied_fields
 from rillway.workload.sources import event_op, queue_messages
 
 
-def scratch(t: Tables) -> str:
-    """A new folder in the shared checkpoint folder. Where none is set, a local master gets a temporary one."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not t.spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='rillway-')}/{uuid.uuid4().hex}"
-
-
 def stream_of(t: Tables, name: str):
     """One of the tables as a file stream."""
     schema = getattr(t, name).schema

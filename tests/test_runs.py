@@ -1,0 +1,65 @@
+"""Runs of whole tasks: counts taken by the jobs that write, and dead letters of batch runs."""
+
+import pytest
+
+from rillway.plans.task import run_task, start_task, stream_metrics
+
+LOG = "id int, pos bigint, op string, d double"
+ROWS = [(1, 1, "insert", 1.0), (2, 2, "insert", 0.0), (1, 3, "update", 5.0), (3, 4, "insert", 7.0), (4, 5, "delete", 2.0), (5, 6, "insert", 9.0)]
+FLOW = [{"type": "map", "set": {"r": "if(d = 0, double('NaN'), 1 / d)"}, "check_numbers": True}, {"type": "filter", "where": "d = 9"}]
+
+
+def spec(tmp_path, kind="lines", **extra):
+    return {
+        "setup": {"error_record": True},
+        "resource": [{"id": "in", "type": "parquet", "path": str(tmp_path / "in")}, {"id": "out", "type": kind, "path": str(tmp_path / "out")}],
+        "source": [{"resource_id": "in", "sync_mode": "stream", "document_set": {"log": ["a", "b"]}, "extra": {"pk": "id", "schema": LOG, "limit": 1}}],
+        "target": [{"resource_id": "out", "document_set": {"a": "x", "b": "y"}, "extra": extra}],
+        "pipeline": [{"document_set": "a", "flow": FLOW}],
+    }
+
+
+@pytest.fixture
+def log(spark, tmp_path):
+    spark.createDataFrame(ROWS, LOG).repartition(3).write.parquet(str(tmp_path / "in/log"))
+
+
+def counts(df):
+    return {r.alias: (r.full_read_count, r.full_delivery_count, r.failed_delivery_count, r.failed_pipeline_count) for r in df.collect()}
+
+
+LINES = {"a": (6, 3, 2, 1), "b": (6, 4, 2, 0)}
+
+
+def test_batch_run_counts_and_keeps_dead_letters(spark, tmp_path, log):
+    got = run_task(spark, spec(tmp_path), str(tmp_path / "run"))
+    assert counts(got) == LINES
+    letters = sorted((r.stage, r.alias, r.reason) for r in spark.read.parquet(str(tmp_path / "run/errors")).collect())
+    assert [x[:2] for x in letters] == [("delivery", "a")] * 2 + [("delivery", "b")] * 2 + [("pipeline", "a")]
+    assert spark.read.text(str(tmp_path / "out/x")).count() == 2 and spark.read.text(str(tmp_path / "out/y")).count() == 4
+    again = run_task(spark, spec(tmp_path, mode="overwrite"), str(tmp_path / "run"))
+    assert counts(again) == LINES and spark.read.parquet(str(tmp_path / "run/errors")).count() == 5
+
+
+def test_keyed_run_counts_once(spark, tmp_path, log):
+    got = run_task(spark, spec(tmp_path, "parquet", keyed="table", key="id"), str(tmp_path / "run"))
+    assert counts(got) == {"a": (6, 5, 0, 1), "b": (6, 6, 0, 0)}
+
+
+def test_a_run_is_one_job_per_output(spark, tmp_path, log):
+    s = spec(tmp_path, "parquet")
+    s["pipeline"] = []
+    frame = spark.read.schema(LOG).parquet(str(tmp_path / "in/log"))
+    frame.count()
+    spark.sparkContext.setJobGroup("run", "run")
+    got = run_task(spark, s, str(tmp_path / "run"), lambda _r, _n: frame)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("run")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # two outputs, the counts written, and the footer of the counts read back
+    assert len(jobs) <= 4 and counts(got) == {"a": (6, 6, 0, 0), "b": (6, 6, 0, 0)}
+
+
+def test_streaming_counts_equal_those_of_a_batch(spark, tmp_path, log):
+    for query in start_task(spark, spec(tmp_path), str(tmp_path / "run"), once=True).values():
+        query.awaitTermination()
+    assert counts(stream_metrics(spark, str(tmp_path / "run"))) == LINES
