@@ -129,6 +129,14 @@ def fn_now(t: Tables):
     return t.orders.select("o_orderkey", scalar.now().alias("seconds"))
 
 
+@query("fn_now_range", "SELECT o_orderkey, true AS after_2025, true AS whole, 1 AS moments FROM orders")
+def fn_now_range(t: Tables):
+    """The time of the query: after 2025, not in the future, and the same in every row."""
+    now = scalar.now()
+    moments = t.orders.select(now.alias("s")).agg(F.count_distinct("s").cast("int")).scalar()
+    return t.orders.select("o_orderkey", (now > 1735689600).alias("after_2025"), (now <= F.unix_timestamp()).alias("whole"), moments.alias("moments"))
+
+
 @query("fn_ceil", "SELECT c_custkey, ceil(c_acctbal)::DOUBLE AS whole, ceil(-c_acctbal / 3)::DOUBLE AS negative FROM customer")
 def fn_ceil(t: Tables):
     x = F.col("c_acctbal")

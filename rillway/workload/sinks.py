@@ -396,22 +396,22 @@ def sync_spec(folder: str) -> dict:
             {"resource_id": "files", "sync_mode": "direct", "document_set": {"customer": "clients"}, "extra": {"pk": "c_custkey"}},
             {"resource_id": "files", "sync_mode": "empty", "document_set": ""},
         ],
-        "target": [{"resource_id": "index", "document_set": {"clients": "clients_001"}}],
+        "target": [{"resource_id": "index", "document_set": {"clients": "clients_live"}}],
         "pipeline": [
             {
                 "document_set": "clients",
                 "flow": [
-                    {"type": "map", "set": {"attr1": "2022"}},
+                    {"type": "map", "set": {"batch_no": "7"}},
                     {"type": "filter", "where": "c_acctbal > 5000"},
                     {
                         "type": "mapInline",
-                        "field_map": [rename("c_custkey", "tab_id", "long"), rename("c_name", "tab_name", "string"), rename("c_acctbal", "balance", "string")],
+                        "field_map": [rename("c_custkey", "client_no", "long"), rename("c_name", "client_name", "string"), rename("c_acctbal", "balance", "string")],
                     },
                     {
                         "type": "relateInline", "assoc_type": "11", "relate_resource_id": "files", "relate_document_set": "nation",
                         "layer_type": "sib",
                         "field_map": {
-                            "s.tab_id": "tab_id", "s.tab_name": "tab_name", "s.balance": "balance", "s.attr1": "attr1",
+                            "s.client_no": "client_no", "s.client_name": "client_name", "s.balance": "balance", "s.batch_no": "batch_no",
                             "r.n_name": "nation|s:unknown", "r.n_regionkey": "region",
                         },
                         "wheres": [{"src_field": "c_nationkey", "operator": "=", "rel_field": "n_nationkey"}],
@@ -423,10 +423,10 @@ def sync_spec(folder: str) -> dict:
 
 
 @query("task_end_to_end", """
-SELECT c_custkey AS tab_id, c_name AS tab_name, printf('%.6f', c_acctbal) AS balance, 2022 AS attr1, coalesce(n_name, 'unknown') AS nation,
+SELECT c_custkey AS client_no, c_name AS client_name, printf('%.6f', c_acctbal) AS balance, 7 AS batch_no, coalesce(n_name, 'unknown') AS nation,
        n_regionkey AS region, CAST(c_custkey AS VARCHAR) AS _id_value, 'clients' AS _alias
 FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey WHERE NOT (c_acctbal > 5000)""")
 def task_end_to_end(t: Tables):
     task = build_task(t.spark, sync_spec(t.folder), default_reader(t.spark))
-    out = task.outputs["index", "clients_001"]
-    return out.select("tab_id", "tab_name", "balance", "attr1", "nation", "region", ID_VALUE, ALIAS)
+    out = task.outputs["index", "clients_live"]
+    return out.select("client_no", "client_name", "balance", "batch_no", "nation", "region", ID_VALUE, ALIAS)

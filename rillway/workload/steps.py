@@ -20,9 +20,9 @@ def _rule(source: str, target: str, source_type: str, target_type: str) -> dict:
 
 
 @query("map_add_column", """
-SELECT *, 2022 AS attr1, c_acctbal * 2 AS twice, upper(c_name) AS loud FROM customer""")
+SELECT *, 7 AS batch_no, c_acctbal * 2 AS twice, upper(c_name) AS loud FROM customer""")
 def map_add_column(t: Tables):
-    return map_step(t.customer, {"attr1": "2022", "twice": "c_acctbal * 2", "loud": "upper(c_name)"})
+    return map_step(t.customer, {"batch_no": "7", "twice": "c_acctbal * 2", "loud": "upper(c_name)"})
 
 
 @query("map_drop_column", "SELECT c_custkey, c_name, c_acctbal / 4 AS c_acctbal FROM customer")
@@ -71,12 +71,12 @@ def filter_truthy(t: Tables):
 
 
 @query("map_inline_rename", """
-SELECT c_custkey AS id, c_name AS tab_name, c_nationkey, printf('%.6f', c_acctbal) AS balance, c_mktsegment FROM customer""")
+SELECT c_custkey AS id, c_name AS client_name, c_nationkey, printf('%.6f', c_acctbal) AS balance, c_mktsegment FROM customer""")
 def map_inline_rename(t: Tables):
     return map_inline(
         t.customer,
         [
-            _rule("c_custkey", "id", "long", "long"), _rule("c_name", "tab_name", "string", "string"),
+            _rule("c_custkey", "id", "long", "long"), _rule("c_name", "client_name", "string", "string"),
             _rule("c_acctbal", "balance", "float", "string"), _rule("absent", "nothing", "long", "long"),
             _rule("c_nationkey", "ignored", "long", ""),
         ],
@@ -178,18 +178,18 @@ def script_text_and_number(t: Tables):
 
 
 @query("flow_chain", """
-SELECT o_orderkey AS id, o_custkey, o_orderstatus, printf('%.6f', o_totalprice) AS total, 2022 AS attr1, c.c_name AS customer_name
+SELECT o_orderkey AS id, o_custkey, o_orderstatus, printf('%.6f', o_totalprice) AS total, 7 AS batch_no, c.c_name AS customer_name
 FROM orders LEFT JOIN customer c ON c_custkey = o_custkey WHERE NOT (o_totalprice > 200000)""")
 def flow_chain(t: Tables):
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     steps = [
-        {"type": "map", "set": {"attr1": "2022"}},
+        {"type": "map", "set": {"batch_no": "7"}},
         {"type": "filter", "where": "o_totalprice > 200000"},
         {"type": "mapInline", "field_map": [_rule("o_orderkey", "id", "long", "long"), _rule("o_totalprice", "total", "float", "string")]},
         {
             "type": "relateInline", "assoc_type": "11", "relate_document_set": "customer", "layer_type": "sib", "unique": True,
             "field_map": {
-                "s.id": "id", "s.o_custkey": "o_custkey", "s.o_orderstatus": "o_orderstatus", "s.total": "total", "s.attr1": "attr1",
+                "s.id": "id", "s.o_custkey": "o_custkey", "s.o_orderstatus": "o_orderstatus", "s.total": "total", "s.batch_no": "batch_no",
                 "r.c_name": "customer_name",
             },
             "wheres": [{"src_field": "o_custkey", "operator": "=", "rel_field": "c_custkey"}],

@@ -262,8 +262,8 @@ def test_enrich_example_runs(spark, tmp_path):
     written = write_task(task, s)
     customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
     assert written["out/names"]["rows"] == customers.count()
-    assert written["out/clients_001"]["rows"] == customers.filter("c_acctbal <= 5000").count()
-    assert set(spark.read.json(str(tmp_path / "clients_001")).columns) == {"tab_id", "tab_name", "attr1", "nation", "orders"}
+    assert written["out/clients_live"]["rows"] == customers.filter("c_acctbal <= 5000").count()
+    assert set(spark.read.json(str(tmp_path / "clients_live")).columns) == {"client_no", "client_name", "batch_no", "nation", "orders"}
 
 
 def test_task_metrics(spark, tmp_path):
