@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillway.columns import has_map
+
 #: The white space of every contract, space and \t \n \v \f \r. bytes.split() uses the same six.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +39,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_order(df: DataFrame, row: str) -> Column:
+    """A hash of the struct `row`, which holds all columns of df: equal for repeated rows only (but for hash collisions)."""
+    return F.xxhash64(F.col(row).cast("string") if has_map(df.schema) else F.col(row))
+
+
 def numbered(df: DataFrame, *columns: str | Column) -> DataFrame:
     """The columns with a row number "row"; unique, not consecutive. Stable only once saved."""
     return df.select(*columns, F.monotonically_increasing_id().alias("row"))

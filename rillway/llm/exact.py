@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.llm.common import SPACES, numbered, saved
+from rillway.llm.common import SPACES, numbered, row_order, saved
 
 SALTS = 16
 
@@ -51,9 +51,9 @@ def exact_groups(docs: DataFrame, digest=lambda text: F.sha2(text, 256), salts:
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, one per distinct text: the one with the smallest doc_id. All columns are returned."""
-    id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  a group without any id keeps a row too
+    id_key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  a group without any id keeps a row too
     groups = winners(docs, salts=salts).select("digest", id_key("keep_id").alias("id_key"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), id_key("doc_id").alias("id_key"), F.sha2(normalised(F.col("text")), 256).alias("digest"))
-    one = Window.partitionBy("digest", "id_key").orderBy(F.xxhash64("row"))  # repeated rows; dealt as the join is
+    rows = docs.select(F.struct("*").alias("row"), id_key("doc_id").alias("id_key"), F.sha2(normalised(F.col("text")), 256).alias("digest"))
+    one = Window.partitionBy("digest", "id_key").orderBy(row_order(docs, "row"))  # repeated rows; dealt as the join is
     kept = rows.join(groups, ["digest", "id_key"], "left_semi").withColumn("n", F.row_number().over(one))
     return kept.where("n = 1").select("row.*")

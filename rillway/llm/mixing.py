@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.llm.common import WORD, numbered, running_sum, saved, spread_join
+from rillway.llm.common import WORD, numbered, row_order, running_sum, saved, spread_join
 
 #: Weights of the sources in code point order, and the limits of the mix.
 WEIGHTS = (5, 2, 1)
@@ -157,7 +157,8 @@ def mix_rows(docs: DataFrame, extra, weights=WEIGHTS, total_percent: int = TOTAL
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes its first word; all columns are returned.
 
-    Rows are found again by id, source and text, of which repeated rows share the copies of all of them.
+    Rows are found again by id, source and text, of which repeated rows share the copies of all of them,
+    in the order of a hash of all their columns.
     """
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -165,8 +166,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select("doc_id", "source", "text", id_key.alias("id_key"), source_key.alias("source_key"), text_hash.alias("text_hash"))
     copies = mix_rows(rows, ["id_key", "source_key", "text_hash"], **options).groupBy("id_key", "source_key", "text_hash")
     copies = copies.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), id_key.alias("id_key"), source_key.alias("source_key"), text_hash.alias("text_hash"))
+    keyed = docs.select(F.struct("*").alias("row"), id_key.alias("id_key"), source_key.alias("source_key"), text_hash.alias("text_hash"))
     found = keyed.join(copies, ["id_key", "source_key", "text_hash"])
-    nth = Window.partitionBy("id_key", "source_key", "text_hash").orderBy(F.lit(0))
+    nth = Window.partitionBy("id_key", "source_key", "text_hash").orderBy(row_order(docs, "row"))
     each = F.floor(F.col("copies") / F.col("rows")) + (F.row_number().over(nth) <= F.col("copies") % F.col("rows")).cast("long")
     return found.withColumn("each", each).where("each > 0").select("row", F.explode(F.sequence(F.lit(1), "each"))).select("row.*")

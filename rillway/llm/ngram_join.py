@@ -265,10 +265,10 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, or null; all columns are returned.
+    """The rows of docs whose doc_id, a whole number, is their component's smallest, or null; all columns are returned.
 
     Of rows that repeat an id, those with the component's first id stay.
     """
     gone = ngram_join(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     return rows.join(gone, "id", "left_anti").select("row.*")

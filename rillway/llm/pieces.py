@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillway.columns import quoted
 from rillway.llm.common import saved
 
 MARK = "▁"
@@ -193,7 +194,7 @@ def encode(docs: DataFrame, model: PieceModel, most: int = LATTICE_UNITS) -> Dat
     known = {u: np.asarray(t, np.int32).tobytes() for u, t in zip(table["unit"], table["tokens"])}
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((known, model.ids, model.ranks, model.first_byte, model.texts))  # plain values: no class to import
-    rest = [c for c in docs.columns if c not in ("tokens", "round_trip", "text")]
+    rest = [quoted(c) for c in docs.columns if c not in ("tokens", "round_trip", "text")]
 
     class Units(dict):
         """The lattice's units, and those met besides; emptied of these when there are too many."""
@@ -217,8 +218,16 @@ def encode(docs: DataFrame, model: PieceModel, most: int = LATTICE_UNITS) -> Dat
                 trips = [decoded(x.tolist(), texts) == (t or "").replace(MARK, " ") for x, t in zip(tokens, rows["text"])]
                 yield rows.assign(tokens=tokens, round_trip=trips)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest, "text").schema)
-    return docs.select(*rest, "text").mapInPandas(run, f"{kept}, tokens array<int>, round_trip boolean")
+    return _in_pandas(docs.select(*rest, "text"), run, "text", "tokens array<int>, round_trip boolean")
+
+
+def _in_pandas(df: DataFrame, run, named: str | None, added: str) -> DataFrame:
+    """df.mapInPandas(run) with columns added, which takes no names with dots: all columns but one have numbers on the way."""
+    names = [c if c == named else f"_{i}" for i, c in enumerate(df.columns)]
+    plain = df.toDF(*names)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    out = plain.mapInPandas(run, f"{kept}, {added}")
+    return out.toDF(*df.columns, *out.columns[len(names):])
 
 
 def decode(tokens: DataFrame, model: PieceModel) -> DataFrame:
@@ -229,6 +238,5 @@ def decode(tokens: DataFrame, model: PieceModel) -> DataFrame:
         for batch in batches:
             yield batch.assign(text=[None if t is None else decoded(list(t), texts.value) for t in batch["tokens"]])
 
-    rest = [c for c in tokens.columns if c != "text"]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*rest).schema)
-    return tokens.select(*rest).mapInPandas(run, f"{kept}, text string")
+    rest = [quoted(c) for c in tokens.columns if c != "text"]
+    return _in_pandas(tokens.select(*rest), run, "tokens", "text string")

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillway.columns import quoted
 from rillway.llm.common import numbered, saved, spread_join
 
 #: The characters counted as symbols, and white space.
@@ -89,7 +90,7 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 
 def id_key():
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key")
+    return F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("id_key")
 
 
 def host():
@@ -160,11 +161,11 @@ def without_frequent_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame
     left = spread_join(lines, flags, ["source", "line"], F.col("_row"), how="left").where("above is null")
     texts_left = left.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("x")).select("_row", F.array_join("x.text", "\n").alias("_left"))
     text = F.when(F.col("text").isNotNull(), F.coalesce("_left", F.lit("")))
-    return rows.join(texts_left, "_row", "left").withColumn("text", text).select(*docs.columns)
+    return rows.join(texts_left, "_row", "left").withColumn("text", text).select(*[quoted(c) for c in docs.columns])
 
 
 def quality_filter(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs that the rules keep, unchanged. Rows with the same id, source and text share their verdict."""
     gone = judge(docs, rules).where("not kept").select("id_key", F.col("source").alias("host"), "text_hash").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), id_key(), host().alias("host"), text_hash())
+    rows = docs.select(F.struct("*").alias("row"), id_key(), host().alias("host"), text_hash())
     return rows.join(gone, ["id_key", "host", "text_hash"], "left_anti").select("row.*")

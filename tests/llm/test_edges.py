@@ -58,3 +58,27 @@ def test_near_copies_of_five_words_and_80_percent(spark):
     rows = [(1, text), (2, f"{text} {more(20)}"), (3, " ".join(f"v{i}" for i in range(100))), (4, " ".join(f"v{i}" for i in range(100)) + " " + more(30))]
     left = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r.doc_id for r in left.collect()} == {1, 3, 4}
+
+
+def odd_rows():
+    """Columns with a dot, of a map and of a clashing name, a repeated row and rows that differ in such columns only."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} v{i} " * 2 + f"u{i} x{i} y{i} z{i}", "s", "en", {"k": i}, i, i) for i in range(6)]
+    other = " ".join(f"o{i}" for i in range(60))
+    return [*rows, (7, other, "t", "en", {"k": 1}, 1, 1), (7, other, "t", "en", {"k": 2}, 2, 2), (7, other, "t", "en", {"k": 2}, 2, 2), (None, other, "t", "en", None, None, None)]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stage_keeps_columns_with_dots_and_maps(spark, stage):
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, `a.b` map<string,int>, row int, `n.c` int")
+    out = stage(spark, docs, "")
+    got = [tuple(r[c] for c in docs.columns) for r in out.collect()]
+    assert set(docs.columns) <= set(out.columns) and all(r in rows for r in got) and got
+    again = [tuple(r[c] for c in docs.columns) for r in stage(spark, docs.repartition(5), "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_a_null_id_is_not_an_empty_one(spark):
+    docs = spark.createDataFrame([(None, "same"), ("", "same")], "doc_id string, text string")
+    assert [r.doc_id for r in exact.exact_dedup(docs).collect()] == [""]
