@@ -17,11 +17,18 @@ resume_after (the last position applied, a number or {"file", "offset"}; a repli
 reaches back to it), start ("now": a file stream begins with the files that come later; "first", the default: with all),
 schema (DDL of JSON documents and of file streams). Target extra: mode, format (queue lines: true enveloped, false bare),
 envelope (keep the envelope columns), keyed ("table" or "index": fold into rows) with key.
+
+A target is found by alias, else by document set; without a target name the set is called as the alias or set that was found. A resource of files with
+"partitioned": true holds its sets as partitions target=<set> of one folder: all sets that a run writes there are one job, the
+aliases of a document set that go there are one stream, and those of them with the same flow are read once. Columns that
+only other sets of such a folder have are null; mode overwrite replaces the folder with all its sets.
+An index takes hits with the target set as _index, and as _id the id of the document or its field _id.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -35,9 +42,9 @@ from rillway.columns import ALIAS, DOC_SET, ID_VALUE, OP, POS, PRESENT, doc_colu
 from rillway.operators.fold import fold_index, fold_table
 from rillway.operators.steps import SpecError
 from rillway.plans.flow import check_steps, run_flow
-from rillway.sinks.quality import COUNT_SCHEMA, COUNTS, LETTER, count_row, dead_letters, observed, observed_letters
+from rillway.sinks.quality import COUNT_SCHEMA, COUNTS, LETTER, count_row, dead_letters, observed, observed_aliases, observed_letters, observed_sets
 from rillway.sinks.target import KeyedTarget
-from rillway.sinks.writers import discard, envelope, object_lines
+from rillway.sinks.writers import TARGET, TARGET_SET, discard, envelope, index_hits, object_lines, route
 from rillway.sources import logs
 from rillway.sources.changes import change_ops, resume_after
 from rillway.sources.messages import parse_index_hits, parse_json_lines, parse_queue
@@ -60,7 +67,8 @@ class Task:
     unrouted: list[str]                                         # aliases without a target
     errors: DataFrame | None                                    # dead letters of sources and flows
     read: dict[str, DataFrame] = field(default_factory=dict)    # alias -> documents before its flow
-    counts: dict[str, Observation] = field(default_factory=dict)    # alias -> rows read, known once its output is written
+    counts: dict[str, tuple[Observation, str]] = field(default_factory=dict)    # alias -> rows read, known once its output is written
+    shared: dict[str, DataFrame] = field(default_factory=dict)  # partitioned resource -> documents of all its sets, with TARGET_SET
 
 
 # ---- checks
@@ -91,6 +99,7 @@ def check_task(spec: dict) -> None:
     looked_up = {s["resource_id"] for s in spec["source"]}
     for t in spec["target"]:
         _check_target(t, resources)
+    _check_partitioned(spec, resources)
     for p in spec.get("pipeline", []):
         for name in (p.get("document_set") or "").split(","):
             if name not in aliases:
@@ -147,6 +156,24 @@ def _check_target(target: dict, resources: dict) -> None:
         raise SpecError("a keyed target needs extra.key")
 
 
+def _check_partitioned(spec: dict, resources: dict) -> None:
+    """One job writes all sets of a partitioned resource, so they share their options, and their names are names of folders."""
+    extras: dict[str, dict] = {}
+    for t in spec["target"]:
+        resource, extra = resources[t["resource_id"]], t.get("extra") or {}
+        if not resource.get("partitioned"):
+            continue
+        if resource["type"] not in (*FILE_FORMATS, *TEXT_TYPES) or extra.get("keyed"):
+            raise SpecError("a partitioned target needs a resource of files and no key")
+        if resource.get("suffix"):
+            raise SpecError("the sets of a partitioned resource have no suffix")
+        if extras.setdefault(t["resource_id"], extra) != extra:
+            raise SpecError(f"the targets of partitioned resource {t['resource_id']!r} differ in extra")
+        for alias, name in t["document_set"].items():
+            if not re.fullmatch(r"[A-Za-z0-9_.-]+", name or alias):
+                raise SpecError(f"{name or alias!r} cannot name a partition")
+
+
 # ---- reading
 
 def default_reader(spark: SparkSession) -> Reader:
@@ -176,27 +203,28 @@ def default_stream_reader(spark: SparkSession) -> Callable[[dict, str, dict], Da
 
 
 def _place(resource: dict, name: str) -> str:
-    return f"{resource['path'].rstrip('/')}/{name}{resource.get('suffix', '')}"
+    part = "target=" if resource.get("partitioned") else ""
+    return f"{resource['path'].rstrip('/')}/{part}{name}{resource.get('suffix', '')}"
 
 
 def source_documents(
-    raw: DataFrame, resource: dict, source: dict, doc_set: str, alias: str, log: DataFrame | None = None, manifest: DataFrame | None = None,
+    raw: DataFrame, resource: dict, source: dict, doc_set: str, aliases: list[str], log: DataFrame | None = None, manifest: DataFrame | None = None,
     held: bool = False,
 ):
-    """The documents of one alias, and the unreadable rows as dead letters (None if there can be none).
+    """One copy of the documents for each alias, and the unreadable rows as dead letters (None if there can be none).
     raw is the snapshot, the change log of a stream, or JSON text; log the change log of a replica, manifest the list of its
     files (taken from the changes themselves where there is none). held: the saved position is known to hold."""
     extra = source.get("extra") or {}
     pk, kind = extra.get("pk"), resource["type"]
     if kind in TEXT_TYPES or kind == "kafka":
-        return _text_documents(raw, kind, extra, pk, doc_set, alias)
+        return _text_documents(raw, kind, extra, pk, doc_set, aliases)
     base = None if source["sync_mode"] == "stream" else snapshot(raw, doc_set, pk)
     changes = raw if source["sync_mode"] == "stream" else log
     if changes is not None:
         changes, base = _resumed(changes, base, extra, manifest, held)
         changes = change_ops(changes, doc_set, pk, POS, OP)
         base = changes if base is None else base.unionByName(changes, allowMissingColumns=True)
-    return fan_out_aliases(base, [alias]), None
+    return fan_out_aliases(base, aliases), None
 
 
 def _resumed(changes: DataFrame, base: DataFrame | None, extra: dict, manifest: DataFrame | None, held: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -221,7 +249,7 @@ def _resumed(changes: DataFrame, base: DataFrame | None, extra: dict, manifest:
     return resume_after(changes, saved), base
 
 
-def _text_documents(raw: DataFrame, kind: str, extra: dict, pk: str | None, doc_set: str, alias: str):
+def _text_documents(raw: DataFrame, kind: str, extra: dict, pk: str | None, doc_set: str, aliases: list[str]):
     if kind == "index":
         docs, errors = parse_index_hits(raw, extra["schema"])
     elif kind == "lines":
@@ -232,17 +260,17 @@ def _text_documents(raw: DataFrame, kind: str, extra: dict, pk: str | None, doc_
         docs = docs.withColumn(DOC_SET, F.lit(doc_set))
     if "pos" in extra and extra["pos"] in docs.columns:
         docs = docs.withColumn(POS, quoted(extra["pos"]).cast("bigint"))
-    letters = errors.select(
-        F.lit("read").alias("stage"), "reason", F.lit(alias).alias("alias"), F.col("body").alias("doc_json")
+    letters = fan_out_aliases(errors, aliases).select(
+        F.lit("read").alias("stage"), "reason", quoted(ALIAS).alias("alias"), F.col("body").alias("doc_json")
     )
-    return fan_out_aliases(docs, [alias]), letters
+    return fan_out_aliases(docs, aliases), letters
 
 
 def run_alias(docs: DataFrame, flow: list[dict] | None, lookup, pk: str | None) -> tuple[DataFrame, DataFrame | None]:
-    """Documents of an alias after its flow, and the rows a step failed on as dead letters."""
+    """Documents of an alias, or of several with the same flow, after it, and the rows a step failed on as dead letters."""
     if not flow:
         return docs, None
-    root = [ID_VALUE, POS] if pk and POS in docs.columns else None
+    root = [ID_VALUE, POS, ALIAS] if pk and POS in docs.columns else None
     good, failed = run_flow(docs, flow, lookup, root)
     return good, None if failed is None else dead_letters(failed, "pipeline", F.col("_error"))
 
@@ -257,7 +285,37 @@ def _flows(spec: dict) -> dict[str, list[dict]]:
 
 
 def _targets(spec: dict) -> dict[str, tuple[dict, str]]:
-    return {alias: (t, name or alias) for t in spec["target"] for alias, name in t["document_set"].items()}
+    """Where each alias goes: the target that names it, else the one that names its document set; the last one of equals."""
+    named = {name: (t, target_set) for t in spec["target"] for name, target_set in t["document_set"].items()}
+    found = {}
+    for source in (s for s in spec["source"] if s["sync_mode"] != "empty"):
+        for doc_set, aliases in parse_document_sets(source["document_set"]).items():
+            for alias in aliases:
+                name = alias if alias in named else doc_set
+                if name in named:
+                    found[alias] = (named[name][0], named[name][1] or name)
+    return found
+
+
+def _together(aliases: list[str], targets: dict, resources: dict, flows: dict) -> list[tuple[str | None, list[list[str]]]]:
+    """Which aliases of a document set are read and written in one job: those that go to the same partitioned resource,
+    in lists with the same flow. Others stand alone, with None for the resource."""
+    groups: dict[tuple, dict[str, list[str]]] = {}
+    for alias in aliases:
+        place = targets[alias][0]["resource_id"] if alias in targets else None
+        place = place if place is not None and resources[place].get("partitioned") else None
+        same = groups.setdefault((place, alias if place is None else ""), {})
+        same.setdefault(json.dumps(flows.get(alias) or [], sort_keys=True, default=id), []).append(alias)
+    return [(place, list(same.values())) for (place, _), same in groups.items()]
+
+
+def _routed(df: DataFrame, aliases: list[str], targets: dict) -> DataFrame:
+    """The documents with the target set of their alias."""
+    return route(df, [{"id": targets[a][0]["resource_id"], "document_set": {a: targets[a][1]}} for a in aliases]).drop(TARGET)
+
+
+def _joined(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b, allowMissingColumns=True)
 
 
 def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None, counted: bool = False) -> Task:
@@ -267,7 +325,33 @@ def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None, co
     resources = {r["id"]: r for r in spec["resource"]}
     lookup = lambda resource_id, doc_set: reader(resources[resource_id], doc_set)
     flows, targets = _flows(spec), _targets(spec)
-    frames, read, keys, outputs, letters, counts = {}, {}, {}, {}, [], {}
+    task, letters = Task({}, {}, [], None), []
+
+    def add(aliases: list[str], place: str | None, read: Callable, pk: str | None) -> None:
+        """Aliases with the same flow, which go to one partitioned resource if there are several."""
+        flow, (docs, unread) = flows.get(aliases[0]), read(aliases)
+        good, failed = run_alias(docs, flow, lookup, pk)
+        letters.extend([unread, failed])
+        if counted and aliases[0] in targets:
+            # the same flow with its input counted; what fails on the way is counted with the dead letters
+            docs, observation = observed_aliases(docs, f"read {' '.join(aliases)}", aliases)
+            task.counts.update({alias: (observation, f"rows {i}") for i, alias in enumerate(aliases)})
+            good = run_alias(docs, flow, lookup, pk)[0]
+        for alias in aliases:
+            alone = len(aliases) == 1
+            task.read[alias] = docs if alone else docs.filter(quoted(ALIAS) == alias)
+            task.frames[alias] = good if alone else good.filter(quoted(ALIAS) == alias)
+        if aliases[0] not in targets:
+            task.unrouted.extend(aliases)
+            return
+        target, name = targets[aliases[0]]
+        letters.append(_refused_lines(good, resources[target["resource_id"]], target.get("extra") or {}) if counted else None)
+        if place is not None:
+            task.shared[place] = _joined(task.shared.get(place), _routed(good, aliases, targets))
+        else:
+            key = (target["resource_id"], name)
+            task.outputs[key] = _joined(task.outputs.get(key), good)
+
     for source in (s for s in spec["source"] if s["sync_mode"] != "empty"):
         resource, extra = resources[source["resource_id"]], source.get("extra") or {}
         for doc_set, names in parse_document_sets(source["document_set"]).items():
@@ -275,23 +359,12 @@ def build_task(spark: SparkSession, spec: dict, reader: Reader | None = None, co
             raw = reader(resource, log_set if source["sync_mode"] == "stream" else doc_set)
             log = reader(resource, log_set) if source["sync_mode"] == "replica" else None
             manifest = _manifest(reader, resource, extra)
-            for alias in names:
-                read[alias], unread = source_documents(raw, resource, source, doc_set, alias, log, manifest)
-                letters.append(unread)
-                keys[alias] = extra.get("pk")
-    for alias, docs in read.items():
-        frames[alias], failed = run_alias(docs, flows.get(alias), lookup, keys[alias])
-        letters.append(failed)
-        if alias in targets:
-            place = (targets[alias][0]["resource_id"], targets[alias][1])
-            df = frames[alias]
-            if counted:
-                # the same flow with its input counted; what fails on the way is counted with the dead letters
-                docs, counts[alias] = observed(docs, f"read {alias}")
-                df = frames[alias] = run_alias(docs, flows.get(alias), lookup, keys[alias])[0]
-            letters.append(_refused_lines(df, resources[place[0]], targets[alias][0].get("extra") or {}) if counted else None)
-            outputs[place] = outputs[place].unionByName(df, allowMissingColumns=True) if place in outputs else df
-    return Task(frames, outputs, [a for a in frames if a not in targets], _all_letters(letters), read, counts)
+            read = lambda aliases: source_documents(raw, resource, source, doc_set, aliases, log, manifest)  # noqa: B023
+            for place, lists in _together(names, targets, resources, flows):
+                for aliases in lists:
+                    add(aliases, place, read, extra.get("pk"))
+    task.errors = _all_letters(letters)
+    return task
 
 
 def task_metrics(task: Task) -> DataFrame:
@@ -347,7 +420,8 @@ def write_output(df: DataFrame, resource: dict, name: str, extra: dict) -> None:
     elif kind == "empty":
         discard(df)
     elif kind in TEXT_TYPES or kind == "json" or "format" in extra:
-        _lines(df, extra).write.mode(mode).text(_place(resource, name))
+        lines = index_hits(df, F.lit(name)) if kind == "index" and "format" not in extra else _lines(df, extra)
+        lines.write.mode(mode).text(_place(resource, name))
     elif kind == "kafka":
         _lines(df, {"format": True, **extra}).write.format("kafka").option("kafka.bootstrap.servers", resource["servers"]).option("topic", name).save()
     elif kind == "table":
@@ -358,12 +432,30 @@ def write_output(df: DataFrame, resource: dict, name: str, extra: dict) -> None:
         _body(df, extra).write.mode(mode).format(kind).save(_place(resource, name))
 
 
+def write_partitions(df: DataFrame, resource: dict, extra: dict) -> None:
+    """Write documents with TARGET_SET to the sets of a partitioned resource in one job."""
+    kind, text = resource["type"], resource["type"] in TEXT_TYPES or resource["type"] == "json" or "format" in extra
+    if kind == "index" and "format" not in extra:
+        out = index_hits(df, quoted(TARGET_SET), TARGET_SET)
+    elif text:
+        out = _lines(df, extra, TARGET_SET)
+    else:
+        out = df if extra.get("envelope") else df.select(*doc_columns(df))
+    out = out.withColumnRenamed(TARGET_SET, "target")
+    out.write.mode(extra.get("mode", "append")).partitionBy("target").format("text" if text else kind).save(resource["path"].rstrip("/"))
+
+
 def write_task(task: Task, spec: dict) -> dict[str, dict[str, int]]:
     """Write every output to its target and return the rows (for keyed targets: changes) written."""
     resources = {r["id"]: r for r in spec["resource"]}
     targets = _targets(spec)
     extras = {(t["resource_id"], name): t.get("extra") or {} for t, name in targets.values()}
     written = {}
+    for target_id, df in task.shared.items():
+        names = sorted({name for t, name in targets.values() if t["resource_id"] == target_id})
+        counted, observation = observed_sets(df, target_id, names)
+        write_partitions(counted, resources[target_id], next(e for (r, _), e in extras.items() if r == target_id))
+        written |= {f"{target_id}/{name}": {"rows": observation.get[f"rows {i}"]} for i, name in enumerate(names)}
     for (target_id, name), df in task.outputs.items():
         # a keyed target stores the changes before it folds them, so they too are counted on their way
         extra = extras[target_id, name]
@@ -376,7 +468,7 @@ def write_task(task: Task, spec: dict) -> dict[str, dict[str, int]]:
 def run_task(spark: SparkSession, spec: dict, folder: str, reader: Reader | None = None) -> DataFrame:
     """Run the batch part of a task to its end: its outputs, its dead letters (to <folder>/errors) and its counts by alias, which
     are written to <folder>/metrics and returned. There is one job per output and one for the dead letters, if there
-    can be any; the counts come from these jobs. Aliases without a target are not read."""
+    can be any (all sets of a partitioned resource are one output); the counts come from these jobs. Aliases without a target are not read."""
     task = build_task(spark, spec, reader, counted=True)
     write_task(task, spec)
     aliases, failures = list(task.counts), {}
@@ -385,7 +477,7 @@ def run_task(spark: SparkSession, spec: dict, folder: str, reader: Reader | None
         letters.write.mode("overwrite").parquet(f"{folder}/errors")
         failures = observation.get
     rows = [
-        count_row(alias, task.counts[alias].get["rows"], failures.get(f"delivery {i}", 0), failures.get(f"pipeline {i}", 0))
+        count_row(alias, task.counts[alias][0].get[task.counts[alias][1]], failures.get(f"delivery {i}", 0), failures.get(f"pipeline {i}", 0))
         for i, alias in enumerate(aliases)
     ]
     spark.createDataFrame(rows, COUNT_SCHEMA).write.mode("overwrite").parquet(f"{folder}/metrics")
@@ -399,16 +491,16 @@ def stream_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _refused_lines(df: DataFrame, place: dict, extra: dict) -> DataFrame | None:
-    """Dead letters of the rows that object lines cannot store, None for targets that take everything."""
+    """Dead letters of the rows that object lines and hits cannot store, None for targets that take everything."""
     if extra.get("keyed") or not (place["type"] in TEXT_TYPES or place["type"] == "json") or "format" in extra:
         return None
     return dead_letters(object_lines(df)[1], "delivery", "only inserts can be stored")
 
 
-def _lines(df: DataFrame, extra: dict) -> DataFrame:
+def _lines(df: DataFrame, extra: dict, *keep: str) -> DataFrame:
     if "format" in extra:
-        return envelope(df.drop(*[c for c in envelope_columns(df) if c != OP]), extra["format"])
-    return object_lines(df)[0]
+        return envelope(df.drop(*[c for c in envelope_columns(df) if c != OP]), extra["format"], keep=keep)
+    return object_lines(df, keep=keep)[0]
 
 
 def _body(df: DataFrame, extra: dict) -> DataFrame:
@@ -421,7 +513,8 @@ def start_task(
     spark: SparkSession, spec: dict, folder: str, reader: Reader | None = None, stream_reader=None, once: bool = False,
     interval: str = runner.FLUSH_INTERVAL,
 ) -> dict[str, StreamingQuery]:
-    """Start one streaming query per alias of the stream and replica sources. A replica first writes its snapshot to its
+    """Start the streaming queries of the stream and replica sources, by alias: one for each alias, or for all aliases of a
+    document set that go to one partitioned resource. A replica first writes its snapshot to its
     keyed target, once per folder and not at all with resume_after, then follows its change files.
 
     Lookups are read anew in every micro-batch. Checkpoints and dead letters go to the folder; a batch
@@ -440,20 +533,22 @@ def start_task(
         if resource["type"] in ("jdbc", "table") and stream_reader is default_follow:
             raise SpecError(f"a resource of type {resource['type']!r} has no change files to follow")
         for doc_set, names in parse_document_sets(source["document_set"]).items():
-            for alias in names:
-                log_set, checkpoint = extra.get("changes", doc_set), f"{folder}/checkpoint/{alias}"
+            for _, lists in _together(names, targets, resources, flows):
+                own = "+".join(alias for aliases in lists for alias in aliases)
+                log_set, checkpoint = extra.get("changes", doc_set), f"{folder}/checkpoint/{own}"
                 unlimited = lambda: stream_reader(resource, log_set, {**extra, "limit": None})
-                resumed = _begin(spark, reader, unlimited, resource, log_set, extra, source["sync_mode"], f"{folder}/start/{alias}", checkpoint)
+                resumed = _begin(spark, reader, unlimited, resource, log_set, extra, source["sync_mode"], f"{folder}/start/{own}", checkpoint)
                 if source["sync_mode"] == "replica" and not resumed:
-                    raw = reader(resource, doc_set)
+                    raw, alias = reader(resource, doc_set), lists[0][0]
                     _load_replica(raw, resource, source, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder)
                 stream = stream_reader(resource, log_set, extra)
                 followed = extra if resumed else {k: v for k, v in extra.items() if k != "resume_after"}
                 on_batch = _batch_writer(
-                    resource, {**source, "sync_mode": "stream", "extra": followed}, doc_set, alias, flows.get(alias), lookup, targets.get(alias), resources, folder, checkpoint,
+                    resource, {**source, "sync_mode": "stream", "extra": followed}, doc_set, lists, flows, lookup, targets, resources, folder, checkpoint,
                     bool((spec.get("setup") or {}).get("error_record")),
                 )
-                running[alias] = runner.start(stream, on_batch, checkpoint, once, interval)
+                query = runner.start(stream, on_batch, checkpoint, once, interval)
+                running |= {alias: query for aliases in lists for alias in aliases}
     return running
 
 
@@ -486,7 +581,7 @@ def _load_replica(raw, resource, source, doc_set, alias, flow, lookup, target, r
     extra = target[0].get("extra") or {} if target is not None else {}
     if not extra.get("keyed"):
         raise SpecError("a running replica needs a keyed target")
-    docs, _ = source_documents(raw, resource, {**source, "sync_mode": "direct"}, doc_set, alias)
+    docs, _ = source_documents(raw, resource, {**source, "sync_mode": "direct"}, doc_set, [alias])
     good, failed = run_alias(docs, flow, lookup, source["extra"]["pk"])
     keyed = keyed_target(raw.sparkSession, resources[target[0]["resource_id"]], target[1], extra, good)
     name = f"snapshot-{uuid.uuid5(uuid.NAMESPACE_URL, f'{folder}/{alias}').hex}"
@@ -498,12 +593,29 @@ def _load_replica(raw, resource, source, doc_set, alias, flow, lookup, target, r
     keyed.compact(name, 0)
 
 
-def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resources, folder, checkpoint, record_refused):
+def _store_batch(df: DataFrame, place: str, names: list[str], batch_id: int) -> None:
+    """Rows with alias under <place>/alias=.../batch_id=..., in place of those of an earlier try of the batch."""
+    if len(names) == 1:
+        df.drop("alias").write.mode("overwrite").parquet(f"{place}/alias={names[0]}/batch_id={batch_id}")
+        return
+    rows = df.withColumn("batch_id", F.lit(batch_id))
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("alias", "batch_id").parquet(place)
+
+
+def _batch_writer(resource, source, doc_set, lists, flows, lookup, targets, resources, folder, checkpoint, record_refused):
+    """lists: the aliases of the stream, by flow. Where there are several, they go to one partitioned resource."""
+    names = [alias for aliases in lists for alias in aliases]
+    target, pk = targets.get(names[0]), (source.get("extra") or {}).get("pk")
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        docs, unread = source_documents(batch, resource, source, doc_set, alias, held=True)
-        docs, count = observed(docs, f"read {alias} {batch_id}")
-        good, failed = run_alias(docs, flow, lookup, (source.get("extra") or {}).get("pk"))
-        letters, keyed, extra, stream = [unread, failed], None, {}, None
+        letters, keyed, extra, stream, good, counts = [], None, {}, None, None, []
+        for i, aliases in enumerate(lists):
+            docs, unread = source_documents(batch, resource, source, doc_set, aliases, held=True)
+            docs, count = observed_aliases(docs, f"read {names[0]} {i} {batch_id}", aliases)
+            part, failed = run_alias(docs, flows.get(aliases[0]), lookup, pk)
+            letters += [unread, failed]
+            counts += [(alias, count, f"rows {k}") for k, alias in enumerate(aliases)]
+            good = _joined(good, part)
         if target is not None:
             place, name, extra = resources[target[0]["resource_id"]], target[1], target[0].get("extra") or {}
             keyed = keyed_target(batch.sparkSession, place, name, extra, good) if extra.get("keyed") else None
@@ -512,19 +624,20 @@ def _batch_writer(resource, source, doc_set, alias, flow, lookup, target, resour
                 return
             if keyed is not None:
                 keyed.append_batch(good, batch_id, stream)
+            elif place.get("partitioned"):
+                write_partitions(_routed(good, names, targets), place, extra)
             else:
                 write_output(good, place, name, extra)
             if record_refused:
-                letters.append(_refused(good, place, extra, keyed, alias, batch_id, stream))
+                letters.append(_refused(good, place, extra, keyed, names[0], batch_id, stream))
         found, failures = _all_letters(letters), {}
         if found is not None:
-            found, failed_count = observed_letters(found, f"letters {alias} {batch_id}", [alias])
-            found.write.mode("overwrite").parquet(f"{folder}/errors/alias={alias}/batch_id={batch_id}")
+            found, failed_count = observed_letters(found, f"letters {names[0]} {batch_id}", names)
+            _store_batch(found, f"{folder}/errors", names, batch_id)
             failures = failed_count.get
         if target is not None:
-            _, *counts = count_row(alias, count.get["rows"], failures.get("delivery 0", 0), failures.get("pipeline 0", 0))
-            rows = batch.sparkSession.createDataFrame([counts], [f"{c}" for c in COUNTS])
-            rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/metrics/alias={alias}/batch_id={batch_id}")
+            rows = [count_row(alias, count.get[key], failures.get(f"delivery {i}", 0), failures.get(f"pipeline {i}", 0)) for i, (alias, count, key) in enumerate(counts)]
+            _store_batch(batch.sparkSession.createDataFrame(rows, COUNT_SCHEMA).coalesce(1), f"{folder}/metrics", names, batch_id)
         every = extra.get("compact_every", 20)
         if keyed is not None and every and batch_id % every == every - 1:
             keyed.compact(stream, batch_id)

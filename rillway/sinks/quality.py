@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rillway.columns import ALIAS, doc_columns, quoted
+from rillway.sinks.writers import TARGET_SET
 
 LETTER = ("stage", "reason", "alias", "doc_json")
 
@@ -57,6 +58,21 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
 
 
+def observed_aliases(df: DataFrame, name: str, aliases: list[str]) -> tuple[DataFrame, Observation]:
+    """Count the rows of each alias ("rows 0", ...) while the job that writes them runs."""
+    return _observed_by(df, name, ALIAS, aliases)
+
+
+def observed_sets(df: DataFrame, name: str, sets: list[str]) -> tuple[DataFrame, Observation]:
+    """Count the rows of each target set ("rows 0", ...) while the job that writes them runs."""
+    return _observed_by(df, name, TARGET_SET, sets)
+
+
+def _observed_by(df: DataFrame, name: str, by: str, values: list[str]) -> tuple[DataFrame, Observation]:
+    observation = Observation(name)
+    return df.observe(observation, *[F.count_if(quoted(by) == v).alias(f"rows {i}") for i, v in enumerate(values)]), observation
+
+
 COUNTS = ("full_read_count", "full_delivery_count", "failed_delivery_count", "failed_pipeline_count")
 COUNT_SCHEMA = "alias string, " + ", ".join(f"{c} bigint" for c in COUNTS)
 

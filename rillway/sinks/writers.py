@@ -12,11 +12,22 @@ TARGET = "_target"
 TARGET_SET = "_target_set"
 
 
-def object_lines(df: DataFrame, op: str = OP) -> tuple[DataFrame, DataFrame]:
+def object_lines(df: DataFrame, op: str = OP, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Inserts as one JSON text each (nulls kept), and the rows with other operations, which this
-    sink cannot store."""
-    line = F.to_json(doc_struct(df), {"ignoreNullFields": "false"}).alias("value")
-    return df.filter(quoted(op) == "insert").select(line), df.filter(quoted(op) != "insert")
+    sink cannot store. keep names columns that stay beside the text."""
+    line = F.to_json(doc_struct(df.drop(*keep)), {"ignoreNullFields": "false"}).alias("value")
+    return df.filter(quoted(op) == "insert").select(line, *map(quoted, keep)), df.filter(quoted(op) != "insert")
+
+
+def index_hits(df: DataFrame, index: Column, *keep: str) -> DataFrame:
+    """Inserts as hits of an index dump, {"_index", "_id", "_source"}; without an id "_id" is left out."""
+    docs = choose_index_id(df.filter(quoted(OP) == "insert")) if ID_VALUE in df.columns else df.filter(quoted(OP) == "insert")
+    id_value = quoted(ID_VALUE) if ID_VALUE in docs.columns else F.lit(None).cast("string")
+    source = F.to_json(doc_struct(docs.drop(*keep)), {"ignoreNullFields": "false"})
+    head = F.struct(index.alias("_index"), id_value.alias("_id"))
+    # nulls of the document are kept, a missing id is not written
+    text = F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(',"_source":'), source, F.lit("}"))
+    return docs.select(text.alias("value"), *map(quoted, keep))
 
 
 def write_object_lines(df: DataFrame, path: str, op: str = OP) -> DataFrame:
@@ -26,11 +37,11 @@ def write_object_lines(df: DataFrame, path: str, op: str = OP) -> DataFrame:
     return refused
 
 
-def envelope(df: DataFrame, formatted: bool = True, op: str = OP) -> DataFrame:
-    """Queue messages as JSON text: {"OptionType", "data"}, or the bare document."""
-    doc = doc_struct(df.drop(op))
+def envelope(df: DataFrame, formatted: bool = True, op: str = OP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Queue messages as JSON text: {"OptionType", "data"}, or the bare document. keep names columns that stay beside it."""
+    doc = doc_struct(df.drop(op, *keep))
     body = F.struct(quoted(op).alias("OptionType"), doc.alias("data")) if formatted else doc
-    return df.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value"), *map(quoted, keep))
 
 
 def choose_index_id(df: DataFrame, id_value: str = ID_VALUE) -> DataFrame:
@@ -80,6 +91,6 @@ def discard(df: DataFrame) -> None:
 
 
 __all__ = [
-    "TARGET", "TARGET_SET", "choose_index_id", "discard", "doc_columns", "envelope", "object_lines",
+    "TARGET", "TARGET_SET", "choose_index_id", "discard", "doc_columns", "envelope", "index_hits", "object_lines",
     "render_values", "route", "write_object_lines",
 ]

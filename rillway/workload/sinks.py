@@ -381,6 +381,48 @@ def task_dead_letters(t: Tables):
     return letters.groupBy("stage", "alias").agg(F.count(F.lit(1)).alias("letters"))
 
 
+@query("task_fan_out", """
+SELECT 'orders' AS target, o_orderkey, o_totalprice, CAST(NULL AS DECIMAL(18, 2)) AS price FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT 'mirror', o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT 'prices', o_orderkey, NULL, o_totalprice FROM orders""".replace("CAST(NULL AS DECIMAL(18, 2))", "CAST(NULL AS DOUBLE)"))
+def task_fan_out(t: Tables):
+    """One scan and one job for two copies of the open orders, one more scan for the prices, all to sets of one folder."""
+    folder = scratch(t)
+    price = [{"srcField": a, "srcType": k, "aimField": b, "aimType": k} for a, b, k in (("o_orderkey", "o_orderkey", "long"), ("o_totalprice", "price", "float"))]
+    spec = {
+        "resource": [
+            {"id": "in", "type": "parquet", "path": t.folder, "suffix": ".parquet"}, {"id": "out", "type": "parquet", "path": f"{folder}/out", "partitioned": True},
+        ],
+        "source": [{"resource_id": "in", "sync_mode": "direct", "document_set": {"orders": ["open", "again", "prices"]}, "extra": {"pk": "o_orderkey"}}],
+        "target": [{"resource_id": "out", "document_set": {"orders": "", "again": "mirror", "prices": "prices"}}],
+        "pipeline": [
+            {"document_set": "open,again", "flow": [{"type": "filter", "where": "o_orderstatus = 'F'"}]},
+            {"document_set": "prices", "flow": [{"type": "mapInline", "field_map": price}]},
+        ],
+    }
+    run_task(t.spark, spec, folder)
+    return t.spark.read.parquet(f"{folder}/out").select("target", "o_orderkey", "o_totalprice", "price")
+
+
+@query("index_copy", """
+SELECT 'people' AS index_name, 'c' || c_custkey AS id, c_name AS name, c_nationkey AS nation FROM customer WHERE c_acctbal >= 0""")
+def index_copy(t: Tables):
+    """Hits of one index copied to another under their own ids."""
+    folder = scratch(t)
+    body = F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    hits = lambda: t.customer.select(F.to_json(F.struct(F.lit("clients").alias("_index"), F.concat(F.lit("c"), "c_custkey").alias("_id"), body.alias("_source"))).alias("value"))
+    spec = {
+        "resource": [{"id": "in", "type": "index", "path": folder}, {"id": "out", "type": "index", "path": f"{folder}/out"}],
+        "source": [{"resource_id": "in", "sync_mode": "direct", "document_set": "clients", "extra": {"schema": "name string, nation int, balance double"}}],
+        "target": [{"resource_id": "out", "document_set": {"clients": "people"}}],
+        "pipeline": [{"document_set": "clients", "flow": [{"type": "filter", "where": "balance < 0"}, {"type": "map", "drop": ["balance"]}]}],
+    }
+    run_task(t.spark, spec, folder, lambda _resource, _name: hits())
+    hit = F.from_json("value", "_index string, _id string, _source struct<name: string, nation: int>").alias("hit")
+    copied = t.spark.read.text(f"{folder}/out/people").select(hit)
+    return copied.select(F.col("hit._index").alias("index_name"), F.col("hit._id").alias("id"), F.col("hit._source.name").alias("name"), F.col("hit._source.nation").alias("nation"))
+
+
 # ---- the whole way
 
 def sync_spec(folder: str) -> dict:
