@@ -43,20 +43,66 @@ CUES = {
 }
 FEATURES = ["generator", "digits", "length", "groups", "paren", "dated", "same", *CUES, "sentence_end"]
 AROUND = 32
+#: Long arrays are added up block by block, and texts are cut into pieces, so that no element costs more the later it comes.
+BLOCK = 256
+SPAN = "array<struct<start:int,end:int,hit:string>>"
+
+
+def bound(value: Column, then) -> Column:
+    """then(value), with the value computed once, however often it is used and in whatever loop."""
+    return F.transform(F.array(value), then)[0]
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """start, end (code points), hit of each match, leftmost first, none overlapping: lengths of gaps and matches, added up."""
+    """start, end (code points), hit of each match, leftmost first, none overlapping: lengths of gaps and matches, added up,
+    first over blocks, then within them, since a fold that appends copies what it has."""
     pairs = F.zip_with(F.split(text, pattern, -1), F.concat(F.regexp_extract_all(text, F.lit(pattern), 0), F.array(F.lit(""))), lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    cut_up = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, BLOCK))
+    size = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + F.char_length(x["hit"]))
 
-    def add(state, x):
+    def within(state, x):
         start = state["at"] + x["gap"]
         end = start + F.char_length(x["hit"])
         span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
         return F.struct(end.alias("at"), F.when(x["hit"] == "", state["found"]).otherwise(F.concat(state["found"], F.array(span))).alias("found"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), add, lambda state: state["found"])
+    def begin(state, block):
+        return F.struct((state["at"] + size(block)).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+
+    starts = lambda parts: F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), begin, lambda state: state["starts"])
+    spans_of = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), F.array().cast(SPAN).alias("found")), within, lambda state: state["found"])
+    return bound(bound(pairs, cut_up), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), spans_of)))
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of BLOCK code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+
+def cut(pieces: Column, start: Column, size: Column) -> Column:
+    """The BLOCK or fewer characters of a text in pieces from start on (less where the text ends)."""
+    first = F.floor(start / BLOCK).cast("int")
+    return F.concat(F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, first + 1), F.lit(""))).substr(start - first * BLOCK + 1, size)
+
+
+def first_index(found: Column, beyond: Column, field: str) -> Column:
+    """The index of the first of some spans in order whose field is above a bound (their number if there is none), by halving."""
+    size = F.size(found)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(size + 1)).cast("int") + 1)
+
+    def half(state, _):
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        below = F.get(found, middle)[field] <= beyond
+        done = state["low"] >= state["high"]
+        low = F.when(done | ~below, state["low"]).otherwise(middle + 1)
+        return F.struct(low.alias("low"), F.when(done | below, state["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), size.alias("high")), half, lambda state: state["low"])
+
+
+def meeting(found: Column, c: Column) -> Column:
+    """The spans that overlap span c, of spans in order of which none overlap each other."""
+    return bound(first_index(found, c["start"], "end"), lambda first: F.slice(found, first + 1, first_index(found, c["end"] - 1, "start") - first))
 
 
 def digits_of(hit: Column) -> Column:
@@ -77,7 +123,7 @@ def dotted(text: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """The spans of each base form; cheap tests keep texts without a sign of a kind away from its pattern."""
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    none = F.array().cast(SPAN)
     small = lambda s: F.forall(F.split(s["hit"], r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.substring(p, -3, 3).cast("int") <= 255))
     return {
         "email": F.when(F.instr(text, "@") > 0, spans(dotted(text), BASE["email"])).otherwise(none),
@@ -94,10 +140,10 @@ def candidates(text: Column) -> Column:
     return F.concat(*[F.when(text.rlike(test), F.transform(spans(text, pattern), numbered(i))).otherwise(none) for i, (_, test, pattern) in enumerate(GENERATORS)])
 
 
-def features_of(text: Column, c: Column) -> list[Column]:
-    """FEATURES of a candidate, from its form and AROUND characters before and after it."""
-    before = text.substr(F.greatest(c["start"] - AROUND, F.lit(0)) + 1, F.least(c["start"], F.lit(AROUND)))
-    after = text.substr(c["end"] + 1, F.lit(AROUND))
+def features_of(pieces: Column, c: Column) -> list[Column]:
+    """FEATURES of a candidate, from its form and AROUND characters before and after it in a text in pieces."""
+    before = cut(pieces, F.greatest(c["start"] - AROUND, F.lit(0)), F.least(c["start"], F.lit(AROUND)))
+    after = cut(pieces, c["end"], F.lit(AROUND))
     digits = digits_of(c["hit"])
     number = lambda x: x.cast("double")
     return [
@@ -144,8 +190,8 @@ def labelled_texts(count: int = 600, seed: int = 5) -> list[tuple[int, str, int]
 def train(spark: SparkSession, rounds: int = 10, depth: int = 3, precision: float = 0.9) -> Selector:
     """Trees from two thirds of the labelled table; a generator's threshold is the least margin of 0 or more above which
     at least `precision` of the other third is personal."""
-    table = spark.createDataFrame(labelled_texts(), "row int, text string, label int").select("row", "text", "label", F.explode(candidates(F.col("text"))).alias("c"))
-    named = [x.alias(f) for x, f in zip(features_of(F.col("text"), F.col("c")), FEATURES)]
+    table = spark.createDataFrame(labelled_texts(), "row int, text string, label int").select("row", "label", pieces_of(F.col("text")).alias("pieces"), F.explode(candidates(F.col("text"))).alias("c"))
+    named = [x.alias(f) for x, f in zip(features_of(F.col("pieces"), F.col("c")), FEATURES)]
     rows = spark.createDataFrame(table.select("row", *named, "label").toPandas())  # a few hundred rows, read for each tree
     trees = boosted_trees(rows.where("row % 3 <> 0"), FEATURES, rounds, depth)
     held = rows.where("row % 3 = 0").select("generator", "label", margin(trees, [F.col(f) for f in FEATURES]).alias("margin")).toPandas()
@@ -162,22 +208,26 @@ def personal_data(docs: DataFrame, selector: Selector | None = None) -> DataFram
     """doc_id, text, base (spans by kind), added (spans the trees select, each with kind and margin) for each row of docs.
 
     A null text counts as empty. Added spans that overlap a base span are dropped; of added spans that overlap each
-    other the one with the highest margin stays, the first of equals. Other columns of docs are ignored.
+    other the one with the highest margin stays, the first of equals. Other columns of docs are ignored. Time grows with
+    the length of a text and the number of its spans, and little more.
     """
     selector = train(docs.sparkSession) if selector is None else selector
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("*", *[v.alias(k) for k, v in base_spans(F.col("text")).items()], candidates(F.col("text")).alias("proposed"))
+    rows = rows.withColumn("pieces", F.when(F.size("proposed") > 0, pieces_of(F.col("text"))))
     kinds, least = F.array(*[F.lit(k) for k, _, _ in GENERATORS]), F.array(*map(F.lit, selector.thresholds))
-    score = lambda c: margin(selector.trees, features_of(F.col("text"), c))
-    scored = F.transform("proposed", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), kinds[c["generator"]].alias("kind"), score(c).alias("margin"), least[c["generator"]].alias("least")))
-    rows = rows.withColumn("scored", F.when(F.size("proposed") == 0, F.array().cast("array<struct<start:int,end:int,kind:string,margin:double,least:double>>")).otherwise(scored))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    base = [F.col(k) for k in BASE]
-    good = F.filter("scored", lambda c: (c["margin"] >= c["least"]) & ~F.exists(F.concat(*base), lambda b: meets(b, c)))
-    rows = rows.withColumn("good", good)
-    better = lambda a, b: (a["margin"] > b["margin"]) | ((a["margin"] == b["margin"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & ((a["end"] > b["end"]) | ((a["end"] == b["end"]) & (a["kind"] < b["kind"]))))))
-    added = F.filter("good", lambda c: ~F.exists("good", lambda o: meets(o, c) & better(o, c)))
-    return rows.select("doc_id", "text", *BASE, F.array_distinct(added).alias("added"))
+    score = lambda c: bound(F.array(*features_of(F.col("pieces"), c)), lambda f: margin(selector.trees, [f[i] for i in range(len(FEATURES))]))
+    scored = F.transform("proposed", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), kinds[c["generator"]].alias("kind"), score(c).alias("margin"), least[c["generator"]].alias("least"), c["generator"].alias("generator")))
+    kind_of = "start:int,end:int,kind:string,margin:double,least:double"
+    rows = rows.withColumn("scored", F.when(F.size("proposed") == 0, F.array().cast(f"array<struct<{kind_of},generator:int>>")).otherwise(scored))
+    # spans of one base form, or of one generator, are in order and do not overlap
+    free = lambda c: F.forall(F.array(*[F.size(meeting(F.col(k), c)) for k in BASE]), lambda n: n == 0)
+    rows = rows.withColumn("good", F.filter("scored", lambda c: (c["margin"] >= c["least"]) & free(c)))
+    order = lambda c: F.struct(-c["margin"], c["start"], -c["end"], c["kind"], c["generator"])
+    own = [F.col(f"own{i}") for i in range(len(GENERATORS))]
+    rows = rows.withColumns({f"own{i}": F.filter("good", lambda c: c["generator"] == i) for i in range(len(GENERATORS))})  # noqa: B023
+    best = lambda c: ~F.exists(F.concat(*[meeting(spans, c) for spans in own]), lambda o: order(o) < order(c))
+    return rows.select("doc_id", "text", *BASE, F.filter("good", best).cast(f"array<struct<{kind_of},generator:int>>").alias("added"))
 
 
 def span_digest(found: DataFrame) -> DataFrame:
