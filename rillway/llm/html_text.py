@@ -100,8 +100,16 @@ def tokens(page: str) -> Iterator[re.Match]:
 def blocks(page: str) -> Iterator[tuple[str, int, int, int]]:
     """text, words within links, kind and contexts of each block with text, in page order."""
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open, and where block-level ones are
+    levels: list[int] = []
     parts: list[str] = []
-    linked, in_link, kind = 0, 0, 0
+    linked, in_link, kind, in_cdata = 0, 0, 0, False
+
+    def pop():
+        tag, _ = stack.pop()
+        places[tag].pop()
+        if tag in BLOCKS:
+            levels.pop()
 
     def flush():
         nonlocal parts, linked
@@ -112,6 +120,8 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int]]:
 
     for token in tokens(page):
         if (text := token["text"]) is not None:
+            if in_cdata and "]]>" in text:
+                text, in_cdata = text.replace("]]>", "", 1), False
             text = html.unescape(text)
             parts.append(text)
             linked += len(text.split()) if in_link else 0
@@ -121,25 +131,29 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int]]:
             yield from flush()
         elif tag == "br" or token["raw"]:
             parts.append(" ")
+        in_cdata = in_cdata or token[0] == "<![CDATA["
         if not tag or tag in VOID:
             continue
         if token["close"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[depth:])):
-                del stack[depth:]
+            depth = places[tag][-1] if places.get(tag) else len(stack)
+            if tag in BLOCKS or not levels or levels[-1] < depth:
+                while len(stack) > depth:
+                    pop()
             in_link = 0 if tag == "a" else in_link
         else:
             if tag in ("p", "li", "tr", "td", "th", "dd", "dt") or tag in BLOCKS:
                 while stack and stack[-1][0] not in BLOCKS or (stack and stack[-1][0] == "p"):
-                    stack.pop()  # inline elements and paragraphs that nobody closed
+                    pop()  # inline elements and paragraphs that nobody closed
                 if tag == "li" and stack and stack[-1][0] == "li":
-                    stack.pop()
+                    pop()
                 in_link = 0
             in_link = 1 if tag == "a" else in_link
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                levels.append(len(stack))
             stack.append((tag, (stack[-1][1] if stack else 0) | context_of(tag, token["attrs"])))
         if tag in BLOCKS:
-            inner = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-            kind = KINDS.get(inner, 0)
+            kind = KINDS.get(stack[levels[-1]][0], 0) if levels else 0
     yield from flush()
 
 
@@ -169,6 +183,12 @@ def labelled_pages(count: int = 400, seed: int = 7) -> Iterator[str]:
     text = lambda mark, n: f"{mark} {' '.join(['word'] * max(1, n))}{stop()}"
     links = lambda: "<ul>" + "".join(f'<li><a href="#">{text("-", size(8))}</a></li>' for _ in range(draw.randint(2, 9))) + "</ul>"
 
+    def linked() -> str:
+        return draw.choice((
+            f'<p><a href="#">{text("+", size(30))}</a></p>', f'<p>{text("+", size(4))} <a href="#">{" ".join(["word"] * size(30))}</a></p>',
+            f'<ul><li><a href="#">{text("+", size(12))}</a></li><li>{text("+", size(12))}</li></ul>',
+        ))
+
     def inner() -> str:
         return "".join(draw.choice((
             f"<p>{text('-', size(120))}</p>", f"<h3>{text('-', size(8))}</h3>", links(), f"{text('-', size(40))}", f"<ul><li>{text('-', size(40))}</li></ul>",
@@ -192,7 +212,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> Iterator[str]:
             parts.append(draw.choice((
                 f"<p>{text('+', n)}</p>", f"<p>{text('+', n)}</p>", f"<p>{text('+', n)}</p>", f"<p>{text('+', n + 9)} <a href='#'>{' '.join(['word'] * size(6))}</a></p>",
                 f"<h2>{text('+', size(9))}</h2><p>{text('+', n)}</p>", f"<blockquote>{text('+', n)}</blockquote>", f"<ul><li>{text('+', n)}</li><li>{text('+', n)}</li></ul>",
-                f"<p><b>{text('+', size(9))}<br><p>{text('+', n)}</p>", *([f"<table><tr><td>{text('+', size(5))}</td><td>{text('+', size(5))}</td></tr></table>", f"<div>{text('+', n)}</div>"] if in_main else []),
+                f"<p><b>{text('+', size(9))}<br><p>{text('+', n)}</p>", *([f"<table><tr><td>{text('+', size(5))}</td><td>{text('+', size(5))}</td></tr></table>", f"<div>{text('+', n)}</div>", linked()] if in_main else []),
             )))
         if in_main and draw.random() < 0.5:
             parts.insert(draw.randint(1, len(parts)), named(draw.choice([k for k in CONTEXTS if k not in ("main", "head")])))
