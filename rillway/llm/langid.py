@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway.llm.common import saved, spread_join
@@ -49,11 +49,15 @@ def trigrams(text: str) -> Counter[str]:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, most: int = TRIGRAMS) -> LanguageModel:
-    """From texts with their language (text, lang): counts per language and trigram, added up by Spark."""
-    ranked = labelled.where("lang is not null and text is not null").withColumn("draw", F.xxhash64("text"))
-    few = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = ranked.join(F.broadcast(few), "lang") if few.count() < 1000 else ranked.join(few, "lang")
-    chosen = share.where(F.pmod(F.col("draw"), F.greatest(F.lit(1), F.ceil(F.col("n") / sample))) == 0).select("lang", "text")
+    """From texts with their language (text, lang): counts per language and trigram, added up by Spark.
+
+    Of each language `sample` distinct texts at most are taken, those of the smallest hashes, and so at least one; copies of a text
+    count as one. Rows without a text or language are left out.
+    """
+    texts = labelled.where("lang is not null and text is not null").select("lang", "text").distinct()
+    # a limit per language is applied in each task before rows are exchanged
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    chosen = texts.withColumn("place", place).where(F.col("place") <= sample).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
