@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +34,9 @@ LATTICE_UNITS = 1 << 17
 #: Longer units stay out of the lattice: the fold's work grows with the square of a unit.
 LATTICE_LENGTH = 32
 KEEP_UNITS = 400_000
+#: Up to this length the next merge is found by search, beyond it by a heap; both give the same pieces.
+SHORT_UNIT = 64
+NO_RANK = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -81,7 +85,34 @@ def units_of(text: str | None) -> list[str]:
 
 
 def merged_ids(unit: str, ids: dict[str, int], ranks: dict[str, int], first_byte: int) -> list[int]:
-    """The ids of one unit: best-ranked pair first, leftmost first among equals, n log n steps."""
+    """The ids of one unit: best-ranked pair first, leftmost first among equals."""
+    out: list[int] = []
+    for p in merged_short(unit, ranks) if len(unit) <= SHORT_UNIT else merged_long(unit, ranks):
+        known = ids.get(p)
+        if known is not None:
+            out.append(known)
+        else:
+            out += [first_byte + b for b in p.encode()]
+    return out
+
+
+def merged_short(unit: str, ranks: dict[str, int]) -> list[str]:
+    """The pieces of a unit, the next pair by search over all that are left: the least work as long as they are few."""
+    parts = list(unit)
+    found = [ranks.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
+    while found and (best := min(found)) < NO_RANK:
+        i = found.index(best)
+        parts[i] += parts.pop(i + 1)
+        del found[i]
+        if i:
+            found[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_RANK)
+        if i < len(found):
+            found[i] = ranks.get(parts[i] + parts[i + 1], NO_RANK)
+    return parts
+
+
+def merged_long(unit: str, ranks: dict[str, int]) -> list[str]:
+    """The same pieces from a heap of pairs, in n log n steps whatever the length."""
     parts: list[str] = list(unit)
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -101,12 +132,7 @@ def merged_ids(unit: str, ids: dict[str, int], ranks: dict[str, int], first_byte
             right = after[left] if left >= 0 else n
             if right < n and (rank := ranks.get(joined := parts[left] + parts[right])) is not None:
                 heapq.heappush(heap, (rank, left, len(joined)))
-    out: list[int] = []
-    for p in parts:
-        if p:
-            known = ids.get(p)
-            out.extend([known] if known is not None else (first_byte + b for b in p.encode()))
-    return out
+    return [p for p in parts if p]
 
 
 def unit_counts(docs: DataFrame) -> DataFrame:
@@ -203,7 +229,8 @@ def encode(docs: DataFrame, model: PieceModel, most: int = LATTICE_UNITS) -> Dat
             base, ids, ranks, first_byte, _ = shared.value
             value = base.get(unit)
             if value is None:
-                value = np.asarray(merged_ids(unit, ids, ranks, first_byte), np.int32).tobytes()
+                numbers = merged_ids(unit, ids, ranks, first_byte)
+                value = struct.pack(f"{len(numbers)}i", *numbers)
             if len(self) > KEEP_UNITS:
                 self.clear()
             self[unit] = value
@@ -214,7 +241,7 @@ def encode(docs: DataFrame, model: PieceModel, most: int = LATTICE_UNITS) -> Dat
         for batch in batches:
             for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 256)):
                 rows = batch.iloc[part]
-                tokens = [np.frombuffer(b"".join([units[u] for u in units_of(t)]), np.int32) for t in rows["text"]]
+                tokens = [np.frombuffer(b"".join(map(units.__getitem__, units_of(t))), np.int32) for t in rows["text"]]
                 trips = [decoded(x.tolist(), texts) == (t or "").replace(MARK, " ") for x, t in zip(tokens, rows["text"])]
                 yield rows.assign(tokens=tokens, round_trip=trips)
 

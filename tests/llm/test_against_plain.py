@@ -234,3 +234,12 @@ def test_mix_meets_the_targets(spark):
     sources = docs.select("doc_id", "source").toPandas().merge(mixed, on="doc_id").groupby("source").agg(taken=("taken", "sum"), target=("target", "max"), size=("source_size", "max"))
     assert (sources["target"] - sources["taken"]).between(0, 1).all() and (sources["target"] <= 2 * sources["size"]).all()
     assert abs(sources["target"].sum() - 1.5 * mixed["size"].sum()) < 1
+
+
+def test_short_and_long_units_are_merged_alike():
+    rng, model = random.Random(5), pieces.public_model()
+    letters = [*"abcdeiorstn", *"0123.,$", "ü", "é", "\n", pieces.MARK, "語", "😀", "\x01"]
+    units = ["", "a", "aaaaaaaaaaaaaaaa", *("".join(rng.choices(letters, k=rng.randrange(1, 90))) for _ in range(3000))]
+    for unit in units:
+        assert pieces.merged_short(unit, model.ranks) == pieces.merged_long(unit, model.ranks)
+    assert "".join(pieces.merged_long("ab" * 20_000, model.ranks)) == "ab" * 20_000
