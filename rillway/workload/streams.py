@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from rillway.columns import OP, PRESENT
+from rillway.columns import OP, POS, PRESENT
 from rillway.operators.relate import relate
 from rillway.sinks.target import KeyedTarget
+from rillway.sources import structure
 from rillway.sources.messages import parse_queue
 from rillway.streaming import runner
 from rillway.workload.joins import as_json, on
@@ -90,6 +93,34 @@ def stream_from_now(t: Tables):
     return t.spark.read.parquet(f"{folder}/out").drop("batch_id")
 
 
+@query("stream_evolve", """
+SELECT o_orderkey, o_custkey, CAST(o_totalprice AS VARCHAR) AS price, CAST(NULL AS VARCHAR) AS channel FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT o_orderkey, o_custkey, CAST(o_totalprice AS VARCHAR), o_orderpriority FROM orders WHERE o_orderstatus = 'F'""")
+def stream_evolve(t: Tables):
+    """Orders through a running stream whose structure changes between two files: a column under another name and type, one gone, one new."""
+    folder, changed_at = scratch(t), 1 << 50
+    first = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderstatus": "string"}
+    change = {"rename": {"o_totalprice": "price"}, "retype": {"price": "string"}, "drop": ["o_orderstatus"], "add": {"channel": "string"}}
+
+    price = F.col("o_totalprice")
+    before = t.orders.where("o_orderstatus <> 'F'").withColumn("doc", F.struct("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"))
+    after = t.orders.where("o_orderstatus = 'F'").withColumn(
+        "doc", F.struct("o_orderkey", "o_custkey", price.cast("string").alias("price"), F.col("o_orderpriority").alias("channel"))
+    )
+    log_line = lambda pos: F.to_json(F.struct(pos.alias("pos"), "doc")).alias("value")
+    alter = t.spark.range(1).select(F.lit(json.dumps({"pos": changed_at, "alter": change})).alias("value"))
+    before.select(log_line(F.col("o_orderkey"))).write.text(f"{folder}/log")
+    running = structure.start_evolving(t.spark, f"{folder}/log", f"{folder}/orders", first, f"{folder}/checkpoint", interval="200 milliseconds")
+    try:
+        running.processAllAvailable()
+        alter.write.mode("append").text(f"{folder}/log")
+        after.select(log_line(F.col("o_orderkey") + changed_at)).write.mode("append").text(f"{folder}/log")
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return structure.read_current(t.spark, f"{folder}/orders", first).drop(POS)
+
+
 @query("stream_queue_to_index", """
 WITH log AS (
   SELECT user_id, event_id AS pos, value, event_type,
