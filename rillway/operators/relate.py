@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from rillway.columns import doc_columns, envelope_columns, has_map, quoted
 from rillway.functions.coerce import is_fractional, is_integral, plain_text
 from rillway.operators.skew import (
-    CELL_ROWS, GRID_ROWS, HOT_ROWS, PART, all_set, cut_groups, find_hot_keys, grid_join, salted_join, spread,
+    CELL_ROWS, GRID_ROWS, HOT_ROWS, PART, PARTS, all_set, cut_groups, find_hot_keys, grid_join, salted_join, spread,
 )
 from rillway.operators.steps import SpecError, merge_columns
 
 HIT = "__hit"
+ARRAY_PART, ARRAY_PARTS = "__array_part", "__array_parts"
 CONSTANT_ROWS = 10_000     # most lookup rows that every main row gets, where no field of it is compared
 
 
@@ -261,7 +262,14 @@ def relate(
     joined = _join(left, right.withColumn(HIT, F.lit(True)), keys, how, split_hot, cut_right=layer == "sib")
     if root:
         joined = _drop_unmatched_siblings(joined, left, right, keys, root, unmatched, split_hot)
-    return joined.select(*_many_rows_output(main, lookup, layer, sub_label, field_map, mapped, hit, unmatched))
+    out = _many_rows_output(main, lookup, layer, sub_label, field_map, mapped, hit, unmatched)
+    if layer == "sub" and array_rows is not None:
+        numbers = {f"{sub_label}_part": F.coalesce(F.col(ARRAY_PART), F.lit(0)), f"{sub_label}_parts": F.coalesce(F.col(ARRAY_PARTS), F.lit(1))}
+        clash = [c for c in numbers if c in main.columns]
+        if clash:
+            raise SpecError(f"relate: array_rows adds {clash[0]!r}, which the documents have already")
+        out = [*out, *[number.cast("bigint").alias(name) for name, number in numbers.items()]]
+    return joined.select(*out)
 
 
 def find(main: DataFrame, lookup: DataFrame, into: str, wheres: list[dict], **options) -> DataFrame:
@@ -360,11 +368,14 @@ def _nest(right: DataFrame, keys, fields, label, array_rows) -> DataFrame:
     kinds = right.select(item.alias("i")).schema[0].dataType
     if not has_map(kinds):
         items = F.sort_array(items)
+    group = list(keys)
     if array_rows is not None:
-        right = cut_groups(right, keys, array_rows)
-    group = [c for c in (*keys, PART) if c in right.columns]
+        cut = cut_groups(right.filter(all_set(keys)), keys, array_rows)
+        # names of their own, since a join with hot keys spread has a __part as well
+        right = cut.withColumnsRenamed({PART: ARRAY_PART, PARTS: ARRAY_PARTS})
+        group += [ARRAY_PART, ARRAY_PARTS]
     # partial arrays before the shuffle would save nothing: rows go over as they are and are listed once
-    return right.repartition(*group).groupBy(*group).agg(items.alias("__items")).select(*keys, "__items")
+    return right.repartition(*group).groupBy(*group).agg(items.alias("__items"))
 
 
 def _join(left: DataFrame, right: DataFrame, keys, how, split_hot, cut_right) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway.columns import has_map, quoted
@@ -174,19 +174,28 @@ def grid_join(
 
 
 def cut_groups(df: DataFrame, keys: list[str], rows_per_part: int) -> DataFrame:
-    """Add __part so that (keys, __part) groups hold about rows_per_part rows at most.
+    """Add __part and __parts: the rows of each key are cut into parts of rows_per_part rows, the last of which may be shorter.
 
-    Without larger groups the frame comes back as it is. With more than HOT_LIMIT large groups exact
-    counts are joined by a shuffle rather than broadcast.
+    The counts are exact, not those of a probe. Rows of a longer key are dealt to as many salts as it has parts, by their content,
+    and counted by salt; a row's place is what the salts before hold and its place in its own. So no task orders more than a
+    salt of a key, and equal input gives equal parts wherever it runs.
     """
-    hot = find_hot_keys(df, keys, rows_per_part)
-    if hot.frame is None:
-        return df
-    if hot.overflow:
-        counts = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-        sizes = counts.filter(F.col("__n") > rows_per_part)
-    else:
-        sizes = F.broadcast(hot.frame)
-    sizes = sizes.select(*[quoted(k) for k in keys], part_count(rows_per_part).alias(PARTS))
-    parts = F.coalesce(F.col(PARTS), F.lit(1).cast("long"))
-    return df.join(sizes, keys, "left").withColumn(PART, spread(df, parts)).drop(PARTS)
+    if rows_per_part < 1:
+        raise ValueError("a part has one row at least")
+    names = [quoted(k) for k in keys]
+    one = F.lit(1).cast("long")
+    counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = counted.filter(F.col("__n") > rows_per_part).select(*names, part_count(rows_per_part).alias(PARTS))
+    sized = df.join(sizes, keys, "left").withColumn(PARTS, F.coalesce(F.col(PARTS), one))
+    plain = [quoted(f.name) for f in df.schema if not has_map(f.dataType)]
+    salted = sized.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.col(PARTS)))
+    long = salted.filter(F.col(PARTS) > 1)
+    by_salt = long.groupBy(*names, "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*names).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = by_salt.select(*names, "__salt", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*names, "__salt").orderBy(*plain))
+    placed = long.withColumn("__place", place).join(offsets, [*keys, "__salt"])
+    part = F.floor((F.col("__before") + F.col("__place") - 1) / F.lit(rows_per_part)).cast("long")
+    columns = [quoted(c) for c in df.columns]
+    short = salted.filter(F.col(PARTS) == 1).select(*columns, F.lit(0).cast("long").alias(PART), PARTS)
+    return short.unionByName(placed.select(*columns, part.alias(PART), PARTS))

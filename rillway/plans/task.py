@@ -109,6 +109,16 @@ def check_task(spec: dict) -> None:
             lookup = step.get("relate_resource_id")
             if lookup is not None and lookup not in looked_up:
                 raise SpecError(f"lookup resource {lookup!r} is not a source")
+    _check_cut_arrays(spec)
+
+
+def _check_cut_arrays(spec: dict) -> None:
+    """A document cut into several rows has one key, of which a keyed target would keep the last row only."""
+    targets = _targets(spec)
+    for p in spec.get("pipeline", []):
+        keyed = [n for n in p["document_set"].split(",") if n in targets and (targets[n][0].get("extra") or {}).get("keyed")]
+        if keyed and any(step.get("array_rows") is not None for step in p["flow"]):
+            raise SpecError(f"array_rows cuts documents into several rows, which the keyed target of {keyed[0]!r} cannot hold")
 
 
 def _check_source(source: dict, resources: dict) -> set[str]:

@@ -273,3 +273,16 @@ def relate_1n_siblings(t: Tables):
         },
     ]
     return run_flow(t.customer, steps, lambda _resource, name: getattr(t, name), root=["c_custkey"])[0]
+
+
+@query("relate_1n_cut", """
+WITH n AS (SELECT s_suppkey, count(l_suppkey) AS k FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey),
+ p AS (SELECT *, greatest(1, (k + 99) // 100) AS parts FROM n)
+SELECT s_suppkey, part, parts, CASE WHEN k > 0 THEN least(100, k - 100 * part) END AS size
+FROM (SELECT *, unnest(range(parts)) AS part FROM p)""")
+def relate_1n_cut(t: Tables):
+    """The line items of each supplier nested, a hundred to a row at most, and what each row holds."""
+    items = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    nested = relate(t.supplier.select("s_suppkey"), items, [on("s_suppkey", "l_suppkey")], "1n", "sub", "items", array_rows=100)
+    size = F.when(F.col("items").isNotNull(), F.size("items")).cast("bigint")
+    return nested.select("s_suppkey", F.col("items_part").alias("part"), F.col("items_parts").alias("parts"), size.alias("size"))

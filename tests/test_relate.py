@@ -213,7 +213,7 @@ def test_salted_join_equals_join(spark, skewed, how):
 def test_cut_groups_bounds_the_parts(spark, skewed):
     cut = cut_groups(skewed.filter("k is not null"), ["k"], 100)
     sizes = cut.groupBy("k", "__part").count().agg(F.max("count"), F.sum("count")).first()
-    assert sizes[0] < 300 and sizes[1] == skewed.filter("k is not null").count()
+    assert sizes[0] == 100 and sizes[1] == skewed.filter("k is not null").count()
 
 
 def test_long_arrays_are_cut_but_whole(spark, skewed):
@@ -222,6 +222,29 @@ def test_long_arrays_are_cut_but_whole(spark, skewed):
     sizes = [(r.k, len(r.l) if r.l is not None else None) for r in out.collect()]
     assert len([s for s in sizes if s[0] == 0]) == 10 and sum(n for k, n in sizes if k == 0) == 1000
     assert [s for s in sizes if s[0] != 0] in ([(1, 1), (-5, None)], [(-5, None), (1, 1)])
+    parts = sorted((r.k, r.l_part, r.l_parts) for r in out.collect())
+    assert parts == [(-5, 0, 1), *[(0, i, 10) for i in range(10)], (1, 0, 1)]
+
+
+@pytest.mark.parametrize("split_hot", [False, 50])
+def test_arrays_are_cut_by_exact_counts(spark, split_hot):
+    # 20,000 matches of one key, 250 of them the same row, 3,000 of another (just the limit) and rows without a key
+    lookup = spark.range(24_000, numPartitions=5).selectExpr(
+        "CASE WHEN id < 20000 THEN 1 WHEN id < 23000 THEN 2 END AS k", "CASE WHEN id < 250 THEN -1 ELSE id END AS v", "map('m', id) AS m"
+    )
+    main = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k bigint, name string")
+    out = relate(main, lookup, [on("k", "k")], "1n", "sub", "l", array_rows=3000, split_hot=split_hot).collect()
+    sizes = sorted((r.name, r.l_part, r.l_parts, None if r.l is None else len(r.l)) for r in out)
+    whole = [(n, i, 7, 3000 if i < 6 else 2000) for n in "ab" for i in range(7)]
+    assert sizes == [*whole, ("c", 0, 1, 3000), ("d", 0, 1, None)]
+    for name in "ab":
+        assert sorted(x.m["m"] for r in out if r.name == name for x in r.l) == list(range(20_000))
+
+
+def test_cut_arrays_have_their_numbers_or_fail(spark):
+    main = spark.createDataFrame([(1, 2)], "k bigint, l_part int")
+    with pytest.raises(SpecError):
+        relate(main, main.select("k"), [on("k", "k")], "1n", "sub", "l", array_rows=3)
 
 
 def test_fan_out_with_a_hot_lookup_key(spark, skewed):

@@ -381,6 +381,16 @@ def test_bad_stream_specs_are_refused(tmp_path, change):
         check_task({**queue_spec(tmp_path), **change})
 
 
+def test_cut_arrays_are_refused_for_keyed_targets(tmp_path):
+    s = spec(tmp_path, keyed="index", key="id")
+    check_task(s)
+    s["pipeline"][1]["flow"][1]["array_rows"] = 10
+    with pytest.raises(SpecError, match="array_rows"):
+        check_task(s)
+    s["target"][0]["extra"] = {}
+    check_task(s)
+
+
 def test_changes_without_a_key_are_refused(spark, tmp_path):
     target = KeyedTarget(spark, str(tmp_path / "t"), ["k"], ["v"])
     for batch in range(3):
