@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.llm.common import saved, spread_join
+from rillway.llm.common import checked_broadcast, saved, spread_join
 
 #: The classifier is fitted on this many labelled documents of each language at most (bounded sample of labels) and keeps
 #: this many trigrams; smoothing adds pseudo-counts.
@@ -52,12 +52,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, most: int = TRIGR
     """From texts with their language (text, lang): counts per language and trigram, added up by Spark.
 
     Of each language `sample` distinct texts at most are taken, those of the smallest hashes, and so at least one; copies of a text
-    count as one. Rows without a text or language are left out.
+    count as one (so would texts of the same hash). Rows without a text or language are left out.
     """
-    texts = labelled.where("lang is not null and text is not null").select("lang", "text").distinct()
-    # a limit per language is applied in each task before rows are exchanged
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    chosen = texts.withColumn("place", place).where(F.col("place") <= sample).select("lang", "text")
+    # Hashes are exchanged, not texts; of these only the chosen ones, and of equal texts one a task.
+    texts = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("hash"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))  # a limit per language is applied in each task first
+    hashes = texts.select("lang", "hash").distinct().withColumn("place", place).where(F.col("place") <= sample)
+    sampled = checked_broadcast(saved(hashes.select("lang", "hash"), "language-sample"))
+    chosen = texts.join(sampled, ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
