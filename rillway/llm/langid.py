@@ -95,7 +95,7 @@ def text_evidence(pages: DataFrame, model: LanguageModel) -> DataFrame:
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1)).alias("declared"), host.alias("host"), "html")
-    rows = rows.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$|^(.*)$", 0)).withColumn("suffix", F.regexp_extract("host", r"\.([a-z]{2,})$", 1))
+    rows = rows.withColumn("domain", F.coalesce(F.nullif(F.regexp_extract("host", r"[^.]+\.[^.]+$", 0), F.lit("")), F.col("host"))).withColumn("suffix", F.regexp_extract("host", r"\.([a-z]{2,})$", 1))
     kinds = dict(rows.dtypes)
     schema = f"page_id {kinds['page_id']}, url string, declared string, host string, domain string, suffix string, n_trigrams long, evidence array<double>"
     return rows.select("page_id", "url", "declared", "host", "domain", "suffix", "html").mapInPandas(run, schema)
