@@ -19,10 +19,10 @@ from rillway.workload.sources import event_op, queue_messages
 
 
 def stream_of(t: Tables, name: str):
-    """One of the tables as a file stream."""
+    """One of the tables, a file or a folder of files, as a file stream."""
     schema = getattr(t, name).schema
-    reader = t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(t.folder)
+    # a pattern that fits this one name: of a plain path Spark asks that it be a folder
+    return t.spark.readStream.schema(schema).parquet(f"{t.folder}/{name}.parque[t]")
 
 
 def run(query_handle) -> None:
