@@ -140,7 +140,8 @@ def store_batch(lines: DataFrame, path: str, first: dict[str, str], batch_id: in
     parsed = parse_lines(lines).persist()
     try:
         changes = parsed.where("alter is not null").select("pos", "alter")
-        changes.coalesce(1).write.mode("overwrite").parquet(f"{path}/structure/{BATCH}={batch_id}")
+        # exchanged, since coalesce(1) would have one task read the whole batch for them
+        changes.repartition(1).write.mode("overwrite").parquet(f"{path}/structure/{BATCH}={batch_id}")
         versions = stored_versions(spark, path, first)
         at = parsed.where("doc is not null").withColumn("__start", version_at(F.col("pos"), versions))
         refused = parsed.where("doc is null and alter is null").select("value", "pos", F.lit("not a line of the log").alias("reason"))

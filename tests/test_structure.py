@@ -89,3 +89,18 @@ def test_a_running_stream_takes_changes_without_a_restart(spark, tmp_path):
     assert rows_of(structure.read_current(spark, path, FIRST)) == [(1, 1, 1.0), (3, 3, None)]
     assert [r.reason for r in structure.refused_lines(spark, path).collect()] == ["unknown field: channel"]
     assert os.path.isdir(f"{path}/documents/start=2")
+
+
+def test_no_task_reads_a_whole_batch(spark, tmp_path):
+    from pyspark import TaskContext
+
+    seen = str(tmp_path)
+
+    def mark(batches):
+        open(f"{seen}/{TaskContext.get().taskAttemptId()}.task", "w").close()
+        yield from batches
+
+    rows = [{"pos": i, "doc": {"id": i}} for i in range(20)] + [{"pos": 30, "alter": {"drop": ["note"]}}]
+    structure.store_batch(lines(spark, rows).repartition(4).mapInPandas(mark, "value string"), str(tmp_path / "out"), FIRST, 0)
+    assert structure.read_current(spark, str(tmp_path / "out"), FIRST).columns == ["_pos", "id", "total"]
+    assert len([f for f in os.listdir(seen) if f.endswith(".task")]) == 4
