@@ -300,6 +300,22 @@ def test_cells_follow_the_results():
     assert _grid(hot(None), hot(None), 1, 1) is None
 
 
+def test_a_fine_grid_does_not_multiply_its_rows():
+    """Limits of 20 rows, as a number given to split_hot sets them, against keys of many rows."""
+    class Hot:
+        def __init__(self, frame):
+            self.keys, self.frame = ["k"], frame
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    for n, m in [(400, 30), (410_000, 30_000), (2_400_000, 180_000), (5_000_000, 1)]:
+        hot = [Hot(spark.createDataFrame([(1, x)], "k int, __n bigint")) for x in (n, m)]
+        rows_, cols = _grid(*hot, 20, 400).select("__rows", "__cols").first()
+        assert n / rows_ * m / cols <= 100_000_000 and n / rows_ <= 1_000_000
+        assert n * cols + m * rows_ <= 70 * (n + m), (n, m, rows_, cols)
+    assert rows_ > 1
+
+
 def test_a_small_lookup_is_broadcast_and_pruned(spark, tmp_path):
     spark.range(100).selectExpr("id AS k", "id AS a", "id AS b").write.parquet(str(tmp_path / "lookup"))
     spark.range(1000).selectExpr("id AS k", "id AS m", "id AS unused").write.parquet(str(tmp_path / "main"))
