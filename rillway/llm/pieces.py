@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,12 @@ def units_of(text: str | None) -> list[str]:
     return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def plain_parts(text: str) -> list[str] | None:
+    """The units of a text without the mark each begins with, if single spaces alone part them; None for other texts."""
+    parts = text.split(" ")
+    return None if "" in parts or MARK in text else parts
+
+
 def merged_ids(unit: str, ids: dict[str, int], ranks: dict[str, int], first_byte: int) -> list[int]:
     """The ids of one unit: best-ranked pair first, leftmost first among equals."""
     out: list[int] = []
@@ -140,14 +147,19 @@ def unit_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
+
+        def counted() -> pd.DataFrame:
+            return pd.DataFrame({"unit": [u if u[0] == MARK else MARK + u for u in counts], "n": list(counts.values())})
+
         for batch in batches:
             for text in batch["text"]:
-                counts.update(units_of(text))
+                if text:
+                    counts.update(plain_parts(text) or units_of(text))
                 if len(counts) > KEEP_UNITS:
-                    yield pd.DataFrame({"unit": list(counts), "n": list(counts.values())})
+                    yield counted()
                     counts.clear()
         if counts:
-            yield pd.DataFrame({"unit": list(counts), "n": list(counts.values())})
+            yield counted()
 
     return docs.select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -223,37 +235,52 @@ def encode(docs: DataFrame, model: PieceModel, most: int = LATTICE_UNITS) -> Dat
     rest = [quoted(c) for c in docs.columns if c not in ("tokens", "round_trip", "text")]
 
     class Units(dict):
-        """The lattice's units, and those met besides; emptied of these when there are too many."""
+        """The packed ids of units met, by unit or by unit without its mark; emptied when there are too many. `odd` are those
+        whose ids do not decode to the unit."""
 
-        def __missing__(self, unit):
-            base, ids, ranks, first_byte, _ = shared.value
+        odd: set[str] = set()
+
+        def __missing__(self, key):
+            base, ids, ranks, first_byte, texts = shared.value
+            unit = key if key[0] == MARK else MARK + key
             value = base.get(unit)
             if value is None:
                 numbers = merged_ids(unit, ids, ranks, first_byte)
                 value = struct.pack(f"{len(numbers)}i", *numbers)
             if len(self) > KEEP_UNITS:
                 self.clear()
-            self[unit] = value
+            if b"".join([texts[i] for i in np.frombuffer(value, np.int32).tolist()]) != unit.encode():
+                self.odd.add(key)
+            self[key] = value
             return value
 
     def run(batches):
         units, texts = Units(), shared.value[4]
         for batch in batches:
-            for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 256)):
-                rows = batch.iloc[part]
-                tokens = [np.frombuffer(b"".join(map(units.__getitem__, units_of(t))), np.int32) for t in rows["text"]]
-                trips = [decoded(x.tolist(), texts) == (t or "").replace(MARK, " ") for x, t in zip(tokens, rows["text"])]
-                yield rows.assign(tokens=tokens, round_trip=trips)
-
-    return _in_pandas(docs.select(*rest, "text"), run, "text", "tokens array<int>, round_trip boolean")
-
-
-def _in_pandas(df: DataFrame, run, named: str | None, added: str) -> DataFrame:
-    """df.mapInPandas(run) with columns added, which takes no names with dots: all columns but one have numbers on the way."""
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                found, trips = [], []
+                for text in rows.column("text").to_pylist():
+                    parts = (plain_parts(text) or units_of(text)) if text else []
+                    packed = b"".join(map(units.__getitem__, parts))
+                    found.append(packed)
+                    # the bytes of a text's tokens are those of its units, one after another
+                    whole = units.odd.isdisjoint(parts)
+                    trips.append(whole or decoded(np.frombuffer(packed, np.int32).tolist(), texts) == text.replace(MARK, " "))
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                numbers = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), numbers)
+                yield pa.RecordBatch.from_arrays([*rows.columns, tokens, pa.array(trips, pa.bool_())], names=[*rows.schema.names, "tokens", "round_trip"])
+
+    return _in_batches(docs.select(*rest, "text"), run, "text", "tokens array<int>, round_trip boolean", arrow=True)
+
+
+def _in_batches(df: DataFrame, run, named: str | None, added: str, arrow: bool = False) -> DataFrame:
+    """df.mapInPandas(run), or mapInArrow, with columns added, which takes no names with dots: all columns but one have numbers on the way."""
     names = [c if c == named else f"_{i}" for i, c in enumerate(df.columns)]
     plain = df.toDF(*names)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    out = plain.mapInPandas(run, f"{kept}, {added}")
+    out = (plain.mapInArrow if arrow else plain.mapInPandas)(run, f"{kept}, {added}")
     return out.toDF(*df.columns, *out.columns[len(names):])
 
 
@@ -266,4 +293,4 @@ def decode(tokens: DataFrame, model: PieceModel) -> DataFrame:
             yield batch.assign(text=[None if t is None else decoded(list(t), texts.value) for t in batch["tokens"]])
 
     rest = [quoted(c) for c in tokens.columns if c != "text"]
-    return _in_pandas(tokens.select(*rest), run, "tokens", "text string")
+    return _in_batches(tokens.select(*rest), run, "tokens", "text string")
