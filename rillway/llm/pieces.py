@@ -247,9 +247,11 @@ def encode(docs: DataFrame, model: PieceModel, most: int = LATTICE_UNITS) -> Dat
             if value is None:
                 numbers = merged_ids(unit, ids, ranks, first_byte)
                 value = struct.pack(f"{len(numbers)}i", *numbers)
+            else:
+                numbers = struct.unpack(f"{len(value) // 4}i", value)
             if len(self) > KEEP_UNITS:
                 self.clear()
-            if b"".join([texts[i] for i in np.frombuffer(value, np.int32).tolist()]) != unit.encode():
+            if b"".join([texts[i] for i in numbers]) != unit.encode():
                 self.odd.add(key)
             self[key] = value
             return value
