@@ -213,6 +213,22 @@ def test_stretches_against_all_intervals():
         assert {k for a, b in good for k in range(a, b + 1) if hit[k]} == {k for a, b in got for k in range(a, b + 1) if hit[k]}
 
 
+def test_votes_of_a_pair_are_counted_in_one_exchange(spark):
+    """Against a count in plain Python, shifts of both signs; the cuts are moved once, to their pair."""
+    draw = random.Random(12)
+    cuts = [(draw.randrange(4), -draw.randrange(1, 3) << 40, draw.randrange(5) - 2, draw.randrange(-70, 70), draw.randrange(100), draw.randrange(150, 300)) for _ in range(400)]
+    want = collections.defaultdict(list)
+    for doc, hub, name, shift, low, high in cuts:
+        for stripe in (shift // windows.STRIPE, shift // windows.STRIPE + 1):
+            want[doc, hub, stripe].append((name, low, high, low - shift, high - shift))
+    want = sorted((d, h, s, len({x[0] for x in v}), min(x[1] for x in v), max(x[2] for x in v), min(x[3] for x in v), max(x[4] for x in v)) for (d, h, s), v in want.items())
+    table = spark.createDataFrame(cuts, "doc_id long, hub long, name long, shift int, low int, high int").repartition(3)
+    got = windows.along_diagonals(table)
+    assert sorted(tuple(r) for r in got.select("doc_id", "hub", "stripe", "n", "low", "high", "hub_low", "hub_high").collect()) == want
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString())
+    assert len(exchanges) == 1 and re.fullmatch(r"doc_id#\d+L?, hub#\d+L?, \d+", exchanges[0])
+
+
 def test_passage_of_two_whose_lines_are_elsewhere(spark):
     """Each piece of the passage of 90 and 91 is also in a document of a lower id, so every name has a hub that is no partner."""
     draw = random.Random(5)
