@@ -316,6 +316,20 @@ def test_a_fine_grid_does_not_multiply_its_rows():
     assert rows_ > 1
 
 
+@pytest.mark.parametrize("unmatched", ["drop", "passthrough"])
+def test_numbers_that_fit_meet_hot_keys_without_copies(spark, unmatched):
+    """One key with half of both sides; a lookup with text is dealt to cells, and rows without a key stay."""
+    main = spark.range(2000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 WHEN id % 3 = 0 THEN id END AS k", "id % 100 AS m")
+    lookup = spark.range(300).selectExpr("CASE WHEN id % 2 = 0 THEN 7 WHEN id % 5 = 0 THEN NULL ELSE id END AS k", "id AS v")
+    found = {}
+    for kind, other in (("numbers", lookup), ("text", lookup.selectExpr("k", "cast(v AS string) AS v"))):
+        run = lambda **more: relate(main, other, [on("k", "k")], "1n", "sib", unmatched=unmatched, **more).selectExpr("k", "m", "cast(v AS bigint) AS v")
+        assert rows(run(split_hot=20)) == rows(run())
+        found[kind] = run(split_hot=20)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" in found["text"] and "explode" not in found["numbers"]
+    assert "BroadcastHashJoin" in found["numbers"] and "REPARTITION_BY_NUM" in found["numbers"]
+
+
 def test_a_small_lookup_is_broadcast_and_pruned(spark, tmp_path):
     spark.range(100).selectExpr("id AS k", "id AS a", "id AS b").write.parquet(str(tmp_path / "lookup"))
     spark.range(1000).selectExpr("id AS k", "id AS m", "id AS unused").write.parquet(str(tmp_path / "main"))
