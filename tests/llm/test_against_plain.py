@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -11,6 +12,7 @@ import pytest
 from compare import connect, differences
 
 from rillway.llm import html_text, langid, mixing, pieces, pii, quality, suffixes, windows
+from rillway.llm.blocks import Block
 from rillway.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -243,6 +245,74 @@ def test_passage_of_two_whose_lines_are_elsewhere(spark):
     assert all(any(r.doc_id == 100 * k + i and r.start <= 94 and r.end >= 146 for r in got) for k in range(pairs) for i in (90, 91))
 
 
+def some_windows(draw, docs, names):
+    rows = set()
+    for _ in range(160):
+        c = draw.randrange(60, 200)
+        rows.add((draw.randrange(names), draw.choice(docs), c - draw.randrange(50), c, c + draw.randrange(50), draw.random() < 0.5))
+    return sorted({r[:5]: r for r in rows}.values())
+
+
+def test_windows_of_a_name_meet_as_in_a_plain_count(spark):
+    """Every two windows of a name of which one is unsure, with the cuts given, counted in plain Python."""
+    draw = random.Random(21)
+    docs = [-5, 0, 3, 4, 1 << 40, 7, 8, 9]
+    rows = some_windows(draw, docs, 12)
+    cuts = []
+    for _ in range(60):
+        hub, doc = sorted(draw.sample(docs, 2))
+        low = draw.randrange(100)
+        cuts.append((doc, hub, draw.randrange(100, 130), draw.randrange(-40, 40), low, low + 50))
+    passages = [(4, -5), (7, -5), (8, 0), (9, 0), (7, 0)]
+    votes = collections.defaultdict(list)
+    met = list(cuts)
+    for x, y in itertools.combinations(rows, 2):
+        h, w = sorted((x, y), key=lambda r: r[1])
+        left, right = min(w[3] - w[2], h[3] - h[2]), min(w[4] - w[3], h[4] - h[3])
+        if x[0] == y[0] and x[1] != y[1] and (x[5] or y[5]) and left + right + 1 >= 30:
+            met.append((w[1], h[1], x[0], w[3] - h[3], w[3] - left, w[3] + right))
+    for doc, hub, name, shift, low, high in met:
+        for stripe in (shift // windows.STRIPE, shift // windows.STRIPE + 1):
+            votes[doc, hub, stripe].append((name, low, high, low - shift, high - shift))
+    hubs = {d: {h for x, h in passages if x == d} for d in docs}
+    want = {
+        (d, h, min(x[1] for x in v), max(x[2] for x in v), min(x[3] for x in v), max(x[4] for x in v))
+        for (d, h, _), v in votes.items() if len({x[0] for x in v}) >= 3 or hubs[d] & hubs[h]
+    }
+    unsure = spark.createDataFrame(rows, "name long, doc_id long, l int, c int, r int, unsure boolean").repartition(3)
+    given = spark.createDataFrame(cuts, "doc_id long, hub long, name long, shift int, low int, high int").repartition(2)
+    found = windows.meetings(unsure, given, spark.createDataFrame(passages, "doc_id long, hub long"), 30, 3)
+    assert {tuple(r) for r in found.collect()} == want and 20 < len(want) < len(votes)
+    assert windows.meetings(unsure.limit(0), given.limit(0), spark.createDataFrame(passages, "doc_id long, hub long"), 30, 3).count() == 0
+
+
+@pytest.mark.parametrize("home", [True, False])
+def test_meetings_in_small_steps(monkeypatch, home):
+    """Two documents with 200 windows of a name, and many with a few: parted or not, the same counts."""
+    draw = random.Random(22)
+    side = lambda own: [np.array(x) for x in zip(*sorted({(draw.randrange(3), draw.choice(own), draw.randrange(9, 40), draw.randrange(100), draw.randrange(9, 40), draw.random() < 0.7) for _ in range(400)}))]
+    a = side([0, 0, 0, 2, 4, 6])
+    b = a if home else side([1, 1, 1, 3, 5, 7])
+    w, h = np.array([6, 4, 6, 5]), np.array([0, 2, 2, 0] if home else [1, 3, 5, 0])
+    cuts = [w, h, np.array([7, 7, 8, 9]), np.array([1, 2, 3, 4]), np.array([50, 60, 70, 80]), np.array([0, 9, -40, 3])]
+    first = np.array([6, 4, 6, 0])
+    cuts += [first, np.where(w == first, h, w)]
+    found = []
+    for met in (1 << 17, 50):
+        monkeypatch.setattr(windows, "MET", met)
+        meeting = windows.Meeting(np.arange(8) * 10, {0: {1}, 1: {1}, 6: {1, 2}}, 30, 3)
+        found.append(sorted(tuple(r) for t in meeting.met(a, b, cuts, home) for r in t.itertuples(index=False)))
+    assert found[0] == found[1] and found[0]
+
+
+def test_names_of_windows_are_dealt_evenly():
+    """The smallest hashes begin with zeros; by the leading bits of these one bucket of 32 held three quarters of all names."""
+    draw = random.Random(23)
+    text = " ".join(str(draw.randrange(10**9)) for _ in range(20_000)).encode()
+    names, _ = windows.windows_of(Block([1], np.frombuffer(text, np.uint8), np.array([len(text)])), 46, 8, 5, windows.WordHashes())
+    assert np.bincount((names >> np.uint64(59)).astype(int), minlength=32).max() < 0.06 * len(names)
+
+
 def test_mix_meets_the_targets(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     mixed = mixing.mix(docs).toPandas()
